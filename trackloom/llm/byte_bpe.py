@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -158,7 +159,7 @@ def _appended(df: DataFrame, text: str, ranks: dict[bytes, int], added: list[tup
 
 def slices(batch: pa.RecordBatch, place: int, most: int = 8 << 20):
     """Parts of a batch of about so many bytes of text; bounds what a worker holds."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(place)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
     first, size = 0, 0
     for i, n in enumerate(sizes):
         if size and size + n > most:
