@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import byte_bpe
+from trackloom.llm import byte_bpe, tiff, trie_counts
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -20,8 +20,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return trie_counts.count_tokens(docs, trie_counts.zipf_scores(byte_bpe.read_ranks(BYTE_RANKS))).drop("text")
+
+
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op9_byte_bpe": op9_byte_bpe}
+    return {"op7_trie_counts": op7_trie_counts, "op8_tiff": op8_tiff, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict:
