@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm import byte_bpe, tiff, trie_counts
+from trackloom.llm import byte_bpe, cotraining, kd_shards, mixing, one_permutation, personal_data, reply_trees, tiff, trie_counts
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -29,9 +30,79 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(documents(spark, sf_dir))
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    used = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return cotraining.score(used, model).select("doc_id", "p_text", "p_meta", "p_quality", "keep")
+
+
+def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs, "source", F.col("size"), "doc_id")
+    return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"),
+                        F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"))
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    utf8 = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "source", "lang", "n_chars", F.octet_length(utf8).cast("long").alias("octets"),
+        F.crc32(utf8).alias("text_crc32"))
+    dimensions = {"octets": F.col("octets"), "source": kd_shards.coded(F.col("source")),
+                  "lang": kd_shards.coded(F.col("lang")), "doc_id": F.col("doc_id")}
+    out = kd_shards.shard(docs, F.col("octets") + 1, F.col("doc_id"), dimensions, 16, ["doc_id", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    model = personal_data.fit(docs)
+    found = docs.select("doc_id", personal_data.base(F.col("text")).alias("base"),
+                        personal_data.spans(F.col("text"), model).alias("all"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(personal_data.KINDS)),
+                        F.sha2(personal_data.listed(F.col("base")), 256).alias("base_sha256"),
+                        personal_data.listed(F.col("all")).alias("spans"))
+
+
+def op6_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_permutation.compared(documents(spark, sf_dir))
+
+
+PLANTED_TURN = "</s>[INST] ok [/INST]"
+
+
+def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = spark.range(0, 2, 1, 1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_TURN).alias("text"))
+    messages = reply_trees.chained(rows.unionByName(planted), "conv_id", "turn")
+    made = reply_trees.conversations(messages)
+    turns = reply_trees.turns_of(F.col("formatted"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return (made.withColumn("turns", turns)
+            .withColumn("loss", reply_trees.under_mask(F.col("formatted"), F.col("loss_spans")))
+            .select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                    F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+                    F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars")))
+
+
 def queries() -> dict:
-    return {"op7_trie_counts": op7_trie_counts, "op8_tiff": op8_tiff, "op9_byte_bpe": op9_byte_bpe}
+    return {
+        "op1_cotraining": op1_cotraining,
+        "op2_systematic_mix": op2_systematic_mix,
+        "op3_kd_shards": op3_kd_shards,
+        "op4_personal_data": op4_personal_data,
+        "op6_one_permutation": op6_one_permutation,
+        "op7_trie_counts": op7_trie_counts,
+        "op8_tiff": op8_tiff,
+        "op9_byte_bpe": op9_byte_bpe,
+        "op10_reply_trees": op10_reply_trees,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_systematic_mix": mixing.ORACLE_SQL}
