@@ -195,13 +195,14 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> Da
     return df.mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, ranks: dict[bytes, int], text: str = "text", ids: bool = False) -> DataFrame:
     """df with n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the bytes
-    decoded from these ids), in one pass: ids and bytes never leave the worker."""
+    decoded from these ids), and with token_ids if asked for, in one pass."""
     def rows(codec: Codec, texts: list[str]):
-        for ids in codec.encode_batch(texts):
-            yield (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                   hashlib.sha256(codec.decode(ids)).hexdigest())
+        for own in codec.encode_batch(texts):
+            digests = (len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(),
+                       hashlib.sha256(codec.decode(own)).hexdigest())
+            yield (*digests, own) if ids else digests
 
-    return _appended(df, text, ranks, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()),
-                                       ("decoded_sha256", T.StringType())], rows)
+    added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    return _appended(df, text, ranks, [*added, ("token_ids", T.ArrayType(T.IntegerType()))] if ids else added, rows)

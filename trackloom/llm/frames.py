@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.lineage import cut
+
+__all__ = ["cut", "fresh", "named", "ranked"]
+
 
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with underscores before it until it clashes with none (Spark ignores case)."""
@@ -20,19 +22,6 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder: later jobs read it, whatever executors are lost.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir; only where that is unset,
-    as in tests, a temporary folder is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        set_to = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def named(value: Column) -> Column:
     """A string that is never null and differs for null and for every value; an equi-join key."""
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))

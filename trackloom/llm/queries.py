@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import byte_bpe, cotraining, kd_shards, mixing, one_permutation, personal_data, reply_trees, tiff, trie_counts
+from trackloom.llm import byte_bpe, cotraining, kd_shards, mixing, one_permutation, personal_data, reply_trees, tiff, trie_counts, weighted_minhash
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -67,6 +67,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         personal_data.listed(F.col("all")).alias("spans"))
 
 
+def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.classes(documents(spark, sf_dir)).withColumn("keep", F.col("doc_id") == F.col("class_id"))
+
+
 def op6_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_permutation.compared(documents(spark, sf_dir))
 
@@ -96,6 +100,7 @@ def queries() -> dict:
         "op2_systematic_mix": op2_systematic_mix,
         "op3_kd_shards": op3_kd_shards,
         "op4_personal_data": op4_personal_data,
+        "op5_weighted_minhash": op5_weighted_minhash,
         "op6_one_permutation": op6_one_permutation,
         "op7_trie_counts": op7_trie_counts,
         "op8_tiff": op8_tiff,
