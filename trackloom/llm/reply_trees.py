@@ -64,9 +64,12 @@ def paths(messages: DataFrame) -> DataFrame:
              .select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("position")))
     tables = ancestors(nodes)
     for k in reversed(range(len(tables))):
-        higher = (found.join(tables[k], ["tree", "node"])
-                  .select("tree", "leaf", F.col("up").alias("node"), (F.col("position") + (1 << k)).alias("position")))
-        found = found.unionByName(higher)
+        # each row stays and, where there is an ancestor 2^k up, is joined by it: the plan grows by one join a round
+        reached = found.join(tables[k], ["tree", "node"], "left")
+        found = reached.select("tree", "leaf", F.explode(F.array_compact(F.array(
+            F.struct("node", "position"),
+            F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("position") + (1 << k)).alias("position")))))).alias("at"))
+        found = found.select("tree", "leaf", "at.node", "at.position")
     return found
 
 
