@@ -126,13 +126,13 @@ def test_hot_group_of_near_copies_is_one_class(spark):
     rows = []
     for k in range(250):
         words = list(base)
-        for _ in range(3):
+        for _ in range(draw.choice([1, 2, 4])):
             words[draw.randrange(150)] = f"edit{draw.randrange(10 ** 6)}"
         rows.append((k, " ".join(words)))
     rows += [(k, prose(draw, 100)) for k in range(250, 300)]
     got = {r["doc_id"]: r["class_id"] for r in wm.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     expected = brute_classes(dict(rows))
-    assert got == expected and sum(v == 0 for v in got.values()) > 240
+    assert got == expected and 150 < sum(v == 0 for v in got.values()) < 250
 
 
 def test_samples_agree_as_often_as_the_similarity():

@@ -8,19 +8,20 @@ the exact similarity of the two texts decides.
 Texts that agree in a band meet in a bucket.  A bucket of n texts may join n * n / 2 pairs, but classes
 are wanted, not pairs: in each round every bucket compares its members with one of them, drawn anew,
 and what is linked is merged; only buckets that still hold several classes go on.  What these rounds
-leave open is then compared pair by pair across classes, so that no candidate link between classes is
-lost.
+leave apart in a bucket is then joined exactly, by the prefixes of the shingles, so that no link between
+classes is lost and no group is compared pair by pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.byte_bpe import slices
@@ -37,9 +38,13 @@ ROUNDS = 3
 #: Tables of ids are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 TASK_WORDS = 300_000
+#: Code points of texts that are signed together: their arrays stay in a core's cache.
+GROUP = 500_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors by which the words of a shingle are told apart by place.
+_FACTORS = np.array([3, 5, 7, 11, 13], dtype=np.uint64) * _STEP | np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -62,102 +67,149 @@ class Lexicon:
         share = np.minimum(total / np.maximum(1, documents[order]), RARE)
         self.values = (1 + np.log1p(share) / np.log1p(RARE)).astype(np.float32)
 
-    def of(self, hashed: int) -> float:
-        at = int(np.searchsorted(self.hashes, np.uint64(hashed)))
-        return float(self.values[at]) if at < len(self.hashes) and self.hashes[at] == hashed else 2.0
+    def of(self, hashed: np.ndarray) -> np.ndarray:
+        """The values of word hashes; 2 for those that the table lacks."""
+        at = np.searchsorted(self.hashes, hashed)
+        at[at == len(self.hashes)] = 0
+        if not len(self.hashes):
+            return np.full(len(hashed), 2, dtype=np.float32)
+        return np.where(self.hashes[at] == hashed, self.values[at], np.float32(2))
 
 
 class Words(dict):
-    """Places of words in growing columns of their hashes and inverse document frequencies."""
+    """Places of words in columns of their hashes and inverse document frequencies.
+
+    The columns grow in steps, so that a batch costs what its own words cost, not what is held.
+    """
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
         self.lexicon = lexicon
-        self.hashes: list[int] = []
-        self.values: list[float] = []
+        self.new: list[str] = []
+        self.hashes = np.zeros(1 << 12, dtype=np.uint64)
+        self.values = np.zeros(1 << 12, dtype=np.float32)
 
     def __missing__(self, word: str) -> int:
-        place = self[word] = len(self.hashes)
-        hashed = word_hash(word)
-        self.hashes.append(hashed)
-        self.values.append(self.lexicon.of(hashed))
+        place = self[word] = len(self)
+        self.new.append(word)
         return place
 
-    def bounded(self) -> None:
+    def begin(self) -> None:
+        """Before a batch: what is held starts anew when it is too much."""
         if len(self) > TASK_WORDS:
             self.clear()
-            self.hashes.clear()
-            self.values.clear()
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and values by place, those of new words made at once."""
+        if self.new:
+            size = len(self)
+            if size > len(self.hashes):
+                more = max(size, 2 * len(self.hashes))
+                self.hashes = np.concatenate([self.hashes, np.zeros(more - len(self.hashes), dtype=np.uint64)])
+                self.values = np.concatenate([self.values, np.zeros(more - len(self.values), dtype=np.float32)])
+            hashed = np.fromiter(map(word_hash, self.new), dtype=np.uint64, count=len(self.new))
+            self.hashes[size - len(self.new):size] = hashed
+            self.values[size - len(self.new):size] = self.lexicon.of(hashed)
+            self.new.clear()
+        return self.hashes, self.values
 
 
-def vectors(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text its distinct shingles, in order of their hashes: counts per text, hashes, weights.
+def vectors(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text its distinct shingles, in order of their hashes: counts per text, hashes, worth of one, weights.
 
     Words are lower-case runs between white space; a text of one to four words is one shingle, a text
     without words has none.
     """
-    words.bounded()
+    words.begin()
     tokens = [t.lower().split() for t in texts]
     lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    places = np.fromiter((words[w] for t in tokens for w in t), dtype=np.int64, count=int(lengths.sum()))
-    hashed = np.array(words.hashes, dtype=np.uint64)[places]
-    value = np.array(words.values, dtype=np.float64)[places]
-    counts = np.where(lengths == 0, 0, np.maximum(1, lengths - WORDS + 1))
-    ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    # the k-th shingle of a text begins at its k-th word
-    first = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(ends - lengths, counts)
-    shingle = np.zeros(len(first), dtype=np.uint64)
-    weight = np.zeros(len(first))
-    used = np.repeat(np.minimum(lengths, WORDS), counts)
+    places = np.fromiter(map(words.__getitem__, chain.from_iterable(tokens)), dtype=np.int64, count=int(lengths.sum()))
+    hashes, values = words.columns()
+    hashed, value = hashes[places], values[places]
+    # runs of WORDS words at every place of all texts; those that run into the next text are not read
+    n = max(0, len(places) - WORDS + 1)
+    run, worth = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.float32)
     for k in range(WORDS):
-        inside = used > k
-        at = np.where(inside, first + k, 0)
-        shingle = np.where(inside, mixed(shingle + _STEP + hashed[at]), shingle) if len(at) else shingle
-        weight += np.where(inside, value[at], 0) if len(at) else 0
-    weight /= np.maximum(1, used)
-    order = np.lexsort((shingle, owner))
-    owner, shingle, weight = owner[order], shingle[order], weight[order]
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(owner)))
-    return (np.bincount(owner[at], minlength=len(texts)), shingle[at], (weight[at] * times).astype(np.float32))
+        run += hashed[k:k + n] * _FACTORS[k]
+        worth += value[k:k + n]
+    run, worth = mixed(run), worth / np.float32(WORDS)
+    counts = np.zeros(len(texts), dtype=np.int64)
+    shingles, worths, weights = [], [], []
+    end = 0
+    for i, length in enumerate(lengths.tolist()):
+        begin, end = end, end + length
+        if length >= WORDS:
+            own, weight = run[begin:end - WORDS + 1], worth[begin:end - WORDS + 1]
+            order = own.argsort()
+            own = own[order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            times = np.diff(np.append(first, len(own)))
+            own, one = own[first], weight[order[first]]
+            weight = one * times
+        elif length:
+            own = mixed((hashed[begin:end] * _FACTORS[:length]).sum(dtype=np.uint64, keepdims=True) + np.uint64(length))
+            weight = one = value[begin:end].mean(keepdims=True)
+        else:
+            continue
+        counts[i] = len(own)
+        shingles.append(own)
+        worths.append(one)
+        weights.append(weight.astype(np.float32))
+    if not shingles:
+        return counts, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.float32)
+    return counts, np.concatenate(shingles), np.concatenate(worths), np.concatenate(weights)
 
 
 @cache
-def samples() -> tuple[np.ndarray, np.ndarray]:
-    """Per entry r, 1 / r, beta and log c, with r and c of gamma(2, 1) and beta uniform; and odd multipliers.
+def samples() -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Entries of r and c of gamma(2, 1) and beta uniform; and odd multipliers.
 
     A shingle's numbers at a place are the entry that its hash times the place's multiplier names.
     """
     source = np.random.Generator(np.random.PCG64(20))
     r = source.gamma(2.0, 1.0, 1 << 16)
-    table = np.stack([r, 1 / r, source.random(1 << 16), np.log(source.gamma(2.0, 1.0, 1 << 16))], axis=1)
+    beta = source.random(1 << 16)
+    log_c = np.log(source.gamma(2.0, 1.0, 1 << 16))
     odd = source.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return table.astype(np.float32), odd
+    entries = {"r": r, "inverse": 1 / r, "beta": beta, "high": log_c, "low": log_c - r}
+    return {k: v.astype(np.float32) for k, v in entries.items()}, odd
 
 
 def signatures(counts: np.ndarray, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The samples of each text that has shingles: texts x places, uint64."""
-    table, odd = samples()
+    """The samples of each text that has shingles: texts x places, uint64.
+
+    With log a = log c - r (t - beta + 1) and t = floor(log w / r + beta), log a lies between
+    log c - r - log w and log c - log w: only shingles whose lower bound is below the least upper
+    bound of their text are worked out.
+    """
+    entry, odd = samples()
     counts = counts[counts > 0]
     starts = np.cumsum(counts) - counts
     out = np.empty((len(counts), len(odd)), dtype=np.uint64)
     if not len(counts):
         return out
     log_weight = np.log(weights)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    named = np.empty(len(shingles), dtype=np.uint64)
+    high, low = (np.empty(len(shingles), dtype=np.float32) for _ in range(2))
     for k, factor in enumerate(odd):
-        drawn = table.take(((shingles * factor) >> np.uint64(48)).astype(np.int64), axis=0)
-        r, beta = drawn[:, 0], drawn[:, 2]
-        t = np.floor(log_weight * drawn[:, 1] + beta)
-        # log a = log c - log y - r with log y = r (t - beta)
-        a = drawn[:, 3] - r * (t - beta + np.float32(1))
-        least = np.minimum.reduceat(a, starts)
-        hit = np.flatnonzero(a == np.repeat(least, counts))
-        chosen = mixed(shingles[hit] + t[hit].astype(np.int64).view(np.uint64) * _STEP + np.uint64(k))
+        np.multiply(shingles, factor, out=named)
+        np.right_shift(named, np.uint64(48), out=named)
+        at = named.view(np.int64)
+        np.subtract(np.take(entry["high"], at, out=high, mode="clip"), log_weight, out=high)
+        np.subtract(np.take(entry["low"], at, out=low, mode="clip"), log_weight, out=low)
+        # rounding must not lose the least one
+        able = np.flatnonzero(low <= np.repeat(np.minimum.reduceat(high, starts) + np.float32(1e-3), counts))
+        own, r, beta = at[able], entry["r"][at[able]], entry["beta"][at[able]]
+        t = np.floor(log_weight[able] * entry["inverse"][own] + beta)
+        a = entry["high"][own] - r * (t - beta + np.float32(1))
+        text = owner[able]
+        begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        least = np.repeat(np.minimum.reduceat(a, begins), np.diff(np.append(begins, len(text))))
+        hit = np.flatnonzero(a == least)
+        chosen = mixed(shingles[able[hit]] + t[hit].astype(np.int64).view(np.uint64) * _STEP + np.uint64(k))
         # entries shared by shingles tie; the least value is as good a choice for all texts
-        out[:, k] = np.minimum.reduceat(chosen, np.searchsorted(hit, starts))
+        out[:, k] = np.minimum.reduceat(chosen, np.searchsorted(hit, begins))
     return out
 
 
@@ -220,8 +272,8 @@ def signed(docs: DataFrame, lexicon_: Lexicon, row_id: str, text: str) -> DataFr
             for part in slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 keys: list[list[int]] = []
-                for first, last in in_groups(texts):
-                    counts, shingles, weights = vectors(texts[first:last], words)
+                for first, last in in_groups(texts, GROUP):
+                    counts, shingles, _, weights = vectors(texts[first:last], words)
                     own = iter(bands(signatures(counts, shingles, weights)).tolist())
                     keys.extend(next(own) if n else [] for n in counts.tolist())
                 digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass") if k else b"", digest_size=16).digest()
@@ -250,7 +302,7 @@ def verified(pairs: DataFrame, texts: DataFrame, lexicon_: Lexicon) -> DataFrame
                     return v
             if len(known) > 512:
                 known.clear()
-            _, shingles, weights = vectors([text], words)
+            _, shingles, _, weights = vectors([text], words)
             known.setdefault(node, []).append((text, (shingles, weights)))
             return shingles, weights
 
@@ -265,6 +317,52 @@ def verified(pairs: DataFrame, texts: DataFrame, lexicon_: Lexicon) -> DataFrame
         run, "a long, b long, similar boolean")
 
 
+def weighed(texts: DataFrame, lexicon_: Lexicon) -> DataFrame:
+    """(node, class, total, shingle, weight): all shingles of each text of texts (node, class, text)."""
+    broadcast = texts.sparkSession.sparkContext.broadcast(lexicon_)
+
+    def run(batches):
+        words = Words(broadcast.value)
+        for batch in batches:
+            for part in slices(batch, 2, 1 << 20):
+                nodes, labels, own = (c.to_pylist() for c in part.columns)
+                counts, shingles, _, weights = vectors([t or "" for t in own], words)
+                held = [np.repeat(np.array(x, dtype=np.int64), counts) for x in (nodes, labels, range(len(nodes)))]
+                totals = np.bincount(held[2], weights, minlength=len(nodes))[held[2]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held[0]), pa.array(held[1]), pa.array(totals), pa.array(shingles.view(np.int64)),
+                     pa.array(weights.astype(np.float64))], names=["node", "class", "total", "shingle", "weight"])
+
+    return texts.select("node", "class", "text").mapInArrow(
+        run, "node long, class long, total double, shingle long, weight double")
+
+
+def prefix_pairs(texts: DataFrame, lexicon_: Lexicon) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that may be similar: an exact join by prefixes.
+
+    In an order of all shingles, the rarest among these texts first, a text's prefix ends where what
+    follows weighs less than SIMILARITY of its total.  Two texts of that similarity share more than
+    either's rest, so they share a shingle of both prefixes, and from the first one on neither's rest is too
+    small for what they share.  What only one text holds comes first and meets nothing: edited copies meet only if few edits are their own.
+    """
+    rows = cut(weighed(texts, lexicon_))
+    spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"))
+    along = Window.partitionBy("node").orderBy("texts", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("weight").over(along), F.lit(0.0))
+    first = rows.join(spread, "shingle").withColumn("before", before).filter(
+        # rounding must not end a prefix early
+        (F.col("before") <= (1 - SIMILARITY) * F.col("total") * (1 + 1e-6)) & (F.col("texts") > 1))
+    held = cut(first.select("node", "class", "total", "shingle", (F.col("total") - F.col("before")).alias("rest")))
+    several = held.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    a = held.join(several.select("shingle"), "shingle", "left_semi")
+    b = a.select("shingle", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("total").alias("total_b"), F.col("rest").alias("rest_b"))
+    # from the first shared shingle on, what follows in both must hold all that they share
+    needed = SIMILARITY / (1 + SIMILARITY) * (F.col("total") + F.col("total_b")) * (1 - 1e-6)
+    met = a.join(b, "shingle").filter((F.col("node") < F.col("b")) & (F.col("class") != F.col("class_b"))
+                                      & (F.least("rest", "rest_b") >= needed))
+    return met.select(F.col("node").alias("a"), "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, least): the least node of the component of each node of links (a, b).
 
@@ -336,9 +434,9 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
             met = held.join(drawn.select("band", "one"), "band").filter(F.col("class") != F.col("one")["class"]).select(
                 F.col("node").alias("a"), F.col("one")["node"].alias("b"))
         else:
-            open_ = held.join(drawn.select("band"), "band", "left_semi")
-            other = open_.select("band", F.col("node").alias("b"), F.col("class").alias("class_b"))
-            met = open_.join(other, "band").filter("node < b AND class <> class_b").select(F.col("node").alias("a"), "b")
+            # what is still apart although it meets in a bucket: the exact join of these texts
+            apart = held.join(drawn.select("band"), "band", "left_semi").select("node", "class").distinct()
+            met = prefix_pairs(texts.join(apart, "node"), lexicon_)
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
