@@ -27,7 +27,7 @@ def named(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
 
 
-def ranked(df: DataFrame, group: list[str], split: str, order: list[str], name: str) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], split: str, order: list, name: str) -> DataFrame:
     """df with name: the position of each row in its group from 0, without gaps, by split, then order.
 
     The columns of group and split must not hold nulls.  A group, however large, is numbered in as

@@ -158,8 +158,8 @@ def shard(df: DataFrame, size: Column, row_id: Column, dimensions: dict[str, Col
 
     keep should be narrow: its columns are written once to the checkpoint folder, from which all passes
     read.  Sizes must be positive for the bytes to be balanced.  A null size counts as 0, a null
-    dimension as -1 and a null id as 0.  Repeated rows share all coordinates and may share a shard;
-    among rows of one value a hash of id and coordinates decides.  An empty table gives no rows.
+    dimension as -1 and a null id as 0.  Among rows of one value a hash of id and coordinates decides, so
+    repeated rows fall into one shard; an empty table gives no rows.
     """
     names = {n: f"dim_{k}" for k, n in enumerate(dimensions)}
     packed = df.select(F.struct(*[F.col(c) for c in keep]).alias("kept"),

@@ -95,8 +95,12 @@ def passes(kind: str, value: Column) -> Column:
 
 def base(text: Column) -> Column:
     """Base spans by kind, then start: array of kind (its place in KINDS), start, end."""
+    return _matched(text, passes)
+
+
+def _matched(text: Column, check) -> Column:
     def of(k: int, kind: str) -> Column:
-        right = F.filter(found(text, BASE[kind]), lambda m: passes(kind, m["value"]))
+        right = F.filter(found(text, BASE[kind]), lambda m: check(kind, m["value"]))
         return F.transform(right, lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
     return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
@@ -237,15 +241,17 @@ def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision:
 
     Two thirds of the documents, by a hash of the id, fit the trees and the rest calibrates.  Counts per
     feature vector, at most 2 * VECTORS rows, reach the driver.  Without candidates of both labels the
-    model selects nothing.
+    model selects nothing.  A candidate that is part of a longer match which failed its check, such as
+    one of two numbers side by side, has no label.
     """
     own = docs.select(F.pmod(F.xxhash64(row_id), F.lit(3)).alias("fold"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     spans = own.select("fold", candidates(F.col("t")).alias("c"), "t").filter(F.size("c") > 0)
-    labelled = spans.select("fold", "c", base(F.col("t")).alias("b")).select("fold", F.explode(held(
-        F.col("b"), lambda b: F.transform("c", lambda c: F.struct(
-            *(c[n].alias(n) for n in LEVELS),
-            F.exists(b, lambda s: (s["kind"] == c["kind"]) & (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
-            .cast("long").alias("label"))))).alias("x"))
+    covers = lambda s, c: (s["kind"] == c["kind"]) & (s["start"] <= c["start"]) & (c["end"] <= s["end"])
+    failed = _matched(F.col("t"), lambda kind, value: ~passes(kind, value))
+    labelled = spans.select("fold", "c", base(F.col("t")).alias("b"), failed.alias("f")).select("fold", F.explode(F.transform(
+        F.filter("c", lambda c: ~F.exists("f", lambda s: covers(s, c) & (s["end"] - s["start"] > c["end"] - c["start"]))),
+        lambda c: F.struct(*(c[n].alias(n) for n in LEVELS),
+                           F.exists("b", lambda s: covers(s, c)).cast("long").alias("label")))).alias("x"))
     counts = labelled.groupBy("fold", *(F.col("x")[n].alias(n) for n in LEVELS)).agg(
         F.sum(F.col("x")["label"]).alias("yes"), F.count(F.lit(1)).alias("n"))
     rows = sorted(counts.collect())
