@@ -86,11 +86,13 @@ def velocities(points: DataFrame, back: int = 3) -> DataFrame:
 
 
 def tail_speeds(points: DataFrame, tail: int = 5, slump: float = 0.4) -> DataFrame:
-    """The speed of each point over its last steps, the speed over the last `tail` points, and the trusted
-    one: the tail's where the current one has slumped below a share of it."""
-    rows = points.select("*", *(F.lag(c, k).over(ORDER).alias(f"{c}{k}") for k in (1, tail - 1) for c in ("x", "y", "frame")))
-    speed = lambda k: distance("x", "y", f"x{k}", f"y{k}") / (F.col("frame") - F.col(f"frame{k}"))
-    rows = rows.withColumn("now", speed(1)).withColumn("tail", speed(tail - 1)).filter("now IS NOT NULL")
+    """The current speed of each point (see velocities), the speed over its last `tail` points or all there
+    are, and the trusted one: the tail's where the current one has slumped below a share of it."""
+    first = Window.partitionBy("track").orderBy("frame").rowsBetween(-(tail - 1), 0)
+    rows = points.select("track", "frame", "x", "y", *(F.first(c).over(first).alias(f"{c}0") for c in ("x", "y", "frame")))
+    rows = rows.filter("frame > frame0").join(velocities(points), ["track", "frame"])
+    rows = rows.withColumn("now", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).withColumn(
+        "tail", distance("x", "y", "x0", "y0") / (F.col("frame") - F.col("frame0")))
     trusted = F.when(F.col("now") < slump * F.col("tail"), F.col("tail")).otherwise(F.col("now"))
     return rows.select("track", "frame", F.round("now", 6).alias("now"), F.round("tail", 6).alias("tail"), F.round(trusted, 6).alias("trusted"))
 

@@ -52,6 +52,13 @@ def _edge(t):
     return t("detections").select("det_idx", (tracks.edge_distance(1440, 1080) < 30).alias("at_edge"))
 
 
+VELOCITY = """
+        SELECT track, frame, round((x - ox) / (frame - o), 6) AS vx, round((y - oy) / (frame - o), 6) AS vy FROM (
+          SELECT a.track, a.frame, a.x, a.y, o, c.x AS ox, c.y AS oy FROM (
+            SELECT a.*, coalesce((SELECT max(b.frame) FROM track_points b WHERE b.track = a.track AND b.frame <= a.frame - 3),
+                                 lag(frame) OVER (PARTITION BY track ORDER BY frame)) AS o FROM track_points a) a
+          JOIN track_points c ON c.track = a.track AND c.frame = a.o) d"""
+
 QUERIES = {
     "w10_path_length": (lambda t: tracks.path_lengths(_points(t)), PATHS),
     "w11_chord": (lambda t: tracks.chords(_points(t)), CHORDS),
@@ -71,18 +78,13 @@ QUERIES = {
     "w16_trails": (lambda t: tracks.trails(_points(t), 10), """
         SELECT track, frame, coalesce((SELECT string_agg(CAST(floor(b.x) AS BIGINT) || ',' || CAST(floor(b.y) AS BIGINT), ' ' ORDER BY b.frame)
           FROM track_points b WHERE b.track = a.track AND b.frame BETWEEN a.frame - 10 AND a.frame - 1), '') AS trail FROM track_points a"""),
-    "w18_velocity": (lambda t: tracks.velocities(_points(t)), """
-        SELECT track, frame, round((x - ox) / (frame - o), 6) AS vx, round((y - oy) / (frame - o), 6) AS vy FROM (
-          SELECT a.track, a.frame, a.x, a.y, o, c.x AS ox, c.y AS oy FROM (
-            SELECT a.*, coalesce((SELECT max(b.frame) FROM track_points b WHERE b.track = a.track AND b.frame <= a.frame - 3),
-                                 lag(frame) OVER (PARTITION BY track ORDER BY frame)) AS o FROM track_points a) a
-          JOIN track_points c ON c.track = a.track AND c.frame = a.o) d"""),
-    "w19_tail_speed": (lambda t: tracks.tail_speeds(_points(t)), """
+    "w18_velocity": (lambda t: tracks.velocities(_points(t)), VELOCITY),
+    "w19_tail_speed": (lambda t: tracks.tail_speeds(_points(t)), f"""
         SELECT track, frame, round(now, 6) AS now, round(tail, 6) AS tail, round(CASE WHEN now < 0.4 * tail THEN tail ELSE now END, 6) AS trusted FROM (
-          SELECT track, frame, sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)) / (frame - f1) AS now,
-                 sqrt((x - x4) * (x - x4) + (y - y4) * (y - y4)) / (frame - f4) AS tail FROM (
-            SELECT *, lag(x) OVER w AS x1, lag(y) OVER w AS y1, lag(frame) OVER w AS f1, lag(x, 4) OVER w AS x4, lag(y, 4) OVER w AS y4, lag(frame, 4) OVER w AS f4
-            FROM track_points WINDOW w AS (PARTITION BY track ORDER BY frame)) a) b WHERE now IS NOT NULL"""),
+          SELECT a.track, a.frame, sqrt(vx * vx + vy * vy) AS now, sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) / (a.frame - f0) AS tail FROM (
+            SELECT *, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0, first_value(frame) OVER w AS f0
+            FROM track_points WINDOW w AS (PARTITION BY track ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) a
+          JOIN ({VELOCITY}) v ON v.track = a.track AND v.frame = a.frame) b"""),
     "w20_end_velocities": (lambda t: tracks.end_velocities(_points(t)), "SELECT track, " + ", ".join(
         f"CASE WHEN {s}f1 > {s}f0 THEN round(({s}{c}1 - {s}{c}0) / ({s}f1 - {s}f0), 6) END AS {s}_v{c}" for s in ("head", "tail") for c in "xy") + """
         FROM (SELECT track, """ + ", ".join(
