@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import intervals, ledger, planes, rendering, tracking, tracks
+from trackloom.functions import keys
+from trackloom.operators import generation, intervals, ledger, planes, rendering, tracking, tracks
 from trackloom.plans.adapters import oracle
 from trackloom.plans.time_queries import DAMAGE, _damaged, union_sql
 
@@ -89,6 +90,8 @@ QUERIES = {
           SELECT track, k, CAST(sum(CASE WHEN k = 0 THEN 0 WHEN (k + track % 3) % 3 = 0 THEN 2 ELSE 1 END) OVER w AS DOUBLE)
                  / sum(CASE WHEN k = 0 THEN 0 WHEN (k + track % 3) % 3 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY track) AS p
           FROM (SELECT track, unnest(range(0, track % 20 + 5)) AS k FROM (SELECT DISTINCT track FROM scene_points) s) a WINDOW w AS (PARTITION BY track ORDER BY k ROWS UNBOUNDED PRECEDING)) b"""),
+    "d04_targets": (lambda t: generation.targets(t("scene_points"), [("pass", 20.0, 1.5), ("hunt", 20.0, 1.5), ("circle", 10.0, 3.0)], 5, 1), None),
+    "f10_name_keys": (lambda t: t("customer").select("c_custkey", keys.name_key("c_name").alias("key")), "SELECT c_custkey, lower(nfc_normalize(c_name)) AS key FROM customer"),
     "s01_tracks": (_tracks, None),
     "s01_kept_tracks": (lambda t: tracks.kept(_tracks(t), most_turn=3.2), None),
 }
