@@ -5,16 +5,19 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Offset and prime of 64-bit FNV-1a.
 OFFSET, PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, 2**64 - 1
 
 
-@F.pandas_udf("string")
-def name_key(names: pd.Series) -> pd.Series:
+def name_key(name: Column | str) -> Column:
     """A name in normal form C and lower case: names that a file system may hold to be the same are equal."""
-    return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n).lower())
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n).lower())
+
+    return F.pandas_udf(run, "string")(name)
 
 
 def _step(state: int, word: int) -> int:
@@ -38,7 +41,9 @@ def plane_key(width: int, height: int, pixels: bytes) -> int:
     return _mixed(state, pixels)
 
 
-@F.pandas_udf("string")
-def plane_keys(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.Series:
+def plane_keys(width: Column | str, height: Column | str, pixels: Column | str) -> Column:
     """plane_key as 16 hexadecimal digits."""
-    return pd.Series([None if p is None else f"{plane_key(int(w), int(h), bytes(p)):016x}" for w, h, p in zip(width, height, pixels)])
+    def run(w: pd.Series, h: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else f"{plane_key(int(i), int(j), bytes(x)):016x}" for i, j, x in zip(w, h, p)])
+
+    return F.pandas_udf(run, "string")(width, height, pixels)
