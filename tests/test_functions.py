@@ -42,3 +42,18 @@ def test_plane_keys_tell_planes_apart(spark):
         state = keys._step(state, 4)
     assert keys._step(keys._step(state, int.from_bytes(bytes(range(8)), "little")), 8) == keys.plane_key(2, 4, bytes(range(8)))
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_entry_is_read_without_a_session_and_without_the_optional_parts(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "trackloom", tmp_path / "trackloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(k.startswith('op') for k in q); print(len(q), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert int(out.stdout.split()[0]) > 100

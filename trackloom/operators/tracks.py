@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("track").orderBy("frame")
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-EVERY = Window.partitionBy("track")
+def order():
+    """The points of a track in order of frames."""
+    return Window.partitionBy("track").orderBy("frame")
 
 
 def distance(ax, ay, bx, by) -> Column:
@@ -19,7 +19,7 @@ def distance(ax, ay, bx, by) -> Column:
 
 def stepped(points: DataFrame) -> DataFrame:
     """points with the step from the point before: dx, dy, df (null at the first)."""
-    return points.select("*", *((F.col(c) - F.lag(c).over(ORDER)).alias(n) for c, n in (("x", "dx"), ("y", "dy"), ("frame", "df"))))
+    return points.select("*", *((F.col(c) - F.lag(c).over(order())).alias(n) for c, n in (("x", "dx"), ("y", "dy"), ("frame", "df"))))
 
 
 def path_lengths(points: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def chords(points: DataFrame) -> DataFrame:
 def median_turns(points: DataFrame) -> DataFrame:
     """The median of the absolute turns between non-zero steps, between -pi and pi; 0 if there are none."""
     moved = stepped(points).filter("dx <> 0 OR dy <> 0").withColumn("heading", F.atan2("dy", "dx"))
-    turn = F.col("heading") - F.lag("heading").over(ORDER)
+    turn = F.col("heading") - F.lag("heading").over(order())
     turns = moved.select("track", F.abs(F.pmod(turn + math.pi, F.lit(2 * math.pi)) - math.pi).alias("turn"))
     medians = turns.groupBy("track").agg(F.percentile("turn", F.lit(0.5)).alias("turn"))
     return points.select("track").distinct().join(medians, "track", "left").select(
@@ -46,7 +46,7 @@ def median_turns(points: DataFrame) -> DataFrame:
 def filled(points: DataFrame) -> DataFrame:
     """points with those between, interpolated along straight lines; amplitude 0 and interpolated true there."""
     fields = ["x", "y", "width", "height"]
-    ahead = points.select("track", "frame", "amplitude", *fields, *(F.lead(c).over(ORDER).alias(f"n_{c}") for c in ["frame", *fields]))
+    ahead = points.select("track", "frame", "amplitude", *fields, *(F.lead(c).over(order()).alias(f"n_{c}") for c in ["frame", *fields]))
     steps = F.coalesce(F.col("n_frame") - F.col("frame"), F.lit(1))
     spread = ahead.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1))).withColumn("steps", steps)
     at = lambda c: F.when(F.col("k") == 0, F.col(c)).otherwise(
@@ -62,7 +62,7 @@ def filled_counts(points: DataFrame) -> DataFrame:
 
 def clamped(points: DataFrame, times: float = 4.0) -> DataFrame:
     """Boxes no wider or higher than so many times the track's median, about the same centre."""
-    rows = points.select("*", *((times * F.percentile(c, F.lit(0.5)).over(EVERY)).alias(f"most_{c}") for c in ("width", "height")))
+    rows = points.select("*", *((times * F.percentile(c, F.lit(0.5)).over(Window.partitionBy("track"))).alias(f"most_{c}") for c in ("width", "height")))
     return rows.select("track", "frame", *(F.least(F.col(c), F.col(f"most_{c}")).alias(c) for c in ("width", "height")),
                        (F.col("x") - F.least("width", "most_width") / 2).alias("left"), (F.col("y") - F.least("height", "most_height") / 2).alias("top"))
 
@@ -99,7 +99,7 @@ def tail_speeds(points: DataFrame, tail: int = 5, slump: float = 0.4) -> DataFra
 
 def end_velocities(points: DataFrame, most: int = 5) -> DataFrame:
     """Velocities over the first and over the last points of a track, at most so many; null for one point."""
-    rows = points.withColumn("head", F.row_number().over(ORDER)).withColumn("tail", F.row_number().over(
+    rows = points.withColumn("head", F.row_number().over(order())).withColumn("tail", F.row_number().over(
         Window.partitionBy("track").orderBy(F.desc("frame"))))
     point = F.struct("frame", "x", "y")
     ends = rows.groupBy("track").agg(*(f(F.when(F.col(side) <= most, point)).alias(f"{side}_{n}")
@@ -126,7 +126,7 @@ def parts(tracks: DataFrame, keys: list[str], order: list[str], most: int = 20)
 
 def arc_lengths(points: DataFrame) -> DataFrame:
     """The length of the path up to each point."""
-    along = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    along = order().rowsBetween(Window.unboundedPreceding, 0)
     step = F.coalesce(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), F.lit(0.0))
     return stepped(points).select("track", "frame", F.round(F.sum(step).over(along), 6).alias("length"))
 
@@ -134,7 +134,7 @@ def arc_lengths(points: DataFrame) -> DataFrame:
 def resampled(points: DataFrame, step: float) -> DataFrame:
     """Points every so many pixels along each path."""
     lengths = arc_lengths(points).join(points.select("track", "frame", "x", "y"), ["track", "frame"])
-    ahead = lengths.select("*", *(F.lead(c).over(ORDER).alias(f"n_{c}") for c in ("length", "x", "y"))).filter("n_length > length")
+    ahead = lengths.select("*", *(F.lead(c).over(order()).alias(f"n_{c}") for c in ("length", "x", "y"))).filter("n_length > length")
     first, last = F.ceil(F.col("length") / step), F.ceil(F.col("n_length") / step) - 1
     spread = ahead.filter(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
     share = (F.col("k") * step - F.col("length")) / (F.col("n_length") - F.col("length"))
@@ -205,7 +205,7 @@ def clock(seconds: Column) -> Column:
 def prediction_error(points: DataFrame) -> DataFrame:
     """How far each point is from where the step before it led, with the reach that a gate grants there."""
     rows = stepped(points)
-    rows = rows.select("*", *(F.lag(c).over(ORDER).alias(f"p_{c}") for c in ("x", "y", "dx", "dy", "df"))).filter("p_df IS NOT NULL")
+    rows = rows.select("*", *(F.lag(c).over(order()).alias(f"p_{c}") for c in ("x", "y", "dx", "dy", "df"))).filter("p_df IS NOT NULL")
     ahead = lambda c: F.col(f"p_{c}") + F.col(f"p_d{c}") / F.col("p_df") * F.col("df")
     rows = rows.withColumn("ax", ahead("x")).withColumn("ay", ahead("y"))
     travel = F.sqrt(F.col("p_dx") * F.col("p_dx") + F.col("p_dy") * F.col("p_dy")) / F.col("p_df") * F.col("df")
