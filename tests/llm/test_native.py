@@ -96,6 +96,13 @@ def test_one_value_may_hold_all_rows(spark):
     assert len(out) == 8 and max(r["n"] for r in out) - min(r["n"] for r in out) <= 40
 
 
+def test_target_bytes_set_the_depth(spark):
+    df = spark.range(1000).select(F.col("id"), F.lit(10).alias("bytes"))
+    for target, leaves in ((10_000, 1), (9_999, 2), (2_500, 4), (2_000, 8)):
+        out = kd_shards.shard(df, F.col("bytes"), F.col("id"), {"id": F.col("id")}, None, ["id"], target_bytes=target)
+        assert out.select("shard").distinct().count() == leaves
+
+
 def test_splits_are_weighted_medians(spark):
     draw = random.Random(4)
     rows = [(draw.choice([1, 3, 9]), draw.randrange(1 << 20), draw.randrange(50), draw.randrange(10 ** 12)) for _ in range(2000)]

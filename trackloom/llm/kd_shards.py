@@ -152,11 +152,11 @@ def tree(rows: DataFrame, dimensions: list[str], leaves: int, tolerance: float =
     return (place(splits, 1, depth) - leaves).cast("int"), splits
 
 
-def shard(df: DataFrame, size: Column, row_id: Column, dimensions: dict[str, Column], leaves: int = 16,
-          keep: list[str] = (), splits: int = 64) -> DataFrame:
+def shard(df: DataFrame, size: Column, row_id: Column, dimensions: dict[str, Column], leaves: int | None = 16,
+          keep: list[str] = (), splits: int = 64, target_bytes: int | None = None) -> DataFrame:
     """The columns of keep with size, shard (0 to leaves - 1) and slot (from 0 in the shard, without gaps).
 
-    keep should be narrow: its columns are written once to the checkpoint folder, from which all passes
+    With target_bytes instead of leaves, nodes are split until none holds more than that.  keep should be narrow: its columns are written once to the checkpoint folder, from which all passes
     read.  Sizes must be positive for the bytes to be balanced.  A null size counts as 0, a null
     dimension as -1 and a null id as 0.  Among rows of one value a hash of id and coordinates decides, so
     repeated rows fall into one shard; an empty table gives no rows.
@@ -169,6 +169,9 @@ def shard(df: DataFrame, size: Column, row_id: Column, dimensions: dict[str, Col
     # the upper half of a 64-bit hash: at every size ties are broken evenly
     tie = F.shiftrightunsigned(F.xxhash64("id", *names.values()), 33)
     rows = cut(packed.withColumn("tie", tie))
+    if target_bytes is not None:
+        total = rows.agg(F.sum("size")).first()[0] or 0
+        leaves = 1 << max(0, (-(-total // target_bytes) - 1).bit_length())
     leaf, _ = tree(rows, list(names.values()), leaves)
     placed = rows.select("kept", "size", "id", "tie", leaf.alias("shard"),
                          F.pmod(F.col("tie"), F.lit(splits)).alias("split"))

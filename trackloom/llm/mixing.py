@@ -52,8 +52,7 @@ def targets(sizes: DataFrame, source: str, size: str, cycle: tuple[int, ...] = (
 def size_class(size: Column) -> Column:
     """Classes of like sizes: the binary length and the three digits after the first."""
     digits = F.length(F.bin(size))
-    return digits * 8 + F.expr("0") + F.call_function(
-        "shiftright", size, F.greatest(digits - 4, F.lit(0))).bitwiseAND(7)
+    return digits * 8 + F.call_function("shiftright", size, F.greatest(digits - 4, F.lit(0))).bitwiseAND(7)
 
 
 def mix(df: DataFrame, source: str, size: Column, row_id: str, seed: int = 0, splits: int = 64,
