@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from trackloom.llm.pretokens import in_groups, split
+from trackloom.llm.workers import releasing
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 120_000
 CACHED_BYTES = 64
 
 
@@ -144,6 +145,7 @@ def _appended(df: DataFrame, text: str, ranks: dict[bytes, int], added: list[tup
     arrow = [pa.int64() if isinstance(k, T.LongType) else pa.string() if isinstance(k, T.StringType)
              else pa.list_(pa.int32()) if isinstance(k, T.ArrayType) else pa.binary() for _, k in added]
 
+    @releasing
     def run(batches):
         codec = _codec(key, broadcast)
         for batch in batches:
@@ -153,11 +155,13 @@ def _appended(df: DataFrame, text: str, ranks: dict[bytes, int], added: list[tup
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, *(pa.array(c, type=t) for c, t in zip(columns, arrow))],
                     names=[f.name for f in schema.fields])
+        # the next task starts with an empty cache, which fills at once; an idle worker holds none
+        codec.cache.clear()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, place: int, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, place: int, most: int = 2 << 20):
     """Parts of a batch of about so many bytes of text; bounds what a worker holds."""
     sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
     first, size = 0, 0
@@ -186,6 +190,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> Da
     key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     place = df.columns.index(ids)
 
+    @releasing
     def run(batches):
         codec = _codec(key, broadcast)
         for batch in batches:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from trackloom.llm.byte_bpe import slices
 from trackloom.llm.frames import fresh
 from trackloom.llm.pretokens import in_groups
+from trackloom.llm.workers import releasing
 
 #: Bounds of what reaches the driver: labelled rows and rows of the pool, by the smallest hashes of their ids.
 LABELLED, POOL = 12_000, 12_000
@@ -98,16 +99,22 @@ def meta_features(sources: list[str | None], langs: list[str | None], lengths: l
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
     """Weights (the last one the bias) of ridge logistic regression, by Newton steps."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-3
+    x = np.ascontiguousarray(x, dtype=np.float32)
+    d = x.shape[1]
+    w, h = np.zeros(d + 1), np.empty((d + 1, d + 1))
+    penalty = np.full(d + 1, ridge)
+    penalty[d] = 1e-3
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
+        p = sigmoid((x @ w[:d].astype(np.float32)).astype(np.float64) + w[d])
+        v = np.maximum(p * (1 - p), 1e-6).astype(np.float32)
+        scaled = x * v[:, None]
+        h[:d, :d] = scaled.T @ x
+        h[d, :d] = h[:d, d] = scaled.sum(axis=0, dtype=np.float64)
+        h[d, d] = v.sum(dtype=np.float64)
+        slope = np.append((y - p).astype(np.float32) @ x, (y - p).sum()) - penalty * w
+        step = np.linalg.solve(h + np.diag(penalty), slope)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -126,7 +133,8 @@ class View:
     shift: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.slope * (x[:, self.used] @ self.weights[:-1] + self.weights[-1]) + self.shift
+        part = x[:, self.used].astype(np.float32) @ self.weights[:-1].astype(np.float32)
+        return self.slope * (part.astype(np.float64) + self.weights[-1]) + self.shift
 
 
 def fitted(x: np.ndarray, y: np.ndarray, held: np.ndarray, truth: np.ndarray) -> View:
@@ -218,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     chosen = F.broadcast(known.unionByName(others))
     sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, "doc_id")
 
+    @releasing
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
@@ -239,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 
 def _matrix(rows: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), dtype=np.float16).reshape(-1, width).astype(np.float32)
+    return np.frombuffer(b"".join(rows), dtype=np.float16).reshape(-1, width)
 
 
 def score(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -253,6 +262,7 @@ def score(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                            T.StructField(names[3], T.BooleanType())])
     places = [df.columns.index(c) for c in ("text", "source", "lang", "n_chars")]
 
+    @releasing
     def run(batches):
         for batch in batches:
             for part in slices(batch, places[0], 2 << 20):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from trackloom.llm.byte_bpe import free_name, slices
+from trackloom.llm.workers import releasing
 
 # Tag numbers, compression schemes and field types of the format.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -351,6 +352,7 @@ def read_pages(df: DataFrame, media: str, keys: list[str]) -> DataFrame:
         except (TiffError, struct.error) as e:
             yield k, None, None, None, None, str(e)
 
+    @releasing
     def run(batches):
         kinds = [pa.int32()] * 4 + [pa.binary(), pa.string()]
         for batch in batches:
@@ -411,6 +413,7 @@ def stored_texts(df: DataFrame, text: str = "text", media: str = "media") -> Dat
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
     place = df.columns.index(text)
 
+    @releasing
     def run(batches):
         for batch in batches:
             for part in slices(batch, place):
@@ -437,6 +440,7 @@ def digests(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
         return (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
                 len(media), hashlib.sha256(media).hexdigest(), feature(pages))
 
+    @releasing
     def run(batches):
         for batch in batches:
             for part in slices(batch, len(keys)):

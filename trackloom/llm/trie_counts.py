@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from trackloom.llm.byte_bpe import free_name, slices
 from trackloom.llm.pretokens import in_groups, split
+from trackloom.llm.workers import releasing
 
 #: A worker's trie starts anew beyond so many nodes; counts do not depend on what it holds.
 TRIE_NODES = 600_000
@@ -135,6 +136,7 @@ def count_tokens(df: DataFrame, scores: dict[bytes, float], text: str = "text")
     key = hash(frozenset(scores.items()))
     place = df.columns.index(text)
 
+    @releasing
     def run(batches):
         if key not in _counters:
             _counters.clear()

@@ -15,6 +15,7 @@ classes is lost and no group is compared pair by pair.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from functools import cache
 from itertools import chain
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.byte_bpe import slices
 from trackloom.llm.frames import cut
 from trackloom.llm.pretokens import in_groups
+from trackloom.llm.workers import releasing
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair is missed with a probability of (1 - 0.8^4)^20, 3 in 100,000.
@@ -37,7 +39,7 @@ RARE = 4096
 ROUNDS = 3
 #: Tables of ids are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
-TASK_WORDS = 300_000
+TASK_WORDS = 150_000
 #: Code points of texts that are signed together: their arrays stay in a core's cache.
 GROUP = 500_000
 
@@ -232,8 +234,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def frequencies(docs: DataFrame, text: str) -> DataFrame:
     """(word, documents): in how many rows each word occurs, by word hash; counted per task before the shuffle."""
+    @releasing
     def run(batches):
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
 
         def rows():
             hashed = np.fromiter(map(word_hash, counts), dtype=np.uint64, count=len(counts)).view(np.int64)
@@ -244,8 +247,7 @@ def frequencies(docs: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                for word in set((value or "").lower().split()):
-                    counts[word] = counts.get(word, 0) + 1
+                counts.update(set((value or "").lower().split()))
                 if len(counts) > TASK_WORDS:
                     yield rows()
         yield rows()
@@ -266,6 +268,7 @@ def signed(docs: DataFrame, lexicon_: Lexicon, row_id: str, text: str) -> DataFr
     """(node, digest, bands) per row: a narrow pass.  Texts without words have one digest and no bands."""
     broadcast = docs.sparkSession.sparkContext.broadcast(lexicon_)
 
+    @releasing
     def run(batches):
         words = Words(broadcast.value)
         for batch in batches:
@@ -292,6 +295,7 @@ def verified(pairs: DataFrame, texts: DataFrame, lexicon_: Lexicon) -> DataFrame
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
 
+    @releasing
     def run(batches):
         words = Words(broadcast.value)
         known: dict[int, list] = {}
@@ -321,6 +325,7 @@ def weighed(texts: DataFrame, lexicon_: Lexicon) -> DataFrame:
     """(node, class, total, shingle, weight): all shingles of each text of texts (node, class, text)."""
     broadcast = texts.sparkSession.sparkContext.broadcast(lexicon_)
 
+    @releasing
     def run(batches):
         words = Words(broadcast.value)
         for batch in batches:
