@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import byte_bpe, cotraining, kd_shards, mixing, one_permutation, personal_data, reply_trees, tiff, trie_counts, weighted_minhash
+from trackloom.llm.frames import cut
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -38,7 +39,8 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    # words are counted once; ranks and sums then read three narrow columns
+    docs = cut(documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("size")))
     mixed = mixing.mix(docs, "source", F.col("size"), "doc_id")
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"),
                         F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"))
