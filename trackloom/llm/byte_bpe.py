@@ -72,19 +72,22 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encodes and decodes by one set of ranks; the cache is cleared when it holds CACHE_PIECES pieces."""
+    """Encodes and decodes by one set of ranks.  A full cache becomes the older one, from which pieces that are
+    met again come back: frequent ones outlive any number of rare ones."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def ids_of(self, piece: bytes) -> tuple[int, ...]:
         ids = self.cache.get(piece)
         if ids is None:
-            ids = tuple(merge_piece(piece, self.ranks))
+            ids = self.older.get(piece) or tuple(merge_piece(piece, self.ranks))
             if len(piece) <= CACHED_BYTES:
                 if len(self.cache) >= CACHE_PIECES:
+                    self.older = dict(self.cache)
                     self.cache.clear()
                 self.cache[piece] = ids
         return ids
@@ -157,6 +160,7 @@ def _appended(df: DataFrame, text: str, ranks: dict[bytes, int], added: list[tup
                     names=[f.name for f in schema.fields])
         # the next task starts with an empty cache, which fills at once; an idle worker holds none
         codec.cache.clear()
+        codec.older.clear()
 
     return df.mapInArrow(run, schema)
 

@@ -211,7 +211,7 @@ def split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return joined.encode("utf-8", "surrogatepass"), cuts, counts
 
 
-def in_groups(texts: list[str], most: int = 1 << 20):
+def in_groups(texts: list[str], most: int = 1 << 18):
     """Ranges of consecutive texts of about so many code points in all; a longer text stands alone."""
     first, size = 0, 0
     for i, text in enumerate(texts):
