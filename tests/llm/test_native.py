@@ -178,6 +178,25 @@ def test_method_adds_spans_and_leaves_clean_texts(spark):
     assert clean[1000] == "two cards [CARD] [CARD] here" and clean[1001] is None and clean[1003] == "nothing at all" and clean[3] == "some words [CARD] and more"
 
 
+def test_forms_that_base_lacks_are_returned(spark):
+    forms = {
+        "email": ["ann{0} (at) mail{0} (dot) com", "bob{0}[at]site{0}[dot]org", "joe{0} @host{0}.com"],
+        "ip": ["10[.]{1}[.]3[.]{1}", "10(.){1}(.)3(.)7"],
+        "phone": ["555-{2}-4567", "(555) {2}-4567"],
+    }
+    leads = {"email": "write to ", "ip": "seen from ", "phone": "please call "}
+    rows = [(kind, f"{leads[kind]}", form.format(k, k % 256, 100 + k % 900)) for k in range(300) for kind in forms for form in forms[kind]]
+    rows += [("email", "write to ", f"x{k}@plain.example.com") for k in range(300)] + [("phone", "ring ", f"+1 (555) {100 + k}-4567") for k in range(300)]
+    clean = [f"table {2000 + k} 300-{100 + k}-4567 row" for k in range(300)] + [f"see you @ home{k}. Then we go" for k in range(300)]
+    clean += [f"build 300[.]{300 + k}[.]1[.]2 done" for k in range(300)]
+    docs = [(k, lead + span + ". Then more", f"{kind}:{len(lead)}:{len(lead + span)}") for k, (kind, lead, span) in enumerate(rows)]
+    docs += [(len(docs) + k, t, "") for k, t in enumerate(clean)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, expected string")
+    models = personal_data.fit(df)
+    out = df.select("text", "expected", personal_data.listed(personal_data.spans(F.col("text"), models)).alias("s")).collect()
+    assert [(r["text"], r["s"]) for r in out if r["s"] != r["expected"]] == []
+
+
 def test_no_candidates_no_model(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert personal_data.fit(df).threshold == float("inf")

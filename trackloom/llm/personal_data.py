@@ -1,9 +1,10 @@
 """Personal data: candidate spans, boosted trees over their format and context, calibrated selection.
 
 DataFrame functions only.  Base patterns with their checks are always taken.  High-recall generators
-propose further spans, which may overlap; gradient-boosted trees score them by features that are
-small integers, so that the labelled candidates of a whole corpus reduce to counts per feature vector
-(at most VECTORS of them), on which the trees are fitted; they are then evaluated as expressions.
+propose further spans, which may overlap; those in a form that no base pattern has are labelled by
+their own check.  Gradient-boosted trees of each kind score them by features that are small integers,
+so that the labelled candidates of a whole corpus reduce to counts per feature vector (at most VECTORS
+of them), on which the trees are fitted; they are then evaluated as expressions.
 """
 
 from __future__ import annotations
@@ -25,18 +26,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Endings that may stand apart from their dot; after other blanks a dot ends a sentence.
+ENDINGS = "com|net|org|edu|gov|mil|info|biz"
 GENERATORS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}"
-              r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,64}){1,8}"),
+              rf"(?:(?:\x20?\.\x20?(?=(?:{ENDINGS})(?![A-Za-z0-9-]))|\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{{1,64}}){{1,8}}"),
     ("ip", r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4,7}(?![0-9])"),
-    ("phone", r"(?<![0-9])(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"),
+    ("phone", r"(?<![0-9])(?:(?:\+|00)?[0-9]{1,3}[\x20.-]?|\+)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"),
 ]
 CONTEXT = 24
 CUES = r"(?i)mail|contact|tel|phone|call|fax|mobile|card|visa|iban|host|server|addr"
+PHONE_CUES = r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|cell|contact|dial|sms|whatsapp)\b"
 
 #: Levels of each feature; their product bounds the vectors that reach the driver.
-LEVELS = {"kind": 4, "digits": 8, "marks": 5, "checked": 2, "before": 4, "after": 4, "cue": 2}
+LEVELS = {"kind": 4, "digits": 8, "marks": 5, "checked": 2, "before": 4, "after": 4, "cue": 3}
 VECTORS = math.prod(LEVELS.values())
 
 
@@ -115,20 +119,29 @@ def features(kind: int, m: Column) -> dict[str, Column]:
              .when(m["value"].rlike(r"\x20"), 2).when(m["value"].rlike(r"[-()]"), 3).otherwise(0))
     side = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[0-9.@+-]"), 3).otherwise(2)
     checked = {"ip": lambda: quads(m["value"]), "card": lambda: luhn(number), "phone": lambda: n.between(8, 15),
-               "email": lambda: m["value"].rlike(r"\.[A-Za-z]{2,}$")}[KINDS[kind]]()
+               "email": lambda: m["value"].rlike(r"(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,}$") & (
+                   ~m["value"].contains(" ") | m["value"].rlike(rf"[\[(](?:at|dot)[\])]|\.\x20?(?:{ENDINGS}|[a-z]{{2}})$"))}[KINDS[kind]]()
     return {"kind": F.lit(kind), "digits": size, "marks": marks, "checked": checked.cast("int"),
             "before": side(F.right(m["before"], F.lit(1))), "after": side(F.left(m["after"], F.lit(1))),
-            "cue": m["before"].rlike(CUES).cast("int")}
+            "cue": F.when(m["before"].rlike(PHONE_CUES), 2 if KINDS[kind] == "phone" else 1)
+                   .when(m["before"].rlike(CUES), 1).otherwise(0)}
 
 
-def candidates(text: Column) -> Column:
-    """Spans of all generators: array of start, end and features; they may overlap."""
+def sound(c: Column) -> Column:
+    """The own check of a candidate, by its features: a plausible ending, octets, the Luhn check of 16 digits
+    or more, 8 to 15 digits after a word such as tel."""
+    return (c["checked"] == 1) & F.when(c["kind"] == KINDS.index("card"), c["digits"] >= 6).when(
+        c["kind"] == KINDS.index("phone"), c["cue"] == 2).otherwise(True)
+
+
+def candidates(text: Column, kinds: list[str] = KINDS) -> Column:
+    """Spans of the generators of some kinds: array of start, end and features; they may overlap."""
     def of(kind: str, pattern: str) -> Column:
         return F.transform(found(text, pattern), lambda m: F.struct(
             m["start"].alias("start"), m["end"].alias("end"),
             *(f.alias(n) for n, f in features(KINDS.index(kind), m).items())))
 
-    return F.concat(*(of(kind, pattern) for kind, pattern in GENERATORS))
+    return F.concat(*(of(kind, pattern) for kind, pattern in GENERATORS if kind in kinds))
 
 
 @dataclass(frozen=True)
@@ -166,6 +179,17 @@ class Model:
         return total
 
 
+@dataclass(frozen=True)
+class Models:
+    """A model for each of KINDS; its threshold is the lowest of theirs."""
+
+    kinds: tuple[Model, ...]
+
+    @property
+    def threshold(self) -> float:
+        return min(m.threshold for m in self.kinds)
+
+
 def _leaf(rows: list, l2: float = 1.0) -> tuple[float, float]:
     """Newton step and gain of a leaf; rows: (vector, weight, label share, probability)."""
     g = sum(w * (y - p) for _, w, y, p in rows)
@@ -236,46 +260,54 @@ def overlaps(span: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (span["start"] < b["end"]) & (b["start"] < span["end"]))
 
 
-def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision: float = 0.98, least: int = 20) -> Model:
-    """A model for the candidates of all docs, labelled by whether a base span of their kind covers them.
+def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision: float = 0.98, least: int = 20) -> Models:
+    """Models for the candidates of all docs: positive if a base span of their kind covers them, else by their own check.
 
-    Two thirds of the documents, by a hash of the id, fit the trees and the rest calibrates.  Counts per
-    feature vector, at most 2 * VECTORS rows, reach the driver.  Without candidates of both labels the
-    model selects nothing.  A candidate that is part of a longer match which failed its check, such as
-    one of two numbers side by side, has no label.
+    Two thirds of the documents, by a hash of the id, fit the trees and the rest calibrates, each kind
+    by itself.  Counts per feature vector, at most 2 * VECTORS rows, reach the driver.  A kind without
+    positive candidates selects nothing.  A candidate that overlaps a base span without being covered
+    cannot be selected and has no label, nor has one that is part of a longer match which failed its
+    check, such as one of two numbers side by side.
     """
     own = docs.select(F.pmod(F.xxhash64(row_id), F.lit(3)).alias("fold"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     spans = own.select("fold", candidates(F.col("t")).alias("c"), "t").filter(F.size("c") > 0)
     covers = lambda s, c: (s["kind"] == c["kind"]) & (s["start"] <= c["start"]) & (c["end"] <= s["end"])
+    covered = lambda c: F.exists("b", lambda s: covers(s, c))
     failed = _matched(F.col("t"), lambda kind, value: ~passes(kind, value))
     labelled = spans.select("fold", "c", base(F.col("t")).alias("b"), failed.alias("f")).select("fold", F.explode(F.transform(
-        F.filter("c", lambda c: ~F.exists("f", lambda s: covers(s, c) & (s["end"] - s["start"] > c["end"] - c["start"]))),
-        lambda c: F.struct(*(c[n].alias(n) for n in LEVELS),
-                           F.exists("b", lambda s: covers(s, c)).cast("long").alias("label")))).alias("x"))
+        F.filter("c", lambda c: (covered(c) | ~overlaps(c, F.col("b")))
+                 & ~F.exists("f", lambda s: covers(s, c) & (s["end"] - s["start"] > c["end"] - c["start"]))),
+        lambda c: F.struct(*(c[n].alias(n) for n in LEVELS), (covered(c) | sound(c)).cast("long").alias("label")))).alias("x"))
     counts = labelled.groupBy("fold", *(F.col("x")[n].alias(n) for n in LEVELS)).agg(
         F.sum(F.col("x")["label"]).alias("yes"), F.count(F.lit(1)).alias("n"))
-    rows = sorted(counts.collect())
     held_out, fitted = [], {}
-    for r in rows:
+    for r in sorted(counts.collect()):
         vector = {n: r[n] for n in LEVELS}
         if r["fold"] == 2:
             held_out.append((vector, float(r["yes"]), float(r["n"] - r["yes"])))
         else:
             a, b = fitted.get(tuple(vector.items()), (0.0, 0.0))
             fitted[tuple(vector.items())] = (a + r["yes"], b + r["n"] - r["yes"])
-    model = boost([(dict(v), a, b) for v, (a, b) in fitted.items()])
-    return calibrated(model, held_out, precision, least)
 
+    def of(kind: int) -> Model:
+        model = boost([(dict(v), a, b) for v, (a, b) in fitted.items() if dict(v)["kind"] == kind])
+        return calibrated(model, [c for c in held_out if c[0]["kind"] == kind], precision, least)
+
+    return Models(tuple(map(of, range(len(KINDS)))))
 
-def spans(text: Column, model: Model) -> Column:
-    """Base spans and, where they overlap none, the candidates the model selects (of overlapping ones the
+
+def spans(text: Column, models: Models) -> Column:
+    """Base spans and, where they overlap none, the candidates the models select (of overlapping ones the
     first by start, then the longer): array of kind, start, end, by kind, then start."""
     chosen = base(text)
-    if not math.isfinite(model.threshold):
+    if not math.isfinite(models.threshold):
         return chosen
 
+    def of(kind: str, model: Model, kept: Column) -> Column:
+        return F.filter(candidates(text, [kind]), lambda c: (model.score(lambda n: c[n]) >= model.threshold) & ~overlaps(c, kept))
+
     def further(kept: Column) -> Column:
-        picked = F.filter(candidates(text), lambda c: (model.score(lambda n: c[n]) >= model.threshold) & ~overlaps(c, kept))
+        picked = F.concat(*(of(k, m, kept) for k, m in zip(KINDS, models.kinds) if math.isfinite(m.threshold)))
         ordered = F.array_sort(F.transform(picked, lambda c: F.struct(
             c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
         none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
