@@ -53,6 +53,20 @@ def test_pseudo_labels_help_the_other_view():
     assert score(helped) > score(alone)
 
 
+def test_all_documents_are_offered_pseudo_labels(spark):
+    docs, labels = corpus(900, 4)
+    hashed = [r["id"] for r in spark.range(900).filter("id >= 300").orderBy(F.xxhash64("id").desc()).limit(60).collect()]
+    draw = random.Random(8)
+    for k in hashed:  # junk of a source that has no label, with the largest id hashes
+        text = prose(draw, 60, True)
+        docs[k] = (k, text, "en", "rare", len(text))
+    df = spark.createDataFrame(docs, DOCS)
+    model = cotraining.fit(df, spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int"), labelled=300, pool=300)
+    unseen = [d[:3] + ("nowhere", d[4]) for d in docs if d[0] in set(hashed)]
+    p = lambda rows: np.mean([r["p_meta"] for r in cotraining.score(rows, model).collect()])
+    assert p(df.filter("source = 'rare'")) < p(spark.createDataFrame(unseen, DOCS)) - 0.1
+
+
 def test_nulls_repeats_and_no_labels(spark):
     docs, labels = corpus(200)
     rows = [*docs, docs[0], (None, None, None, None, None), (777, "", None, "x", -1), (778, "long " * 30_000, "en", None, 2**31 - 1)]

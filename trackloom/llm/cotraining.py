@@ -1,15 +1,16 @@
 """A quality classifier by co-training of two views.
 
 One view sees only what a text consists of, the other only a page's metadata.  Both are fitted on a
-bounded sample of labelled rows; over rounds each labels the rows of an unlabelled pool of which it is
-confident, and these pseudo-labels go to the other.  Confidence is judged after calibration on rows
-that neither was fitted on.  The calibrated views are then combined and score every document in one
-narrow pass.
+bounded sample of labelled rows; over rounds both score all other documents in a narrow pass, and the
+pseudo-labels of which one is most confident go to the other.  Confidence is judged after calibration
+on rows that neither was fitted on.  The calibrated views are then combined and score every document
+in one narrow pass.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -20,14 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.llm.byte_bpe import slices
-from trackloom.llm.frames import fresh
+from trackloom.llm.frames import cut, fresh
 from trackloom.llm.pretokens import in_groups
 from trackloom.llm.workers import releasing
 
-#: Bounds of what reaches the driver: labelled rows and rows of the pool, by the smallest hashes of their ids.
+#: Bounds of what reaches the driver: labelled rows, by the smallest hashes of their ids, and rows with a pseudo-label.
 LABELLED, POOL = 12_000, 12_000
 #: A pseudo-label needs this calibrated confidence; so many of a class pass to the other view in a round.
 CONFIDENT, PER_ROUND, ROUNDS = 0.97, 600, 4
+SURE = math.log(CONFIDENT / (1 - CONFIDENT))
 
 # Classes of code points in the text view; the rest are letters by case, digits, white space.
 MARKS = "!|#$%&*.,;:?\"'()-_/<>=@"
@@ -163,8 +165,36 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(self.parts[0] * a + self.parts[1] * b + self.bias)
 
 
+def picked(margins: np.ndarray, free: np.ndarray, most: dict[float, int]) -> list[tuple[int, float, np.ndarray]]:
+    """View, label and places of the rows that each view passes on: the most confident of each class, at most
+    `most` of it, equal ones in their order.  margins has a column a view; rows picked are no longer free."""
+    out = []
+    for mine in (0, 1):
+        for value, sure in ((1.0, margins[:, mine]), (0.0, -margins[:, mine])):
+            at = np.flatnonzero(free & (sure >= SURE))
+            best = at[np.argsort(-sure[at], kind="stable")[:most[value]]]
+            free[best] = False
+            out.append((mine, value, best))
+    return out
+
+
+#: For the models of a round and the most rows of each class: view, label, text and meta features of the rows passed on.
+Offer = Callable[[list[View], dict[float, int]], list[tuple[int, float, np.ndarray, np.ndarray]]]
+
+
 def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
-    """Co-training on labelled rows (every third one is held out for calibration) and an unlabelled pool.
+    """Co-training on labelled rows and an unlabelled pool in memory."""
+    free = np.ones(len(pool_text), dtype=bool)
+
+    def offer(models, most):
+        margins = np.stack([m.margin(x) for m, x in zip(models, (pool_text, pool_meta))], axis=1)
+        return [(mine, value, pool_text[best], pool_meta[best]) for mine, value, best in picked(margins, free, most)]
+
+    return exchanged(text, meta, label, offer)
+
+
+def exchanged(text: np.ndarray, meta: np.ndarray, label: np.ndarray, offer: Offer) -> Model:
+    """Co-training on labelled rows (every third one is held out for calibration) and what is offered in each round.
 
     With fewer than two rows of either class among the fitted or the held-out ones the model is the
     constant 1: nothing is rejected without evidence.
@@ -174,27 +204,17 @@ def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np
     if min((y == 1).sum(), (y == 0).sum(), (truth == 1).sum(), (truth == 0).sum()) < 2:
         return Model(None, None, (0.0, 0.0), 40.0)
     views = [[text[~held], y], [meta[~held], y]]
-    calibration, pools = [text[held], meta[held]], [pool_text, pool_meta]
-    free = np.ones(len(pool_text), dtype=bool)
+    calibration = [text[held], meta[held]]
+    # classes pass in the proportion of the labels
+    most = {value: max(1, round(PER_ROUND * float((y == value).mean()))) for value in (1.0, 0.0)}
     for _ in range(ROUNDS):
         models = [fitted(x, target, h, truth) for (x, target), h in zip(views, calibration)]
-        exchanged = 0
-        for mine, other in ((0, 1), (1, 0)):
-            at = np.flatnonzero(free)
-            if not len(at):
-                break
-            p = sigmoid(models[mine].margin(pools[mine][at]))
-            for value, confidence in ((1.0, p), (0.0, 1 - p)):
-                # classes pass in the proportion of the labels
-                most = max(1, round(PER_ROUND * (y.mean() if value else 1 - y.mean())))
-                best = np.argsort(-confidence, kind="stable")[:most]
-                best = at[best[confidence[best] >= CONFIDENT]]
-                best = best[free[best]]
-                free[best] = False
-                exchanged += len(best)
-                views[other][0] = np.concatenate([views[other][0], pools[other][best]])
-                views[other][1] = np.concatenate([views[other][1], np.full(len(best), value)])
-        if not exchanged:
+        passed = offer(models, most)
+        for mine, value, *rows in passed:
+            other = 1 - mine
+            views[other][0] = np.concatenate([views[other][0], rows[other]])
+            views[other][1] = np.concatenate([views[other][1], np.full(len(rows[other]), value)])
+        if not any(len(rows) for _, _, rows, _ in passed):
             break
     models = [fitted(x, target, h, truth) for (x, target), h in zip(views, calibration)]
     margins = np.stack([m.margin(h) for m, h in zip(models, calibration)], axis=1)
@@ -211,21 +231,81 @@ FEATURES = "doc_id long, label int, text_view binary, meta_view binary"
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
     """A model for docs (doc_id, text, lang, source, n_chars) by labels (doc_id, quality 0 or 1).
 
-    At most `labelled` labelled documents and `pool` others, those of the smallest id hashes, are
-    gathered on the driver as feature vectors; that is the whole bound.  Of repeated labels the lowest
-    counts, of repeated documents one; null labels and ids are left out.
+    At most `labelled` labelled documents, those of the smallest id hashes, and at most `pool` with
+    pseudo-labels, the most confident of all documents without a label, are gathered on the driver
+    as feature vectors; that is the whole bound.  Of repeated labels the lowest counts, of repeated
+    documents one; null labels and ids are left out.
     """
-    judged = (labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
-              .agg(F.min("quality").cast("int").alias("label")))
-    order = F.xxhash64("doc_id")
-    present = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    known = judged.join(present, "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled)
-    others = (present.join(judged, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool)
-              .withColumn("label", F.lit(-1)))
-    # at most labelled + pool rows of two numbers
-    chosen = F.broadcast(known.unionByName(others))
-    sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, "doc_id")
+    judged = cut(labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
+                 .agg(F.min("quality").cast("int").alias("label")))
+    used = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id IS NOT NULL")
+    present = docs.select("doc_id").distinct()
+    # at most `labelled` rows of two numbers
+    known = F.broadcast(judged.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    ids, marks, a, b = _gathered(used.join(known, "doc_id"))
+    _, one = np.unique(ids, return_index=True)
+    # not in order of ids: folds should not follow a pattern in them
+    one = one[np.argsort(ids[one] * 0x9E3779B1 % 2**31, kind="stable")]
+    taken: list[int] = []
+
+    def offer(models, most):
+        # what is left of the bound is shared by views and classes in proportion
+        share = min(1.0, (pool - len(taken)) / (2 * sum(most.values())))
+        most = {value: int(n * share) for value, n in most.items()}
+        if not any(most.values()):
+            return []
+        places, margins = _surest(used, judged, models, most, taken)
+        picks = [(mine, value, places[best]) for mine, value, best in picked(margins, np.ones(len(places), dtype=bool), most)]
+        rows = [(int(i), k) for k, (_, _, best) in enumerate(picks) for i in best]
+        if not rows:
+            return []
+        taken.extend(i for i, _ in rows)
+        chosen = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id long, label int"))
+        found, group, text, meta = _gathered(used.join(chosen, "doc_id"))
+        x, y = _margins(models, text, meta)
+        # of repeated documents the one that _surest judged
+        order = np.lexsort((y, x, np.maximum(np.abs(x), np.abs(y)) >= SURE, found))
+        last = order[np.append(found[order][1:] != found[order][:-1], True)]
+        return [(mine, value, text[at], meta[at]) for k, (mine, value, _) in enumerate(picks) for at in [last[group[last] == k]]]
+
+    return exchanged(a[one], b[one], marks[one], offer)
+
+
+def _margins(models: list[View], text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+    """Margins of both views; rounded, so that equal features tie in whatever batch they are."""
+    return [np.round(m.margin(x), 5) for m, x in zip(models, (text, meta))]
+
+
+def _surest(used: DataFrame, judged: DataFrame, models: list[View], most: dict[float, int],
+            taken: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and margins of the documents, of all that are neither judged nor taken, among which those lie that
+    the views pass on, in order of id hashes; a few times PER_ROUND rows."""
+    gone = np.array(sorted(taken), dtype=np.int64)
+
+    @releasing
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1, 2 << 20):
+                ids, texts, langs, sources, sizes = (c.to_pylist() for c in part.columns)
+                x, y = _margins(models, text_features([t or "" for t in texts]).astype(np.float16),
+                                meta_features(sources, langs, sizes).astype(np.float16))
+                at = (np.maximum(np.abs(x), np.abs(y)) >= SURE) & ~np.isin(np.array(ids, dtype=np.int64), gone)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(ids, dtype=np.int64)[at]), pa.array(x[at]), pa.array(y[at])], names=["doc_id", "x", "y"])
+
+    sure = used.mapInArrow(run, "doc_id long, x double, y double").join(judged, "doc_id", "left_anti")
+    narrow = cut(sure.groupBy("doc_id").agg(F.max(F.struct("x", "y")).alias("m")).select("doc_id", "m.x", "m.y"))
+    rows = {}
+    for view, more in (("x", 0), ("y", sum(most.values()))):  # the second passes over what the first took
+        for value, by in ((1.0, F.col(view)), (0.0, -F.col(view))):
+            top = narrow.filter(by >= SURE).orderBy(by.desc(), F.xxhash64("doc_id"), "doc_id").limit(most[value] + more)
+            rows |= {r["doc_id"]: (r["h"], r["doc_id"], r["x"], r["y"]) for r in top.select("*", F.xxhash64("doc_id").alias("h")).collect()}
+    ordered = sorted(rows.values())
+    return np.array([r[1] for r in ordered], dtype=np.int64), np.array([r[2:] for r in ordered], dtype=float).reshape(-1, 2)
+
 
+def _gathered(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels and the features of both views of a bounded sample (doc_id, text, lang, source, n_chars, label)."""
     @releasing
     def run(batches):
         for batch in batches:
@@ -239,12 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
     table = sample.mapInArrow(run, FEATURES).toArrow()
     ids, marks = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in (0, 1))
-    _, one = np.unique(ids, return_index=True)
-    # not in order of ids: folds should not follow a pattern in them
-    one = one[np.argsort(ids[one] * 0x9E3779B1 % 2**31, kind="stable")]
-    a, b = (_matrix(table.column(c).to_pylist(), n) for c, n in ((2, TEXT_FEATURES), (3, META_FEATURES)))
-    own, rest = one[marks[one] >= 0], one[marks[one] < 0]
-    return cotrain(a[own], b[own], marks[own], a[rest], b[rest])
+    return ids, marks, *(_matrix(table.column(c).to_pylist(), n) for c, n in ((2, TEXT_FEATURES), (3, META_FEATURES)))
 
 
 def _matrix(rows: list[bytes], width: int) -> np.ndarray:
