@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import defaultdict
 
 from trackloom.functions.seeded import Draws, split_mix
 from trackloom.operators import generation as g
@@ -52,3 +54,38 @@ def test_targets_keep_apart(spark):
 def test_zones_merge_to_a_fixpoint():
     made = merge_zones([(0, 0, 10, 10), (10, 10, 30, 20), (100, 100, 120, 130)], 1440, 1080)
     assert made == [(0, 0, 32, 32), (100, 100, 120, 130)]
+
+
+def brute_zones(boxes):
+    """Merging as the reference states it, on (left, top, width, height) of a frame of 1440 x 1080."""
+    def side(start, length, limit):
+        length = min((length + 15) // 16 * 16, limit)
+        return min(start, limit - length), length
+
+    zones, k = [(x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in boxes], True
+    while k:
+        k = False
+        for i, j in itertools.combinations(range(len(zones)), 2):
+            (ax, ay, aw, ah), (bx, by, bw, bh) = zones[i], zones[j]
+            if max(ax, bx) <= min(ax + aw, bx + bw) and max(ay, by) <= min(ay + ah, by + bh):
+                left, top = min(ax, bx), min(ay, by)
+                (x, w), (y, h) = side(left, max(ax + aw, bx + bw) - left, 1440), side(top, max(ay + ah, by + bh) - top, 1080)
+                last = zones.pop()
+                if j < len(zones):
+                    zones[j] = last
+                zones[i], k = (x, y, w, h), True
+                break
+    return [(x, y, x + w, y + h) for x, y, w, h in zones]
+
+
+def test_zones_are_those_of_whole_pages(spark):
+    from trackloom.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    pages = defaultdict(list)
+    for r in registry.Tables(spark, folder)("detections").orderBy("det_idx").collect():
+        x, y = math.floor(r["x"]), math.floor(r["y"])
+        pages[r["frame"] // 20].append((x, y, x + 60, y + 40))
+    expected = {(page, k, *z) for page, boxes in pages.items() for k, z in enumerate(brute_zones(boxes))}
+    assert max(map(len, pages.values())) > 100
+    assert {tuple(r) for r in registry.queries()["g28_merged_zones"](spark, folder).collect()} == expected

@@ -27,7 +27,7 @@ def _luma(t):
 
 
 def _zones(t):
-    rows = t("detections").filter("frame % 20 = 0").select(
+    rows = t("detections").select(
         F.expr("frame div 20").alias("page"), F.col("det_idx").alias("id"), F.floor("x").cast("long").alias("left"), F.floor("y").cast("long").alias("top"))
     return rendering.zones(rows.select("*", (F.col("left") + 60).alias("right"), (F.col("top") + 40).alias("bottom")), 1440, 1080)
 
