@@ -1,21 +1,29 @@
 """Personal data: candidate spans, boosted trees over their format and context, calibrated selection.
 
 DataFrame functions only.  Base patterns with their checks are always taken.  High-recall generators
-propose further spans, which may overlap; those in a form that no base pattern has are labelled by
-their own check.  Gradient-boosted trees of each kind score them by features that are small integers,
-so that the labelled candidates of a whole corpus reduce to counts per feature vector (at most VECTORS
-of them), on which the trees are fitted; they are then evaluated as expressions.
+propose further spans, which may overlap.  What the trees learn does not come from the base patterns:
+base spans are rewritten into forms that no base pattern matches and, as hard negatives, into forms that
+fail their check, and stand in their own context; other candidates of the corpus are labelled by their
+own check.  Features are small integers, so that the labelled candidates of a whole corpus reduce to
+counts per feature vector (at most VECTORS of them per fold and origin), on which the trees of each kind
+are fitted; they are then evaluated as
+expressions.
+
+All folds over the matches of a text go by blocks of the square root of their number, so that a text of
+n matches costs n * sqrt(n) small steps, not n * n.
 """
 
 from __future__ import annotations
 
+import inspect
+import itertools
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.one_permutation import held
+from trackloom.llm.frames import fresh
 
 # Kinds in their order, the base patterns, and the generators of further candidates.
 KINDS = ["email", "ip", "card", "phone"]
@@ -28,120 +36,243 @@ BASE = {
 }
 # Endings that may stand apart from their dot; after other blanks a dot ends a sentence.
 ENDINGS = "com|net|org|edu|gov|mil|info|biz"
+AT = r"(?:\x20?@\x20?|\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)"
+WORD_DOT = r"(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20)"
+DOT = (rf"(?:{WORD_DOT}|\x20?\.\x20?(?=(?:{ENDINGS})(?![A-Za-z0-9-]))|\.)")
+POINT = r"(?:\.|\x20?[\[(](?:dot|\.)[\])]\x20?|\x20dot\x20)"
 GENERATORS = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}"
-              rf"(?:(?:\x20?\.\x20?(?=(?:{ENDINGS})(?![A-Za-z0-9-]))|\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{{1,64}}){{1,8}}"),
-    ("ip", r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])"),
+    ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{WORD_DOT}[A-Za-z0-9._%+-]++)*+{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++"),
+    ("ip", rf"(?<![0-9])[0-9]++(?:{POINT}[0-9]++){{3}}(?![0-9])"),
+    ("card", r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9])++"),
+    # one of several numbers side by side
     ("card", r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4,7}(?![0-9])"),
-    ("phone", r"(?<![0-9])(?:(?:\+|00)?[0-9]{1,3}[\x20.-]?|\+)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"),
+    ("phone", r"(?<![0-9])(?:(?:\+|00)?[0-9]{1,3}[\x20./-]?|\+)?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"),
+    ("phone", r"(?<![0-9])\(?[0-9]++\)?(?:[\x20./-]{0,2}\(?[0-9]++\)?)++"),
 ]
+# What a text must hold for a base match that passes, and for a candidate that may: a cheap test before the search.
+BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
+NEEDS = {"email": r"@|[\[({]\x20?at\x20?[\])}]|\x20at\x20[A-Za-z0-9-]++\x20?[\[({]?\x20?dot", "ip": rf"[0-9]{POINT}[0-9]",
+         "card": r"[0-9](?:[\x20._/-]?[0-9]){15}", "phone": r"[0-9](?:[\x20()./-]{0,4}[0-9]){7}"}
 CONTEXT = 24
 CUES = r"(?i)mail|contact|tel|phone|call|fax|mobile|card|visa|iban|host|server|addr"
 PHONE_CUES = r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|cell|contact|dial|sms|whatsapp)\b"
 
 #: Levels of each feature; their product bounds the vectors that reach the driver.
-LEVELS = {"kind": 4, "digits": 8, "marks": 5, "checked": 2, "before": 4, "after": 4, "cue": 3}
+LEVELS = {"kind": 4, "checked": 2, "digits": 8, "marks": 6, "before": 4, "after": 4, "cue": 3}
 VECTORS = math.prod(LEVELS.values())
+#: Documents by a hash of their id: two parts fit the trees, one calibrates them, one judges the result.
+FOLDS, CALIBRATES, JUDGES = 4, 2, 3
 
+SPAN = "struct<kind:int,start:int,end:int>"
+
+
+# Expressions are SQL texts; they are parsed once where columns are made of them.
+_names = itertools.count()
+
+
+def fn(body) -> str:
+    """A lambda function of as many parameters as body takes, with names that no other one has."""
+    names = [f"v{next(_names)}" for _ in inspect.signature(body).parameters]
+    return f"{names[0] if len(names) == 1 else f'({', '.join(names)})'} -> {body(*names)}"
+
+
+def let(value: str, use) -> str:
+    """use(value) with value computed once."""
+    return f"transform(array({value}), {fn(use)})[0]"
+
+
+def each(values: str, use) -> str:
+    return f"transform({values}, {fn(use)})"
+
+
+def where(values: str, test) -> str:
+    return f"filter({values}, {fn(test)})"
+
+
+def none(kind: str) -> str:
+    return f"cast(array() as {kind})"
 
-def found(text: Column, pattern: str) -> Column:
-    """All matches, leftmost and non-overlapping: array of start, end (code points, end exclusive), value,
-    before and after (what stands next to the match, up to CONTEXT code points)."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
 
-    def place(values: Column, between: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["end"] + F.char_length(between[i])
-            end = start + F.char_length(values[i])
-            span = F.struct(start.alias("start"), end.alias("end"), values[i].alias("value"),
-                            F.right(between[i], F.lit(CONTEXT)).alias("before"),
-                            F.left(between[i + 1], F.lit(CONTEXT)).alias("after"))
-            return F.struct(end.alias("end"), F.array_append(acc["out"], span).alias("out"))
+def struct(**fields: str) -> str:
+    return f"named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())})"
 
-        first = F.struct(F.lit(0).alias("end"), empty.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), first, step, lambda acc: acc["out"])
 
-    return held(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda values: F.when(
-        F.size(values) == 0, empty).otherwise(held(F.split(text, pattern, -1), lambda between: place(values, between))))
+def in_blocks(values: str, use) -> str:
+    """use of consecutive parts of an array, about as many as each is long; values must not be empty."""
+    return let(f"cast(ceil(sqrt(size({values}))) as int)", lambda size: each(
+        f"sequence(0, cast((size({values}) - 1) div {size} as int))", lambda j: use(f"slice({values}, {j} * {size} + 1, {size})")))
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def folded(values: str, state: str, step, items: str) -> str:
+    """The items (an array type) that a fold of values gives: step(state, value) is the next state and an array.
+
+    Values are folded block by block, and only the items of a block are copied as it grows.
+    """
+    def taken(acc: str, value: str) -> str:
+        after, more = step(f"{acc}.state", value)
+        return struct(state=after, out=f"concat({acc}.out, {more})")
+
+    def block(acc: str, own: str) -> str:
+        first = struct(state=f"{acc}.state", out=none(items))
+        return let(f"aggregate({own}, {first}, {fn(taken)})", lambda done: struct(
+            state=f"{done}.state", out=f"array_append({acc}.out, {done}.out)"))
+
+    def whole(all_: str) -> str:
+        start = struct(state=state, out=none(f"array<{items}>"))
+        done = f"aggregate({in_blocks(all_, lambda b: b)}, {start}, {fn(block)}, {fn(lambda acc: f'flatten({acc}.out)')})"
+        return f"if(size({all_}) = 0, {none(items)}, {done})"
+
+    return let(values, whole)
+
+
+def running(values: str, use) -> str:
+    """Prefixes of an array of integers: use(prefix, value) is the next one, from 0."""
+    return folded(values, "0", lambda before, x: (use(before, x), f"array({use(before, x)})"), "array<int>")
 
 
-def luhn(number: Column) -> Column:
+def below(starts: str, bound: str) -> str:
+    """How many of an ascending array are below the bound: a binary search."""
+    def half(acc: str, _: str) -> str:
+        return let(f"cast(({acc}.low + {acc}.high) div 2 as int)", lambda middle: (
+            f"case when {acc}.low >= {acc}.high then {acc} when {starts}[{middle}] < {bound} "
+            f"then {struct(low=f'{middle} + 1', high=f'{acc}.high')} else {struct(low=f'{acc}.low', high=middle)} end"))
+
+    return (f"aggregate(sequence(0, cast(ceil(log2(size({starts}) + 1)) as int)), {struct(low='0', high=f'size({starts})')}, "
+            f"{fn(half)}, {fn(lambda acc: f'{acc}.low')})")
+
+
+MATCH = "struct<start:int,end:int,value:string,before:string,after:string>"
+
+
+def found(text: str, pattern: str) -> str:
+    """All matches, leftmost and non-overlapping: array of start, end (code points, end exclusive), value,
+    before and after (what stands next to the match, up to CONTEXT code points)."""
+    def place(values: str, between: str) -> str:
+        lengths = f"flatten({each(values, lambda v, i: f'array(char_length({between}[{i}]), char_length({v}))')})"
+        return let(running(lengths, lambda a, x: f"{a} + {x}"), lambda ends: each(values, lambda v, i: struct(
+            start=f"{ends}[2 * {i}]", end=f"{ends}[2 * {i} + 1]", value=v,
+            before=f"right({between}[{i}], {CONTEXT})", after=f"left({between}[{i} + 1], {CONTEXT})")))
+
+    return let(f"regexp_extract_all({text}, r'{pattern}', 0)", lambda values: (
+        f"if(size({values}) = 0, {none(f'array<{MATCH}>')}, "
+        f"{let(f"split({text}, r'{pattern}', -1)", lambda between: place(values, between))})"))
+
+
+def digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
+
+
+def luhn(number: str) -> str:
     """Whether a string of digits passes the Luhn check."""
-    def added(acc: Column, i: Column) -> Column:
-        d = F.substring(number, -i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-        return acc + F.when(i % 2 == 0, twice).otherwise(d)
+    def added(acc: str, i: str) -> str:
+        return let(f"cast(substring({number}, -{i}, 1) as int)", lambda d: (
+            f"{acc} + if({i} % 2 = 1, {d}, if({d} > 4, {d} * 2 - 9, {d} * 2))"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(number)), F.lit(0), added) % 10 == 0
+    return f"(aggregate(sequence(1, char_length({number})), 0, {fn(added)}) % 10 = 0)"
 
 
-def quads(value: Column) -> Column:
+def quads(value: str) -> str:
     """Whether all numbers of a string are at most 255."""
-    parts = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))
-    plain = F.transform(parts, lambda p: F.regexp_replace(p, "^0+", ""))
-    return F.forall(plain, lambda p: (F.char_length(p) <= 3) & (F.coalesce(F.expr("0") + p.try_cast("int"), F.lit(0)) <= 255))
+    parts = each(f"regexp_extract_all({value}, '[0-9]+', 0)", lambda p: f"regexp_replace({p}, '^0+', '')")
+    return f"forall({parts}, {fn(lambda p: f'char_length({p}) <= 3 and coalesce(try_cast({p} as int), 0) <= 255')})"
+
+
+def carded(value: str) -> str:
+    return let(digits(value), lambda d: f"if(char_length({d}) between 16 and 19, {luhn(d)}, false)")
 
 
-def passes(kind: str, value: Column) -> Column:
+def passes(kind: str, value: str) -> str:
     """The check of a base match."""
-    if kind == "ip":
-        return quads(value)
-    if kind == "card":
-        return held(digits(value), lambda d: F.char_length(d).between(16, 19) & luhn(d))
-    if kind == "phone":
-        return F.char_length(digits(value)).between(8, 15)
-    return F.lit(True)
+    return {"email": "true", "ip": quads(value), "card": carded(value),
+            "phone": f"(char_length({digits(value)}) between 8 and 15)"}[kind]
 
 
-def base(text: Column) -> Column:
-    """Base spans by kind, then start: array of kind (its place in KINDS), start, end."""
-    return _matched(text, passes)
+def matches(text: str, kind: str) -> str:
+    """The matches of a base pattern, in order, with ok: whether they pass their check.  Where the text lacks
+    what a passing match needs, there are none."""
+    fields = ("start", "end", "value", "before", "after")
+    checked = each(found(text, BASE[kind]), lambda m: struct(**{f: f"{m}.{f}" for f in fields}, ok=passes(kind, f"{m}.value")))
+    return f"if({text} rlike r'{BASE_NEEDS[kind]}', {checked}, {none(f'array<{MATCH[:-1]},ok:boolean>>')})"
 
 
-def _matched(text: Column, check) -> Column:
-    def of(k: int, kind: str) -> Column:
-        right = F.filter(found(text, BASE[kind]), lambda m: check(kind, m["value"]))
-        return F.transform(right, lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+def spans_of(found_: str, kind: int) -> str:
+    """The spans of matches that pass: array of kind (its place in KINDS), start, end."""
+    return each(where(found_, lambda m: f"{m}.ok"), lambda m: struct(kind=str(kind), start=f"{m}.start", end=f"{m}.end"))
 
-    return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
 
+def base(text: str) -> str:
+    """Base spans by kind, then start: array of kind, start, end."""
+    return f"concat({', '.join(spans_of(matches(text, kind), k) for k, kind in enumerate(KINDS))})"
 
-def features(kind: int, m: Column) -> dict[str, Column]:
+
+def features(kind: int, m: str) -> dict[str, str]:
     """Format and context of a candidate, as integers below LEVELS."""
-    number = digits(m["value"])
-    n = F.char_length(number)
-    size = F.when(n < 4, 0).when(n < 7, 1).when(n < 8, 2).when(n < 10, 3).when(n < 12, 4).when(n < 16, 5).when(n < 17, 6).otherwise(7)
-    marks = (F.when(m["value"].rlike(r"[\[(](?:at|dot|\.)[\])]"), 4).when(m["value"].startswith("+"), 1)
-             .when(m["value"].rlike(r"\x20"), 2).when(m["value"].rlike(r"[-()]"), 3).otherwise(0))
-    side = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[0-9.@+-]"), 3).otherwise(2)
-    checked = {"ip": lambda: quads(m["value"]), "card": lambda: luhn(number), "phone": lambda: n.between(8, 15),
-               "email": lambda: m["value"].rlike(r"(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,}$") & (
-                   ~m["value"].contains(" ") | m["value"].rlike(rf"[\[(](?:at|dot)[\])]|\.\x20?(?:{ENDINGS}|[a-z]{{2}})$"))}[KINDS[kind]]()
-    return {"kind": F.lit(kind), "digits": size, "marks": marks, "checked": checked.cast("int"),
-            "before": side(F.right(m["before"], F.lit(1))), "after": side(F.left(m["after"], F.lit(1))),
-            "cue": F.when(m["before"].rlike(PHONE_CUES), 2 if KINDS[kind] == "phone" else 1)
-                   .when(m["before"].rlike(CUES), 1).otherwise(0)}
-
-
-def sound(c: Column) -> Column:
-    """The own check of a candidate, by its features: a plausible ending, octets, the Luhn check of 16 digits
-    or more, 8 to 15 digits after a word such as tel."""
-    return (c["checked"] == 1) & F.when(c["kind"] == KINDS.index("card"), c["digits"] >= 6).when(
-        c["kind"] == KINDS.index("phone"), c["cue"] == 2).otherwise(True)
-
-
-def candidates(text: Column, kinds: list[str] = KINDS) -> Column:
+    value, before, after = f"{m}.value", f"{m}.before", f"{m}.after"
+    n = f"char_length({digits(value)})"
+    size = let(n, lambda k: f"case {' '.join(f'when {k} < {most} then {level}' for level, most in enumerate((4, 7, 8, 10, 12, 16, 17)))} else 7 end")
+    marks = (rf"case when {value} rlike r'[\[({{]\x20?(?:at|dot|\.)\x20?[\])}}]' then 4 when {value} rlike r'\x20(?:at|dot)\x20' then 5 "
+             rf"when startswith({value}, '+') then 1 when contains({value}, ' ') then 2 when {value} rlike '[-()/_]' then 3 else 0 end")
+    side = lambda c: rf"case when {c} = '' then 0 when {c} rlike r'\s' then 1 when {c} rlike '[0-9.@+-]' then 3 else 2 end"
+    # an ending of letters; a blank or the word "at" needs more than that to be an address
+    ending = (rf"({value} rlike r'(?:\.|[\])}}]|\x20)\x20?[A-Za-z]{{2,}}$' and (not contains({value}, ' ') "
+              rf"or {value} rlike r'[\[({{]\x20?(?:at|dot|\.)\x20?[\])}}]|\x20dot\x20|@.*\.\x20?(?:{ENDINGS}|[a-z]{{2}})$') "
+              rf"and (not contains({value}, ' at ') or contains({value}, 'dot')))")
+    checked = {"ip": lambda: quads(value), "card": lambda: carded(value), "phone": lambda: f"({n} between 8 and 15)",
+               "email": lambda: ending}[KINDS[kind]]()
+    return {"kind": str(kind), "digits": size, "marks": marks, "checked": f"cast({checked} as int)",
+            "before": side(f"right({before}, 1)"), "after": side(f"left({after}, 1)"),
+            "cue": f"case when {before} rlike r'{PHONE_CUES}' then {2 if KINDS[kind] == 'phone' else 1} when {before} rlike r'{CUES}' then 1 else 0 end"}
+
+
+CANDIDATES = f"array<struct<start:int,end:int,{','.join(f'{n}:int' for n in LEVELS)}>>"
+
+
+def candidates(text: str, kinds: list[str] = KINDS) -> str:
     """Spans of the generators of some kinds: array of start, end and features; they may overlap."""
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(found(text, pattern), lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"),
-            *(f.alias(n) for n, f in features(KINDS.index(kind), m).items())))
+    def of(kind: str, pattern: str) -> str:
+        def of_match(m: str) -> str:
+            named = features(KINDS.index(kind), m)
+            return struct(start=f"{m}.start", end=f"{m}.end", **{n: named[n] for n in LEVELS})
+
+        own = each(found(text, pattern), of_match)
+        return f"if({text} rlike r'{NEEDS[kind]}', {own}, {none(CANDIDATES)})"
 
-    return F.concat(*(of(kind, pattern) for kind, pattern in GENERATORS if kind in kinds))
+    return f"concat({', '.join([none(CANDIDATES), *(of(kind, pattern) for kind, pattern in GENERATORS if kind in kinds)])})"
+
+
+def rewritten(kind: str, value: str) -> tuple[list[str], list[str]]:
+    """A base match in forms that base lacks: personal data still, and no longer (they fail their check)."""
+    swapped = lambda x, a, b: f"replace({x}, '{a}', '{b}')"
+    if kind == "email":
+        name, host = f"substring_index({value}, '@', 1)", f"substring_index({value}, '@', -1)"
+        return ([f"concat({swapped(name, '.', ' (dot) ')}, ' (at) ', {swapped(host, '.', ' (dot) ')})", f"concat({name}, '[at]', {swapped(host, '.', '[dot]')})",
+                 f"concat({name}, ' [at] ', {host})", f"concat({name}, ' at ', {swapped(host, '.', ' dot ')})"],
+                [f"concat({name}, ' at ', {host})", f"concat({name}, ' @ ', substring_index({host}, '.', 1), '.42')"])
+    if kind == "ip":
+        wide, forms = f"regexp_replace({value}, '^[0-9]+', '738')", ("[.]", "(.)", "[dot]", " dot ")
+        return [swapped(value, ".", f) for f in forms], [swapped(wide, ".", f) for f in forms]
+    number = digits(value)
+    if kind == "card":
+        grouped = lambda d, by: f"regexp_replace({d}, r'(?<=^.{{4}}|^.{{8}}|^.{{12}})', '{by}')"
+        other = f"concat(left({number}, char_length({number}) - 1), cast((cast(right({number}, 1) as int) + 1) % 10 as string))"
+        return [grouped(number, by) for by in "./_"], [other, *(grouped(other, by) for by in "./_")]
+    plain, drawn = swapped(value, "+", ""), f"crc32({number})"
+    day, month, year = (f"lpad(cast({drawn} % {n} + 1 as string), 2, '0')" if n < 99 else f"cast({drawn} % {n} + 1900 as string)" for n in (28, 12, 130))
+    return ([plain, rf"regexp_replace({plain}, r'[\x20()-]+', '.')", rf"regexp_replace({plain}, r'[\x20()-]+', '-')", f"concat('00', {plain})"],
+            [f"concat_ws('-', {year}, {month}, {day})", f"concat_ws('.', {day}, {month}, {year})", f"concat_ws('/', {day}, {month}, {year})",
+             f"concat_ws(' ', left({number}, 2), substring({number}, 3, 3))"])
+
+
+def edges(taken: str) -> str:
+    """What meets() searches: starts of spans in order, and the furthest end so far."""
+    ordered = f"array_sort({each(taken, lambda s: struct(start=f'{s}.start', end=f'{s}.end'))})"
+    return let(ordered, lambda o: struct(starts=each(o, lambda s: f"{s}.start"),
+                                         ends=running(each(o, lambda s: f"{s}.end"), lambda a, x: f"greatest({a}, {x})")))
+
+
+def meets(span: str, known: str) -> str:
+    """Whether a span overlaps one of the spans of edges()."""
+    return let(below(f"{known}.starts", f"{span}.end"), lambda n: f"if({n} = 0, false, {known}.ends[{n} - 1] > {span}.start)")
 
 
 @dataclass(frozen=True)
@@ -161,15 +292,13 @@ class Model:
     trees: tuple[Stump, ...]
     threshold: float
 
-    def score(self, feature) -> Column:
-        """feature(name): the column of a feature."""
+    def score(self, candidate: str) -> str:
+        """The score of a struct of features."""
         def side(s):
-            return F.when(feature(s[0]) <= s[1], F.lit(s[2])).otherwise(F.lit(s[3]))
+            return f"if({candidate}.{s[0]} <= {s[1]}, {s[2]!r}D, {s[3]!r}D)"
 
-        total = F.lit(self.bias)
-        for t in self.trees:
-            total = total + F.when(feature(t.root[0]) <= t.root[1], side(t.left)).otherwise(side(t.right))
-        return total
+        trees = [f"if({candidate}.{t.root[0]} <= {t.root[1]}, {side(t.left)}, {side(t.right)})" for t in self.trees]
+        return f"({' + '.join([f'{self.bias!r}D', *trees])})"
 
     def value(self, vector: dict[str, int]) -> float:
         total = self.bias
@@ -181,9 +310,14 @@ class Model:
 
 @dataclass(frozen=True)
 class Models:
-    """A model for each of KINDS; its threshold is the lowest of theirs."""
+    """A model for each of KINDS; its threshold is the lowest of theirs.
+
+    figures: by kind, on the documents that neither fitted nor calibrated, the recall on rewritten spans (those
+    that no generator proposes count as missed) and the precision among all candidates that may be added.
+    """
 
     kinds: tuple[Model, ...]
+    figures: dict[str, dict[str, float]] = field(default_factory=dict, compare=False)
 
     @property
     def threshold(self) -> float:
@@ -247,100 +381,156 @@ def calibrated(model: Model, counts: list[tuple[dict[str, int], float, float]],
             pools[-1][1] += a2
             pools[-1][2] += n2
     threshold, above = math.inf, 0.0
-    for score, a, n in reversed(pools):
+    for k in reversed(range(len(pools))):
+        score, a, n = pools[k]
         above += n
         if a < precision * n:
             break
         if above >= least:
-            threshold = score - 1e-9
+            # halfway to what is refused: vectors that were never met fall to the nearer side
+            refused = max((x for x, _, _ in by_score if x < score), default=score - 2)
+            threshold = (score + refused) / 2
     return Model(model.bias, model.trees, threshold)
 
 
-def overlaps(span: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (span["start"] < b["end"]) & (b["start"] < span["end"]))
-
-
 def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision: float = 0.98, least: int = 20) -> Models:
-    """Models for the candidates of all docs: positive if a base span of their kind covers them, else by their own check.
-
-    Two thirds of the documents, by a hash of the id, fit the trees and the rest calibrates, each kind
-    by itself.  Counts per feature vector, at most 2 * VECTORS rows, reach the driver.  A kind without
-    positive candidates selects nothing.  A candidate that overlaps a base span without being covered
-    cannot be selected and has no label, nor has one that is part of a longer match which failed its
-    check, such as one of two numbers side by side.
+    """Models for the candidates of all docs; see the head of this module for their labels.
+
+    Of each base span two rewritten forms, by a hash, are positives and one is a hard negative; a candidate
+    that a base span of its kind covers is a positive that helps to fit but, as it cannot be added, does not
+    calibrate.  Any other candidate of the corpus is labelled by its own check: a plausible ending, octets,
+    Luhn, 8 to 15 digits after a word such as tel.  One that overlaps a base span, or is part of a longer
+    match which failed its check, such as one of two numbers side by side, has no label.  Counts per
+    fold, origin and feature vector, at most 12 * VECTORS rows, reach the driver.  A kind without positive
+    candidates selects nothing.  Null texts count as empty; an empty table gives models that add nothing.
     """
-    own = docs.select(F.pmod(F.xxhash64(row_id), F.lit(3)).alias("fold"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    spans = own.select("fold", candidates(F.col("t")).alias("c"), "t").filter(F.size("c") > 0)
-    covers = lambda s, c: (s["kind"] == c["kind"]) & (s["start"] <= c["start"]) & (c["end"] <= s["end"])
-    covered = lambda c: F.exists("b", lambda s: covers(s, c))
-    failed = _matched(F.col("t"), lambda kind, value: ~passes(kind, value))
-    labelled = spans.select("fold", "c", base(F.col("t")).alias("b"), failed.alias("f")).select("fold", F.explode(F.transform(
-        F.filter("c", lambda c: (covered(c) | ~overlaps(c, F.col("b")))
-                 & ~F.exists("f", lambda s: covers(s, c) & (s["end"] - s["start"] > c["end"] - c["start"]))),
-        lambda c: F.struct(*(c[n].alias(n) for n in LEVELS), (covered(c) | sound(c)).cast("long").alias("label")))).alias("x"))
-    counts = labelled.groupBy("fold", *(F.col("x")[n].alias(n) for n in LEVELS)).agg(
-        F.sum(F.col("x")["label"]).alias("yes"), F.count(F.lit(1)).alias("n"))
-    held_out, fitted = [], {}
-    for r in sorted(counts.collect()):
-        vector = {n: r[n] for n in LEVELS}
-        if r["fold"] == 2:
-            held_out.append((vector, float(r["yes"]), float(r["n"] - r["yes"])))
+    own = docs.selectExpr(f"cast(pmod(xxhash64(`{row_id}`), {FOLDS}) as int) as fold", f"coalesce(`{text}`, '') as t")
+    met = own.selectExpr("fold", "t", *(f"{matches('t', k)} as m_{k}" for k in KINDS))
+    kept = f"concat({', '.join(spans_of(f'm_{k}', i) for i, k in enumerate(KINDS))})"
+    met = met.selectExpr("*", f"{edges(kept)} as taken", *(f"{each(f'm_{k}', lambda m: f'{m}.start')} as s_{k}" for k in KINDS),
+                         *(f"{candidates('t', [k])} as c_{k}" for k in KINDS))
+
+    def plain(kind: str) -> str:
+        """Labelled candidates of the texts; the one match that may cover a candidate is the last that begins no later."""
+        def judged(c: str, at: str) -> str:
+            covers = f"coalesce({at}.start <= {c}.start and {at}.end >= {c}.end, false)"
+            sound = f"({c}.checked = 1{f' and {c}.cue = 2' if kind == 'phone' else ''})"
+            label = (f"case when {covers} and {at}.ok then 1 when {covers} and {at}.end - {at}.start > {c}.end - {c}.start then null "
+                     f"when {meets(c, 'taken')} then null when {sound} then 1 else 0 end")
+            return let(label, lambda x: struct(
+                origin=f"if({covers} and {at}.ok, 'covered', 'plain')", label=x, of=str(KINDS.index(kind)), snippet="''", s="0", e="0",
+                                               **{n: f"{c}.{n}" for n in LEVELS}))
+
+        last = lambda c: f"try_element_at(m_{kind}, greatest({below(f's_{kind}', f'{c}.start + 1')}, 1))"
+        every = each(f"c_{kind}", lambda c: let(last(c), lambda at: judged(c, at)))
+        return where(every, lambda x: f"{x}.label is not null")
+
+    def noisy(kind: str) -> str:
+        """Rewritten base spans, as snippets of their context."""
+        def forms(m: str) -> str:
+            good, bad = rewritten(kind, f"{m}.value")
+            one = lambda value, label: struct(
+                origin="'rewritten'", label=label, of=str(KINDS.index(kind)), snippet=f"concat({m}.before, {value}, {m}.after)",
+                s=f"char_length({m}.before)", e=f"char_length({m}.before) + char_length({value})", **{n: "cast(null as int)" for n in LEVELS})
+            drawn = f"cast(pmod(xxhash64({m}.value, {m}.start), 12) as int)"
+            return let(drawn, lambda k: "array({})".format(", ".join((
+                one(f"array({', '.join(good)})[{k} % {len(good)}]", "1"), one(f"array({', '.join(good)})[({k} + 1) % {len(good)}]", "1"),
+                one(f"array({', '.join(bad)})[{k} % {len(bad)}]", "0")))))
+
+        return f"flatten({each(where(f'm_{kind}', lambda m: f'{m}.ok'), forms)})"
+
+    rows = met.selectExpr("fold", f"explode(concat({', '.join([*map(plain, KINDS), *map(noisy, KINDS)])})) as x")
+    proposed = " ".join(f"when x.of = {i} then " + where(candidates("x.snippet", [k]), lambda c: f"{c}.start <= x.s and x.e <= {c}.end")
+                        for i, k in enumerate(KINDS))
+    rows = rows.selectExpr("fold", "x", f"if(x.origin = 'rewritten', try_element_at(case {proposed} end, 1), null) as c")
+    counts = rows.selectExpr("fold", "x.origin", "x.of", "x.label", *(f"coalesce(x.{n}, c.{n}) as {n}" for n in LEVELS)).groupBy(
+        "fold", "origin", "of", *LEVELS).agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
+    fitted: dict[int, dict] = {k: {} for k in range(len(KINDS))}
+    late: dict[tuple[int, int], list] = {(f, k): [] for f in (CALIBRATES, JUDGES) for k in range(len(KINDS))}
+    missed = [0.0] * len(KINDS)
+    for r in sorted(counts.collect(), key=lambda r: tuple((x is not None, x) for x in r)):
+        vector_ = {n: r[n] for n in LEVELS}
+        if r["kind"] is None:  # no generator proposed it
+            missed[r["of"]] += r["yes"] * (r["fold"] == JUDGES)
+        elif r["fold"] in (CALIBRATES, JUDGES):
+            if r["origin"] != "covered":
+                late[r["fold"], r["of"]].append((vector_, float(r["yes"]), float(r["n"] - r["yes"])))
         else:
-            a, b = fitted.get(tuple(vector.items()), (0.0, 0.0))
-            fitted[tuple(vector.items())] = (a + r["yes"], b + r["n"] - r["yes"])
-
-    def of(kind: int) -> Model:
-        model = boost([(dict(v), a, b) for v, (a, b) in fitted.items() if dict(v)["kind"] == kind])
-        return calibrated(model, [c for c in held_out if c[0]["kind"] == kind], precision, least)
-
-    return Models(tuple(map(of, range(len(KINDS)))))
-
-
-def spans(text: Column, models: Models) -> Column:
-    """Base spans and, where they overlap none, the candidates the models select (of overlapping ones the
-    first by start, then the longer): array of kind, start, end, by kind, then start."""
-    chosen = base(text)
-    if not math.isfinite(models.threshold):
-        return chosen
-
-    def of(kind: str, model: Model, kept: Column) -> Column:
-        return F.filter(candidates(text, [kind]), lambda c: (model.score(lambda n: c[n]) >= model.threshold) & ~overlaps(c, kept))
-
-    def further(kept: Column) -> Column:
-        picked = F.concat(*(of(k, m, kept) for k, m in zip(KINDS, models.kinds) if math.isfinite(m.threshold)))
-        ordered = F.array_sort(F.transform(picked, lambda c: F.struct(
-            c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
-        none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-        apart = F.aggregate(ordered, F.struct(F.lit(-1).alias("last"), none.alias("out")), lambda acc, c: F.when(
-            c["start"] < acc["last"], acc).otherwise(F.struct((-c["back"]).alias("last"), F.array_append(
-                acc["out"], F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["back"]).alias("end"))).alias("out"))),
-            lambda acc: acc["out"])
-        return F.array_sort(F.concat(kept, apart))
-
-    return held(chosen, further)
-
-
-def listed(found_spans: Column) -> Column:
-    """kind:start:end, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(found_spans, lambda s: F.concat(
-        names[s["kind"]], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
-
-
-def redacted(text: Column, found_spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans what is left after
-    the earlier one.  A text without spans stays as it is, a null text null."""
-    names = F.array(*map(F.lit, KINDS))
-    ordered = F.array_sort(F.transform(found_spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] <= acc["at"], acc["out"]).otherwise(
-            F.array_append(acc["out"], F.concat(
-                F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
-                F.lit("["), F.upper(names[s["kind"]]), F.lit("]")))).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    parts = F.aggregate(ordered, first, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(found_spans) > 0, parts).otherwise(text)
+            key = tuple(vector_.items())
+            a, b = fitted[r["of"]].get(key, (0.0, 0.0))
+            fitted[r["of"]][key] = (a + r["yes"], b + r["n"] - r["yes"])
+    made, figures = [], {}
+    for k, kind in enumerate(KINDS):
+        model = calibrated(boost([(dict(v), a, b) for v, (a, b) in fitted[k].items()]), _pooled(late[CALIBRATES, k]), precision, least)
+        taken = [c for c in late[JUDGES, k] if model.value(c[0]) >= model.threshold]
+        right, all_ = sum(c[1] for c in taken), sum(c[1] for c in late[JUDGES, k]) + missed[k]
+        figures[kind] = {"rewritten": all_, "recall": right / all_ if all_ else math.nan,
+                         "precision": right / (right + sum(c[2] for c in taken)) if taken else math.nan}
+        made.append(model)
+    return Models(tuple(made), figures)
+
+
+def _pooled(counts: list[tuple[dict[str, int], float, float]]) -> list[tuple[dict[str, int], float, float]]:
+    """One entry a vector."""
+    out: dict[tuple, tuple[float, float]] = {}
+    for v, a, b in counts:
+        x, y = out.get(tuple(v.items()), (0.0, 0.0))
+        out[tuple(v.items())] = (x + a, y + b)
+    return [(dict(v), a, b) for v, (a, b) in out.items()]
+
+
+def analysed(df: DataFrame, text: str, models: Models) -> DataFrame:
+    """df with base_spans, the base spans, and all_spans: with, where they overlap none, the candidates that the
+    models select (of overlapping ones the first by start, then the longer).
+
+    Both are arrays of kind, start, end, by kind, then start; a null text has none.  Rows, repeated ones too,
+    pass one to one; new columns get underscores before names that df has.
+    """
+    kept, every, known, picked = fresh(df.columns, "base_spans", "all_spans", "known", "picked")
+    value = f"coalesce(`{text}`, '')"
+    df = df.selectExpr("*", f"{base(value)} as {kept}")
+    active = [(k, m) for k, m in zip(KINDS, models.kinds) if math.isfinite(m.threshold)]
+    if not active:
+        return df.withColumn(every, F.col(kept))
+
+    def of(kind: str, model: Model) -> str:
+        return where(candidates(value, [kind]), lambda c: f"{model.score(c)} >= {model.threshold!r}D and not {meets(c, known)}")
+
+    def taken(last: str, c: str) -> tuple[str, str]:
+        span = struct(kind=f"{c}.kind", start=f"{c}.start", end=f"-{c}.back")
+        return (f"if({c}.start < {last}, {last}, -{c}.back)", f"if({c}.start < {last}, {none(f'array<{SPAN}>')}, array({span}))")
+
+    ordered = each(f"concat({', '.join(of(k, m) for k, m in active)})", lambda c: struct(start=f"{c}.start", back=f"-{c}.end", kind=f"{c}.kind"))
+    df = df.selectExpr("*", f"{edges(kept)} as {known}").selectExpr("*", f"array_sort({ordered}) as {picked}")
+    more = folded(picked, "-1", taken, f"array<{SPAN}>")
+    return df.selectExpr("*", f"if(size({picked}) = 0, {kept}, array_sort(concat({kept}, {more}))) as {every}").drop(known, picked)
+
+
+def listed(found_spans: str) -> Column:
+    """kind:start:end, comma-joined, of a column of spans."""
+    names = f"array({', '.join(map(repr, KINDS))})"
+    return F.expr(f"array_join({each(found_spans, lambda s: f"concat_ws(':', {names}[{s}.kind], {s}.start, {s}.end)")}, ',')")
+
+
+def redacted(text: str, found_spans: str) -> Column:
+    """The text (a column) with each span replaced by its kind in brackets; of overlapping spans what is left
+    after the earlier one.  A text without spans stays as it is, a null text null."""
+    names = f"array({', '.join(repr(f'[{k.upper()}]') for k in KINDS)})"
+    ordered = f"array_sort({each(found_spans, lambda s: struct(start=f'{s}.start', end=f'{s}.end', kind=f'{s}.kind'))})"
+    piece = "array<struct<start:int,end:int,mark:string>>"
+
+    def step(at: str, s: str) -> tuple[str, str]:
+        # the clear text before a span, and the mark that follows it
+        clear = struct(start=at, end=f"greatest({at}, {s}.start)", mark=f"{names}[{s}.kind]")
+        return f"greatest({at}, {s}.end)", f"if({s}.end <= {at}, {none(piece)}, array({clear}))"
+
+    def block(own: str) -> str:
+        # a block's part of the text is cut out once, its pieces from that
+        part = f"substring({text}, {own}[0].start + 1, element_at({own}, -1).end - {own}[0].start)"
+        return let(part, lambda t: f"array_join({each(own, lambda p: (
+            f'concat(substring({t}, {p}.start - {own}[0].start + 1, {p}.end - {p}.start), {p}.mark)'))}, '')")
+
+    rest = f"array_max({each(found_spans, lambda s: f'{s}.end')})"
+    joined = let(folded(ordered, "0", step, piece), lambda pieces: (
+        f"concat(array_join({in_blocks(pieces, lambda b: let(b, block))}, ''), substring({text}, {rest} + 1, char_length({text})))"))
+    return F.expr(f"if(size({found_spans}) > 0, {joined}, {text})")

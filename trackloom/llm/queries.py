@@ -61,12 +61,11 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     model = personal_data.fit(docs)
-    found = docs.select("doc_id", personal_data.base(F.col("text")).alias("base"),
-                        personal_data.spans(F.col("text"), model).alias("all"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    found = personal_data.analysed(docs, "text", model)
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(personal_data.KINDS)),
-                        F.sha2(personal_data.listed(F.col("base")), 256).alias("base_sha256"),
-                        personal_data.listed(F.col("all")).alias("spans"))
+                        F.sha2(personal_data.listed("base_spans"), 256).alias("base_sha256"),
+                        personal_data.listed("all_spans").alias("spans"), F.size("all_spans").cast("long").alias("n_spans"))
 
 
 def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
