@@ -41,9 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced by their kinds; n_chars follows the text."""
     model = personal_data.fit(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    clean = personal_data.held(personal_data.spans(text, model), lambda s: personal_data.redacted(F.col("text"), s))
-    return docs.withColumn("text", clean).withColumn(
+    found = personal_data.analysed(docs, "text", model)
+    clean = personal_data.redacted("text", "all_spans")
+    return found.withColumn("text", clean).withColumn(
         "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
