@@ -232,9 +232,12 @@ def fnv32(data: Column) -> Column:
 
 
 def spot(planes: DataFrame, spots: DataFrame, width: int) -> DataFrame:
-    """planes with Gaussian spots added (frame, cx, cy, amplitude, sigma): floor(A exp(-d^2 / 2 s^2)), clamped to 0..255."""
-    hit = planes.join(spots, "frame")
+    """planes with Gaussian spots added (frame, cx, cy, amplitude, sigma): floor(A exp(-d^2 / 2 s^2)), clamped to 0..255.
+
+    Frames without a spot stay as they are.
+    """
+    hit = planes.join(spots, "frame", "left")
     dx, dy = F.col("pixel") % width - F.col("cx"), F.expr(f"pixel div {width}") - F.col("cy")
     change = F.floor(F.round(F.col("amplitude") * F.exp(-(dx * dx + dy * dy) / (2 * F.col("sigma") * F.col("sigma"))), 9)).cast("int")
-    added = hit.groupBy("frame", "pixel").agg(F.first("value").alias("value"), F.sum(change).cast("int").alias("change"))
+    added = hit.groupBy("frame", "pixel").agg(F.first("value").alias("value"), F.coalesce(F.sum(change), F.lit(0)).cast("int").alias("change"))
     return added.select("frame", "pixel", F.greatest(F.lit(0), F.least(F.lit(255), F.col("value") + F.col("change"))).alias("value"))

@@ -28,10 +28,10 @@ def _hits(t):
 
 
 def _seen(t):
-    return _targets(t).filter("frame % 7 < 5").withColumn("contrast", F.col("frame") % 40 + 5.0)
+    return _targets(t).withColumn("contrast", F.col("frame") % 40 + 5.0)
 
 
-SEEN = f"(SELECT *, CAST(frame % 40 + 5 AS DOUBLE) AS contrast FROM ({TARGETS}) t0 WHERE frame % 7 < 5)"
+SEEN = f"(SELECT *, CAST(frame % 40 + 5 AS DOUBLE) AS contrast FROM ({TARGETS}) t0)"
 TARGET_RESULTS = f"""
   SELECT video, target, visible, visible >= 6 AS judged, CASE WHEN visible >= 6 THEN covered >= 6 END AS found,
          CASE WHEN visible >= 6 THEN round(covered / visible, 6) END AS completeness,
@@ -47,12 +47,12 @@ TARGET_RESULTS = f"""
 STATES = ["done", "already", "too_many", "failed"]
 KIND = """CASE WHEN coalesce(lower(trim(verdict)), '') = '' THEN 'todo' WHEN lower(trim(verdict)) IN ('yes', 'y', 'oui', 'o', 'bat', '1') THEN 'yes'
           WHEN lower(trim(verdict)) IN ('no', 'n', 'non', '0') THEN 'no' WHEN lower(trim(verdict)) IN ('doubt', '?', 'maybe', 'doute') THEN 'doubt' ELSE 'other' END"""
-GUARD = "SELECT id, motion, found, (CASE WHEN id % 10 = 3 THEN NOT found ELSE found END) AS now FROM results WHERE id % 7 <> 2"
+GUARD = "SELECT id, motion, found, (CASE WHEN id % 10 = 3 THEN NOT found ELSE found END) AS now FROM results"
 
 
 def _judged(t):
-    r = t("results").filter("id % 7 <> 2")
-    return r.select("id", "motion", "found"), t("results").filter("id % 7 <> 2").select("id", F.when(F.col("id") % 10 == 3, ~F.col("found")).otherwise(F.col("found")).alias("found"))
+    r = t("results")
+    return r.select("id", "motion", "found"), r.select("id", F.when(F.col("id") % 10 == 3, ~F.col("found")).otherwise(F.col("found")).alias("found"))
 
 
 def _visible(t):
@@ -187,11 +187,11 @@ QUERIES = {
     "j25_settings_drift": (_drift, """
         SELECT * FROM (SELECT c_custkey, 'segment' AS name, c_mktsegment AS was, 'NEW' AS now FROM customer WHERE c_custkey % 5 = 0 AND c_mktsegment <> 'NEW'
         UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR), NULL FROM customer WHERE c_custkey % 7 = 0) d"""),
-    "j27_hit_test": (lambda t: ledger.hit_test(t("scene_points").filter("frame % 4 = 0").select(
+    "j27_hit_test": (lambda t: ledger.hit_test(t("scene_points").select(
         (F.col("track") * 10000 + F.col("frame")).alias("id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width") * 6).alias("x1"), (F.col("y") + F.col("height") * 6).alias("y1")), 700.0, 500.0, 60.0), """
         SELECT id, round(sqrt((x0 + t * dx - 700) * (x0 + t * dx - 700) + (y0 + t * dy - 500) * (y0 + t * dy - 500)), 6) AS d FROM (
           SELECT *, greatest(0, least(1, ((700 - x0) * dx + (500 - y0) * dy) / (dx * dx + dy * dy))) AS t FROM (
-            SELECT track * 10000 + frame AS id, x AS x0, y AS y0, width * 6 AS dx, height * 6 AS dy FROM scene_points WHERE frame % 4 = 0) a) b
+            SELECT track * 10000 + frame AS id, x AS x0, y AS y0, width * 6 AS dx, height * 6 AS dy FROM scene_points) a) b
         WHERE round(sqrt((x0 + t * dx - 700) * (x0 + t * dx - 700) + (y0 + t * dy - 500) * (y0 + t * dy - 500)), 6) <= 60"""),
     "f01_text_forms": (_clocks, CLOCKS),
     "f06_cells": (_cells, """

@@ -163,20 +163,20 @@ def _same(t):
 
 
 def _crowding(t):
-    a = t("candidates").filter("det_idx % 9 = 0").select("video", "frame", F.col("det_idx").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    a = t("candidates").select("video", "frame", F.col("det_idx").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = t("scene_points").select("video", "frame", F.col("track").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     return matching.crowded(a, b, ["video", "frame"], 40.0)
 
 
 def _near_flag(t):
-    a = t("detections").filter("det_idx % 4 = 0").select("video", "frame", F.col("det_idx").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    a = t("detections").select("video", "frame", F.col("det_idx").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = t("scene_points").select("video", "frame", F.col("track").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     on = matching.near_pairs(a, b, ["video", "frame"], 1e-6).select("a_id").distinct().withColumn("on_track", F.lit(True))
     return a.join(on, "a_id", "left").select("a_id", F.coalesce("on_track", F.lit(False)).alias("on_track"))
 
 
 def _markers(t):
-    return t("detections").filter("frame % 10 = 0").select(F.expr("frame div 100").alias("page"), F.col("det_idx").alias("id"), F.col("obj").alias("owner"), "x", "y")
+    return t("detections").select(F.expr("frame div 100").alias("page"), F.col("det_idx").alias("id"), F.col("obj").alias("owner"), "x", "y")
 
 
 def _attach(t):
@@ -229,7 +229,7 @@ QUERIES = {
           FROM verdicts v JOIN ({STARTS}) s ON v.video = s.video AND round(abs(v.start_s - s.start_s), 6) <= 1) r WHERE rn = 1"""),
     "j19_on_track": (_near_flag, """
         SELECT det_idx AS a_id, EXISTS (SELECT 1 FROM scene_points s WHERE s.video = d.video AND s.frame = d.frame
-          AND sqrt((s.x - d.x) * (s.x - d.x) + (s.y - d.y) * (s.y - d.y)) <= 1e-6) AS on_track FROM detections d WHERE det_idx % 4 = 0"""),
+          AND sqrt((s.x - d.x) * (s.x - d.x) + (s.y - d.y) * (s.y - d.y)) <= 1e-6) AS on_track FROM detections d"""),
     "j20_differing_frames": (_differing, """
         WITH a AS (SELECT video, frame, list_sort(list((x, y, area))) AS l FROM detections GROUP BY video, frame),
              b AS (SELECT video, frame, list_sort(list((x, y, area))) AS l FROM candidates GROUP BY video, frame)
@@ -240,20 +240,20 @@ QUERIES = {
                min(CASE WHEN frame % 500 = 499 AND NOT key_frame THEN frame END) AS key_gap, CAST(NULL AS BIGINT) AS error_gap FROM frames GROUP BY video"""),
     "j22_crowding": (_crowding, """
         SELECT DISTINCT c.det_idx AS a_id FROM candidates c JOIN scene_points s ON s.video = c.video AND s.frame = c.frame
-        WHERE c.det_idx % 9 = 0 AND sqrt((s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y)) < 40"""),
+        WHERE sqrt((s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y)) < 40"""),
     "j24_grid_neighbours": (lambda t: matching.neighbours(_markers(t), ["page"], 20.0), """
-        WITH m AS (SELECT frame // 100 AS page, det_idx AS id, obj AS owner, x, y FROM detections WHERE frame % 10 = 0)
+        WITH m AS (SELECT frame // 100 AS page, det_idx AS id, obj AS owner, x, y FROM detections)
         SELECT a.page, a.id, count(b.id) AS crossings FROM m a LEFT JOIN m b ON a.page = b.page AND a.owner <> b.owner
           AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 40 GROUP BY a.page, a.id"""),
     "g11_agreement": (_agreement, DETECTIONS + """
         SELECT video, reference, current, paired, reference - paired AS lost, current - paired AS added, round(paired / reference, 6) AS rate FROM
           (SELECT video, count(*) AS reference FROM detections GROUP BY video) a JOIN (SELECT video, count(*) AS current FROM candidates GROUP BY video) b USING (video)
           JOIN (SELECT video, count(*) AS paired FROM taken GROUP BY video) c USING (video)"""),
-    "g12_difference_groups": (lambda t: matching.difference_groups(_differences(t).filter("frame % 90 < 40"), ["video"]), DETECTIONS + f"""
+    "g12_difference_groups": (lambda t: matching.difference_groups(_differences(t), ["video"], 3), DETECTIONS + f"""
         SELECT video, min(frame) AS first, max(frame) AS last, count(*) FILTER (WHERE kind = 'lost') AS lost, count(*) FILTER (WHERE kind = 'added') AS added,
                round(avg(x), 6) AS x, round(avg(y), 6) AS y, max(amplitude) AS peak FROM (
-          SELECT *, sum(CASE WHEN before IS NULL OR frame > before + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY frame RANGE UNBOUNDED PRECEDING) AS g FROM (
-            SELECT *, lag(frame) OVER (PARTITION BY video ORDER BY frame) AS before FROM ({ALONE}) r WHERE frame % 90 < 40) a) b GROUP BY video, g"""),
+          SELECT *, sum(CASE WHEN before IS NULL OR frame > before + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY frame RANGE UNBOUNDED PRECEDING) AS g FROM (
+            SELECT *, lag(frame) OVER (PARTITION BY video ORDER BY frame) AS before FROM ({ALONE}) r) a) b GROUP BY video, g"""),
     "g13_track_agreement": (lambda t: _track_matches(t).groupBy("video").agg(
         F.count(F.lit(1)).alias("paired"), F.count_if(F.col("points_gap") <= 3).alias("agreeing")), TRACKS + """
         SELECT video, count(*) AS paired, count(*) FILTER (WHERE points_gap <= 3) AS agreeing FROM taken GROUP BY video"""),

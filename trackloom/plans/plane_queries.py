@@ -129,8 +129,8 @@ QUERIES = {
               SELECT n_nationkey, h, i + 1, CAST((CAST(xor(hash, CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS HUGEINT) * 16777619) % 4294967296 AS BIGINT) FROM r WHERE 2 * i < length(h))
         SELECT n_nationkey, hash FROM r WHERE 2 * i = length(h)"""),
     "p13_spot_injection": (lambda t: planes.spot(t("planes"), _spots(t), WIDTH), """
-        SELECT frame, pixel, CAST(greatest(0, least(255, value + CAST(floor(round(40 * exp(-((pixel % 8 - frame % 7 - 0.5) * (pixel % 8 - frame % 7 - 0.5)
-               + (pixel // 8 - frame % 5 - 1.25) * (pixel // 8 - frame % 5 - 1.25)) / 4.5::DOUBLE), 9)) AS INT))) AS INT) AS value FROM planes WHERE frame % 5 = 0"""),
+        SELECT frame, pixel, CAST(greatest(0, least(255, value + CASE WHEN frame % 5 = 0 THEN CAST(floor(round(40 * exp(-((pixel % 8 - frame % 7 - 0.5) * (pixel % 8 - frame % 7 - 0.5)
+               + (pixel // 8 - frame % 5 - 1.25) * (pixel // 8 - frame % 5 - 1.25)) / 4.5::DOUBLE), 9)) AS INT) ELSE 0 END)) AS INT) AS value FROM planes"""),
 }
 
 ORACLES = {k: oracle(sql) for k, (_, sql) in QUERIES.items()}

@@ -74,9 +74,9 @@ QUERIES = {
         SELECT video, array_to_string(list_slice(list(first || '-' || last ORDER BY first), 1, 3), ', ') AS shown, greatest(count(*) - 3, 0) AS more, CAST(sum(last - first) AS BIGINT) AS total
         FROM ({union_sql('SELECT * FROM spans')}) s GROUP BY video"""),
     "j26_joined_damage": (_joined, union_sql(f"SELECT video, first, last FROM ({DAMAGE}) d UNION ALL SELECT video, frame, frame + 5 FROM frames WHERE frame % 97 = 3")),
-    "k01_total_order": (lambda t: tracks.numbered(t("scene_points"), ["video"]).filter("id <= 5"), """
-        SELECT * FROM (SELECT video, track, row_number() OVER (PARTITION BY video ORDER BY f, x, track) AS id FROM (
-          SELECT video, track, min(frame) AS f, arg_min(x, frame) AS x FROM scene_points GROUP BY video, track) a) b WHERE id <= 5"""),
+    "k01_total_order": (lambda t: tracks.numbered(t("scene_points"), ["video"]), """
+        SELECT video, track, row_number() OVER (PARTITION BY video ORDER BY f, x, track) AS id FROM (
+          SELECT video, track, min(frame) AS f, arg_min(x, frame) AS x FROM scene_points GROUP BY video, track) a"""),
     "k06_track_limit": (lambda t: rendering.limited(tracks.numbered(t("track_points"), ["video"]), ["video"], 499), """
         SELECT video, count(DISTINCT track) AS tracks, CASE WHEN count(DISTINCT track) > 499 THEN 'too_many_tracks' ELSE 'done' END AS state FROM track_points GROUP BY video"""),
     "k08_next_to_see": (lambda t: rendering.after(t("verdicts").select("video", F.col("row_id").alias("idx"), "verdict"), ["video"], F.lit(5000), F.col("verdict") == ""), """

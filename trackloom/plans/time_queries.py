@@ -119,9 +119,9 @@ QUERIES = {
         SELECT f.video, f.frame, coalesce((SELECT min(k.frame) - 1 FROM frames k WHERE k.video = f.video AND k.key_frame AND k.frame > f.frame),
                                           max(f.frame) OVER (PARTITION BY f.video)) AS until FROM frames f"""),
     "j14_frame_of_pts": (lambda t: t("frames").filter("pts IS NOT NULL").join(
-        t("frames").filter("pts IS NOT NULL AND frame % 3 = 0").select("video", "pts", F.col("frame").alias("served")), ["video", "pts"]).select("video", "pts", "served"), """
+        t("frames").filter("pts IS NOT NULL").select("video", "pts", F.col("frame").alias("served")), ["video", "pts"]).select("video", "pts", "served"), """
         SELECT a.video, a.pts, b.frame AS served FROM frames a JOIN frames b ON a.video = b.video AND a.pts = b.pts
-        WHERE a.pts IS NOT NULL AND b.frame % 3 = 0"""),
+        WHERE a.pts IS NOT NULL"""),
     "u01_span_algebra": (_algebra, """
         SELECT span_id, greatest(first, f2) AS both_first, least(last, l2) AS both_last, greatest(first, f2) <= least(last, l2) AS overlap,
                least(first, f2) AS hull_first, greatest(last, l2) AS hull_last, greatest(0, first - 10) AS wide_first, last + 10 AS wide_last
