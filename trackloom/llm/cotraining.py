@@ -1,10 +1,12 @@
 """A quality classifier by co-training of two views.
 
-One view sees only what a text consists of, the other only a page's metadata.  Both are fitted on a
-bounded sample of labelled rows; over rounds both score all other documents in a narrow pass, and the
-pseudo-labels of which one is most confident go to the other.  Confidence is judged after calibration
-on rows that neither was fitted on.  The calibrated views are then combined and score every document
-in one narrow pass.
+One view sees only what a text consists of, the other only a page's metadata.  Both are fitted on a third
+of a bounded sample of labelled rows.  In each round both score all other documents in one pass, and each
+document of whose class one view is confident counts as a pseudo-label of the other: the pass returns the
+exact sums of the other view's gradient over them, so that every confident document of the corpus counts,
+however many there are, and only sums reach the driver.  Pseudo-labels of a class weigh together as much as
+its labelled rows, at every size of the corpus.  Confidence is judged after calibration on the second third
+of the sample, on which the calibrated views are also combined; the last third gives the figures.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,21 +26,26 @@ from pyspark.sql import types as T
 from trackloom.llm.byte_bpe import slices
 from trackloom.llm.frames import cut, fresh
 from trackloom.llm.pretokens import in_groups
-from trackloom.llm.workers import releasing
+from trackloom.llm.workers import mapped
 
-#: Bounds of what reaches the driver: labelled rows, by the smallest hashes of their ids, and rows with a pseudo-label.
-LABELLED, POOL = 12_000, 12_000
-#: A pseudo-label needs this calibrated confidence; so many of a class pass to the other view in a round.
-CONFIDENT, PER_ROUND, ROUNDS = 0.97, 600, 4
-SURE = math.log(CONFIDENT / (1 - CONFIDENT))
+#: Bound of the labelled rows that are fitted on: those of the smallest hashes of their ids.
+LABELLED = 12_000
+#: A view is confident of a class if it errs at most this share of what naming that class blindly errs.
+ERROR = 0.2
+#: Rounds of exchange, and the weight of all pseudo-labels of a class against its labelled rows.
+ROUNDS, PSEUDO = 4, 1.0
+#: Features and residuals are multiples of 1 / FINE and 1 / FINER: sums of their products are exact in any order.
+FINE, FINER = 1024, 4096
 
 # Classes of code points in the text view; the rest are letters by case, digits, white space.
 MARKS = "!|#$%&*.,;:?\"'()-_/<>=@"
 CLASSES = 32
 LOWER, UPPER, DIGIT, BLANK, BREAK, OTHER = range(6)
-TEXT_FEATURES = CLASSES * CLASSES + 6
-SOURCES, LANGS, LENGTHS = 128, 32, 24
-META_FEATURES = SOURCES + LANGS + LENGTHS
+#: Cells into which words are hashed.
+WORDS = 512
+TEXT_FEATURES = CLASSES * CLASSES + WORDS + 6
+SOURCES, LANGS, CROSSES, LENGTHS = 128, 32, 256, 48
+META_FEATURES = SOURCES + LANGS + CROSSES + LENGTHS
 
 
 @cache
@@ -56,8 +64,25 @@ def _classes() -> np.ndarray:
     return table
 
 
-def text_features(texts: list[str]) -> np.ndarray:
-    """Frequencies of pairs of adjacent code-point classes, repetition of words and lines, lengths."""
+@cache
+def _cell(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass"))
+
+
+class Cells(dict):
+    """The cells of words; begun anew when it holds many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        cell = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % WORDS
+        return cell
+
+
+def text_features(texts: list[str], cells: Cells | None = None) -> np.ndarray:
+    """Frequencies of pairs of adjacent code-point classes and of words by cell, repetition of words and
+    lines, lengths; multiples of 1 / FINE from 0 to 1."""
+    cells = Cells() if cells is None else cells
     out = np.zeros((len(texts), TEXT_FEATURES), dtype=np.float32)
     pairs = CLASSES * CLASSES
     for first, last in in_groups(texts):
@@ -74,28 +99,27 @@ def text_features(texts: list[str]) -> np.ndarray:
         words = text.split()
         lines = text.split("\n")
         distinct = len(set(words))
-        out[k, pairs:] = (
+        if words:
+            held = np.fromiter(map(cells.__getitem__, words), dtype=np.int64, count=len(words))
+            out[k, pairs:pairs + WORDS] = np.sqrt(np.bincount(held, minlength=WORDS) / len(words))
+        out[k, pairs + WORDS:] = (
             distinct / math.sqrt(max(1, len(words))) / 20, len(set(lines)) / len(lines),
-            min(1.0, len(text) / max(1, len(words)) / 20), math.log1p(len(words)) / 10, distinct / max(1, len(words)),
+            len(text) / max(1, len(words)) / 20, math.log1p(len(words)) / 10, distinct / max(1, len(words)),
             not words)
-    return out
+    return np.round(np.minimum(out, 1) * FINE) / FINE
 
 
 def meta_features(sources: list[str | None], langs: list[str | None], lengths: list[int | None]) -> np.ndarray:
-    """One-hot source and language, by a hash, and the binary order of the length; null has cells of its own."""
-    def cell(value: str | None, cells: int) -> int:
-        if value is None:
-            return 0
-        h = 14695981039346656037
-        for b in value.encode("utf-8", "surrogatepass"):
-            h = (h ^ b) * 1099511628211 % 2**64
-        return 1 + h % (cells - 1)
-
+    """One-hot source, language and both together, by a hash, and the half binary order of the length; null has
+    cells of its own."""
+    cell = lambda value, cells: 0 if value is None else 1 + _cell(value) % (cells - 1)
     out = np.zeros((len(sources), META_FEATURES), dtype=np.float32)
     for k, (s, g, n) in enumerate(zip(sources, langs, lengths)):
         out[k, cell(s, SOURCES)] = 1
         out[k, SOURCES + cell(g, LANGS)] = 1
-        out[k, SOURCES + LANGS + (0 if n is None else min(LENGTHS - 1, 1 + max(0, int(n)).bit_length()))] = 1
+        out[k, SOURCES + LANGS + cell(f"{s!r} {g!r}", CROSSES)] = 1
+        order = 0 if n is None else 1 + int(2 * math.log2(1 + max(0, int(n))))
+        out[k, SOURCES + LANGS + CROSSES + min(LENGTHS - 1, order)] = 1
     return out
 
 
@@ -134,16 +158,39 @@ class View:
     slope: float = 1.0
     shift: float = 0.0
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        # rounded, so that equal features have equal margins in whatever batch they are
         part = x[:, self.used].astype(np.float32) @ self.weights[:-1].astype(np.float32)
-        return self.slope * (part.astype(np.float64) + self.weights[-1]) + self.shift
+        return np.round(part.astype(np.float64) + self.weights[-1], 4)
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return self.slope * self.raw(x) + self.shift
+
+    def calibrate(self, held: np.ndarray, truth: np.ndarray) -> None:
+        line = logistic(self.raw(held)[:, None], truth, ridge=1e-2)
+        self.slope, self.shift = float(max(0.0, line[0])), float(line[1])
+
+    def stepped(self, x: np.ndarray, y: np.ndarray, pseudo: np.ndarray, ridge: float = 1.0) -> None:
+        """One step down the loss of labelled rows and pseudo-labels, given the negative gradient of the latter;
+        the curvature is that of the labelled rows, counted for both."""
+        own = np.ascontiguousarray(x[:, self.used], dtype=np.float32)
+        p = sigmoid(self.raw(x))
+        v = np.maximum(p * (1 - p), 1e-3).astype(np.float32)
+        scaled = own * v[:, None]
+        h = np.empty((len(self.used) + 1,) * 2)
+        h[:-1, :-1] = scaled.T @ own
+        h[-1, :-1] = h[:-1, -1] = scaled.sum(axis=0, dtype=np.float64)
+        h[-1, -1] = v.sum(dtype=np.float64)
+        penalty = np.full(len(self.weights), ridge)
+        penalty[-1] = 1e-3
+        slope = np.append((y - p).astype(np.float32) @ own, (y - p).sum()) + pseudo - penalty * self.weights
+        self.weights = self.weights + np.linalg.solve((1 + PSEUDO) * h + np.diag(penalty), slope)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, held: np.ndarray, truth: np.ndarray) -> View:
     used = np.flatnonzero(np.ptp(x, axis=0) > 0)
     view = View(used, logistic(x[:, used], y))
-    line = logistic(view.margin(held)[:, None], truth, ridge=1e-2)
-    view.slope, view.shift = float(max(0.0, line[0])), float(line[1])
+    view.calibrate(held, truth)
     return view
 
 
@@ -155,7 +202,10 @@ class Model:
     meta: View | None
     parts: tuple[float, float]
     bias: float
+    #: Figures on labelled rows that neither fitted nor calibrated, and per round how many documents each view
+    #: took over from the other, by receiving view (text, metadata) and class (0, 1).
     held_out: dict[str, float] = field(default_factory=dict)
+    exchange: list = field(default_factory=list)
 
     def probabilities(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None:
@@ -165,75 +215,101 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(self.parts[0] * a + self.parts[1] * b + self.bias)
 
 
-def picked(margins: np.ndarray, free: np.ndarray, most: dict[float, int]) -> list[tuple[int, float, np.ndarray]]:
-    """View, label and places of the rows that each view passes on: the most confident of each class, at most
-    `most` of it, equal ones in their order.  margins has a column a view; rows picked are no longer free."""
-    out = []
-    for mine in (0, 1):
-        for value, sure in ((1.0, margins[:, mine]), (0.0, -margins[:, mine])):
-            at = np.flatnonzero(free & (sure >= SURE))
-            best = at[np.argsort(-sure[at], kind="stable")[:most[value]]]
-            free[best] = False
-            out.append((mine, value, best))
-    return out
+def bars(truth: np.ndarray) -> dict[float, float]:
+    """The calibrated margin from which a class is named with confidence, by its share of the calibration rows."""
+    share = {value: float((truth == value).mean()) for value in (1.0, 0.0)}
+    least = {value: 1 - ERROR * (1 - n) for value, n in share.items()}
+    return {value: math.log(p / (1 - p)) for value, p in least.items()}
 
 
-#: For the models of a round and the most rows of each class: view, label, text and meta features of the rows passed on.
-Offer = Callable[[list[View], dict[float, int]], list[tuple[int, float, np.ndarray, np.ndarray]]]
+#: By receiving view (0 text, 1 metadata) and class (0, 1): how many rows, and the sums of residual times feature.
+Sums = tuple[np.ndarray, list[np.ndarray]]
+
+
+def no_sums(models: list[View]) -> Sums:
+    return np.zeros((2, 2), dtype=np.int64), [np.zeros((2, len(m.weights)), dtype=np.int64) for m in models]
+
+
+def add_sums(sums: Sums, models: list[View], bar: dict[float, float], text: np.ndarray, meta: np.ndarray) -> None:
+    """Adds the rows that each view passes to the other; where both are confident of different classes, neither does."""
+    views = (text, meta)
+    margins = [m.margin(x) for m, x in zip(models, views)]
+    named = [np.where(g >= bar[1.0], 1, np.where(-g >= bar[0.0], 0, -1)) for g in margins]
+    apart = (named[0] >= 0) & (named[1] >= 0) & (named[0] != named[1])
+    for to in (0, 1):
+        for value in (0, 1):
+            at = np.flatnonzero((named[1 - to] == value) & ~apart)
+            if len(at):
+                x = views[to][at][:, models[to].used].astype(np.float64) * FINE
+                residual = np.round((value - sigmoid(models[to].raw(views[to][at]))) * FINER)
+                sums[0][to, value] += len(at)
+                sums[1][to][value] += np.append(residual @ x, residual.sum() * FINE).astype(np.int64)
 
 
 def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
     """Co-training on labelled rows and an unlabelled pool in memory."""
-    free = np.ones(len(pool_text), dtype=bool)
-
-    def offer(models, most):
-        margins = np.stack([m.margin(x) for m, x in zip(models, (pool_text, pool_meta))], axis=1)
-        return [(mine, value, pool_text[best], pool_meta[best]) for mine, value, best in picked(margins, free, most)]
+    def passed(models, bar):
+        sums = no_sums(models)
+        add_sums(sums, models, bar, pool_text, pool_meta)
+        return sums
 
-    return exchanged(text, meta, label, offer)
+    return exchanged(text, meta, label, passed)
 
 
-def exchanged(text: np.ndarray, meta: np.ndarray, label: np.ndarray, offer: Offer) -> Model:
-    """Co-training on labelled rows (every third one is held out for calibration) and what is offered in each round.
+def exchanged(text: np.ndarray, meta: np.ndarray, label: np.ndarray, passed: Callable[[list[View], dict], Sums]) -> Model:
+    """Co-training on labelled rows, of which every third one calibrates and every third one judges, and on the sums
+    over the documents that pass in each round.
 
-    With fewer than two rows of either class among the fitted or the held-out ones the model is the
-    constant 1: nothing is rejected without evidence.
+    With fewer than two rows of either class in one of these parts the model is the constant 1: nothing is
+    rejected without evidence.
     """
-    held = np.arange(len(label)) % 3 == 2
-    y, truth = label[~held].astype(float), label[held].astype(float)
-    if min((y == 1).sum(), (y == 0).sum(), (truth == 1).sum(), (truth == 0).sum()) < 2:
+    part = [np.arange(len(label)) % 3 == k for k in range(3)]
+    y, truth, last = (label[at].astype(float) for at in part)
+    if min((v == value).sum() for v in (y, truth, last) for value in (1, 0)) < 2:
         return Model(None, None, (0.0, 0.0), 40.0)
-    views = [[text[~held], y], [meta[~held], y]]
-    calibration = [text[held], meta[held]]
-    # classes pass in the proportion of the labels
-    most = {value: max(1, round(PER_ROUND * float((y == value).mean()))) for value in (1.0, 0.0)}
+    fits, calibration, judge = ([x[at] for x in (text, meta)] for at in part)
+    models = [fitted(x, y, h, truth) for x, h in zip(fits, calibration)]
+    bar, exchange = bars(truth), []
     for _ in range(ROUNDS):
-        models = [fitted(x, target, h, truth) for (x, target), h in zip(views, calibration)]
-        passed = offer(models, most)
-        for mine, value, *rows in passed:
-            other = 1 - mine
-            views[other][0] = np.concatenate([views[other][0], rows[other]])
-            views[other][1] = np.concatenate([views[other][1], np.full(len(rows[other]), value)])
-        if not any(len(rows) for _, _, rows, _ in passed):
+        counts, sums = passed(models, bar)
+        exchange.append(counts.tolist())
+        if not counts.any():
             break
-    models = [fitted(x, target, h, truth) for (x, target), h in zip(views, calibration)]
+        for m, x, h, n, total in zip(models, fits, calibration, counts, sums):
+            pull = sum((PSEUDO * (y == value).sum() / n[value] * total[value] / (FINE * FINER) for value in (0, 1) if n[value]),
+                       np.zeros(len(m.weights)))
+            if n.any():
+                m.stepped(x, y, pull)
+                m.calibrate(h, truth)
     margins = np.stack([m.margin(h) for m, h in zip(models, calibration)], axis=1)
     joint = logistic(margins, truth, ridge=1e-2)
-    kept = sigmoid(margins @ joint[:-1] + joint[-1]) >= 0.5
-    figures = {"rows": float(len(truth)), "accuracy": float((kept == (truth == 1)).mean()),
-               "recall_low": float((~kept)[truth == 0].mean()), "kept_good": float(kept[truth == 1].mean())}
-    return Model(*models, (float(joint[0]), float(joint[1])), float(joint[2]), figures)
+    done = Model(*models, (float(joint[0]), float(joint[1])), float(joint[2]))
+    figures = {"rows": float(len(last))}
+    for name, p in zip(("text", "meta", "both"), done.probabilities(*judge)):
+        kept = p >= 0.5
+        figures |= {f"{name}_accuracy": float((kept == (last == 1)).mean()), f"{name}_low_kept": float(kept[last == 0].mean()),
+                    f"{name}_good_kept": float(kept[last == 1].mean()), f"{name}_auc": auc(p, last)}
+    done.held_out, done.exchange = figures, exchange
+    return done
+
+
+def auc(p: np.ndarray, truth: np.ndarray) -> float:
+    """The share of pairs of a good and a low row in which the good one scores higher; ties count half."""
+    good, low = np.sort(p[truth == 1]), p[truth == 0]
+    above = len(good) - np.searchsorted(good, low, side="right")
+    ties = np.searchsorted(good, low, side="right") - np.searchsorted(good, low, side="left")
+    return float((above + ties / 2).sum() / (len(good) * len(low)))
 
 
 FEATURES = "doc_id long, label int, text_view binary, meta_view binary"
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     """A model for docs (doc_id, text, lang, source, n_chars) by labels (doc_id, quality 0 or 1).
 
-    At most `labelled` labelled documents, those of the smallest id hashes, and at most `pool` with
-    pseudo-labels, the most confident of all documents without a label, are gathered on the driver
-    as feature vectors; that is the whole bound.  Of repeated labels the lowest counts, of repeated
+    At most `labelled` labelled documents, those of the smallest id hashes, are gathered on the driver as
+    feature vectors; that is the whole bound.  All other documents with an id may pass pseudo-labels, each
+    round in one pass that returns sums.  Of repeated labels the lowest counts, of repeated labelled
     documents one; null labels and ids are left out.
     """
     judged = cut(labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
@@ -243,81 +319,54 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     # at most `labelled` rows of two numbers
     known = F.broadcast(judged.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     ids, marks, a, b = _gathered(used.join(known, "doc_id"))
+    # of repeated documents one, whatever order they come in
+    order = np.lexsort((*b.T[:4], *a.T[:4], ids))
+    ids, marks, a, b = ids[order], marks[order], a[order], b[order]
     _, one = np.unique(ids, return_index=True)
     # not in order of ids: folds should not follow a pattern in them
     one = one[np.argsort(ids[one] * 0x9E3779B1 % 2**31, kind="stable")]
-    taken: list[int] = []
-
-    def offer(models, most):
-        # what is left of the bound is shared by views and classes in proportion
-        share = min(1.0, (pool - len(taken)) / (2 * sum(most.values())))
-        most = {value: int(n * share) for value, n in most.items()}
-        if not any(most.values()):
-            return []
-        places, margins = _surest(used, judged, models, most, taken)
-        picks = [(mine, value, places[best]) for mine, value, best in picked(margins, np.ones(len(places), dtype=bool), most)]
-        rows = [(int(i), k) for k, (_, _, best) in enumerate(picks) for i in best]
-        if not rows:
-            return []
-        taken.extend(i for i, _ in rows)
-        chosen = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id long, label int"))
-        found, group, text, meta = _gathered(used.join(chosen, "doc_id"))
-        x, y = _margins(models, text, meta)
-        # of repeated documents the one that _surest judged
-        order = np.lexsort((y, x, np.maximum(np.abs(x), np.abs(y)) >= SURE, found))
-        last = order[np.append(found[order][1:] != found[order][:-1], True)]
-        return [(mine, value, text[at], meta[at]) for k, (mine, value, _) in enumerate(picks) for at in [last[group[last] == k]]]
-
-    return exchanged(a[one], b[one], marks[one], offer)
-
-
-def _margins(models: list[View], text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
-    """Margins of both views; rounded, so that equal features tie in whatever batch they are."""
-    return [np.round(m.margin(x), 5) for m, x in zip(models, (text, meta))]
-
-
-def _surest(used: DataFrame, judged: DataFrame, models: list[View], most: dict[float, int],
-            taken: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and margins of the documents, of all that are neither judged nor taken, among which those lie that
-    the views pass on, in order of id hashes; a few times PER_ROUND rows."""
-    gone = np.array(sorted(taken), dtype=np.int64)
-
-    @releasing
+    taken = np.unique(ids)
+    return exchanged(a[one], b[one], marks[one], lambda models, bar: _passed(used, taken, models, bar))
+
+
+def _passed(used: DataFrame, taken: np.ndarray, models: list[View], bar: dict[float, float]) -> Sums:
+    """The sums over all documents but those of the ids taken: each task adds up its own and sends one row a feature."""
+    widths = [len(m.weights) for m in models]
+
     def run(batches):
+        sums, cells = no_sums(models), Cells()
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
-                ids, texts, langs, sources, sizes = (c.to_pylist() for c in part.columns)
-                x, y = _margins(models, text_features([t or "" for t in texts]).astype(np.float16),
-                                meta_features(sources, langs, sizes).astype(np.float16))
-                at = (np.maximum(np.abs(x), np.abs(y)) >= SURE) & ~np.isin(np.array(ids, dtype=np.int64), gone)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(ids, dtype=np.int64)[at]), pa.array(x[at]), pa.array(y[at])], names=["doc_id", "x", "y"])
-
-    sure = used.mapInArrow(run, "doc_id long, x double, y double").join(judged, "doc_id", "left_anti")
-    narrow = cut(sure.groupBy("doc_id").agg(F.max(F.struct("x", "y")).alias("m")).select("doc_id", "m.x", "m.y"))
-    rows = {}
-    for view, more in (("x", 0), ("y", sum(most.values()))):  # the second passes over what the first took
-        for value, by in ((1.0, F.col(view)), (0.0, -F.col(view))):
-            top = narrow.filter(by >= SURE).orderBy(by.desc(), F.xxhash64("doc_id"), "doc_id").limit(most[value] + more)
-            rows |= {r["doc_id"]: (r["h"], r["doc_id"], r["x"], r["y"]) for r in top.select("*", F.xxhash64("doc_id").alias("h")).collect()}
-    ordered = sorted(rows.values())
-    return np.array([r[1] for r in ordered], dtype=np.int64), np.array([r[2:] for r in ordered], dtype=float).reshape(-1, 2)
+                part = part.filter(pa.array(~np.isin(np.array(part.column(0).to_pylist(), dtype=np.int64), taken)))
+                _, texts, langs, sources, sizes = (c.to_pylist() for c in part.columns)
+                if texts:
+                    add_sums(sums, models, bar, text_features([t or "" for t in texts], cells), meta_features(sources, langs, sizes))
+        flat = np.concatenate([sums[0].reshape(-1), *(x.reshape(-1) for x in sums[1])])
+        slots = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(flat[slots])], names=["slot", "value"])
+
+    flat = np.zeros(4 + 2 * sum(widths), dtype=np.int64)
+    # at most four rows and one per class and feature
+    for r in mapped(used, run, "slot int, value long").groupBy("slot").agg(F.sum("value").alias("value")).collect():
+        flat[r["slot"]] = r["value"]
+    ends = np.cumsum([4, *(2 * w for w in widths)])
+    return flat[:4].reshape(2, 2), [flat[i:j].reshape(2, -1) for i, j in zip(ends, ends[1:])]
 
 
 def _gathered(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, labels and the features of both views of a bounded sample (doc_id, text, lang, source, n_chars, label)."""
-    @releasing
     def run(batches):
+        cells = Cells()
         for batch in batches:
             for part in slices(batch, 1):
                 ids, texts, langs, sources, sizes, marks = (c.to_pylist() for c in part.columns)
-                a = text_features([t or "" for t in texts]).astype(np.float16)
+                a = text_features([t or "" for t in texts], cells).astype(np.float16)
                 b = meta_features(sources, langs, sizes).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array([x.tobytes() for x in a], pa.binary()),
                      pa.array([x.tobytes() for x in b], pa.binary())], names=["doc_id", "label", "text_view", "meta_view"])
 
-    table = sample.mapInArrow(run, FEATURES).toArrow()
+    table = mapped(sample, run, FEATURES).toArrow()
     ids, marks = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in (0, 1))
     return ids, marks, *(_matrix(table.column(c).to_pylist(), n) for c, n in ((2, TEXT_FEATURES), (3, META_FEATURES)))
 
@@ -337,15 +386,15 @@ def score(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                            T.StructField(names[3], T.BooleanType())])
     places = [df.columns.index(c) for c in ("text", "source", "lang", "n_chars")]
 
-    @releasing
     def run(batches):
+        cells = Cells()
         for batch in batches:
             for part in slices(batch, places[0], 2 << 20):
                 texts, sources, langs, sizes = (part.column(p).to_pylist() for p in places)
-                done = model.probabilities(text_features([t or "" for t in texts]), meta_features(sources, langs, sizes))
+                done = model.probabilities(text_features([t or "" for t in texts], cells), meta_features(sources, langs, sizes))
                 rounded = [np.round(p.astype(np.float64), 6) for p in done]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *(pa.array(p) for p in rounded), pa.array(rounded[2] >= least)],
                     names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def release() -> None:
@@ -29,3 +30,19 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
             release()
 
     return whole
+
+
+#: Bytes of the Arrow batches that go to workers, and the setting of it with its default.
+BATCH, SETTING, UNSET = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in small batches, with release at the end of each task.
+
+    A batch of long texts would otherwise fill 64 MB outside the heap of an executor and again in its workers.
+    The size is a setting of the session; one that is set already stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(SETTING) == UNSET:
+        conf.set(SETTING, BATCH)
+    return df.mapInArrow(releasing(run), schema)
