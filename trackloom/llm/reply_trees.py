@@ -1,8 +1,8 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
-Paths from roots to leaves are enumerated by self-joins of ancestor tables that double their reach,
-so that a path of n messages takes log2(n) rounds; branches are ranked by score, and each chosen path
-is formatted as one conversation with the spans of its loss mask.
+Paths from leaves to roots are enumerated by self-joins of ancestor tables that double their reach, so
+that a path of n messages takes log2(n) rounds; branches are ranked by the scores summed along them in as
+many rounds, and each chosen path is formatted as one conversation with the spans of its loss mask.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.frames import cut
+from trackloom.llm.folds import each, let, running, struct
+from trackloom.llm.frames import cut, named
 
 # The template's control strings and the escapes of the characters they need.
 OPEN, CLOSE = "<turn>", "</turn>\n"
@@ -49,19 +50,43 @@ def ancestors(nodes: DataFrame) -> list[DataFrame]:
     return tables
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """Rows (tree, leaf, node, position) of each leaf's path; position counts from the leaf upwards.
-
-    messages: tree, node (unique in its tree), parent.  A parent that is not there makes its child a
-    root.  Rows whose tree or node is null, and leaves under a cycle, have no path.
-    """
+def linked(messages: DataFrame) -> DataFrame:
+    """(tree, node, parent): messages with an id, whose parents exist or are null."""
     rows = messages.select("tree", "node", "parent").filter("tree IS NOT NULL AND node IS NOT NULL")
     present = rows.select("tree", F.col("node").alias("parent"), F.lit(1).alias("found"))
-    nodes = cut(rows.join(present, ["tree", "parent"], "left")
-                .select("tree", "node", F.when(F.col("found") == 1, F.col("parent")).alias("parent")))
+    return cut(rows.join(present, ["tree", "parent"], "left")
+               .select("tree", "node", F.when(F.col("found") == 1, F.col("parent")).alias("parent")))
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """(tree, node): nodes that are nobody's parent."""
     inner = nodes.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
-    found = (nodes.join(inner, ["tree", "node"], "left_anti")
-             .select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("position")))
+    return nodes.join(inner, ["tree", "node"], "left_anti").select("tree", "node")
+
+
+def means(nodes: DataFrame, scores: DataFrame) -> DataFrame:
+    """(tree, node, mean): the mean score (tree, node, score) of the path from the root to each node.
+
+    Sums double their reach each round, so that no path is enumerated; nodes on and under a cycle have none.
+    """
+    reach = cut(nodes.join(scores, ["tree", "node"]).select(
+        "tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n")))
+    rounds, most = 0, nodes.count()
+    while 1 << rounds <= 2 * most and not reach.filter("up IS NOT NULL").isEmpty():
+        above = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("n").alias("m"))
+        reach = cut(reach.join(above, ["tree", "up"], "left").select(
+            "tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+            (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
+        rounds += 1
+    return reach.filter("up IS NULL").select("tree", "node", (F.col("total") / F.col("n")).alias("mean"))
+
+
+def paths(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows (tree, leaf, node, position) of the path of each of ends (tree, node); position counts upwards.
+
+    nodes: see linked().  Ends under a cycle have no path of their own: they are none of its leaves.
+    """
+    found = ends.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("position"))
     tables = ancestors(nodes)
     for k in reversed(range(len(tables))):
         # each row stays and, where there is an ancestor 2^k up, is joined by it: the plan grows by one join a round
@@ -76,37 +101,47 @@ def paths(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, branches: int | None = None, answered: str = "assistant") -> DataFrame:
     """One formatted conversation per chosen path: tree, leaf, branch, score, formatted, loss_spans.
 
-    messages: tree, node, parent, role, text, score.  A branch's score is the mean of its messages'
-    (null: 0); the branches of a tree are ranked by it, then by leaf, and the first `branches` are
-    formatted (all by default).  A turn is OPEN, the role, a line feed, the text and CLOSE, with roles
-    and texts escaped (null: empty).  loss_spans: start and end, in code points of formatted, of the
-    text of each turn whose role is `answered`, in order.
+    messages: tree, node (unique in its tree), parent, role, text, score.  A null tree is a tree of its own;
+    a parent that is not there makes its child a root; rows whose node is null, and leaves under a cycle,
+    have no path.  A branch's score is the mean of its messages' (null: 0); the branches of a tree are ranked
+    by it, then by leaf, before any path is enumerated, and the first `branches` are formatted (all by
+    default).  A turn is OPEN, the role, a line feed, the text and CLOSE, with roles and texts escaped (null:
+    empty).  loss_spans: start and end, in code points of formatted, of the text of each turn whose role is
+    `answered`, in order.
     """
-    said = messages.select("tree", "node", F.coalesce(F.col("role"), F.lit("")).alias("role"),
-                           F.coalesce(F.col("text"), F.lit("")).alias("text"),
-                           F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    along = paths(messages).join(said, ["tree", "node"])
+    own, keyed = F.col("tree"), messages.withColumn("key", named(F.col("tree")))
+    said = keyed.select(F.col("key").alias("tree"), own.alias("own"), "node", F.coalesce(F.col("role"), F.lit("")).alias("role"),
+                        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+                        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    nodes = linked(keyed.select(F.col("key").alias("tree"), "node", "parent"))
+    ends = leaves(nodes)
     if branches is not None:
-        scores = along.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
-        chosen = scores.withColumn("rank", rank).filter(F.col("rank") <= branches)
-        along = along.join(chosen.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
+        scored = ends.join(means(nodes, said.select("tree", "node", "score")), ["tree", "node"])
+        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "node"))
+        ends = scored.withColumn("rank", rank).filter(F.col("rank") <= branches).select("tree", "node")
+    along = paths(nodes, ends).join(said, ["tree", "node"])
     turn = F.struct((-F.col("position")).alias("at"), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\n")).alias("role"),
                     escaped(F.col("text")).alias("text"), (F.col("role") == answered).alias("answer"))
     grouped = along.groupBy("tree", "leaf").agg(
-        F.array_sort(F.collect_list(turn)).alias("turns"), F.avg("score").alias("score"))
+        F.array_sort(F.collect_list(turn)).alias("turns"), F.avg("score").alias("score"), F.first("own").alias("own"))
     head = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"))
-    length = lambda t: F.char_length(head(t)) + F.char_length(t["text"]) + len(CLOSE)
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    spans = F.aggregate("turns", start, lambda a, t: F.struct(
-        (a["end"] + length(t)).alias("end"),
-        F.when(t["answer"], F.array_append(a["spans"], F.struct(
-            (a["end"] + F.char_length(head(t))).alias("start"),
-            (a["end"] + F.char_length(head(t)) + F.char_length(t["text"])).alias("end"))))
-        .otherwise(a["spans"]).alias("spans")), lambda a: a["spans"])
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(CLOSE))), "")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    return grouped.select("tree", "leaf", rank.alias("branch"), "score", formatted.alias("formatted"), spans.alias("loss_spans"))
+    return grouped.select(F.col("own").alias("tree"), "leaf", rank.alias("branch"), "score", formatted.alias("formatted"),
+                          F.expr(masked("turns")).alias("loss_spans"))
+
+
+def masked(turns: str) -> str:
+    """SQL text: start and end of the text of each answer among turns (role, text, answer), as they are formatted."""
+    heads = len(OPEN) + 1
+    lengths = each(turns, lambda t: f"{heads + len(CLOSE)} + char_length({t}.role) + char_length({t}.text)")
+
+    def spans(ends: str) -> str:
+        every = each(turns, lambda t, i: let(f"if({i} = 0, 0, {ends}[{i} - 1]) + {heads} + char_length({t}.role)", lambda at: (
+            f"if({t}.answer, {struct(start=at, end=f'{at} + char_length({t}.text)')}, null)")))
+        return f"array_compact({every})"
+
+    return let(running(lengths, lambda a, x: f"{a} + {x}"), spans)
 
 
 def turns_of(formatted: Column) -> Column:
