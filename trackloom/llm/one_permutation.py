@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.frames import fresh
+from trackloom.llm.folds import below
+from trackloom.llm.frames import cut, fresh
 
 #: Bins, bits kept of each, words of a shingle.
 BINS, BITS, SHINGLE = 256, 4, 5
-#: Probes of a bin before it draws among the bins that have a shingle.
+#: The probes of a bin are this many hashed bins, then all bins in the order of a hash with it.
 PROBES = 6
 _BELOW = (1 << 56) - 1
 
@@ -52,9 +53,10 @@ def bins(hashes: Column) -> Column:
 
 
 def densified(values: Column) -> Column:
-    """All bins filled: an empty one copies the first filled bin among its probes, which depend on the bin
-    and the attempt alone; after PROBES of them, the filled bin whose hash with it is the smallest, which
-    is as even a choice and takes one round however few bins are filled."""
+    """All bins filled: an empty one copies the first filled bin of its probe sequence, which depends on the bin
+    alone.  The sequence is PROBES hashed bins, then every bin in the order of its hash with the empty one, so
+    that it reaches each bin and no sequence is broken off; the first filled one of the latter is the filled
+    bin with the smallest hash, found in one round however few bins are filled."""
     def fill(v: Column, filled: Column) -> Column:
         probe = lambda i, a: v[F.pmod(F.xxhash64(i, F.lit(a)), F.lit(BINS)).cast("int")]
         drawn = lambda i: F.array_min(F.transform(filled, lambda f: F.struct(
@@ -91,26 +93,30 @@ def with_next(docs: DataFrame, row_id: str, columns: list[str], parts: int) -> D
     """docs, distinct row by row, with next_<column>: the values of the next row in descending row_id, after
     the last row those of the first; rows of one id stand in order of columns.
 
-    Rows are dealt into ranges of ids, a few per shuffle partition.  The rows that a range lacks are
-    the ones of the largest id below it; per range one id is gathered, so the broadcast has at most
-    `parts` rows, and those rows are sent along to the range above.
+    Rows are dealt into ranges of ids between quantiles, a few per shuffle partition, so that they hold as
+    many rows each wherever the ids lie; a null id is below all others.  The rows that a range lacks are the
+    ones of the largest id below it; per range one id is gathered, so the broadcast has at most `parts` rows,
+    and those rows are sent along to the range above.
     """
     bucket, edge, target, copied = fresh(docs.columns, "bucket", "edge", "target", "copied")
-    # one row: the bounds of the ids, which set the width of a range
-    low, high = docs.agg(F.min(row_id), F.max(row_id)).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // parts))
-    at = F.floor((F.coalesce(F.col(row_id), F.lit(low)) - low) / width).cast("long")
-    ranges = docs.groupBy(at.alias(target)).agg(F.max(F.coalesce(F.col(row_id), F.lit(low))).alias("top"))
+    shares = ", ".join(f"{k / parts:.9f}D" for k in range(1, parts)) or "0.5D"
+    # one row with at most `parts` numbers
+    bounds = docs.filter(F.col(row_id).isNotNull()).agg(
+        F.expr(f"percentile_approx(`{row_id}`, array({shares}), {max(10_000, 4 * parts)})").alias("bounds"))
+    bounds = bounds.select(F.coalesce("bounds", F.array().cast(bounds.schema[0].dataType)).alias("bounds"))
+    low = cut(bounds).scalar()
+    dealt = docs.select("*", low.alias(edge)).selectExpr(
+        *(f"`{c}`" for c in docs.columns), f"if(`{row_id}` is null, 0, {below(edge, f'`{row_id}`')}) as {bucket}")
+    ranges = dealt.groupBy(F.col(bucket).alias(target)).agg(F.max(row_id).alias("top"))
     by_range = Window.orderBy(target)
     edges = ranges.select(target, F.coalesce(F.lag("top").over(by_range), F.max("top").over(
         by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias(edge))
     # edges has at most `parts` rows of two numbers
-    tagged = docs.join(F.broadcast(edges), F.coalesce(F.col(row_id), F.lit(low)) == F.col(edge), "left")
-    dealt = tagged.select(*docs.columns, F.explode(F.array_compact(F.array(
-        F.struct(at.alias(bucket), F.lit(0).alias(copied)),
+    tagged = dealt.join(F.broadcast(edges), F.col(row_id).eqNullSafe(F.col(edge)), "left")
+    sent = tagged.select(*docs.columns, F.explode(F.array_compact(F.array(
+        F.struct(F.col(bucket), F.lit(0).alias(copied)),
         F.when(F.col(target).isNotNull(), F.struct(F.col(target).alias(bucket), F.lit(1).alias(copied)))))).alias("to"))
-    spread = dealt.select(*docs.columns, F.col("to")[bucket].alias(bucket), F.col("to")[copied].alias(copied))
+    spread = sent.select(*docs.columns, F.col("to")[bucket].alias(bucket), F.col("to")[copied].alias(copied))
     order = Window.partitionBy(bucket).orderBy(F.desc(copied), row_id, *columns)
     looked = spread.select("*", *(F.lag(c).over(order).alias(f"next_{c}") for c in columns))
     return looked.filter(F.col(copied) == 0).drop(bucket, copied)
