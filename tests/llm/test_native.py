@@ -114,6 +114,16 @@ def test_splits_are_weighted_medians(spark):
     assert abs(left - sum(r[0] for r in rows) / 2) <= 10
 
 
+def test_ids_at_both_ends_of_long(spark):
+    draw = random.Random(2)
+    ids = [-2**63, 2**63 - 1, -2**63 + 1, 2**63 - 2, *(draw.randint(-2**63, 2**63 - 1) for _ in range(400))]
+    df = spark.createDataFrame([(i, 10) for i in ids], "doc_id long, octets long")
+    out = rows_of(kd_shards.shard(df, F.col("octets"), F.col("doc_id"), {"doc_id": F.col("doc_id")}, 4, ["doc_id"]))
+    held = {k: [r["doc_id"] for r in out if r["shard"] == k] for k in range(4)}
+    assert len(out) == len(ids) and all(abs(len(v) - len(ids) / 4) <= 1 for v in held.values())
+    assert all(max(held[k]) < min(held[k + 1]) for k in range(3))
+
+
 def test_empty_table_has_no_shards(spark):
     df = spark.createDataFrame([], "id long, bytes long")
     assert kd_shards.shard(df, F.col("bytes"), F.col("id"), {"bytes": F.col("bytes")}, 4, ["id"]).count() == 0
@@ -282,14 +292,32 @@ def test_fingerprints_estimate_jaccard(spark):
 
 
 def test_next_rows_over_gaps_and_repeats(spark):
-    ids = [5, 5, 1, 900, 901, 10 ** 12, -7]
+    ids = [5, 5, 1, 900, 901, 10 ** 12, -7, 2**63 - 1, -2**63]
     df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
     ordered = sorted(((i, f"t{k}") for k, i in enumerate(ids)))
     expected = {ordered[k]: ordered[k - 1][1] for k in range(len(ordered))}
     for parts in (1, 3, 50):
         got = one_permutation.with_next(df, "doc_id", ["text"], parts).collect()
         assert {(r["doc_id"], r["text"]): r["next_text"] for r in got} == expected
-    single = one_permutation.with_next(df.filter("doc_id = 900"), "doc_id", ["text"], 8).collect()
+        # null ids stand below all others
+        more = df.unionByName(spark.createDataFrame([(None, "n1"), (None, "n2")], df.schema))
+        got = {(r["doc_id"], r["text"]): r["next_text"] for r in one_permutation.with_next(more, "doc_id", ["text"], parts).collect()}
+        assert got[None, "n1"] == expected[-2**63, "t8"] and got[None, "n2"] == "n1" and got[-2**63, "t8"] == "n2"
+
+
+def test_ranges_of_ids_hold_as_many_rows(spark):
+    # all but one id lie close together, far from the last: ranges of equal width would hold them all in one
+    df = spark.range(2000).select("id", F.lit("t").alias("text")).unionByName(spark.createDataFrame([(2**62, "t")], "id long, text string"))
+    plan = one_permutation.with_next(df, "id", ["text"], 20)
+    largest = plan.groupBy(F.expr("id div 100")).count().agg(F.max("count")).first()[0]
+    assert plan.count() == 2001 and largest == 100
+    bounds = df.agg(F.expr("percentile_approx(id, array(0.05D, 0.5D, 0.95D), 10000)")).first()[0]
+    assert bounds == [100, 1000, 1900]
+
+
+def test_next_of_a_single_row(spark):
+    df = spark.createDataFrame([(900, "t3")], "doc_id long, text string")
+    single = one_permutation.with_next(df, "doc_id", ["text"], 8).collect()
     assert [r["next_text"] for r in single] == ["t3"]
     assert one_permutation.compared(df.limit(0)).count() == 0
 
@@ -313,7 +341,7 @@ def test_paths_branches_and_masks(spark):
     out = reply_trees.conversations(df).withColumn("turns", reply_trees.turns_of(F.col("formatted"))).withColumn(
         "loss", reply_trees.under_mask(F.col("formatted"), F.col("loss_spans"))).collect()
     by = {(r["tree"], r["leaf"]): r for r in out}
-    assert {k for k in by if k[0] != "c"} == {("t", 2), ("t", 5), ("u", 1), ("deep", 149)}
+    assert {k for k in by if k[0] != "c"} == {("t", 2), ("t", 5), ("u", 1), ("deep", 149), (None, 1)}
     assert [tuple(x) for x in by["t", 5]["turns"]] == [("user", "q<turn>"), ("assistant", "b"), ("us\ner", ""), ("assistant", "")]
     assert by["t", 5]["loss"] == "b" and by["t", 2]["loss"] == "a\\l" and [tuple(x) for x in by["u", 1]["turns"]] == [("", "orphan")]
     assert by["deep", 149]["loss"] == "".join(f"m{k}" for k in range(1, 150, 2)) and len(by["deep", 149]["turns"]) == 150
@@ -328,3 +356,38 @@ def test_chained_turns_keep_ties_and_repeats(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     made = reply_trees.conversations(reply_trees.chained(df, "conv_id", "turn")).select(reply_trees.turns_of(F.col("formatted")).alias("t")).collect()
     assert [tuple(x) for x in made[0]["t"]] == [("user", "a"), ("user", "a"), ("user", "b"), ("assistant", "")]
+
+
+def test_null_tree_is_a_tree_and_branches_are_ranked_before_paths(spark):
+    rows = [(None, 1, None, "user", "a", 1.0), (None, 2, 1, "assistant", "b", 0.0), (7, 1, None, "user", "c", None), (7, None, 1, "user", "lost", 5.0)]
+    out = {r["tree"]: r for r in reply_trees.conversations(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")).collect()}
+    assert set(out) == {None, 7} and out[None]["score"] == 0.5 and out[None]["formatted"].count("<turn>") == 2
+    # a comb: a spine of messages, each with a leaf of its own; and a cycle, under which nothing is a path
+    comb = [("c", k, k - 1 if k else None, "user", f"s{k}", float(k % 7)) for k in range(120)]
+    comb += [("c", 1000 + k, k, "assistant", f"l{k}", float((k * 31) % 11)) for k in range(120)]
+    comb += [("c", 5000, 5001, "user", "x", 99.0), ("c", 5001, 5000, "user", "y", 99.0), ("c", 5002, 5001, "user", "z", 99.0)]
+    df = spark.createDataFrame(comb, "tree string, node long, parent long, role string, text string, score double")
+    parent, score = {n: p for _, n, p, _, _, _ in comb}, {n: x for _, n, _, _, _, x in comb}
+
+    def mean(n):
+        seen = []
+        while n is not None:
+            seen.append(score[n])
+            n = parent[n]
+        return sum(seen) / len(seen)
+
+    inner = {p for p in parent.values()}
+    expected = sorted(((-mean(n), n) for n in parent if n not in inner and n < 5000))[:5]
+    best = sorted(reply_trees.conversations(df, branches=5).collect(), key=lambda r: r["branch"])
+    assert [r["leaf"] for r in best] == [n for _, n in expected]
+    assert all(abs(r["score"] + m) < 1e-9 for r, (m, _) in zip(best, expected))
+
+
+def test_masks_of_long_conversations_stay_linear(spark):
+    import time
+
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn <{k}>") for k in range(4000)]
+    messages = reply_trees.chained(spark.createDataFrame(rows, "c long, turn int, role string, text string"), "c", "turn")
+    began = time.perf_counter()
+    out = reply_trees.conversations(messages).select(reply_trees.under_mask(F.col("formatted"), F.col("loss_spans")).alias("m")).first()
+    assert out["m"] == "".join(t for _, k, _, t in rows if k % 2) and time.perf_counter() - began < 100

@@ -18,6 +18,7 @@ from trackloom.llm.frames import cut, fresh, ranked
 
 #: Bins of a range in one pass over the rows.
 BINS = 2048
+LARGEST = 2**63 - 1
 
 
 def coded(value: Column) -> Column:
@@ -48,8 +49,11 @@ def _binned(rows: DataFrame, ranges: dict[int, tuple[int, int]], where: Column)
         "node", "size", "measure", _by_node(node, {k: r[0] for k, r in ranges.items()}, most).alias("lo"),
         _by_node(node, {k: r[1] for k, r in ranges.items()}, most).alias("hi"),
         _by_node(node, {k: _step(*r) for k, r in ranges.items()}, most).alias("step"))
+    # a range of more than half of all longs has differences that are none
+    wide = any(hi - lo >= LARGEST for lo, hi in ranges.values())
+    bin_ = "cast((cast(measure as decimal(20, 0)) - lo) div step as long)" if wide else "(measure - lo) div step"
     counts = (picked.filter(F.col("measure").between(F.col("lo"), F.col("hi")))
-              .groupBy("node", F.expr("(measure - lo) div step").alias("bin")).agg(F.sum("size").alias("bytes")))
+              .groupBy("node", F.expr(bin_).alias("bin")).agg(F.sum("size").alias("bytes")))
     out: dict[int, dict[int, int]] = {k: {} for k in ranges}
     # at most BINS rows per node of the level
     for r in counts.collect():
@@ -81,8 +85,8 @@ def _narrow(rows: DataFrame, ranges: dict[int, tuple[int, int]], before: dict[in
                     at += weight
                     continue
                 first, last = lo + b * step, min(hi, lo + (b + 1) * step - 1)
-                if step == 1:
-                    done[k] = (first, at, weight)
+                if step == 1 or weight <= small and last == LARGEST:
+                    done[k] = (last, at, weight)
                 elif weight <= small:
                     done[k] = (first, at, 0) if at + weight / 2 >= goal[k] else (last + 1, at + weight, 0)
                 else:
