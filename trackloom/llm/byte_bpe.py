@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by the ranks of a vocabulary file.
 
-Pieces come from the vectorised pre-tokeniser; each distinct piece is merged once per
-worker and kept in a bounded cache, with the byte offsets of its tokens for decoding.
+Pieces come from the vectorised pre-tokeniser; each distinct piece is merged once per worker and kept
+in a bounded cache.  The byte offsets of the tokens go with the ids where they are asked for: by them any
+range of bytes is decoded without what stands before it.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from trackloom.llm.pretokens import in_groups, split
-from trackloom.llm.workers import releasing
+from trackloom.llm.workers import mapped
 
 CACHE_PIECES = 120_000
 CACHED_BYTES = 64
@@ -80,6 +82,7 @@ class Codec:
         self.tokens = {i: b for b, i in ranks.items()}
         self.cache: dict[bytes, tuple[int, ...]] = {}
         self.older: dict[bytes, tuple[int, ...]] = {}
+        self.widths: np.ndarray | None = None
 
     def ids_of(self, piece: bytes) -> tuple[int, ...]:
         ids = self.cache.get(piece)
@@ -110,14 +113,24 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def offsets(self, ids: list[int]) -> list[int]:
-        """The byte offset at which each token of a text begins."""
-        out, at = [], 0
-        for i in ids:
-            out.append(at)
-            at += len(self.tokens[i])
+    def offsets(self, ids: list[int]) -> np.ndarray:
+        """The byte offset at which each token of a text begins, and the end."""
+        if self.widths is None:
+            self.widths = np.zeros(max(self.tokens) + 1, dtype=np.int64)
+            for i, token in self.tokens.items():
+                self.widths[i] = len(token)
+        out = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(self.widths[np.asarray(ids, dtype=np.int64)], out=out[1:])
         return out
 
+    def decode_range(self, ids: list[int], offsets: np.ndarray, begin: int, end: int) -> bytes:
+        """The bytes from begin to end (exclusive) of a text; only the tokens that reach into them are read."""
+        begin, end = max(0, begin), min(end, int(offsets[-1]))
+        if begin >= end:
+            return b""
+        first, last = np.searchsorted(offsets, begin, side="right") - 1, np.searchsorted(offsets, end, side="left")
+        return self.decode(ids[first:last])[begin - int(offsets[first]):end - int(offsets[first])]
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -147,8 +160,6 @@ def _appended(df: DataFrame, text: str, ranks: dict[bytes, int], added: list[tup
     place = df.columns.index(text)
     arrow = [pa.int64() if isinstance(k, T.LongType) else pa.string() if isinstance(k, T.StringType)
              else pa.list_(pa.int32()) if isinstance(k, T.ArrayType) else pa.binary() for _, k in added]
-
-    @releasing
     def run(batches):
         codec = _codec(key, broadcast)
         for batch in batches:
@@ -162,7 +173,7 @@ def _appended(df: DataFrame, text: str, ranks: dict[bytes, int], added: list[tup
         codec.cache.clear()
         codec.older.clear()
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, place: int, most: int = 2 << 20):
@@ -178,12 +189,16 @@ def slices(batch: pa.RecordBatch, place: int, most: int = 2 << 20):
         yield batch.slice(first)
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
-    """df with token_ids array<int>.  A null text counts as empty and has no ids; rows, repeated ones
-    too, pass one to one; where df has a column token_ids, the new one is _token_ids."""
+def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text", offsets: bool = False) -> DataFrame:
+    """df with token_ids array<int>, and with token_offsets array<int> if asked for: where each token begins, in
+    bytes.  A null text counts as empty and has no ids; rows, repeated ones too, pass one to one; where df has
+    a column token_ids, the new one is _token_ids."""
     kind = T.ArrayType(T.IntegerType())
-    return _appended(df, text, ranks, [("token_ids", kind)],
-                     lambda codec, texts: ((ids,) for ids in codec.encode_batch(texts)))
+    if not offsets:
+        return _appended(df, text, ranks, [("token_ids", kind)],
+                         lambda codec, texts: ((ids,) for ids in codec.encode_batch(texts)))
+    return _appended(df, text, ranks, [("token_ids", kind), ("token_offsets", kind)],
+                     lambda codec, texts: ((ids, codec.offsets(ids)[:-1]) for ids in codec.encode_batch(texts)))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
@@ -193,15 +208,13 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> Da
     broadcast = df.sparkSession.sparkContext.broadcast(ranks)
     key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     place = df.columns.index(ids)
-
-    @releasing
     def run(batches):
         codec = _codec(key, broadcast)
         for batch in batches:
             out = pa.array([codec.decode(x or []) for x in batch.column(place).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def round_trip(df: DataFrame, ranks: dict[bytes, int], text: str = "text", ids: bool = False) -> DataFrame:
