@@ -75,7 +75,21 @@ def test_encode_and_decode_columns(spark):
 def test_offsets_are_kept_for_decoding():
     codec = byte_bpe.Codec(RANKS)
     ids = next(codec.encode_batch(["naïve words"]))
-    assert codec.offsets(ids)[0] == 0 and codec.offsets([*ids, 0])[-1] == len("naïve words".encode())
+    assert codec.offsets(ids)[0] == 0 and codec.offsets(ids)[-1] == len("naïve words".encode())
+    text = "naïve 🙂 words, and more of them 123"
+    ids, data = next(codec.encode_batch([text])), text.encode()
+    offsets = codec.offsets(ids)
+    for begin in range(-2, len(data) + 2):
+        for end in range(begin, len(data) + 3):
+            assert codec.decode_range(ids, offsets, begin, end) == data[max(0, begin):max(0, end)]
+    assert codec.decode_range([], codec.offsets([]), 0, 5) == b""
+
+
+def test_offsets_column(spark):
+    df = spark.createDataFrame([(1, "naïve words"), (2, None), (3, "")], "doc_id long, text string")
+    for r in byte_bpe.encode(df, RANKS, offsets=True).collect():
+        codec = byte_bpe.Codec(RANKS)
+        assert r["token_offsets"] == codec.offsets(r["token_ids"])[:-1].tolist()
 
 
 def brute_tokens(piece: bytes, scores: dict[bytes, float]) -> int:
@@ -120,3 +134,13 @@ def test_token_count_column(spark):
 def test_scores_must_cover_all_bytes():
     with pytest.raises(ValueError):
         trie_counts.TrieCounter({b"a": -1.0})
+
+
+def test_long_pieces_share_the_trie():
+    draw = random.Random(4)
+    scores = trie_counts.zipf_scores({bytes([b]): b for b in range(256)} | {b"ab": 256, b"bca": 257, b"aaaa": 258, b"cab" * 5: 259})
+    counter = trie_counts.TrieCounter(scores)
+    for _ in range(200):
+        piece = bytes(draw.choice(b"abc") for _ in range(draw.randint(60, 300)))
+        assert counter.count(piece) == brute_tokens(piece, scores)
+    assert max(map(len, counter.terminal), default=0) <= trie_counts.TRIE_BYTES < 300

@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 
 from trackloom.llm.byte_bpe import free_name, slices
 from trackloom.llm.pretokens import in_groups, split
-from trackloom.llm.workers import releasing
+from trackloom.llm.workers import mapped
 
 #: A worker's trie starts anew beyond so many nodes; counts do not depend on what it holds.
 TRIE_NODES = 600_000
-#: Longer pre-tokens are scored by the same programme along one array, without nodes.
+#: Depth of the trie: what a longer pre-token has beyond it is one compressed edge, scored along arrays that start
+#: from the scores of its path and are not kept.
 TRIE_BYTES = 64
 
 
@@ -60,15 +61,13 @@ class TrieCounter:
         known = self.terminal.get(piece)
         if known is not None:
             return known
-        if len(piece) > TRIE_BYTES:
-            return self._along(piece)
         if len(self.best) >= TRIE_NODES:
             self.clear()
         children, best, tokens = self.children, self.best, self.tokens
         node, path = 0, [0]
         scored: list[float] = [0.0]
         counted: list[int] = [0]
-        for depth, byte in enumerate(piece, 1):
+        for depth, byte in enumerate(piece[:TRIE_BYTES], 1):
             edge = node << 8 | byte
             child = children.get(edge)
             if child is None:
@@ -83,6 +82,8 @@ class TrieCounter:
                 counted.append(n)
             path.append(child)
             node = child
+        if len(piece) > TRIE_BYTES:
+            return self._tail(piece, [best[k] for k in path], [tokens[k] for k in path])
         self.terminal[piece] = tokens[node]
         return tokens[node]
 
@@ -100,9 +101,9 @@ class TrieCounter:
                 top, fewest = score, tokens[begin] + 1
         return top, fewest
 
-    def _along(self, piece: bytes) -> int:
-        best, tokens = [0.0], [0]
-        for end in range(1, len(piece) + 1):
+    def _tail(self, piece: bytes, best: list[float], tokens: list[int]) -> int:
+        """Tokens of a piece whose first prefixes are scored."""
+        for end in range(len(best), len(piece) + 1):
             score, n = self._forward(piece, end, best, tokens)
             best.append(score)
             tokens.append(n)
@@ -135,8 +136,6 @@ def count_tokens(df: DataFrame, scores: dict[bytes, float], text: str = "text")
     broadcast = df.sparkSession.sparkContext.broadcast(scores)
     key = hash(frozenset(scores.items()))
     place = df.columns.index(text)
-
-    @releasing
     def run(batches):
         if key not in _counters:
             _counters.clear()
@@ -149,4 +148,4 @@ def count_tokens(df: DataFrame, scores: dict[bytes, float], text: str = "text")
                     [*part.columns, pa.array([c[0] for c in counts], pa.int64()),
                      pa.array([c[1] for c in counts], pa.int64())], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
