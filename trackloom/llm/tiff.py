@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from trackloom.llm.byte_bpe import free_name, slices
-from trackloom.llm.workers import releasing
+from trackloom.llm.workers import mapped
 
 # Tag numbers, compression schemes and field types of the format.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -351,8 +351,6 @@ def read_pages(df: DataFrame, media: str, keys: list[str]) -> DataFrame:
                 k += 1
         except (TiffError, struct.error) as e:
             yield k, None, None, None, None, str(e)
-
-    @releasing
     def run(batches):
         kinds = [pa.int32()] * 4 + [pa.binary(), pa.string()]
         for batch in batches:
@@ -366,7 +364,7 @@ def read_pages(df: DataFrame, media: str, keys: list[str]) -> DataFrame:
                         [*held, *(pa.array([r[c] for r in rows], kinds[c]) for c in range(6))],
                         names=[f.name for f in schema.fields])
 
-    return df.select(*keys, media).mapInArrow(run, schema)
+    return mapped(df.select(*keys, media), run, schema)
 
 
 #: Bytes of a payload in a row of samples, rows of a page.
@@ -412,8 +410,6 @@ def stored_texts(df: DataFrame, text: str = "text", media: str = "media") -> Dat
     name = free_name(df.columns, media)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
     place = df.columns.index(text)
-
-    @releasing
     def run(batches):
         for batch in batches:
             for part in slices(batch, place):
@@ -421,7 +417,7 @@ def stored_texts(df: DataFrame, text: str = "text", media: str = "media") -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(files, pa.binary())],
                                                  names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def digests(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -439,8 +435,6 @@ def digests(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
         payload = b"".join(p.tobytes() for p in pages)
         return (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
                 len(media), hashlib.sha256(media).hexdigest(), feature(pages))
-
-    @releasing
     def run(batches):
         for batch in batches:
             for part in slices(batch, len(keys)):
@@ -450,4 +444,4 @@ def digests(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
                      *(pa.array([r[c] for r in rows], pa.string() if isinstance(k, T.StringType) else pa.int64())
                        for c, (_, k) in enumerate(DIGEST))], names=[f.name for f in schema.fields])
 
-    return df.select(*keys, text).mapInArrow(run, schema)
+    return mapped(df.select(*keys, text), run, schema)

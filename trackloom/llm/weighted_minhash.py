@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.byte_bpe import slices
 from trackloom.llm.frames import cut
 from trackloom.llm.pretokens import in_groups
-from trackloom.llm.workers import releasing
+from trackloom.llm.workers import mapped
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair is missed with a probability of (1 - 0.8^4)^20, 3 in 100,000.
@@ -234,7 +234,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def frequencies(docs: DataFrame, text: str) -> DataFrame:
     """(word, documents): in how many rows each word occurs, by word hash; counted per task before the shuffle."""
-    @releasing
     def run(batches):
         counts: Counter[str] = Counter()
 
@@ -252,7 +251,7 @@ def frequencies(docs: DataFrame, text: str) -> DataFrame:
                     yield rows()
         yield rows()
 
-    counted = docs.select(text).mapInArrow(run, "word long, n long")
+    counted = mapped(docs.select(text), run, "word long, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("documents"))
 
 
@@ -267,8 +266,6 @@ def lexicon(docs: DataFrame, text: str = "text") -> Lexicon:
 def signed(docs: DataFrame, lexicon_: Lexicon, row_id: str, text: str) -> DataFrame:
     """(node, digest, bands) per row: a narrow pass.  Texts without words have one digest and no bands."""
     broadcast = docs.sparkSession.sparkContext.broadcast(lexicon_)
-
-    @releasing
     def run(batches):
         words = Words(broadcast.value)
         for batch in batches:
@@ -285,8 +282,7 @@ def signed(docs: DataFrame, lexicon_: Lexicon, row_id: str, text: str) -> DataFr
                     [part.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["node", "digest", "bands"])
 
-    return docs.select(F.col(row_id).cast("long").alias("node"), text).mapInArrow(
-        run, "node long, digest binary, bands array<long>")
+    return mapped(docs.select(F.col(row_id).cast("long").alias("node"), text), run, "node long, digest binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, lexicon_: Lexicon) -> DataFrame:
@@ -294,8 +290,6 @@ def verified(pairs: DataFrame, texts: DataFrame, lexicon_: Lexicon) -> DataFrame
     broadcast = texts.sparkSession.sparkContext.broadcast(lexicon_)
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-
-    @releasing
     def run(batches):
         words = Words(broadcast.value)
         known: dict[int, list] = {}
@@ -317,15 +311,12 @@ def verified(pairs: DataFrame, texts: DataFrame, lexicon_: Lexicon) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near, pa.bool_())],
                                                  names=["a", "b", "similar"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(
-        run, "a long, b long, similar boolean")
+    return mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a long, b long, similar boolean")
 
 
 def weighed(texts: DataFrame, lexicon_: Lexicon) -> DataFrame:
     """(node, class, total, shingle, weight): all shingles of each text of texts (node, class, text)."""
     broadcast = texts.sparkSession.sparkContext.broadcast(lexicon_)
-
-    @releasing
     def run(batches):
         words = Words(broadcast.value)
         for batch in batches:
@@ -338,8 +329,7 @@ def weighed(texts: DataFrame, lexicon_: Lexicon) -> DataFrame:
                     [pa.array(held[0]), pa.array(held[1]), pa.array(totals), pa.array(shingles.view(np.int64)),
                      pa.array(weights.astype(np.float64))], names=["node", "class", "total", "shingle", "weight"])
 
-    return texts.select("node", "class", "text").mapInArrow(
-        run, "node long, class long, total double, shingle long, weight double")
+    return mapped(texts.select("node", "class", "text"), run, "node long, class long, total double, shingle long, weight double")
 
 
 def prefix_pairs(texts: DataFrame, lexicon_: Lexicon) -> DataFrame:
