@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 from collections import defaultdict
 
+import numpy as np
+
 from trackloom.functions.seeded import Draws, split_mix
-from trackloom.operators import generation as g
+from trackloom.operators import generation as g, rendering
 from trackloom.operators.rendering import merge_zones
 
 
@@ -32,6 +35,7 @@ def test_flights_and_turns():
         assert 2 <= len(hunt) <= 120
     steps = g.turn(20.0, 0.3, 0.2, 1.0)
     assert abs(sum(by for _, by in steps) - 1.0) < 1e-9 and min(s for s, _ in steps) < 20 * 0.5
+    assert len(g.turn(20.0, 0.25, 0.15, 100.0)) == 60
     assert g.progress(5, 0)[-1] == 1.0 or math.isclose(g.progress(5, 0)[-1], 1.0)
 
 
@@ -89,3 +93,34 @@ def test_zones_are_those_of_whole_pages(spark):
     expected = {(page, k, *z) for page, boxes in pages.items() for k, z in enumerate(brute_zones(boxes))}
     assert max(map(len, pages.values())) > 100
     assert {tuple(r) for r in registry.queries()["g28_merged_zones"](spark, folder).collect()} == expected
+
+
+def test_colours_are_those_of_the_plain_rule(spark):
+    draw = random.Random(3)
+    rows = [(page, path, f, draw.uniform(0, 300) + 2 * f, draw.uniform(0, 300)) for page in range(3) for path in range(25) for f in range(draw.randint(1, 4))]
+    out = {(r["page"], r["path"]): r["colour"] for r in rendering.colours(spark.createDataFrame(rows, "page long, path long, frame long, x double, y double"), 4, 20.0).collect()}
+    for page in range(3):
+        paths = {}
+        for p, path, _, x, y in rows:
+            if p == page:
+                paths.setdefault(path, []).append((x, y))
+        spots = {k: rendering.sampled_path(np.array(v), 5.0)[0] for k, v in paths.items()}
+        done = {}
+        for path in sorted(paths):
+            near = [done[o] for o in done if np.hypot(*(spots[path][:, None] - spots[o][None]).transpose(2, 0, 1)).min() < 20]
+            done[path] = min(range(4), key=lambda c: (near.count(c), list(done.values()).count(c), c))
+        assert {k: out[page, k] for k in paths} == done
+
+
+def test_markers_keep_apart_and_clear(spark):
+    paths = [[(200.0, 200.0), (600.0, 200.0)], [(200.0, 205.0), (600.0, 205.0)], [(400.0, 100.0), (400.0, 500.0)], [(30.0, 30.0)], [(30.0, 30.0)]]
+    made = rendering.place(paths, 1440, 1080, 12.0)
+    assert all(math.dist(a, b) >= 26 for i, a in enumerate(made) for b in made[i + 1:])
+    assert all(14 <= x <= 1426 and 14 <= y <= 1066 for x, y in made)
+    alone = rendering.place(paths[:1], 1440, 1080, 12.0)
+    assert alone == [(302.0, 200.0)]  # a quarter of the way, in steps of half a radius
+    clear = rendering.place(paths[:1], 1440, 1080, 12.0, [(302.0, 200.0)], 30.0)
+    assert 30 <= math.dist(clear[0], (302, 200)) < 40 and clear[0][1] == 200
+    assert rendering.place([], 1440, 1080, 12.0) == []
+    df = spark.createDataFrame([(1, k, f, *p) for k, own in enumerate(paths) for f, p in enumerate(own)], "page long, path long, frame long, x double, y double")
+    assert {r["path"]: (r["x"], r["y"]) for r in rendering.markers(df, 1440, 1080, 12.0).collect()} == dict(enumerate(made))

@@ -131,14 +131,14 @@ def arc_lengths(points: DataFrame) -> DataFrame:
     return stepped(points).select("track", "frame", F.round(F.sum(step).over(along), 6).alias("length"))
 
 
-def resampled(points: DataFrame, step: float) -> DataFrame:
+def resampled(points: DataFrame, step: float, digits: int = 3) -> DataFrame:
     """Points every so many pixels along each path."""
     lengths = arc_lengths(points).join(points.select("track", "frame", "x", "y"), ["track", "frame"])
     ahead = lengths.select("*", *(F.lead(c).over(order()).alias(f"n_{c}") for c in ("length", "x", "y"))).filter("n_length > length")
     first, last = F.ceil(F.col("length") / step), F.ceil(F.col("n_length") / step) - 1
     spread = ahead.filter(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
     share = (F.col("k") * step - F.col("length")) / (F.col("n_length") - F.col("length"))
-    return spread.select("track", "k", *(F.round(F.col(c) + (F.col(f"n_{c}") - F.col(c)) * share, 3).alias(c) for c in ("x", "y")))
+    return spread.select("track", "k", *(F.round(F.col(c) + (F.col(f"n_{c}") - F.col(c)) * share, digits).alias(c) for c in ("x", "y")))
 
 
 def measured(points: DataFrame, rate: float) -> DataFrame:
