@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.lineage import cut
+from trackloom.operators.intervals import BLOCK, in_blocks
 
 
 def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], radius: float, strict: bool = False) -> DataFrame:
@@ -124,23 +127,21 @@ def twins(points: DataFrame, bound: float = 36.0) -> DataFrame:
     return shared.filter("shared = near").select("video", "a_id", "b_id", "shared")
 
 
-def groups(pairs: DataFrame, most: int = 50) -> DataFrame:
+def groups(pairs: DataFrame) -> DataFrame:
     """Connected components of pairs (a_id, b_id): node, root (the least node); labels take the least of
     their neighbours' and of the label they name until nothing changes."""
     both = pairs.select(F.col("a_id").alias("node"), F.col("b_id").alias("next")).unionByName(
         pairs.select(F.col("b_id").alias("node"), F.col("a_id").alias("next"))).distinct()
     both = cut(both)
     labels = cut(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("root")))
-    for _ in range(most):
+    while True:
         sent = both.join(labels, "node").select(F.col("next").alias("node"), "root").unionByName(labels)
         near = sent.groupBy("node").agg(F.min("root").alias("near"))
         beyond = labels.select(F.col("node").alias("near"), F.col("root").alias("beyond"))
-        new = near.join(beyond, "near", "left").select("node", F.least("near", F.coalesce("beyond", "near")).alias("root"))
-        new = cut(new)
+        new = cut(near.join(beyond, "near", "left").select("node", F.least("near", F.coalesce("beyond", "near")).alias("root")))
         if new.join(labels, ["node", "root"], "left_anti").isEmpty():
             return new
         labels = new
-    raise ValueError(f"labels still change after {most} rounds")
 
 
 def assigned_targets(points: DataFrame, targets: DataFrame, radius: float = 24.0, purity: float = 0.5) -> DataFrame:
@@ -217,24 +218,108 @@ def difference_groups(rows: DataFrame, keys: list[str], gap: int = 30) -> DataFr
         F.max("amplitude").alias("peak")).drop("session")
 
 
-def rejoinable(ends: DataFrame, max_gap: int = 6, most: int = 19, miss: float = 60.0) -> DataFrame:
-    """Pairs (a_id, b_id) of tracks of a video where b begins more than max_gap and at most `most` hidden
-    frames after a ends, near to where both, led on to the middle of the hole, meet.
+def track_ends(points: DataFrame, most: int = 5) -> DataFrame:
+    """Per track its hits, ends and the velocities over at most so many first and last points and over all (0 for one).
+
+    points: video, track, frame, x, y.
+    """
+    own = Window.partitionBy("video", "track")
+    rows = points.select("video", "track", "frame", "x", "y", F.row_number().over(own.orderBy("frame")).alias("from_start"),
+                         F.row_number().over(own.orderBy(F.desc("frame"))).alias("from_end"))
+    point = F.struct("frame", "x", "y")
+    parts = {"head": F.col("from_start") <= most, "tail": F.col("from_end") <= most, "whole": F.lit(True)}
+    ends = rows.groupBy("video", "track").agg(F.count(F.lit(1)).alias("hits"), *(
+        f(F.when(held, point)).alias(f"{name}_{n}") for name, held in parts.items() for n, f in (("a", F.min), ("b", F.max))))
+
+    def velocity(name: str, c: str):
+        first, last = F.col(f"{name}_a"), F.col(f"{name}_b")
+        return F.when(last["frame"] > first["frame"], (last[c] - first[c]) / (last["frame"] - first["frame"])).otherwise(0.0).alias(f"{name}_v{c}")
+
+    return ends.select("video", "track", "hits", F.col("whole_a.frame").alias("first"), F.col("whole_b.frame").alias("last"),
+                       *(F.col(f"whole_{n}.{c}").alias(f"{side}_{c}") for side, n in (("first", "a"), ("last", "b")) for c in "xy"),
+                       *(velocity(name, c) for name in parts for c in "xy"))
+
+
+@dataclass(frozen=True)
+class RejoinSettings:
+    """Bounds of rejoining: hidden frames, pixels, points of pieces, shares of a kept track's speed."""
+
+    max_gap: int = 6
+    most_hidden: int = 19
+    miss: float = 60.0
+    min_hits: int = 6
+    piece_points: int = 2
+    junction: float = 0.25
+    piece: float = 0.45
+    edge: float = 30.0
+    width: float = 1440.0
+    height: float = 1080.0
+
+
+def rejoinable(points: DataFrame, ignored: DataFrame, settings: RejoinSettings = RejoinSettings()) -> DataFrame:
+    """Pairs (video, a_id, b_id, through_piece, hidden, miss) of tracks where b may go on where a ended.
+
+    b begins more than max_gap and at most most_hidden hidden frames after a ends, neither end is at the edge, no
+    ignored span (video, first, last) overlaps what is hidden, and both, led on to the middle, meet within `miss`.
+    Tracks of fewer than min_hits points are pieces, those of fewer than piece_points nothing; two pieces are not
+    linked.  The way across, and a piece of several points, must not be slower than shares of the kept track's speed.
+    """
+    s = settings
+    speed = lambda name: F.sqrt(F.col(f"{name}_vx") * F.col(f"{name}_vx") + F.col(f"{name}_vy") * F.col(f"{name}_vy"))
+    inner = lambda side: F.least(F.col(f"{side}_x"), s.width - F.col(f"{side}_x"), F.col(f"{side}_y"), s.height - F.col(f"{side}_y")) >= s.edge
+    ends = track_ends(points).filter(F.col("hits") >= s.piece_points).withColumn("piece", F.col("hits") < s.min_hits).withColumn("pace", speed("whole"))
+    ends = ends.withColumn("head", speed("head")).withColumn("tail", speed("tail"))
+    size = s.most_hidden + 2
+    a = ends.filter(inner("last")).select(
+        "video", F.col("track").alias("a_id"), F.col("last").alias("until"), F.col("last_x").alias("x0"), F.col("last_y").alias("y0"),
+        F.col("tail_vx").alias("vx0"), F.col("tail_vy").alias("vy0"), F.col("piece").alias("a_piece"), F.col("pace").alias("a_pace"),
+        F.col("tail").alias("a_speed"), F.col("hits").alias("a_hits"), F.col("first").alias("a_first"),
+        F.explode(F.sequence(F.expr(f"(last + {s.max_gap}) div {size}"), F.expr(f"(last + {s.most_hidden + 1}) div {size}"))).alias("cell"))
+    b = ends.filter(inner("first")).select(
+        "video", F.col("track").alias("b_id"), F.col("first").alias("since"), F.col("first_x").alias("x1"), F.col("first_y").alias("y1"),
+        F.col("head_vx").alias("vx1"), F.col("head_vy").alias("vy1"), F.col("piece").alias("b_piece"), F.col("pace").alias("b_pace"),
+        F.col("head").alias("b_speed"), F.col("hits").alias("b_hits"), F.expr(f"first div {size}").alias("cell"))
+    met = a.join(b, ["video", "cell"]).withColumn("hidden", F.col("since") - F.col("until") - 1).filter(
+        (F.col("hidden") > s.max_gap) & (F.col("hidden") <= s.most_hidden) & ~(F.col("a_piece") & F.col("b_piece")))
+    gap = F.col("since") - F.col("until")
+    dx = F.col("x0") + (F.col("vx0") + F.col("vx1")) / 2 * gap - F.col("x1")
+    dy = F.col("y0") + (F.col("vy0") + F.col("vy1")) / 2 * gap - F.col("y1")
+    across = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))) / gap
+    fast = lambda mine, other: F.col(f"{mine}_piece") | (
+        (across >= s.junction * F.col(f"{mine}_speed")) & (~F.col(f"{other}_piece") | (F.col(f"{other}_hits") < 2)
+                                                           | (F.col(f"{other}_pace") >= s.piece * F.col(f"{mine}_speed"))))
+    met = met.withColumn("miss", F.round(F.sqrt(dx * dx + dy * dy), 4)).filter((F.col("miss") <= s.miss) & fast("a", "b") & fast("b", "a"))
+    # spans that reach into a hole: the frames of a hole are few, so that a span meets it in one or two cells
+    holes = met.select("video", "a_id", "b_id", "until", "since", F.explode(F.sequence(F.expr(f"until div {BLOCK}"), F.expr(f"since div {BLOCK}"))).alias("block"))
+    spans = in_blocks(ignored.select("video", F.col("first").alias("f"), F.col("last").alias("l"), "first", "last")).drop("first", "last")
+    hidden = holes.join(spans, ["video", "block"]).filter("f < since AND until < l").select("video", "a_id", "b_id").distinct()
+    return met.join(hidden, ["video", "a_id", "b_id"], "left_anti").select(
+        "video", "a_id", "b_id", (F.col("a_piece") | F.col("b_piece")).alias("through_piece"), "hidden", "miss")
+
+
+def rejoined(pairs: DataFrame) -> DataFrame:
+    """Of candidate pairs those taken: without pieces first, then by miss, then by names, each end and start once.
+
+    The fold is keyed by the connected component of pairs, not by the video: what is far apart does not wait.
+    """
+    tagged = cut(pairs.select("*", *(F.struct("video", F.col(f"{n}_id").alias("track")).alias(f"{n}_end") for n in "ab")))
+    parts = groups(tagged.select(F.col("a_end").alias("a_id"), F.col("b_end").alias("b_id"))).select(F.col("node").alias("a_end"), F.col("root").alias("part"))
+    keyed = tagged.join(parts, "a_end").select("video", "part", "through_piece", "miss", "a_id", "b_id")
+    return greedy(keyed, ["video", "part"], ["through_piece", "miss", "a_id", "b_id"], "a_id", "b_id").drop("part")
+
+
+def chains(points: DataFrame, links: DataFrame, settings: RejoinSettings = RejoinSettings()) -> DataFrame:
+    """points with head: the track that begins the chain of links (video, a_id, b_id) in which a track stands.
 
-    ends: video, track, first, last, first_x, first_y, last_x, last_y, head_vx, head_vy, tail_vx, tail_vy.
+    Tracks without links are chains of their own; chains of pieces alone, and what is less than a piece, go.
     """
-    a = ends.select("video", F.col("track").alias("a_id"), F.col("last").alias("until"), F.col("last_x").alias("x0"), F.col("last_y").alias("y0"),
-                    F.col("tail_vx").alias("vx0"), F.col("tail_vy").alias("vy0"))
-    b = ends.select("video", F.col("track").alias("b_id"), F.col("first").alias("since"), F.col("first_x").alias("x1"), F.col("first_y").alias("y1"),
-                    F.col("head_vx").alias("vx1"), F.col("head_vy").alias("vy1"))
-    size = most + 2
-    dealt = a.select("*", F.explode(F.sequence(F.expr(f"(until + {max_gap}) div {size}"), F.expr(f"(until + {most + 1}) div {size}"))).alias("cell"))
-    met = dealt.join(b.withColumn("cell", F.expr(f"since div {size}")), ["video", "cell"]).filter("a_id <> b_id").withColumn(
-        "hidden", F.col("since") - F.col("until") - 1).filter((F.col("hidden") > max_gap) & (F.col("hidden") <= most))
-    half = (F.col("since") - F.col("until")) / 2
-    dx = F.col("x0") + F.coalesce("vx0", F.lit(0.0)) * half - (F.col("x1") - F.coalesce("vx1", F.lit(0.0)) * half)
-    dy = F.col("y0") + F.coalesce("vy0", F.lit(0.0)) * half - (F.col("y1") - F.coalesce("vy1", F.lit(0.0)) * half)
-    return met.withColumn("miss", F.round(F.sqrt(dx * dx + dy * dy), 4)).filter(F.col("miss") <= miss).select("video", "a_id", "b_id", "hidden", "miss")
+    ends = points.groupBy("video", "track").agg(F.min("frame").alias("first"), F.count(F.lit(1)).alias("hits"))
+    held = groups(links.select(F.struct("video", F.col("a_id").alias("track")).alias("a_id"), F.struct("video", F.col("b_id").alias("track")).alias("b_id")))
+    rows = ends.join(held.select("node.video", "node.track", F.struct(F.col("root.video"), F.col("root.track")).alias("root")), ["video", "track"], "left")
+    rows = rows.withColumn("root", F.coalesce("root", F.struct("video", "track")))
+    heads = rows.groupBy("root").agg(F.min(F.struct("first", "track")).alias("one"), F.max("hits").alias("hits")).filter(
+        F.col("hits") >= settings.min_hits).select("root", F.col("one.track").alias("head"))
+    return points.join(rows.join(heads, "root").select("video", "track", "head"), ["video", "track"])
 
 
 def crowded(points: DataFrame, others: DataFrame, keys: list[str], least: float) -> DataFrame:

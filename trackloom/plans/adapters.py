@@ -57,6 +57,12 @@ TABLES = {
     "scene_points": """
         SELECT video, obj * 100000 + CAST(floor(frame / 60) AS BIGINT) AS track, frame, x, y, area, amplitude, width, height, strength
         FROM (SELECT *, row_number() OVER (PARTITION BY video, obj, frame ORDER BY det_idx) AS rn FROM detections) d WHERE rn = 1""",
+    # flights with holes of about 12 frames, or of about 12 and 9 between which a few points are left
+    "broken_points": """
+        SELECT video, obj * 1000000 + CAST(floor(frame / 60) AS BIGINT) * 10 + CASE WHEN frame % 60 < 24 THEN 0 WHEN frame % 60 < 39 AND obj % 2 = 0 THEN 1 ELSE 2 END AS track, frame, x, y
+        FROM (SELECT *, row_number() OVER (PARTITION BY video, obj, frame ORDER BY det_idx) AS rn FROM detections) d
+        WHERE rn = 1 AND (frame % 60 < 24 OR frame % 60 >= 36 AND obj % 2 = 1 OR frame % 60 BETWEEN 36 AND 38 OR frame % 60 >= 48)""",
+    "ignored": "SELECT video, frame AS first, frame + det_idx % 7 AS last FROM detections WHERE det_idx % 41 = 0",
     "twin_points": """
         SELECT l_orderkey AS track, l_linenumber AS frame, CAST(l_quantity AS DOUBLE) AS area, CAST(floor(l_extendedprice) AS DOUBLE) AS x,
                CAST(l_partkey % 1080 AS DOUBLE) AS y, CAST(3 + l_suppkey % 5 AS DOUBLE) AS width, CAST(3 + l_partkey % 4 AS DOUBLE) AS height,

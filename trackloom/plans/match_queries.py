@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trackloom.operators import intervals, matching, tracks
+from trackloom.operators import intervals, matching
 from trackloom.plans.adapters import oracle
 
 
@@ -57,22 +56,29 @@ ALONE = """
     SELECT 1 FROM taken m WHERE m.video = d.video AND m.frame = d.frame AND m.a_id = d.det_idx)
   UNION ALL SELECT video, frame, 'added', det_idx, x, y, amplitude FROM candidates d WHERE NOT EXISTS (
     SELECT 1 FROM taken m WHERE m.video = d.video AND m.frame = d.frame AND m.b_id = d.det_idx)"""
-ENDS = """SELECT video, track, """ + ", ".join(
-    f"CASE WHEN {s}f1 > {s}f0 THEN round(({s}{c}1 - {s}{c}0) / ({s}f1 - {s}f0), 6) ELSE 0 END AS {s}_v{c}" for s in ("head", "tail") for c in "xy") + """,
-    headf0 AS first, tailf1 AS last, headx0 AS first_x, heady0 AS first_y, tailx1 AS last_x, taily1 AS last_y
-  FROM (SELECT video, track, """ + ", ".join(
-    f"arg_{m}({c}, frame) FILTER (WHERE {s} <= 5) AS {s}{'f' if c == 'frame' else c}{k}" for s in ("head", "tail") for c in ("x", "y", "frame")
-    for m, k in (("min", 0), ("max", 1))) + """
-  FROM (SELECT *, row_number() OVER (PARTITION BY video, track ORDER BY frame) AS head, row_number() OVER (PARTITION BY video, track ORDER BY frame DESC) AS tail
-        FROM track_points) a GROUP BY video, track) b"""
+_PARTS = {"head": "rs <= 5", "tail": "re <= 5", "whole": "true"}
+ENDS = f"""
+  SELECT *, hits < 6 AS piece, {', '.join(f"sqrt({p}_vx * {p}_vx + {p}_vy * {p}_vy) AS {p}_speed" for p in _PARTS)} FROM (
+    SELECT video, track, hits, whole_f0 AS first, whole_f1 AS last, whole_x0 AS first_x, whole_y0 AS first_y, whole_x1 AS last_x, whole_y1 AS last_y,
+           {', '.join(f"CASE WHEN {p}_f1 > {p}_f0 THEN ({p}_{c}1 - {p}_{c}0) / ({p}_f1 - {p}_f0) ELSE 0 END AS {p}_v{c}" for p in _PARTS for c in "xy")} FROM (
+      SELECT video, track, count(*) AS hits, {', '.join(
+          f"arg_{m}({c}, frame) FILTER (WHERE {w}) AS {p}_{'f' if c == 'frame' else c}{k}" for p, w in _PARTS.items() for c in ("frame", "x", "y") for m, k in (("min", 0), ("max", 1)))}
+      FROM (SELECT *, row_number() OVER (PARTITION BY video, track ORDER BY frame) AS rs, row_number() OVER (PARTITION BY video, track ORDER BY frame DESC) AS re
+            FROM broken_points) a GROUP BY video, track) b WHERE hits >= 2) c"""
+_GAP, _SQUARE = "(b.first - a.last)", "({0}) * ({0})"
+_MISS = " + ".join(_SQUARE.format(f"a.last_{c} + (a.tail_v{c} + b.head_v{c}) / 2 * {_GAP} - b.first_{c}") for c in "xy")
+_ACROSS = f"sqrt({' + '.join(_SQUARE.format(f'b.first_{c} - a.last_{c}') for c in 'xy')}) / {_GAP}"
+_INNER = "least({0}_x, 1440 - {0}_x, {0}_y, 1080 - {0}_y) >= 30"
 REJOIN = f"""
-  SELECT a.video, a.track AS a_id, b.track AS b_id, b.first - a.last - 1 AS hidden, round(sqrt(
-      (a.last_x + a.tail_vx * ((b.first - a.last) / 2.0::DOUBLE) - (b.first_x - b.head_vx * ((b.first - a.last) / 2.0::DOUBLE)))
-      * (a.last_x + a.tail_vx * ((b.first - a.last) / 2.0::DOUBLE) - (b.first_x - b.head_vx * ((b.first - a.last) / 2.0::DOUBLE)))
-    + (a.last_y + a.tail_vy * ((b.first - a.last) / 2.0::DOUBLE) - (b.first_y - b.head_vy * ((b.first - a.last) / 2.0::DOUBLE)))
-      * (a.last_y + a.tail_vy * ((b.first - a.last) / 2.0::DOUBLE) - (b.first_y - b.head_vy * ((b.first - a.last) / 2.0::DOUBLE)))), 4) AS miss
-  FROM ({ENDS}) a JOIN ({ENDS}) b ON a.video = b.video AND a.track <> b.track AND b.first - a.last - 1 > 6 AND b.first - a.last - 1 <= 19"""
-REJOIN = f"SELECT * FROM ({REJOIN}) r WHERE miss <= 400"
+  SELECT * FROM (
+    SELECT a.video, a.track AS a_id, b.track AS b_id, a.piece OR b.piece AS through_piece, b.first - a.last - 1 AS hidden, round(sqrt({_MISS}), 4) AS miss
+    FROM ({ENDS}) a JOIN ({ENDS}) b ON a.video = b.video AND b.first - a.last - 1 > 6 AND b.first - a.last - 1 <= 19 AND NOT (a.piece AND b.piece)
+    WHERE {_INNER.format('a.last')} AND {_INNER.format('b.first')}
+      AND NOT EXISTS (SELECT 1 FROM ignored s WHERE s.video = a.video AND s.first < b.first AND a.last < s.last)
+      AND (a.piece OR ({_ACROSS} >= 0.25 * a.tail_speed AND (NOT b.piece OR b.hits < 2 OR b.whole_speed >= 0.45 * a.tail_speed)))
+      AND (b.piece OR ({_ACROSS} >= 0.25 * b.head_speed AND (NOT a.piece OR a.hits < 2 OR a.whole_speed >= 0.45 * b.head_speed)))) r
+  WHERE miss <= 60"""
+REJOINED = greedy_sql(REJOIN, "video", "through_piece, miss, a_id, b_id", "a_id", "b_id")
 
 
 def _matches(t):
@@ -120,17 +126,13 @@ def _agreement(t):
                        F.round(F.when(F.col("reference") > 0, F.col("paired") / F.col("reference")).otherwise(1.0), 6).alias("rate"))
 
 
-def _ends(t):
-    points = t("track_points")
-    ends = points.groupBy("video", "track").agg(F.min(F.struct("frame", "x", "y")).alias("a"), F.max(F.struct("frame", "x", "y")).alias("b"))
-    speeds = tracks.end_velocities(points)
-    return ends.join(speeds, "track").select("video", "track", F.col("a.frame").alias("first"), F.col("b.frame").alias("last"), F.col("a.x").alias("first_x"),
-                                             F.col("a.y").alias("first_y"), F.col("b.x").alias("last_x"), F.col("b.y").alias("last_y"),
-                                             "head_vx", "head_vy", "tail_vx", "tail_vy")
+def _rejoin(t):
+    return matching.rejoinable(t("broken_points"), t("ignored"))
 
 
-def _rejoin(t):
-    return matching.rejoinable(_ends(t), miss=400.0)
+def _chains(t):
+    rows = matching.chains(t("broken_points"), matching.rejoined(_rejoin(t)))
+    return rows.groupBy("video", "head").agg(F.countDistinct("track").alias("parts"), F.count(F.lit(1)).alias("hits"), F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
 def _frame_lists(df):
@@ -212,8 +214,13 @@ QUERIES = {
         r AS (SELECT n, n AS root FROM e UNION SELECT e.m, r.root FROM r JOIN e ON e.n = r.n)
         SELECT n AS node, min(root) AS root FROM r GROUP BY n"""),
     "j10_rejoin_candidates": (_rejoin, REJOIN),
-    "j11_rejoin_greedy": (lambda t: matching.greedy(_rejoin(t), ["video"], ["miss", "a_id", "b_id"], "a_id", "b_id"),
-                          greedy_sql(REJOIN, "video", "miss, a_id, b_id", "a_id", "b_id") + " SELECT video, a_id, b_id, miss FROM taken"),
+    "j11_rejoin_greedy": (lambda t: matching.rejoined(_rejoin(t)), REJOINED + " SELECT video, through_piece, miss, a_id, b_id FROM taken"),
+    "j11_rejoined_chains": (_chains, REJOINED + """, 
+        down AS (SELECT video, a_id AS head, a_id AS track FROM taken t WHERE NOT EXISTS (SELECT 1 FROM taken u WHERE u.video = t.video AND u.b_id = t.a_id)
+                 UNION ALL SELECT d.video, d.head, t.b_id FROM down d JOIN taken t ON t.video = d.video AND t.a_id = d.track),
+        own AS (SELECT video, track, count(*) AS hits, min(frame) AS first, max(frame) AS last FROM broken_points GROUP BY video, track)
+        SELECT o.video, coalesce(d.head, o.track) AS head, count(*) AS parts, CAST(sum(hits) AS BIGINT) AS hits, min(first) AS first, max(last) AS last
+        FROM own o LEFT JOIN down d ON d.video = o.video AND d.track = o.track GROUP BY 1, 2 HAVING max(hits) >= 6"""),
     "j15_truth_assignment": (lambda t: matching.assigned_targets(t("scene_points"), _targets(t)), ASSIGNED),
     "j16_reference_share": (lambda t: matching.matching_share(t("scene_points"), t("candidates")), """
         SELECT p.video, p.track, count(*) FILTER (WHERE hit) AS near, count(*) AS points, count(*) FILTER (WHERE hit) >= 0.5 * count(*) AS matches FROM (
