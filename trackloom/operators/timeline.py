@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.lineage import cut
 from trackloom.operators.intervals import merged, outside
 
 
@@ -21,14 +22,22 @@ def steps(frames: DataFrame) -> DataFrame:
     return out.filter(F.col("frames").isNotNull())
 
 
-def typical_step(frames: DataFrame) -> DataFrame:
-    """Per video the ticks of a frame: the upper median of ticks per frame, then the mean over the
-    intervals that round to their own number of frames by it."""
-    rows = steps(frames)
-    place = Window.partitionBy("video").orderBy(F.col("ticks") / F.col("frames"))
-    every = Window.partitionBy("video")
-    middle = (rows.withColumn("at", F.row_number().over(place)).withColumn("n", F.count(F.lit(1)).over(every))
-              .filter(F.col("at") == F.expr("n div 2") + 1).select("video", (F.col("ticks") / F.col("frames")).alias("median")))
+def middles(rows: DataFrame, value: Column, first: str = "lower", second: str = "upper") -> DataFrame:
+    """Per video the lower and the upper median of a value (the same one of an odd number of rows).
+
+    Rows are counted by value before they meet, so that a video of any length is a few counts.
+    """
+    counts = rows.groupBy("video", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    along, every = Window.partitionBy("video").orderBy("value"), Window.partitionBy("video")
+    placed = counts.select("video", "value", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(every).alias("rows"))
+    at = lambda place: F.min(F.when(F.col("upto") >= F.expr(place), F.col("value")))
+    return placed.groupBy("video").agg(at("(rows + 1) div 2").alias(first), at("rows div 2 + 1").alias(second))
+
+
+def step_of(rows: DataFrame) -> DataFrame:
+    """Per video the ticks of a frame, from the rows of steps(): the upper median of ticks per frame, then the mean
+    over the intervals that round to their own number of frames by it."""
+    middle = middles(rows, F.col("ticks") / F.col("frames"), "lower", "median")
     kept = rows.join(middle, "video").withColumn(
         "fits", _rounded(F.col("ticks") / F.col("median")) == F.col("frames"))
     return kept.groupBy("video").agg(
@@ -36,9 +45,15 @@ def typical_step(frames: DataFrame) -> DataFrame:
                    F.first("median")).alias("step"))
 
 
+def typical_step(frames: DataFrame) -> DataFrame:
+    """Per video the ticks of a frame; see step_of()."""
+    return step_of(cut(steps(frames)))
+
+
 def jumps(frames: DataFrame) -> DataFrame:
     """Frames after an interval that spans more frames of time than frames: video, frame, lost."""
-    rows = steps(frames).join(typical_step(frames), "video")
+    own = cut(steps(frames))
+    rows = own.join(step_of(own), "video")
     spanned = _rounded(F.col("ticks") / F.col("step"))
     return rows.select("video", "frame", (spanned - F.col("frames")).alias("lost")).filter("lost > 0")
 
@@ -99,14 +114,10 @@ def unstable_spans(frames: DataFrame, detections: DataFrame, damaged: DataFrame,
     """
     readable = outside(frames.select("video", "frame"), damaged, ["video"])
     counts = detections.groupBy("video", "frame").agg(F.count(F.lit(1)).alias("n"))
-    per_frame = readable.join(counts, ["video", "frame"], "left").select("video", "frame", F.coalesce("n", F.lit(0)).alias("n"))
-    place = Window.partitionBy("video").orderBy("n", "frame")
-    every = Window.partitionBy("video")
-    ranked = per_frame.withColumn("at", F.row_number().over(place)).withColumn("rows", F.count(F.lit(1)).over(every))
-    limits = ranked.groupBy("video").agg(
-        (max_blobs + 3 * (F.max(F.when(F.col("at") == F.expr("(rows + 1) div 2"), F.col("n")))
-                          + F.max(F.when(F.col("at") == F.expr("rows div 2 + 1"), F.col("n"))))).alias("limit"),
-        F.min("frame").alias("low"), F.max("frame").alias("high"))
+    per_frame = cut(readable.join(counts, ["video", "frame"], "left").select("video", "frame", F.coalesce("n", F.lit(0)).alias("n")))
+    middle = middles(per_frame, F.col("n"))
+    hull = per_frame.groupBy("video").agg(F.min("frame").alias("low"), F.max("frame").alias("high"))
+    limits = middle.join(hull, "video").select("video", "low", "high", (max_blobs + 3 * (F.col("lower") + F.col("upper"))).alias("limit"))
     # one row per video
     crowded = per_frame.join(limits, "video").filter("n >= limit")
     spans = crowded.select("video", F.greatest("low", F.col("frame") - pad).alias("first"),

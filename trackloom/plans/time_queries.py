@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackloom.functions.lineage import cut
 from trackloom.operators import intervals, timeline
 from trackloom.plans.adapters import oracle
 
@@ -53,23 +54,31 @@ IGNORED = union_sql(f"SELECT video, first, last FROM ({DAMAGE}) d UNION ALL SELE
 
 
 def _damaged(t):
-    return timeline.damaged_spans(t("frames"), HALF)
+    return timeline.damaged_spans(cut(t("frames")), HALF)
+
+
+def _spans(t):
+    """Damaged, unstable and all ignored spans, each worked out once."""
+    frames = cut(t("frames"))
+    damaged = cut(timeline.damaged_spans(frames, HALF))
+    unstable = cut(timeline.unstable_spans(frames, t("crowded"), damaged))
+    return frames, damaged, unstable, timeline.ignored_spans(damaged, unstable)
 
 
 def _unstable(t):
-    return timeline.unstable_spans(t("frames"), t("crowded"), _damaged(t))
+    return _spans(t)[2]
 
 
 def _ignored(t):
-    return timeline.ignored_spans(_damaged(t), _unstable(t))
+    return _spans(t)[3]
 
 
 def _summary(t):
-    frames = t("frames").groupBy("video").agg(F.count(F.lit(1)).alias("frames"))
-    return (frames.join(intervals.covered_frames(_damaged(t), ["video"]).withColumnRenamed("frames", "damaged"), "video", "left")
-            .join(intervals.covered_frames(_unstable(t), ["video"]).withColumnRenamed("frames", "unstable"), "video", "left")
-            .join(intervals.covered_frames(_ignored(t), ["video"]).withColumnRenamed("frames", "ignored"), "video", "left")
-            .select("video", "frames", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("damaged", "unstable", "ignored"))))
+    rows, *kinds = _spans(t)
+    out = rows.groupBy("video").agg(F.count(F.lit(1)).alias("frames"))
+    for name, spans in zip(("damaged", "unstable", "ignored"), kinds):
+        out = out.join(intervals.covered_frames(spans, ["video"]).withColumnRenamed("frames", name), "video", "left")
+    return out.select("video", "frames", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("damaged", "unstable", "ignored")))
 
 
 def _covered(sql: str, name: str) -> str:
