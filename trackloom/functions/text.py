@@ -70,6 +70,75 @@ def html(value: Column) -> Column:
     return value
 
 
+def json_string(value: Column) -> Column:
+    """A JSON string that is safe in a page: control characters, <, >, & and the line separators as escapes."""
+    quoted = F.regexp_replace(value, r'(["\\])', r"\\$1")
+    special = r"[\x00-\x1f\x7f-\x9f<>&\x{2028}\x{2029}]"
+    plain = F.split(quoted, special, -1)
+    coded = F.transform(F.regexp_extract_all(quoted, F.lit(special), F.lit(0)), lambda c: F.concat(
+        F.lit("\\u"), F.lpad(F.lower(F.hex(F.encode(c, "UTF-16BE"))), 4, "0")))
+    return F.concat(F.lit('"'), F.array_join(F.transform(plain, lambda p, i: F.concat(p, F.coalesce(F.get(coded, i), F.lit("")))), ""), F.lit('"'))
+
+
+def url(value: Column) -> Column:
+    """Percent-encoded UTF-8, a blank as %20."""
+    return F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+
+
+def base64(value: Column) -> Column:
+    return F.regexp_replace(F.base64(value), r"[\r\n]", "")
+
+
+def in_polygon(x: Column, y: Column, corners: Column) -> Column:
+    """Whether a point lies in a polygon (array of x, y), by the parity of the edges that a ray to the right crosses."""
+    def crossed(a: Column, i: Column) -> Column:
+        b = F.element_at(corners, F.when(i == 0, F.size(corners)).otherwise(i))
+        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.when(a["y"] == b["y"], 1.0).otherwise(b["y"] - a["y"]) + a["x"])
+
+    return F.size(F.filter(F.transform(corners, crossed), lambda c: c)) % 2 == 1
+
+
+def error_chain(messages: Column) -> Column:
+    """Messages of an error and of what caused it, outermost first, as one text."""
+    return F.array_join(messages, ": ")
+
+
+# Causes of a failure by the path of the error (its kinds, outermost first) and the kind of the system's
+# error; the first row that matches counts.
+CAUSES = [
+    ("detection/input/decode/unusable-path", "", "unusable-name"),
+    ("detection/input/decode/open", "not-found", "missing"),
+    ("detection/input/decode/open", "permission-denied", "read-refused"),
+    ("detection/input/decode/(open|no-video-stream)", "", "not-a-video"),
+    ("detection/input/decode/(read|decode)", "", "damaged"),
+    ("detection/input/decode/.*", "", "unsupported"),
+    ("detection/input/(no-announced-frames|frame-count)", "", "damaged"),
+    ("detection/input/.*", "", "unexpected"),
+    ("detection/.*", "tuned", "settings"),
+    ("detection/.*", "", "unsupported"),
+    ("disk-space", "", "disk-full"),
+    ("video", "not-found", "missing"),
+    ("video", "permission-denied", "read-refused"),
+    ("video", "", "unexpected"),
+    ("previous/remove", "sharing-violation|lock-violation", "in-use"),
+    ("encoders/scratch|source", "", "encoding"),
+    ("(folder|files|overview|previous|encoders|clips)(/.*)?", "storage-full|quota-exceeded", "disk-full"),
+    ("(folder|files|overview|previous|encoders|clips)(/.*)?", "permission-denied|read-only-filesystem", "forbidden"),
+    ("(encoders|clips)(/.*)?", "", "encoding"),
+    ("too-many-tracks", "", "too-many-tracks"),
+    (".*", "", "unexpected"),
+]
+
+
+def failure_cause(error: Column, system: Column) -> Column:
+    """The cause that a user is told, by CAUSES; system is null or empty where no system call failed."""
+    out = F.lit(None).cast("string")
+    for path, kind, cause in reversed(CAUSES):
+        met = error.rlike(f"^(?:{path})$") & (F.coalesce(system, F.lit("")).rlike(f"^(?:{kind})$") if kind else F.lit(True))
+        out = F.when(met, cause).otherwise(out)
+    return out
+
+
 def hex_colour(r: Column, g: Column, b: Column) -> Column:
     pair = lambda v: F.lpad(F.lower(F.hex(v)), 2, "0")
     return F.concat(F.lit("#"), pair(r), pair(g), pair(b))

@@ -85,6 +85,33 @@ def _names(t):
     return t("pages").select("page_id", name.alias("name"), ledger.output_kind(name).alias("kind"))
 
 
+# Errors as they come from a run of jobs: the path of kinds and the system's error.
+ERRORS = ["detection/input/decode/open", "detection/input/decode/read", "detection/blur", "video", "files/write", "clips/encode", "previous/remove", "too-many-tracks", "progress"]
+SYSTEM = ["not-found", "permission-denied", "storage-full", "", "tuned", "sharing-violation"]
+
+
+def _failures(t):
+    pick = lambda values, n: F.array(*map(F.lit, values))[(F.col("job") % n).cast("int")]
+    rows = t("jobs").select("job", pick(ERRORS, len(ERRORS)).alias("error"), pick(SYSTEM, len(SYSTEM)).alias("system"))
+    return rows.select("*", text.failure_cause(F.col("error"), F.col("system")).alias("cause"), text.error_chain(F.array("error", "system")).alias("chain"))
+
+
+def _escapes(t):
+    name = F.concat(F.col("c_name"), F.lit(" <&\t\"\\ é>"))
+    return t("customer").select("c_custkey", text.json_string(name).alias("json"), text.url(name).alias("url"), text.base64(F.encode(name, "UTF-8")).alias("base64"))
+
+
+def _polygon(t):
+    corners = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in POLYGON))
+    return t("detections").select("det_idx", text.in_polygon(F.col("x"), F.col("y"), corners).alias("inside"))
+
+
+POLYGON = [(100.0, 100.0), (900.0, 200.0), (500.0, 500.0), (1200.0, 900.0), (200.0, 800.0)]
+CROSSED = " + ".join(
+    f"CASE WHEN ({ay}::DOUBLE > y) <> ({by}::DOUBLE > y) AND x < ({bx}::DOUBLE - {ax}) * (y - {ay}::DOUBLE) / ({by}::DOUBLE - {ay}) + {ax} THEN 1 ELSE 0 END"
+    for (ax, ay), (bx, by) in zip(POLYGON, [POLYGON[-1], *POLYGON[:-1]]))
+
+
 def _clocks(t):
     s = F.col("o_totalprice") / 40
     n = F.col("o_orderkey")
@@ -199,6 +226,20 @@ QUERIES = {
                replace(printf('%.1f', round(v, 1) + 0.0::DOUBLE), '.', ',') AS fr, round(round(v * 100) / 100, 2) AS hundredths,
                CASE WHEN c_custkey % 2 = 0 THEN '"a""b;"' ELSE '"a""b"' END AS cell, '&lt;a href=&#39;x&#39;&gt;&amp;' || c_name AS html
         FROM (SELECT *, c_acctbal * 0.3713::DOUBLE AS v FROM customer) c"""),
+    "f11_escapes": (_escapes, """
+        SELECT c_custkey, '"' || c_name || ' \\u003c\\u0026\\u0009\\"\\\\ é\\u003e"' AS json, replace(c_name, '#', '%23') || '%20%3C%26%09%22%5C%20%C3%A9%3E' AS url,
+               base64(encode(c_name || ' <&' || chr(9) || '"\\ é>')) AS base64 FROM customer"""),
+    "f18_in_polygon": (_polygon, f"SELECT det_idx, ({CROSSED}) % 2 = 1 AS inside FROM detections"),
+    "f22_failure_causes": (_failures, f"""
+        SELECT *, CASE error
+          WHEN 'detection/input/decode/open' THEN CASE system WHEN 'not-found' THEN 'missing' WHEN 'permission-denied' THEN 'read-refused' ELSE 'not-a-video' END
+          WHEN 'detection/input/decode/read' THEN 'damaged' WHEN 'detection/blur' THEN CASE system WHEN 'tuned' THEN 'settings' ELSE 'unsupported' END
+          WHEN 'video' THEN CASE system WHEN 'not-found' THEN 'missing' WHEN 'permission-denied' THEN 'read-refused' ELSE 'unexpected' END
+          WHEN 'files/write' THEN CASE system WHEN 'storage-full' THEN 'disk-full' WHEN 'permission-denied' THEN 'forbidden' ELSE 'unexpected' END
+          WHEN 'clips/encode' THEN CASE system WHEN 'storage-full' THEN 'disk-full' WHEN 'permission-denied' THEN 'forbidden' ELSE 'encoding' END
+          WHEN 'previous/remove' THEN CASE system WHEN 'storage-full' THEN 'disk-full' WHEN 'permission-denied' THEN 'forbidden' WHEN 'sharing-violation' THEN 'in-use' ELSE 'unexpected' END
+          WHEN 'too-many-tracks' THEN 'too-many-tracks' ELSE 'unexpected' END AS cause, error || ': ' || system AS chain
+        FROM (SELECT job, ({ERRORS!r})[job % {len(ERRORS)} + 1] AS error, ({SYSTEM!r})[job % {len(SYSTEM)} + 1] AS system FROM jobs) j"""),
     "f15_rationals": (lambda t: t("lineitem").select("l_orderkey", "l_linenumber", text.rational(F.concat_ws("/", F.col("l_partkey").cast("string"), (F.col("l_suppkey") - 3).cast("string"))).alias("r")).select(
         "l_orderkey", "l_linenumber", F.col("r.num").alias("num"), F.col("r.den").alias("den")), """
         SELECT l_orderkey, l_linenumber, CASE WHEN d <> 0 THEN sign(d) * l_partkey // gcd(l_partkey, abs(d)) END AS num, CASE WHEN d <> 0 THEN abs(d) // gcd(l_partkey, abs(d)) END AS den
