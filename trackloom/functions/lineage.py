@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """df written once as a table in the shared checkpoint folder: later jobs read it, whatever executors are lost.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only where that is unset,
-    as in tests, a temporary folder is taken.
+    The folder is the one that the cluster names in spark.checkpoint.dir; where that is unset, a session on one
+    machine, as in tests, takes a temporary folder, and a session on a cluster is an error.
     """
     spark = df.sparkSession
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        spark.sparkContext.setCheckpointDir(
-            spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     path = f"{folder.get()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
