@@ -95,6 +95,11 @@ def test_bench_folder(spark, tmp_path):
     run = rec.read_bench(spark, str(tmp_path))
     assert [tuple(r) for r in rec.target_points(run["targets"]).orderBy("frame").collect()] == [(1, 7, 1.0, 2.0, 18.0), (1, 8, 3.0, 4.0, 19.0)]
     assert run["reference"].count() == run["injected"].count() == 1
+    rec.write_bench(run, str(tmp_path / "again"))
+    again = rec.read_bench(spark, str(tmp_path / "again"))
+    assert all(again[k].collect() == run[k].collect() for k in run)
+    with pytest.raises(Exception):
+        rec.write_bench(run, str(tmp_path / "again"))
 
 
 def test_verdicts_of_any_dialect(spark, tmp_path):

@@ -114,6 +114,12 @@ def read_bench(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             "injected": read_lines(spark, f"{folder}/injected.jsonl.gz", BENCH_FRAMES)}
 
 
+def write_bench(run: dict[str, DataFrame], folder: str) -> None:
+    """A run of the bench as read_bench() reads it; refuses tables that are there."""
+    for name, table in (("bats", "targets"), ("reference", "reference"), ("injected", "injected")):
+        write_lines(run[table], f"{folder}/{name}.jsonl.gz", gzip=True)
+
+
 def target_points(targets: DataFrame) -> DataFrame:
     """Points of targets: id, frame, x, y, amplitude."""
     rows = targets.select("id", "start_frame", F.posexplode(F.arrays_zip("positions", "amplitudes")).alias("k", "p"))
