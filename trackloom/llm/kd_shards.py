@@ -3,15 +3,16 @@
 Every node splits its rows at the weighted median of its widest dimension until the leaves hold the
 target bytes.  The medians of all nodes of a level are found together: rows are counted into bins of
 the node's range, the bin that holds the median becomes the next range, and so on; per pass the
-driver gets one row per node and bin.  Where many rows share the median value, a hash of the row
+driver gets one row per node.  Where many rows share the median value, a hash of the row
 orders them, so that one value may hold any part of the rows.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.frames import cut, fresh, ranked
@@ -41,8 +42,9 @@ def _by_node(node: Column, values: dict[int, int], most: int) -> Column:
     return F.array(*(F.lit(values.get(k)).cast("long") for k in range(most + 1)))[node]
 
 
-def _binned(rows: DataFrame, ranges: dict[int, tuple[int, int]], where: Column) -> dict[int, dict[int, int]]:
-    """Bytes per node and bin of its range; rows: node, size, measure."""
+def _reached(rows: DataFrame, ranges: dict[int, tuple[int, int]], need: dict[int, float], where: Column) -> dict[int, tuple[int, int, int]]:
+    """Per node of ranges the bin of its range in which so many bytes are reached, or else the last one with rows: the
+    bin, the bytes before it and its own; rows: node, size, measure."""
     most = max(ranges)
     node = F.col("node")
     picked = rows.filter(where & (node <= most)).select(
@@ -54,11 +56,14 @@ def _binned(rows: DataFrame, ranges: dict[int, tuple[int, int]], where: Column)
     bin_ = "cast((cast(measure as decimal(20, 0)) - lo) div step as long)" if wide else "(measure - lo) div step"
     counts = (picked.filter(F.col("measure").between(F.col("lo"), F.col("hi")))
               .groupBy("node", F.expr(bin_).alias("bin")).agg(F.sum("size").alias("bytes")))
-    out: dict[int, dict[int, int]] = {k: {} for k in ranges}
-    # at most BINS rows per node of the level
-    for r in counts.collect():
-        out[r["node"]][r["bin"]] = int(r["bytes"])
-    return out
+    # at most BINS rows a node meet here
+    along = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    halves = _by_node(node, {k: math.ceil(2 * n) for k, n in need.items()}, most)
+    summed = counts.withColumn("upto", F.sum("bytes").over(along))
+    one = F.struct("bin", "upto", "bytes")
+    chosen = summed.groupBy("node").agg(F.coalesce(F.min(F.when(2 * F.col("upto") >= halves, one)), F.max(one)).alias("one"))
+    # one row a node of the level
+    return {r["node"]: (r["one"]["bin"], int(r["one"]["upto"] - r["one"]["bytes"]), int(r["one"]["bytes"])) for r in chosen.collect()}
 
 
 def _step(lo: int, hi: int) -> int:
@@ -75,15 +80,13 @@ def _narrow(rows: DataFrame, ranges: dict[int, tuple[int, int]], before: dict[in
     done: dict[int, tuple[int, float, float]] = {}
     ranges, before = dict(ranges), dict(before)
     while ranges:
-        counts = _binned(rows, ranges, where)
+        reached = _reached(rows, ranges, {k: goal[k] - before[k] for k in ranges}, where)
         for k, (lo, hi) in list(ranges.items()):
-            step, at = _step(lo, hi), before[k]
-            filled = sorted(counts[k])
-            for b in filled:
-                weight = counts[k][b]
-                if at + weight < goal[k] and b != filled[-1]:
-                    at += weight
-                    continue
+            if k not in reached:
+                done[k] = (lo, before[k], 0)
+            else:
+                b, earlier, weight = reached[k]
+                step, at = _step(lo, hi), before[k] + earlier
                 first, last = lo + b * step, min(hi, lo + (b + 1) * step - 1)
                 if step == 1 or weight <= small and last == LARGEST:
                     done[k] = (last, at, weight)
@@ -91,9 +94,6 @@ def _narrow(rows: DataFrame, ranges: dict[int, tuple[int, int]], before: dict[in
                     done[k] = (first, at, 0) if at + weight / 2 >= goal[k] else (last + 1, at + weight, 0)
                 else:
                     before[k], ranges[k] = at, (first, last)
-                break
-            else:
-                done[k] = (lo, at, 0)
             if k in done:
                 del ranges[k]
     return done
