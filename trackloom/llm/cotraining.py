@@ -42,7 +42,7 @@ MARKS = "!|#$%&*.,;:?\"'()-_/<>=@"
 CLASSES = 32
 LOWER, UPPER, DIGIT, BLANK, BREAK, OTHER = range(6)
 #: Cells into which words are hashed.
-WORDS = 512
+WORDS = 1 << 9
 TEXT_FEATURES = CLASSES * CLASSES + WORDS + 6
 SOURCES, LANGS, CROSSES, LENGTHS = 128, 32, 256, 48
 META_FEATURES = SOURCES + LANGS + CROSSES + LENGTHS
@@ -69,43 +69,57 @@ def _cell(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass"))
 
 
-class Cells(dict):
-    """The cells of words; begun anew when it holds many."""
+#: Odd factors by which the code points of a word are told apart by place.
+_FACTORS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        cell = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % WORDS
-        return cell
 
+def word_hashes(points: np.ndarray, blank: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word (a run without blanks, within a text) starts, and its hash; begins: first places of texts."""
+    start = ~blank
+    start[1:] &= blank[:-1]
+    start[begins] = ~blank[begins]
+    at = np.flatnonzero(start)
+    if not len(at):
+        return at, np.zeros(0, dtype=np.uint64)
+    place = np.arange(len(points))
+    place -= np.maximum.accumulate(np.where(start, place, 0))
+    own = (points.astype(np.uint64) + np.uint64(1)) * _FACTORS[place & 63]
+    own[blank] = 0
+    h = np.add.reduceat(own, at)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return at, h ^ (h >> np.uint64(29))
 
-def text_features(texts: list[str], cells: Cells | None = None) -> np.ndarray:
+
+def text_features(texts: list[str]) -> np.ndarray:
     """Frequencies of pairs of adjacent code-point classes and of words by cell, repetition of words and
     lines, lengths; multiples of 1 / FINE from 0 to 1."""
-    cells = Cells() if cells is None else cells
     out = np.zeros((len(texts), TEXT_FEATURES), dtype=np.float32)
     pairs = CLASSES * CLASSES
     for first, last in in_groups(texts):
         part = texts[first:last]
+        n = len(part)
         points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         kinds = _classes()[np.minimum(points, 0xFFFF)].astype(np.int64)
-        lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
-        row = np.repeat(np.arange(len(part)), lengths)
+        lengths = np.fromiter(map(len, part), dtype=np.int64, count=n)
+        row = np.repeat(np.arange(n), lengths)
         inside = row[1:] == row[:-1]
         at = (row[:-1] * pairs + kinds[:-1] * CLASSES + kinds[1:])[inside]
-        counts = np.bincount(at, minlength=len(part) * pairs).reshape(len(part), pairs)
+        counts = np.bincount(at, minlength=n * pairs).reshape(n, pairs)
         out[first:last, :pairs] = np.sqrt(counts / np.maximum(1, lengths - 1)[:, None])
-    for k, text in enumerate(texts):
-        words = text.split()
-        lines = text.split("\n")
-        distinct = len(set(words))
-        if words:
-            held = np.fromiter(map(cells.__getitem__, words), dtype=np.int64, count=len(words))
-            out[k, pairs:pairs + WORDS] = np.sqrt(np.bincount(held, minlength=WORDS) / len(words))
-        out[k, pairs + WORDS:] = (
-            distinct / math.sqrt(max(1, len(words))) / 20, len(set(lines)) / len(lines),
-            len(text) / max(1, len(words)) / 20, math.log1p(len(words)) / 10, distinct / max(1, len(words)),
-            not words)
+        begins = (np.cumsum(lengths) - lengths)[lengths > 0]
+        starts, hashes = word_hashes(points, (kinds == BLANK) | (kinds == BREAK), begins)
+        owner = row[starts]
+        words = np.bincount(owner, minlength=n)
+        cells = np.bincount(owner * WORDS + (hashes >> np.uint64(55)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
+        some = np.maximum(1, words)
+        out[first:last, pairs:pairs + WORDS] = np.sqrt(cells / some[:, None])
+        order = np.lexsort((hashes, owner))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        distinct = np.bincount(owner[order][new], minlength=n)
+        lines = np.array([(len(set(own)) / len(own)) for own in (t.split("\n") for t in part)])
+        out[first:last, pairs + WORDS:] = np.stack(
+            [distinct / np.sqrt(some) / 20, lines, lengths / some / 20, np.log1p(words) / 10, distinct / some, words == 0], axis=1)
     return np.round(np.minimum(out, 1) * FINE) / FINE
 
 
@@ -334,13 +348,13 @@ def _passed(used: DataFrame, taken: np.ndarray, models: list[View], bar: dict[fl
     widths = [len(m.weights) for m in models]
 
     def run(batches):
-        sums, cells = no_sums(models), Cells()
+        sums = no_sums(models)
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
                 part = part.filter(pa.array(~np.isin(np.array(part.column(0).to_pylist(), dtype=np.int64), taken)))
                 _, texts, langs, sources, sizes = (c.to_pylist() for c in part.columns)
                 if texts:
-                    add_sums(sums, models, bar, text_features([t or "" for t in texts], cells), meta_features(sources, langs, sizes))
+                    add_sums(sums, models, bar, text_features([t or "" for t in texts]), meta_features(sources, langs, sizes))
         flat = np.concatenate([sums[0].reshape(-1), *(x.reshape(-1) for x in sums[1])])
         slots = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(flat[slots])], names=["slot", "value"])
@@ -356,11 +370,10 @@ def _passed(used: DataFrame, taken: np.ndarray, models: list[View], bar: dict[fl
 def _gathered(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, labels and the features of both views of a bounded sample (doc_id, text, lang, source, n_chars, label)."""
     def run(batches):
-        cells = Cells()
         for batch in batches:
             for part in slices(batch, 1):
                 ids, texts, langs, sources, sizes, marks = (c.to_pylist() for c in part.columns)
-                a = text_features([t or "" for t in texts], cells).astype(np.float16)
+                a = text_features([t or "" for t in texts]).astype(np.float16)
                 b = meta_features(sources, langs, sizes).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array([x.tobytes() for x in a], pa.binary()),
@@ -387,11 +400,10 @@ def score(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     places = [df.columns.index(c) for c in ("text", "source", "lang", "n_chars")]
 
     def run(batches):
-        cells = Cells()
         for batch in batches:
             for part in slices(batch, places[0], 2 << 20):
                 texts, sources, langs, sizes = (part.column(p).to_pylist() for p in places)
-                done = model.probabilities(text_features([t or "" for t in texts], cells), meta_features(sources, langs, sizes))
+                done = model.probabilities(text_features([t or "" for t in texts]), meta_features(sources, langs, sizes))
                 rounded = [np.round(p.astype(np.float64), 6) for p in done]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *(pa.array(p) for p in rounded), pa.array(rounded[2] >= least)],
