@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,22 @@ def cut(df: DataFrame) -> DataFrame:
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not named and not spark.sparkContext.master.startswith("local["):
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     path = f"{folder.get()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes the table of a DataFrame that cut returned; nothing may read it, or what is made of it, afterwards.
+
+    For loops that write a table a round: a round's table goes when the next one is written.
+    """
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
