@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import byte_bpe, cotraining, kd_shards, mixing, one_permutation, personal_data, reply_trees, tiff, trie_counts, weighted_minhash
+from trackloom.llm import (
+    byte_bpe, cotraining, heap_lloyd, kd_shards, mixing, one_permutation, personal_data, reply_trees, tiff, trie_counts, url_filter, weighted_minhash, whitening,
+)
 from trackloom.llm.frames import cut
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -95,6 +97,27 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars")))
 
 
+#: Rules of op11 in the order that they were given.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op11_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, deciding rule and verdict."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sound vector's code, its error and the error of its label."""
+    return heap_lloyd.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sound vector's first four whitened components."""
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_cotraining": op1_cotraining,
@@ -107,8 +130,11 @@ def queries() -> dict:
         "op8_tiff": op8_tiff,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_reply_trees": op10_reply_trees,
+        "op11_url_trie": op11_url_trie,
+        "op12_heap_lloyd": op12_heap_lloyd,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_systematic_mix": mixing.ORACLE_SQL}
+    return {"op2_systematic_mix": mixing.ORACLE_SQL, "op11_url_trie": url_filter.ORACLE_SQL}
