@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.functions.lineage import cut
+from trackloom.operators import kernels
 
 UNITS = 64
-MAD = 1.4826
 
 
 def grey(luma: Column) -> Column:
@@ -73,30 +76,32 @@ def kernel(sigma: float) -> list[int]:
     return weights
 
 
-def reflected(place: Column, length: int) -> Column:
-    """A place beyond an end mirrored about the first or the last pixel."""
-    back = F.abs(place)
-    return F.when(back > length - 1, 2 * (length - 1) - back).otherwise(back)
-
-
 def blurred(planes: DataFrame, width: int, height: int, sigma: float) -> DataFrame:
-    """Separable convolution with mirrored borders, in integers; units (1/64 level), rounded once."""
+    """Separable convolution with mirrored borders, in integers; units (1/64 level), rounded once.
+
+    A frame's pixels meet in one row of bytes, which is blurred where it lies.
+    """
     weights = kernel(sigma)
-    reach = len(weights) // 2
-    if reach >= min(width, height):
+    if len(weights) // 2 >= min(width, height):
         raise ValueError("the plane is too small for the blur")
-    taps = F.array(*(F.struct(F.lit(k - reach).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)))
+    luma = luma_of(planes)
 
-    def along(rows: DataFrame, column: str, length: int, other: str) -> DataFrame:
-        # each pixel is gathered by the places whose kernel reaches it
-        gathered = rows.select("frame", other, F.col(column).alias("source"), "value").withColumn(
-            "place", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("tap", F.explode(taps))
-        hit = gathered.filter(reflected(F.col("place") + F.col("tap.k"), length) == F.col("source"))
-        return hit.groupBy("frame", other, F.col("place").alias(column)).agg(F.sum(F.col("value") * F.col("tap.w")).alias("value"))
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                plane = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint8).reshape(height, width)
+                units = kernels.blurred(plane, weights).ravel()
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(np.full(len(units), k))), pa.array(np.arange(len(units))), pa.array(units.astype(np.int64))],
+                    names=["frame", "pixel", "units"])
 
-    split = planes.select("frame", F.expr(f"cast(pixel % {width} as int)").alias("x"), F.expr(f"cast(pixel div {width} as int)").alias("y"), F.col("value").cast("long").alias("value"))
-    both = along(along(split, "x", width, "y"), "y", height, "x")
-    return both.select("frame", (F.col("y") * width + F.col("x")).cast("long").alias("pixel"), F.expr(f"(value * {UNITS} + {1 << 23}) div {1 << 24}").alias("units"))
+    return luma.mapInArrow(run, T.StructType([luma.schema["frame"], *T._parse_datatype_string("pixel bigint, units bigint").fields]))
+
+
+def luma_of(planes: DataFrame) -> DataFrame:
+    """frame and luma: the values of a frame's pixels (all of them, 0 to 255) as bytes in order."""
+    rows = planes.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("pixel", "value"))).alias("own"))
+    return rows.select("frame", F.unhex(F.array_join(F.transform("own", lambda p: F.lpad(F.hex(p["value"]), 2, "0")), "")).alias("luma"))
 
 
 def sampled(frames: DataFrame, half: int, step: int) -> DataFrame:
@@ -108,12 +113,6 @@ def sampled(frames: DataFrame, half: int, step: int) -> DataFrame:
     return rows.select("frame", F.explode(F.sequence(first, F.least(F.col("frame") + half, F.col("last")), F.lit(step).cast("long"))).alias("sample"))
 
 
-def backgrounds(planes: DataFrame, windows: DataFrame) -> DataFrame:
-    """The median of each pixel over the samples of each frame's window: frame, pixel, background."""
-    samples = windows.join(planes.select(F.col("frame").alias("sample"), "pixel", "value"), "sample")
-    return samples.groupBy("frame", "pixel").agg(F.percentile("value", F.lit(0.5)).alias("background"))
-
-
 def gains(planes: DataFrame, windows: DataFrame) -> DataFrame:
     """Mean of a frame less the mean of its window's samples, from exact integer sums."""
     sums = planes.groupBy("frame").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("pixels"))
@@ -123,49 +122,15 @@ def gains(planes: DataFrame, windows: DataFrame) -> DataFrame:
         (F.col("total").cast("decimal(38,0)") * F.col("samples") - F.col("window")).cast("double") / (F.col("samples") * F.col("pixels"))).alias("gain"))
 
 
-def residuals(planes: DataFrame, windows: DataFrame) -> DataFrame:
-    """frame, pixel, value, background, gain and residual = value - background - gain."""
-    rows = planes.join(backgrounds(planes, windows), ["frame", "pixel"]).join(gains(planes, windows), "frame")
-    return rows.withColumn("residual", F.col("value") - F.col("background") - F.col("gain"))
-
-
-def noise_bars(rows: DataFrame, planes: DataFrame, windows: DataFrame, floor: float, factor: float, least: int = 7) -> DataFrame:
-    """The bar of each pixel of rows: the floor, raised to factor times the scaled median absolute deviation
-    of its window's samples, if there are enough of them.
-
-    rows should already be the few pixels whose residual is near the floor: only these are expanded.
-    """
-    own = gains(planes, windows).select(F.col("frame").alias("sample"), F.col("gain").alias("own_gain"))
-    samples = rows.select("frame", "pixel", "background").join(windows, "frame").join(
-        planes.select(F.col("frame").alias("sample"), "pixel", "value"), ["sample", "pixel"]).join(own, "sample")
-    deviation = samples.select("frame", "pixel", (F.col("value") - F.col("background") - F.col("own_gain")).alias("d"))
-    middle = deviation.groupBy("frame", "pixel").agg(F.percentile("d", F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n"))
-    spread = deviation.join(middle, ["frame", "pixel"]).groupBy("frame", "pixel").agg(
-        F.percentile(F.abs(F.col("d") - F.col("m")), F.lit(0.5)).alias("mad"), F.first("n").alias("n"))
-    bar = F.when(F.col("n") >= least, F.greatest(F.lit(floor), factor * MAD * F.col("mad"))).otherwise(F.lit(floor))
-    return spread.select("frame", "pixel", bar.alias("bar"))
-
-
-def lit(planes: DataFrame, windows: DataFrame, floor: float, factor: float = 0.0, weak: float = 0.75) -> DataFrame:
-    """Pixels above the bar (strong) or above its weak share: frame, pixel, amplitude, strong.  Both are strict."""
-    near = residuals(planes, windows).filter(F.abs("residual") > weak * floor)
-    if factor > 0:
-        rows = near.join(noise_bars(near, planes, windows, floor, factor), ["frame", "pixel"])
-    else:
-        rows = near.withColumn("bar", F.lit(floor))
-    size = F.abs("residual")
-    return rows.filter(size > weak * F.col("bar")).select("frame", "pixel", F.round(size, 6).alias("amplitude"), (size > F.col("bar")).alias("strong"))
-
-
-def disk(radius: float) -> list[tuple[int, int]]:
-    n = math.floor(radius)
-    return [(dx, dy) for dy in range(-n, n + 1) for dx in range(-n, n + 1) if dx * dx + dy * dy <= radius * radius]
+def disk(radius: float, width: int, height: int) -> list[tuple[int, int]]:
+    """Offsets (dx, dy) of a disk of the rounded radius; half widths of its rows are rounded too."""
+    return [(dx, dy) for dy, half in kernels.disk(radius, width, height) for dx in range(-half, half + 1)]
 
 
 def closed(pixels: DataFrame, width: int, height: int, radius: float) -> DataFrame:
     """Morphological closing with a disk: pixels (frame, pixel) whose whole disk, as far as it lies in the
     plane, is within the radius of a given pixel."""
-    offsets = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disk(radius)))
+    offsets = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disk(radius, width, height)))
 
     def spread(rows: DataFrame) -> DataFrame:
         placed = rows.select("frame", F.expr(f"pixel % {width}").alias("x"), F.expr(f"pixel div {width}").alias("y"), F.explode(offsets).alias("o"))

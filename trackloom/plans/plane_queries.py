@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import planes
+from trackloom.operators import dense, planes
 from trackloom.plans.adapters import oracle
 
 HALF, STEP, FLOOR, FACTOR, WIDTH, HEIGHT, SIGMA = 6, 3, 60.0, 1.2, 8, 8, 0.8
@@ -18,13 +18,14 @@ GAIN = f"""SELECT s.frame, CAST(s.total * w.samples - w.part AS DOUBLE) / (w.sam
 CHAIN = f"win AS ({WINDOWS}), bg AS ({BACKGROUND}), gain AS ({GAIN})"
 RESIDUAL = "SELECT p.frame, p.pixel, p.value, b.background, g.gain, p.value - b.background - g.gain AS residual FROM planes p JOIN bg b ON b.frame = p.frame AND b.pixel = p.pixel JOIN gain g ON g.frame = p.frame"
 NEAR = f"SELECT * FROM ({RESIDUAL}) r WHERE abs(residual) > {0.75 * FLOOR}"
-BARS = f"""SELECT frame, pixel, CASE WHEN count(*) >= 4 THEN greatest({FLOOR}::DOUBLE, {FACTOR * planes.MAD!r}::DOUBLE * quantile_cont(abs(d - m), 0.5)) ELSE {FLOOR}::DOUBLE END AS bar FROM (
+AROUND = f"SELECT w.frame, sum(t.total) AS part, count(*) AS samples, any_value(t.pixels) AS pixels FROM ({WINDOWS}) w JOIN ({SUMS}) t ON t.frame = w.sample GROUP BY w.frame"
+BARS = f"""SELECT frame, pixel, CASE WHEN count(*) >= 4 THEN greatest({FLOOR}::DOUBLE, {FACTOR * 1.4826!r}::DOUBLE * quantile_cont(abs(d - m), 0.5)) ELSE {FLOOR}::DOUBLE END AS bar FROM (
   SELECT *, quantile_cont(d, 0.5) OVER (PARTITION BY frame, pixel) AS m FROM (
-    SELECT n.frame, n.pixel, p.value - n.background - g.gain AS d FROM ({NEAR}) n JOIN win w ON w.frame = n.frame JOIN planes p ON p.frame = w.sample AND p.pixel = n.pixel JOIN gain g ON g.frame = w.sample) a) b
+    SELECT n.frame, n.pixel, p.value - n.background - CAST(t.total * a.samples - a.part AS DOUBLE) / (a.samples * a.pixels) AS d
+    FROM ({NEAR}) n JOIN win w ON w.frame = n.frame JOIN planes p ON p.frame = w.sample AND p.pixel = n.pixel JOIN ({SUMS}) t ON t.frame = w.sample JOIN ({AROUND}) a ON a.frame = n.frame) a) b
   GROUP BY frame, pixel"""
-LIT = f"""SELECT n.frame, n.pixel, round(abs(residual), 6) AS amplitude, abs(residual) > bar AS strong FROM ({NEAR}) n JOIN bars b ON b.frame = n.frame AND b.pixel = n.pixel WHERE abs(residual) > 0.75 * bar"""
 BRIGHT = "SELECT frame, CAST(pixel AS BIGINT) AS pixel FROM planes WHERE value > 150"
-DISK = ", ".join(f"({dx}, {dy})" for dx, dy in planes.disk(1.5))
+DISK = ", ".join(f"({dx}, {dy})" for dx, dy in planes.disk(1.5, WIDTH, HEIGHT))
 CLOSED = f"""
   SELECT m.frame, y.p AS pixel FROM (SELECT DISTINCT frame FROM bright) m CROSS JOIN range(0, 64) y(p) WHERE NOT EXISTS (
     SELECT 1 FROM (VALUES {DISK}) o(dx, dy) WHERE p % 8 + dx BETWEEN 0 AND 7 AND p // 8 + dy BETWEEN 0 AND 7 AND NOT EXISTS (
@@ -53,8 +54,8 @@ def _windows(t):
     return planes.sampled(t("planes").select("frame").distinct(), HALF, STEP)
 
 
-def _lit(t):
-    return planes.lit(t("planes"), _windows(t), FLOOR, FACTOR)
+def _near(t, factor: float):
+    return dense.near(dense.packed(t("planes")), HALF, STEP, FLOOR, factor, WIDTH * HEIGHT, least=4).withColumn("pixel", F.col("pixel").cast("int"))
 
 
 def _bright(t):
@@ -66,12 +67,6 @@ def _spots(t):
         "frame", (F.col("frame") % 7 + 0.5).alias("cx"), (F.col("frame") % 5 + 1.25).alias("cy"), F.lit(40.0).alias("amplitude"), F.lit(1.5).alias("sigma"))
 
 
-def _bars(t):
-    windows = _windows(t)
-    near = planes.residuals(t("planes"), windows).filter(F.abs("residual") > 0.75 * FLOOR)
-    return planes.noise_bars(near, t("planes"), windows, FLOOR, FACTOR, 4).select("frame", "pixel", F.round("bar", 4).alias("bar"))
-
-
 def _regions(t):
     low, high = planes.region_pixels(F.col("l_discount"), F.col("l_discount") + F.col("l_tax"), 960, 2)
     return t("lineitem").select("l_orderkey", "l_linenumber", low.alias("low"), high.alias("high"))
@@ -103,10 +98,10 @@ QUERIES = {
           SELECT p.frame, p.pixel // 8 AS yy, x.x, sum(p.value * k.w) AS v FROM planes p JOIN range(0, 8) x(x) ON true JOIN {TAPS} k(k, w) ON {_reflect_sql('(x.x + k.k)', 8)} = p.pixel % 8
           GROUP BY p.frame, p.pixel // 8, x.x) b JOIN range(0, 8) y(y) ON true JOIN {TAPS} k(k, w) ON {_reflect_sql('(y.y + k.k)', 8)} = b.yy GROUP BY b.frame, y.y, b.x"""),
     "w01_window_samples": (_windows, WINDOWS),
-    "w03_background_median": (lambda t: planes.backgrounds(t("planes"), _windows(t)), BACKGROUND),
-    "w04_noise_bar": (_bars, f"WITH {CHAIN} SELECT frame, pixel, round(bar, 4) AS bar FROM ({BARS}) b"),
+    "w03_background_median": (lambda t: dense.backgrounds(dense.packed(t("planes")), HALF, STEP).select("frame", F.col("pixel").cast("int").alias("pixel"), "background"), BACKGROUND),
+    "w04_noise_bar": (lambda t: _near(t, FACTOR).select("frame", "pixel", F.round("bar", 4).alias("bar")), f"WITH {CHAIN} SELECT frame, pixel, round(bar, 4) AS bar FROM ({BARS}) b"),
     "w05_gain": (lambda t: planes.gains(t("planes"), _windows(t)).select("frame", F.round("gain", 6).alias("gain")), f"SELECT frame, round(gain, 6) AS gain FROM ({GAIN}) g"),
-    "b08_lit_pixels": (lambda t: planes.lit(t("planes"), _windows(t), FLOOR), f"""
+    "b08_lit_pixels": (lambda t: dense.lit(_near(t, 0.0)).select("frame", "pixel", F.round("magnitude", 6).alias("amplitude"), "strong"), f"""
         WITH {CHAIN} SELECT frame, pixel, round(abs(residual), 6) AS amplitude, abs(residual) > {FLOOR} AS strong FROM ({NEAR}) n"""),
     "p05_closing": (lambda t: planes.closed(_bright(t), WIDTH, HEIGHT, 1.5), f"WITH bright AS ({BRIGHT}) {CLOSED}"),
     "p06_components": (lambda t: planes.labelled(_bright(t), WIDTH), COMPONENTS + " SELECT frame, pixel, label FROM lab"),
