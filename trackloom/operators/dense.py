@@ -34,6 +34,7 @@ LIT = "video bigint, frame bigint, pixel bigint, magnitude double, bar double"
 BACKGROUND = "video bigint, frame bigint, pixel bigint, background double"
 DETECTIONS = ("video bigint, frame bigint, det_idx bigint, x double, y double, left double, top double, width double, height double, "
               "area double, amplitude double, strength string")
+DETECTIONS_ARROW = pa.schema([(n, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[k]) for n, k in (c.split() for c in DETECTIONS.split(", "))])
 
 
 @dataclass(frozen=True)
@@ -88,15 +89,15 @@ class Geometry:
         return int((~self.masked).sum())
 
 
-def strips_of(frames: DataFrame, units_of, masked: np.ndarray | None = None, strip: int = STRIP) -> DataFrame:
-    """Strips (see STRIPS) of frames (video, frame, luma binary): units_of(luma), and the whole sum of a frame
+def strips_of(frames: DataFrame, to_units, masked: np.ndarray | None = None, strip: int = STRIP) -> DataFrame:
+    """Strips (see STRIPS) of frames (video, frame, luma binary): to_units(luma), and the whole sum of a frame
     without masked pixels.  One narrow pass."""
     names = [c.split()[0] for c in STRIPS.split(", ")]
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                units = units_of(np.frombuffer(batch.column(2)[k].as_buffer(), np.uint8))
+                units = to_units(np.frombuffer(batch.column(2)[k].as_buffer(), np.uint8))
                 total = int(units.sum(dtype=np.int64)) - (int(units[masked].sum(dtype=np.int64)) if masked is not None else 0)
                 parts = [units[i:i + strip].astype("<i2").tobytes() for i in range(0, len(units), strip)]
                 same = lambda c, n=len(parts): pa.array([batch.column(c)[k].as_py()] * n, pa.int64())  # noqa: B023, E731
@@ -106,13 +107,30 @@ def strips_of(frames: DataFrame, units_of, masked: np.ndarray | None = None, str
     return frames.select(F.col("video").cast("bigint"), F.col("frame").cast("bigint"), "luma").mapInArrow(run, STRIPS)
 
 
+def units_of(luma: np.ndarray, shape: Geometry) -> np.ndarray:
+    """The units of a source plane at the working size."""
+    plane = kernels.averaged(kernels.grey(luma.reshape(shape.source_height, shape.source_width)), shape.width, shape.height)
+    return kernels.blurred(plane, shape.weights).ravel()
+
+
 def prepared(frames: DataFrame, shape: Geometry) -> DataFrame:
     """Strips of frames at the working size: grey, area average and blur.  A luma of another size is an error."""
-    def units_of(luma: np.ndarray) -> np.ndarray:
-        plane = kernels.averaged(kernels.grey(luma.reshape(shape.source_height, shape.source_width)), shape.width, shape.height)
-        return kernels.blurred(plane, shape.weights).ravel()
+    return strips_of(frames, lambda luma: units_of(luma, shape), shape.masked if shape.settings.regions else None)
+
+
+def prepared_whole(frames: DataFrame, shape: Geometry) -> DataFrame:
+    """video, frame, total, units and ended of frames (video, frame, luma, ended): one row a plane; rows with ended
+    set carry none."""
+    def run(batches):
+        for batch in batches:
+            video, frame, luma, ended = (batch.column(c) for c in range(4))
+            planes = [None if luma[k].as_py() is None else units_of(np.frombuffer(luma[k].as_buffer(), np.uint8), shape) for k in range(batch.num_rows)]
+            totals = [None if p is None else int(p.sum(dtype=np.int64)) - int(p[shape.masked].sum(dtype=np.int64)) for p in planes]
+            yield pa.RecordBatch.from_arrays([video, frame, pa.array(totals, pa.int64()), pa.array([None if p is None else p.astype("<i2").tobytes() for p in planes], pa.binary()), ended],
+                                             names=["video", "frame", "total", "units", "ended"])
 
-    return strips_of(frames, units_of, shape.masked if shape.settings.regions else None)
+    own = frames.select(F.col("video").cast("bigint"), F.col("frame").cast("bigint"), "luma", F.coalesce("ended", F.lit(False)).alias("ended"))
+    return own.mapInArrow(run, "video bigint, frame bigint, total bigint, units binary, ended boolean")
 
 
 def packed(planes: DataFrame) -> DataFrame:
@@ -159,6 +177,25 @@ def backgrounds(strips: DataFrame, half: int, step: int, strip: int = STRIP, blo
     return windowed(strips, half, step, work, BACKGROUND, block)
 
 
+def near_of(planes: dict, totals: dict, target: int, samples: list[int], background: np.ndarray, floor: float, factor: float, pixels: int,
+            masked: np.ndarray | None, least: int = LEAST_SAMPLES, weak: float = WEAK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels of one frame whose residual is above the weak share of the floor, with magnitude and bar (see near)."""
+    count, total = len(samples), sum(totals[f] for f in samples)
+    # halves of integers are exact in single precision; the gain is a double
+    residual = planes[target] - background
+    shift = float(kernels.gain(np.int64(totals[target]), total, count, pixels))
+    hit = np.abs(residual - np.float32(shift)) > weak * floor - 0.01
+    if masked is not None:
+        hit &= ~masked
+    where = np.flatnonzero(hit)
+    magnitude = np.abs(residual[where].astype(np.float64) - shift)
+    where, magnitude = where[magnitude > weak * floor], magnitude[magnitude > weak * floor]
+    if factor > 0 and count >= least and len(where):
+        gains = kernels.gain(np.array([totals[f] for f in samples], np.int64), total, count, pixels)
+        return where, magnitude, kernels.bars(np.stack([planes[f][where] for f in samples]), background[where], gains, floor, factor)
+    return where, magnitude, np.full(len(where), float(floor))
+
+
 def near(strips: DataFrame, half: int, step: int, floor: float, factor: float, pixels: int, masked: np.ndarray | None = None,
          least: int = LEAST_SAMPLES, weak: float = WEAK, strip: int = STRIP, block: int = BLOCK) -> DataFrame:
     """Pixels whose residual is above the weak share of the floor: video, frame, pixel, magnitude and bar.
@@ -167,22 +204,8 @@ def near(strips: DataFrame, half: int, step: int, floor: float, factor: float, p
     raised by their noise, their gains taken against the target's own window.
     """
     def work(planes, totals, target, samples, background, at):
-        count, total = len(samples), sum(totals[f] for f in samples)
-        own = planes[target]
-        # halves of integers are exact in single precision; the gain is a double
-        residual = own - background
-        shift = float(kernels.gain(np.int64(totals[target]), total, count, pixels))
-        hit = np.abs(residual - np.float32(shift)) > weak * floor - 0.01
-        if masked is not None:
-            hit &= ~masked[at * strip:at * strip + len(own)]
-        where = np.flatnonzero(hit)
-        magnitude = np.abs(residual[where].astype(np.float64) - shift)
-        where, magnitude = where[magnitude > weak * floor], magnitude[magnitude > weak * floor]
-        if factor > 0 and count >= least and len(where):
-            gains = kernels.gain(np.array([totals[f] for f in samples], np.int64), total, count, pixels)
-            bar = kernels.bars(np.stack([planes[f][where] for f in samples]), background[where], gains, floor, factor)
-        else:
-            bar = np.full(len(where), float(floor))
+        hidden = None if masked is None else masked[at * strip:at * strip + len(background)]
+        where, magnitude, bar = near_of(planes, totals, target, samples, background, floor, factor, pixels, hidden, least, weak)
         return where + at * strip, magnitude, bar
 
     return windowed(strips, half, step, work, LIT, block)
@@ -193,19 +216,22 @@ def lit(rows: DataFrame, weak: float = WEAK) -> DataFrame:
     return rows.filter(F.col("magnitude") > weak * F.col("bar")).select("video", "frame", "pixel", "magnitude", (F.col("magnitude") > F.col("bar")).alias("strong"))
 
 
+def blobs_of(video: int, frame: int, pixel: np.ndarray, magnitude: np.ndarray, strong: np.ndarray, shape: Geometry) -> list[dict]:
+    """Detections of one frame's lit pixels, which ascend (see blobs)."""
+    factor, s, out = shape.factor, shape.settings, []
+    for own in (strong, np.ones(len(pixel), bool))[:1 if strong.all() else 2]:
+        whole = kernels.closed(pixel[own], shape.width, shape.height, shape.disk)
+        for m in kernels.measures(whole, pixel[own], magnitude[own], strong[own], shape.width):
+            if (own is strong or not m["strong"]) and s.min_area <= m["hits"] * factor * factor <= s.max_area:
+                out.append({"video": video, "frame": frame, "det_idx": (frame << 20) + len(out),
+                            **{c: (m[c] + 0.5) * factor - 0.5 for c in ("x", "y")}, **{c: m[c] * factor for c in ("left", "top", "width", "height")},
+                            "area": m["hits"] * factor * factor, "amplitude": m["peak"] / UNITS, "strength": "strong" if m["strong"] else "weak"})
+    return out
+
+
 def blobs(pixels: DataFrame, shape: Geometry) -> DataFrame:
     """Detections (see DETECTIONS) of lit pixels: components of the closed strong pixels, then those of all lit
     pixels that hold no strong one; areas within the settings, sizes at the source's scale."""
-    names, factor, s = [c.split()[0] for c in DETECTIONS.split(", ")], shape.factor, shape.settings
-    arrow = pa.schema([(n, pa.int64() if n in ("video", "frame", "det_idx") else pa.string() if n == "strength" else pa.float64()) for n in names])
-
-    def of_frame(pixel: np.ndarray, magnitude: np.ndarray, strong: np.ndarray) -> list[dict]:
-        found = []
-        for own in (strong, np.ones(len(pixel), bool))[:1 if strong.all() else 2]:
-            whole = kernels.closed(pixel[own], shape.width, shape.height, shape.disk)
-            found += [m for m in kernels.measures(whole, pixel[own], magnitude[own], strong[own], shape.width) if own is strong or not m["strong"]]
-        return [m for m in found if s.min_area <= m["hits"] * factor * factor <= s.max_area]
-
     def run(table):
         table = table.sort_by([("frame", "ascending"), ("pixel", "ascending")])
         frame, pixel, magnitude = (table.column(c).to_numpy() for c in ("frame", "pixel", "magnitude"))
@@ -213,11 +239,8 @@ def blobs(pixels: DataFrame, shape: Geometry) -> DataFrame:
         starts = np.flatnonzero(np.diff(frame, prepend=-1))
         out, video = [], table.column("video")[0].as_py()
         for a, b in zip(starts, [*starts[1:], len(frame)]):
-            for place, m in enumerate(of_frame(pixel[a:b], magnitude[a:b], strong[a:b])):
-                out.append({"video": video, "frame": int(frame[a]), "det_idx": (int(frame[a]) << 20) + place,
-                            **{c: (m[c] + 0.5) * factor - 0.5 for c in ("x", "y")}, **{c: m[c] * factor for c in ("left", "top", "width", "height")},
-                            "area": m["hits"] * factor * factor, "amplitude": m["peak"] / UNITS, "strength": "strong" if m["strong"] else "weak"})
-        return pa.Table.from_pylist(out, arrow)
+            out += blobs_of(video, int(frame[a]), pixel[a:b], magnitude[a:b], strong[a:b], shape)
+        return pa.Table.from_pylist(out, DETECTIONS_ARROW)
 
     groups = pixels.groupBy("video", F.expr(f"frame div {TOGETHER}").alias("some"))
     return groups.applyInArrow(run, DETECTIONS)

@@ -97,7 +97,7 @@ def windows(planes: dict[int, np.ndarray], targets: list[int], half: int, step:
     stack follows them: what leaves the window is dropped, what enters is added.
     """
     newest = max(planes)
-    for turn in range(min(step, half + 1)):
+    for turn in range(step):
         stack, held = None, []
         for target in sorted(t for t in targets if max(0, t - half) % step == turn):
             samples = [f for f in window_of(target, newest, half, step) if f in planes]
