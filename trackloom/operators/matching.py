@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.lineage import cut
-from trackloom.operators.intervals import BLOCK, in_blocks
+from trackloom.functions.lineage import cut, dropped
+from trackloom.operators.intervals import inside
 
 
 def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], radius: float, strict: bool = False) -> DataFrame:
@@ -45,6 +46,46 @@ def greedy(pairs: DataFrame, keys: list[str], order: list[str], left: str, right
     return grouped.select(*keys, F.explode(fold).alias("m")).select(*keys, "m.*")
 
 
+#: Candidates that are left for a fold by key, when the rounds of greedy_rounds have taken the rest.
+FEW = 100_000
+
+
+def greedy_rounds(pairs: DataFrame, keys: list[str], order: list[str], left: str, right: str) -> DataFrame:
+    """The pairs that greedy takes, for keys of any size.
+
+    In each round every pair that is the first one at both its ends is taken, and the other pairs of these ends
+    drop out: the sequential order would take it too, since none before it shares an end.  A round is two grouped
+    minima, combined before they are dealt, and anti-joins on the ends.  When at most FEW candidates are left,
+    they are folded by key.
+    """
+    fields = [*order, *(c for c in (left, right) if c not in order)]
+    rank = F.min(F.struct(*dict.fromkeys([*order, left, right])))
+    every = rest = cut(pairs.select(*keys, *fields))
+    taken = None
+    while rest.limit(FEW + 1).count() > FEW:
+        of_left = rest.groupBy(*keys, left).agg(rank.alias("first")).select(*keys, left, F.col(f"first.{right}").alias(right))
+        of_right = rest.groupBy(*keys, right).agg(rank.alias("first")).select(*keys, F.col(f"first.{left}").alias(left), right)
+        now = cut(of_left.join(of_right, [*keys, left, right]))
+        after = cut(rest.join(now.select(*keys, left), [*keys, left], "left_anti").join(now.select(*keys, right), [*keys, right], "left_anti").select(rest.columns))
+        if rest is not every:
+            dropped(rest)
+        rest, taken = after, now if taken is None else taken.unionByName(now)
+    by, schema = [(c, "ascending") for c in dict.fromkeys([*order, left, right])], rest.schema
+
+    def fold(table):
+        table = table.sort_by(by)
+        free, ends = [], (set(), set())
+        for a, b in zip(table.column(left).to_pylist(), table.column(right).to_pylist()):
+            free.append(a not in ends[0] and b not in ends[1])
+            if free[-1]:
+                ends[0].add(a)
+                ends[1].add(b)
+        return table.filter(pa.array(free, pa.bool_()))
+
+    folded = rest.groupBy(*keys).applyInArrow(fold, schema)
+    return folded if taken is None else every.join(taken, [*keys, left, right], "left_semi").select(rest.columns).unionByName(folded)
+
+
 def matched_detections(reference: DataFrame, current: DataFrame, bound: float = 3.0) -> DataFrame:
     """Per video and frame the greedy matches below the bound: video, frame, a_id, b_id, d.
 
@@ -69,7 +110,7 @@ def matched_tracks(a: DataFrame, b: DataFrame, keys: list[str], most: int = 5) -
     met = left.withColumn("cell", F.expr(f"a_start div {most + 1}")).join(right, [*keys, "cell"]).withColumn(
         "start_gap", F.abs(F.col("a_start") - F.col("b_start"))).filter(F.col("start_gap") <= most).withColumn(
         "points_gap", F.abs(F.col("a_points") - F.col("b_points")))
-    return greedy(met, keys, ["start_gap", "points_gap", "a_id", "b_id"], "a_id", "b_id")
+    return greedy_rounds(met, keys, ["start_gap", "points_gap", "a_id", "b_id"], "a_id", "b_id")
 
 
 def discrepancies(a: DataFrame, b: DataFrame, matches: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
@@ -183,7 +224,7 @@ def attached(verdicts: DataFrame, tracks: DataFrame, within: float = 0.2) -> Dat
     dx, dy = F.col("start_x") - F.col("x"), F.col("start_y") - F.col("y")
     met = left.join(right, ["video", "cell"]).withColumn("gap", F.round(F.abs(F.col("s") - F.col("t")), 9)).filter(F.col("gap") <= slack).withColumn(
         "d", F.coalesce(F.round(F.sqrt(dx * dx + dy * dy), 9), F.lit(float("inf"))))
-    return greedy(met, ["video"], ["d", "gap", "row_id", "track"], "row_id", "track")
+    return greedy_rounds(met, ["video"], ["d", "gap", "row_id", "track"], "row_id", "track")
 
 
 def nearest_in_time(rows: DataFrame, tracks: DataFrame, within: float) -> DataFrame:
@@ -289,10 +330,9 @@ def rejoinable(points: DataFrame, ignored: DataFrame, settings: RejoinSettings =
         (across >= s.junction * F.col(f"{mine}_speed")) & (~F.col(f"{other}_piece") | (F.col(f"{other}_hits") < 2)
                                                            | (F.col(f"{other}_pace") >= s.piece * F.col(f"{mine}_speed"))))
     met = met.withColumn("miss", F.round(F.sqrt(dx * dx + dy * dy), 4)).filter((F.col("miss") <= s.miss) & fast("a", "b") & fast("b", "a"))
-    # spans that reach into a hole: the frames of a hole are few, so that a span meets it in one or two cells
-    holes = met.select("video", "a_id", "b_id", "until", "since", F.explode(F.sequence(F.expr(f"until div {BLOCK}"), F.expr(f"since div {BLOCK}"))).alias("block"))
-    spans = in_blocks(ignored.select("video", F.col("first").alias("f"), F.col("last").alias("l"), "first", "last")).drop("first", "last")
-    hidden = holes.join(spans, ["video", "block"]).filter("f < since AND until < l").select("video", "a_id", "b_id").distinct()
+    # holes that a span reaches into, by their few frames
+    holes = met.select("video", "a_id", "b_id", F.explode(F.sequence(F.col("until") + 1, F.col("since") - 1)).alias("frame"))
+    hidden = inside(holes, ignored, ["video"]).select("video", "a_id", "b_id").distinct()
     return met.join(hidden, ["video", "a_id", "b_id"], "left_anti").select(
         "video", "a_id", "b_id", (F.col("a_piece") | F.col("b_piece")).alias("through_piece"), "hidden", "miss")
 
