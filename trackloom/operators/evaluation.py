@@ -50,6 +50,23 @@ def target_results(targets: DataFrame, hits: DataFrame, keys: list[str], min_hit
                        F.when(found, F.col("fragments")).alias("fragments"), F.when(judged, F.col("contrast")).alias("contrast"))
 
 
+def totals(results: DataFrame, tracks: DataFrame, assigned: DataFrame, shares: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per video: targets not visible, evaluated and found, injected and reference tracks, and false tracks: those
+    that no target has and that do not match the reference.
+
+    results: target_results by video; tracks and reference: video, track; assigned: video, track; shares: video,
+    track, matches.  A video that any of the tables names has a row.
+    """
+    judged = results.groupBy("video").agg(F.count_if(~F.col("judged")).alias("not_visible"), F.count_if("judged").alias("evaluated"), F.count_if("found").alias("found"))
+    false = tracks.join(assigned.select("video", "track"), ["video", "track"], "left_anti").join(
+        shares.filter("matches").select("video", "track"), ["video", "track"], "left_anti")
+    count = lambda rows, name: rows.groupBy("video").agg(F.countDistinct("track").alias(name))
+    out = judged
+    for rows, name in ((tracks, "injected_tracks"), (reference, "reference_tracks"), (false, "false_tracks")):
+        out = out.join(count(rows, name), "video", "full_outer")
+    return out.select("video", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("not_visible", "evaluated", "found", "injected_tracks", "reference_tracks", "false_tracks")))
+
+
 def class_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     """Per class: n, found, its Wilson interval, medians over all and over the found ones (null if none)."""
     median = lambda c: F.round(F.percentile(c, F.lit(0.5)), 6)

@@ -111,3 +111,49 @@ def hit_test(shapes: DataFrame, x: float, y: float, reach: float) -> DataFrame:
     px, py = F.col("x0") + t * dx - x, F.col("y0") + t * dy - y
     rows = shapes.select("id", F.round(F.sqrt(px * px + py * py), 6).alias("d"))
     return rows.filter(F.col("d") <= reach).orderBy("d", "id")
+
+
+def next_hit(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """For each hit (keys, id, d) the one that is chosen when it is the current one and the point is hit again: the next
+    by distance and id, the first after the last."""
+    order = Window.partitionBy(*keys).orderBy("d", "id")
+    first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return hits.select(*keys, F.col("id").alias("current"), F.coalesce(F.lead("id").over(order), first).alias("next"))
+
+
+def state_changes(loaded: DataFrame, saved: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose current state differs from the saved one (pending) or from the loaded one (drifted).
+
+    Each table: keys and value columns of equal names; a missing key is the empty state, as are nulls.
+    """
+    values = [c for c in current.columns if c not in keys]
+    named = lambda df, name: df.select(*keys, F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in values)).alias(name))
+    empty = F.struct(*(F.lit("").alias(c) for c in values))
+    rows = named(loaded, "loaded").join(named(saved, "saved"), keys, "full_outer").join(named(current, "current"), keys, "full_outer")
+    now = F.coalesce("current", empty)
+    out = rows.select(*keys, (now != F.coalesce("saved", empty)).alias("pending"), (now != F.coalesce("loaded", empty)).alias("drifted"))
+    return out.filter("pending OR drifted")
+
+
+def overlaps(folders: DataFrame, protected: DataFrame) -> DataFrame:
+    """Pairs (path, folder) of folders that lie in a protected one, hold one or are one; paths are normalised first.
+
+    A path is joined by its ancestors, both ways: equi-joins on whole paths.
+    """
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col(name), normalised(F.col(name)).alias("at")).distinct()
+
+    a, b = placed(folders, "path"), placed(protected, "folder")
+    parts = F.split("at", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    below = a.select("path", F.explode(ancestors).alias("at")).join(b, "at").select("path", "folder")
+    above = b.select("folder", F.explode(ancestors).alias("at")).join(a, "at").select("path", "folder")
+    return below.union(above).distinct()
+
+
+def normalised(path: Column) -> Column:
+    """An absolute path without empty parts, . and .. (which takes the part before it, and nothing at the root)."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(
+        p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)))
+    return F.concat(F.when(F.size(kept) > 0, "/").otherwise(""), F.array_join(kept, "/"))

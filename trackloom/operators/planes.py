@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from trackloom.functions.lineage import cut
 from trackloom.operators import kernels
+from trackloom.operators.intervals import outside
 
 UNITS = 64
 
@@ -178,14 +179,21 @@ def blobs(components: DataFrame, lit_pixels: DataFrame, width: int) -> DataFrame
         F.when(F.bool_or(F.coalesce("strong", F.lit(False))), "strong").otherwise("weak").alias("strength"))
 
 
-def scene(planes: DataFrame, count: int = 25) -> DataFrame:
-    """The median of each pixel over `count` evenly ranked frames; even numbers round up."""
+def scene(planes: DataFrame, count: int = 25, damaged: DataFrame | None = None) -> DataFrame:
+    """The median of each pixel over `count` evenly ranked frames; even numbers round up.
+
+    Ranked frames in damaged spans (first, last) are left out, unless all of them are.
+    """
     ranked = planes.select("frame").distinct().select("frame", (F.row_number().over(Window.orderBy("frame")) - 1).alias("rank"))
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
     ranks = n.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor((2 * i + 1) * F.col("n") / (2 * count)).cast("int")))).alias("rank"))
-    chosen = ranked.join(F.broadcast(ranks), "rank")
-    # at most `count` frames
-    return planes.join(F.broadcast(chosen.select("frame")), "frame").groupBy("pixel").agg(
+    chosen = ranked.join(F.broadcast(ranks), "rank").select("frame")
+    if damaged is not None:
+        # at most `count` rows, written once
+        chosen = cut(chosen)
+        readable = outside(chosen.withColumn("key", F.lit(0)), damaged.select(F.lit(0).alias("key"), "first", "last"), ["key"]).select("frame")
+        chosen = chosen if readable.isEmpty() else readable
+    return planes.join(F.broadcast(chosen), "frame").groupBy("pixel").agg(
         F.ceil(F.percentile("value", F.lit(0.5))).cast("int").alias("value"))
 
 
@@ -206,3 +214,47 @@ def spot(planes: DataFrame, spots: DataFrame, width: int) -> DataFrame:
     change = F.floor(F.round(F.col("amplitude") * F.exp(-(dx * dx + dy * dy) / (2 * F.col("sigma") * F.col("sigma"))), 9)).cast("int")
     added = hit.groupBy("frame", "pixel").agg(F.first("value").alias("value"), F.coalesce(F.sum(change), F.lit(0)).cast("int").alias("change"))
     return added.select("frame", "pixel", F.greatest(F.lit(0), F.least(F.lit(255), F.col("value") + F.col("change"))).alias("value"))
+
+
+def injected(planes: DataFrame, spots: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:
+    """Planes of luma with Gaussian spots put in, and the change that each spot made: frame, spot, change.
+
+    spots: frame, spot, cx, cy, amplitude, sigma.  A spot touches the pixels within ceil(3 sigma) of its centre's
+    pixel: its grey is raised by floor(A exp(-d^2 / 2 s^2)), clamped, and taken as the nearest luma.  Spots of one
+    frame follow each other by number, each on what the one before has left.  The change is that of the grey in the
+    sense of the amplitude: the least one of a dark spot, else the greatest.
+    """
+    lumas = F.array(*map(F.lit, nearest_luma([max(0, min(255, (v * 4769 - 81520) >> 12)) for v in range(256)])))
+    own = spots.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("spot", "cx", "cy", "amplitude", "sigma"))).alias("spots"))
+    x, y = F.col("pixel") % width, F.expr(f"pixel div {width}")
+
+    def put(state: Column, s: Column) -> Column:
+        reach, dx, dy = F.ceil(3 * s["sigma"]), x - s["cx"], y - s["cy"]
+        near = (F.abs(x - F.floor(s["cx"])) <= reach) & (F.abs(y - F.floor(s["cy"])) <= reach)
+        before = grey(state["value"])
+        aimed = before + F.floor(F.round(s["amplitude"] * F.exp(-(dx * dx + dy * dy) / (2 * s["sigma"] * s["sigma"])), 9))
+        after = F.element_at(lumas, F.greatest(F.lit(0), F.least(F.lit(255), aimed)).cast("int") + 1)
+        made = F.struct(s["spot"].alias("spot"), s["amplitude"].alias("amplitude"), (grey(after) - before).cast("int").alias("change"))
+        return F.when(near, F.struct(after.alias("value"), F.array_append(state["made"], made).alias("made"))).otherwise(state)
+
+    kind = "array<struct<spot:bigint,amplitude:double,change:int>>"
+    start = F.struct(F.col("value").cast("int").alias("value"), F.array().cast(kind).alias("made"))
+    typed = own.select("frame", F.col("spots").cast("array<struct<spot:bigint,cx:double,cy:double,amplitude:double,sigma:double>>").alias("spots"))
+    done = cut(planes.join(typed, "frame", "left").select("frame", "pixel", F.aggregate(F.coalesce("spots", F.array().cast(typed.schema["spots"].dataType)), start, put).alias("one")))
+    changes = done.select("frame", F.explode("one.made").alias("m")).groupBy("frame", F.col("m.spot").alias("spot")).agg(
+        F.when(F.max("m.amplitude") < 0, F.min("m.change")).otherwise(F.max("m.change")).alias("change"))
+    return done.select("frame", "pixel", F.col("one.value").alias("value")), changes
+
+
+def nearest_luma(levels: list[int]) -> list[int]:
+    """For each grey level the luma whose grey is nearest, the darker of two; where exactly two lumas are one
+    level off to both sides, they are taken in turns."""
+    out, ties = [], 0
+    for aimed in range(256):
+        best = min(range(256), key=lambda v: (abs(levels[v] - aimed), v))
+        if best < 255 and abs(levels[best] - aimed) == 1 and abs(levels[best + 1] - aimed) == 1:
+            out.append(best + ties % 2)
+            ties += 1
+        else:
+            out.append(best)
+    return out

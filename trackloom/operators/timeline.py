@@ -89,17 +89,60 @@ def until_next_key(frames: DataFrame) -> DataFrame:
     return frames.select("video", "frame", F.coalesce(following - 1, F.max("frame").over(every)).alias("until"))
 
 
-def damaged_spans(frames: DataFrame, half_window: int) -> DataFrame:
+def damaged_spans(frames: DataFrame, half_window: int, losses: DataFrame | None = None) -> DataFrame:
     """Unions of the spans that damage reaches: from an error or a jump to the next key frame, widened by
-    half a window and clipped to the video."""
-    starts = frames.filter("decode_error").select("video", "frame").union(jumps(frames).select("video", "frame")).distinct()
+    half a window and clipped to the video.
+
+    losses (video, before_first, after_last: frames that no decoder gave) are damage too: what is lost before
+    the first frame begins at it, what is lost after the last one half a window before the end.
+    """
+    starts = frames.filter("decode_error").select("video", "frame").union(jumps(frames).select("video", "frame"))
     ends = frames.groupBy("video").agg(F.max("frame").alias("end"))
-    spans = starts.join(until_next_key(frames), ["video", "frame"]).join(ends, "video").select(
+    if losses is not None:
+        starts = starts.union(losses.filter("before_first > 0").select("video", F.lit(0).cast("bigint").alias("frame")))
+    spans = starts.distinct().join(until_next_key(frames), ["video", "frame"]).join(ends, "video").select(
         "video", F.greatest(F.lit(0), F.col("frame") - half_window).alias("first"),
         F.least(F.col("until") + half_window, F.col("end")).alias("last"))
+    if losses is not None and half_window:
+        spans = spans.union(ends.join(losses.filter("after_last > 0"), "video").select(
+            "video", F.greatest(F.lit(0), F.col("end") + 1 - half_window).alias("first"), F.col("end").alias("last")))
     return merged(spans, ["video"])
 
 
+def reconciled(frames: DataFrame, announced: DataFrame) -> DataFrame:
+    """Per video the frames lost before the first, at jumps and after the last, and whether what was announced less
+    these is what was decoded.
+
+    announced: video, announced, start (the first pts of the container, null: unknown), after_last.
+    """
+    rows = cut(frames)
+    first = rows.filter(F.col("pts").isNotNull()).groupBy("video").agg(F.min(F.struct("frame", "pts")).alias("one"))
+    before = first.join(typical_step(rows), "video").select("video", "one", "step")
+    counted = rows.groupBy("video").agg(F.count(F.lit(1)).alias("decoded"))
+    lost = jumps(rows).groupBy("video").agg(F.sum("lost").alias("at_jumps"))
+    all_ = announced.join(counted, "video").join(before, "video", "left").join(lost, "video", "left")
+    early = F.greatest(_rounded((F.col("one.pts") - F.col("start")) / F.col("step")) - F.col("one.frame"), F.lit(0))
+    out = all_.select("video", "announced", "decoded", F.coalesce(early, F.lit(0)).alias("before_first"), F.coalesce("at_jumps", F.lit(0)).alias("at_jumps"), "after_last")
+    return out.withColumn("explained", F.col("announced") - F.col("before_first") - F.col("at_jumps") - F.col("after_last") == F.col("decoded"))
+
+
+def first_unordered(frames: DataFrame) -> DataFrame:
+    """Per video the first frame whose pts is not above that of the known frame before it; no row where all are."""
+    order = Window.partitionBy("video").orderBy("frame")
+    known = frames.filter(F.col("pts").isNotNull()).select("video", "frame", (F.col("pts") <= F.lag("pts").over(order)).alias("late"))
+    return known.filter("late").groupBy("video").agg(F.min("frame").alias("frame"))
+
+
+def frames_of_pts(frames: DataFrame, wanted: DataFrame) -> DataFrame:
+    """video, pts and frame of the wanted time stamps (video, pts); a video of unordered pts is an error when one of
+    its rows is read."""
+    order = Window.partitionBy("video").orderBy("frame")
+    known = frames.filter(F.col("pts").isNotNull()).select("video", "frame", "pts", F.lag("pts").over(order).alias("before"))
+    checked = known.select("video", "frame", F.when(F.coalesce(F.col("pts") > F.col("before"), F.lit(True)), F.col("pts")).otherwise(
+        F.raise_error(F.concat(F.lit("pts do not grow at frame "), "frame", F.lit(" of video "), "video")).cast("bigint")).alias("pts"))
+    return checked.join(wanted.select("video", "pts"), ["video", "pts"]).select("video", "pts", "frame")
+
+
 def reported_frames(frames: DataFrame) -> DataFrame:
     """Per video how many frames are in error or follow a jump, each once."""
     return frames.filter("decode_error").select("video", "frame").union(jumps(frames).select("video", "frame")).groupBy(

@@ -38,6 +38,11 @@ TABLES = {
                frame % 15 = 0 AS key_frame, frame % 211 = 17 AS decode_error
         FROM (SELECT video, {spark: explode(sequence(0L, max(frame)))}{duck: unnest(range(0, max(frame) + 1))} AS frame
               FROM detections GROUP BY video) f""",
+    # what a container may announce: the second video lacks frames before its first, the third after its last
+    "announced": """
+        SELECT video, max(frame) + 1 + CASE video WHEN 0 THEN 7 WHEN 2 THEN 4 ELSE 0 END AS announced, CAST(CASE WHEN video = 1 THEN -999 ELSE 0 END AS BIGINT) AS start,
+               CAST(CASE WHEN video = 2 THEN 4 ELSE 0 END AS BIGINT) AS after_last, CAST(CASE WHEN video = 1 THEN 3 ELSE 0 END AS BIGINT) AS before_first
+        FROM frames GROUP BY video""",
     "spans": """
         SELECT video, frame AS first, frame + det_idx % 7 AS last, det_idx AS span_id FROM detections WHERE det_idx % 5 = 0""",
     # one point per order; frames of a track grow by 1 to 3

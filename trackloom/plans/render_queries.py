@@ -22,7 +22,7 @@ def _tracks(t):
 
 def _luma(t):
     # 256 rows
-    table = t.spark.createDataFrame(list(enumerate(rendering.nearest_luma(GREY))), "value int, luma int")
+    table = t.spark.createDataFrame(list(enumerate(planes.nearest_luma(GREY))), "value int, luma int")
     return t("planes").join(F.broadcast(table), "value").select("frame", "pixel", "luma")
 
 
