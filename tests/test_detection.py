@@ -190,3 +190,23 @@ def test_a_silent_video_is_flushed_by_its_timer(spark, tmp_path):
     query.stop()
     assert failure is None
     same(spark.sql("SELECT * FROM silent").collect(), expected)
+
+
+def test_a_run_from_planes_to_tracks(spark):
+    """The bright spot of the movie is one track, found on every frame that is not near the end of the damage."""
+    from trackloom.functions.settings import DetectSettings
+    from trackloom.plans import flows
+
+    frames = movie(40, 96, 64)
+    rows = [(5, f, frames[f].tobytes(), 333 * f, f % 15 == 0, f == 33) for f in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA + ", pts long, key_frame boolean, decode_error boolean")
+    settings = flows.RunSettings(half_window=2, min_travel=10.0, most_turn=3.2, width=96.0, height=64.0, rejoin=None)
+    found, ignored, points = flows.detected(df, 96, 64, 30.0, DetectSettings(window_s=0.6, step=2, work_width=96, sigma=1.0, merge_radius=3.0), settings)
+    assert [tuple(r)[:3] for r in ignored.select("video", "first", "last").collect()] == [(5, 31, 39)]
+    track = {r["frame"]: (r["x"], r["y"]) for r in points.filter("track = 1").collect()}
+    assert set(track) >= set(range(2, 31)) and not set(track) & set(range(31, 40))
+    assert all(abs(x - (4 + 2.0 * f)) < 1.5 and abs(y - (10 + 0.5 * f)) < 1.5 for f, (x, y) in track.items())
+    targets = spark.createDataFrame([(5, 9, f, 4 + 2.0 * f, 10 + 0.5 * f, 70.0 if f % 4 else 1.0, 1.5) for f in range(40)],
+                                    "video long, target long, frame long, x double, y double, contrast double, sigma double")
+    result = flows.evaluated(points, targets, ignored, settings).collect()
+    assert [(r["target"], r["visible"], r["found"], r["completeness"]) for r in result] == [(9, 23, True, 1.0)]

@@ -1,7 +1,7 @@
-"""Whole runs made of the operators: exclusion, tracking with twins and rejoining, and evaluation of stored detections.
+"""Whole runs made of the operators: detection, exclusion, tracking with twins and rejoining, and evaluation.
 
 Tables: frames (video, frame, pts, key_frame, decode_error), detections (video, frame, det_idx, x, y, area, amplitude,
-width, height, strength), targets (video, target, frame, x, y, contrast).  Every step is written once, so that what
+width, height, strength), targets (video, target, frame, x, y, contrast, sigma).  Every step is written once, so that what
 follows reads it and not its history.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.lineage import cut
-from trackloom.operators import evaluation, intervals, matching, timeline, tracking, tracks
+from trackloom.functions.settings import DetectSettings
+from trackloom.operators import dense, evaluation, intervals, matching, timeline, tracking, tracks
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,10 @@ class RunSettings:
     radius: float = 24.0
     purity: float = 0.5
     min_hits: int = 6
+    width: float = 1440.0
+    height: float = 1080.0
+    least_contrast: float = 8.0
+    regions: tuple[tuple[float, float, float, float], ...] = ()
 
 
 def excluded(frames: DataFrame, detections: DataFrame, settings: RunSettings = RunSettings()) -> tuple[DataFrame, DataFrame]:
@@ -66,14 +71,33 @@ def tracked(detections: DataFrame, ignored: DataFrame, settings: RunSettings = R
     return held.join(numbers, ["video", "track"]).select("video", F.col("id").alias("track"), "frame", "x", "y")
 
 
+def detected(frames: DataFrame, width: int, height: int, fps: float, detection: DetectSettings = DetectSettings(),
+             settings: RunSettings = RunSettings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A run from planes: detections, ignored spans and points of tracks of frames that have luma beside their
+    other columns.  Planes of the source are width by height."""
+    found = cut(dense.detected(frames.select("video", "frame", "luma"), width, height, fps, detection))
+    kept, ignored = excluded(frames.drop("luma"), found, settings)
+    return found, ignored, tracked(cut(kept), ignored, settings)
+
+
+def seen(targets: DataFrame, ignored: DataFrame, settings: RunSettings = RunSettings()) -> DataFrame:
+    """Points of targets that can be seen: two sigmas inside the border, of enough contrast, outside regions (shares of
+    the plane) and outside ignored spans.  A target without sigma has no margin."""
+    sigma = F.col("sigma") if "sigma" in targets.columns else F.lit(0.0)
+    points = evaluation.visible(targets, sigma, settings.width, settings.height, settings.least_contrast)
+    for x0, y0, x1, y1 in settings.regions:
+        points = points.filter(~((F.col("x") / settings.width).between(x0, x1) & (F.col("y") / settings.height).between(y0, y1)))
+    return intervals.outside(points, ignored, ["video"])
+
+
 def evaluated(points: DataFrame, targets: DataFrame, ignored: DataFrame, settings: RunSettings = RunSettings()) -> DataFrame:
-    """Per target what a run found of it (see evaluation.target_results), on frames that were analysed."""
-    seen = cut(intervals.outside(targets, ignored, ["video"]))
+    """Per target what a run found of it (see evaluation.target_results), on the points of it that can be seen."""
+    visible = cut(seen(targets, ignored, settings))
     assigned = matching.assigned_targets(points, targets, settings.radius, settings.purity).select("video", "track", "target")
     a = points.join(assigned, ["video", "track"]).select("video", "frame", F.col("target").alias("mine"), F.col("track").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = seen.select("video", "frame", F.col("target").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    b = visible.select("video", "frame", F.col("target").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     hits = matching.near_pairs(a, b, ["video", "frame"], settings.radius).filter("mine = b_id")
-    return evaluation.target_results(seen, hits.select("video", F.col("b_id").alias("target"), "frame", F.col("a_id").alias("track")), ["video", "target"], settings.min_hits)
+    return evaluation.target_results(visible, hits.select("video", F.col("b_id").alias("target"), "frame", F.col("a_id").alias("track")), ["video", "target"], settings.min_hits)
 
 
 def replayed(frames: DataFrame, detections: DataFrame, targets: DataFrame, settings: RunSettings) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.lineage import cut
-from trackloom.operators import evaluation, ledger, matching, planes, rendering, timeline
+from trackloom.operators import evaluation, golden, ledger, matching, planes, rendering, timeline
 from trackloom.plans.adapters import oracle
 from trackloom.plans.ledger_queries import TARGET_RESULTS, _hits, _seen
 from trackloom.plans.match_queries import ASSIGNED, _targets
@@ -114,7 +114,37 @@ OVERLAPS = """
   SELECT DISTINCT path, folder FROM o JOIN f ON o.at = f.at OR starts_with(o.at, f.at || '/') OR starts_with(f.at, o.at || '/')"""
 
 
+def _compared(t):
+    """The second run against the first one as its reference: inputs, detections by ranges that differ, damaged spans."""
+    a = t("frames")
+    other = a.select("video", "frame", F.when((F.col("video") == 0) & (F.col("frame") % 401 == 400), F.col("pts") + 1).otherwise(F.col("pts")).alias("pts"),
+                     (F.col("key_frame") | ((F.col("video") == 1) & (F.col("frame") % 500 == 499))).alias("key_frame"), "decode_error")
+    gaps = golden.first_gaps(a, other, ["pts", "key_frame", "decode_error"])
+    rows = [cut(t(name).select("video", "frame", "x", "y", "area")) for name in ("detections", "candidates")]
+    ranges = golden.differing(*(golden.tree(r) for r in rows))
+    held = [r.withColumn("node", F.expr(f"frame div {golden.RANGE}")).join(ranges, ["video", "node"], "left_semi").drop("node") for r in rows]
+    return golden.verdicts(a, gaps, golden.unequal(*held), timeline.damaged_spans(cut(a), HALF, t("announced")))
+
+
+COMPARED = f"""
+  WITH a AS (SELECT video, frame, list_sort(list((x, y, area))) AS l FROM detections GROUP BY video, frame),
+  b AS (SELECT video, frame, list_sort(list((x, y, area))) AS l FROM candidates GROUP BY video, frame),
+  s AS ({EDGES}),
+  d AS (SELECT coalesce(a.video, b.video) AS video, coalesce(a.frame, b.frame) AS frame FROM a FULL JOIN b ON a.video = b.video AND a.frame = b.frame WHERE a.l IS DISTINCT FROM b.l),
+  f AS (SELECT *, EXISTS (SELECT 1 FROM s WHERE s.video = d.video AND d.frame BETWEEN s.first AND s.last) AS hidden FROM d),
+  n AS (SELECT video, count(*) FILTER (WHERE hidden) AS inside, count(*) FILTER (WHERE NOT hidden) AS outside,
+          array_to_string(list_slice(list_sort(list(frame) FILTER (WHERE NOT hidden)), 1, 10), ',') AS firsts FROM f GROUP BY video),
+  g AS (SELECT video, CASE WHEN p IS NOT NULL THEN 'pts' WHEN k IS NOT NULL THEN 'key_frame' END AS gap, coalesce(p, k) AS gap_frame FROM (
+    SELECT video, min(CASE WHEN video = 0 AND frame % 401 = 400 AND pts IS NOT NULL THEN frame END) AS p, min(CASE WHEN video = 1 AND frame % 500 = 499 AND NOT key_frame THEN frame END) AS k
+    FROM frames GROUP BY video) q)
+  SELECT v.video, CASE WHEN gap IS NOT NULL THEN 'inputs differ' WHEN coalesce(outside, 0) > 0 THEN 'differs' ELSE 'same' END AS verdict, gap, gap_frame, coalesce(inside, 0) AS inside,
+         coalesce(outside, 0) AS outside, coalesce(firsts, '') AS firsts, greatest(coalesce(outside, 0) - 10, 0) AS more, coalesce(c.spans, 0) AS spans, coalesce(c.damaged_frames, 0) AS damaged_frames
+  FROM (SELECT DISTINCT video FROM frames) v LEFT JOIN g ON g.video = v.video LEFT JOIN n ON n.video = v.video
+  LEFT JOIN (SELECT video, count(*) AS spans, CAST(sum(last - first + 1) AS BIGINT) AS damaged_frames FROM s GROUP BY video) c ON c.video = v.video"""
+
+
 QUERIES = {
+    "g15_compared_runs": (_compared, COMPARED),
     "g03_edge_damage": (lambda t: timeline.damaged_spans(cut(t("frames")), HALF, t("announced")), EDGES),
     "g17_false_tracks": (_totals, f"""
         SELECT coalesce(r.video, c.video, k.video) AS video, coalesce(not_visible, 0) AS not_visible, coalesce(evaluated, 0) AS evaluated, coalesce(found, 0) AS found,

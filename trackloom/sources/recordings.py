@@ -5,6 +5,10 @@ Readers fail on the first malformed line.  Paths are only ever opened by Spark,
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,16 +92,18 @@ def write_table(df: DataFrame, path: str) -> None:
 DIALECTS = {"en": (",", ".", ""), "fr": (";", ",", "﻿")}
 
 
-def localised(df: DataFrame, headings: list[str], dialect: str, places: int = 2) -> DataFrame:
-    """Lines of a CSV in a dialect: k (0: the header), o, value; numbers rounded with the dialect's mark."""
+def localised(df: DataFrame, headings: list[str], dialect: str, places: int = 2, order: list[Column] | None = None) -> DataFrame:
+    """Lines of a CSV in a dialect: k (0: the header), o (what lines are ordered by: the first column, or others), value;
+    numbers rounded with the dialect's mark."""
     from trackloom.functions.text import decimal, quoted
 
     separator, mark, bom = DIALECTS[dialect]
     kinds = dict(df.dtypes)
     cells = [decimal(F.col(c), places, mark) if kinds[c] == "double" else quoted(F.col(c).cast("string"), separator) for c in df.columns]
-    lines = df.select(F.lit(1).alias("k"), F.col(df.columns[0]).cast("string").alias("o"),
+    lines = df.select(F.lit(1).alias("k"), F.struct(*(order or [F.col(df.columns[0])])).alias("o"),
                       F.concat_ws(separator, *(F.coalesce(c, F.lit("")) for c in cells)).alias("value"))
-    return df.sparkSession.createDataFrame([(0, None, bom + separator.join(headings))], lines.schema).unionByName(lines)
+    head = df.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(None).cast(lines.schema["o"].dataType).alias("o"), F.lit(bom + separator.join(headings)).alias("value"))
+    return head.unionByName(lines)
 
 
 def read_video(spark: SparkSession, path: str) -> DataFrame:
@@ -135,23 +141,55 @@ def sniffed(first_line: str) -> str:
 VERDICT_COLUMNS = ["video", "track", "start", "start_s", "verdict", "species", "start_x", "start_y"]
 
 
+def decoded(content: bytes) -> str:
+    """UTF-8 where it is, else Windows-1252, whose free places are control characters; without byte-order mark."""
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1").translate({k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)})
+    return text.removeprefix("\ufeff")
+
+
+def verdict_rows(content: bytes) -> list[dict] | None:
+    """The rows of one file of verdicts as texts by VERDICT_COLUMNS; None where its columns cannot be told."""
+    text = decoded(content)
+    separator = sniffed(text.splitlines()[0] if text else "")
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=separator) if any(cell.strip() for cell in r)]
+    head = ["".join(ch for ch in c.lower() if ch.isascii() and ch.isalnum()) for c in rows[0]] if rows else []
+    at = [head.index(c.replace("_", "")) if c.replace("_", "") in head else None for c in VERDICT_COLUMNS]
+    if at[VERDICT_COLUMNS.index("video")] is None or at[VERDICT_COLUMNS.index("start_s")] is None:
+        if len(head) != len(VERDICT_COLUMNS):
+            return None
+        at = list(range(len(head)))
+    cells = [{c: r[k].strip() if k is not None and k < len(r) else "" for c, k in zip(VERDICT_COLUMNS, at)} for r in rows[1:]]
+    return [r for r in cells if any(r.values())]
+
+
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """A user's verdicts, whatever their dialect and headings: columns by folded name, by place only if there are eight."""
-    first = spark.read.text(path).first()
-    line = (first["value"] if first else "").lstrip("﻿")
-    rows = spark.read.options(header=True, sep=sniffed(line), quote='"', escape='"', multiLine=True).csv(path)
-    fold = {"".join(ch for ch in c.lower() if ch.isascii() and ch.isalnum()): c for c in rows.columns}
-    wanted = {c: fold.get(c.replace("_", "")) for c in VERDICT_COLUMNS}
-    if not all(wanted.values()) and len(rows.columns) == len(VERDICT_COLUMNS):
-        wanted = dict(zip(VERDICT_COLUMNS, rows.columns))
-    number = lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
-    cells = {c: F.col(f"`{name}`") if name else F.lit(None).cast("string") for c, name in wanted.items()}
-    return rows.select(*(number(v).alias(c) if c in ("start_s", "start_x", "start_y") else v.alias(c) for c, v in cells.items()))
+    """Users' verdicts of a file or a folder of files, each in its own encoding, dialect and order of columns.
+
+    Columns go by folded name, by place only where video or start_s is not named and there are eight.  A file whose
+    columns cannot be told fails the query.  Files are whole in a task: users' tables are small.
+    """
+    arrow = pa.schema([(c, pa.string()) for c in VERDICT_COLUMNS])
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = verdict_rows(content)
+                if rows is None:
+                    raise ValueError(f"{name}: these are not the columns of a table of verdicts")
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    texts = files.mapInArrow(run, ", ".join(f"{c} string" for c in VERDICT_COLUMNS))
+    number = lambda c: F.replace(F.col(c), F.lit(","), F.lit(".")).try_cast("double").alias(c)
+    return texts.select(*(number(c) if c in ("start_s", "start_x", "start_y") else F.nullif(F.col(c), F.lit("")).alias(c) for c in VERDICT_COLUMNS))
 
 
 def write_verdicts(df: DataFrame, path: str, dialect: str = "fr") -> None:
-    """Verdicts as a localised CSV, ordered by video and start, CRLF."""
-    lines = localised(df.select(*VERDICT_COLUMNS), VERDICT_COLUMNS, dialect)
+    """Verdicts as a localised CSV, ordered by video and start (none: 0), CRLF; one file, as users' tables are small."""
+    lines = localised(df.select(*VERDICT_COLUMNS), VERDICT_COLUMNS, dialect, order=[F.col("video"), F.coalesce(F.col("start_s"), F.lit(0.0)).alias("start_s")])
     lines.coalesce(1).sortWithinPartitions("k", "o").select("value").write.mode("errorifexists").option("lineSep", "\r\n").text(path)
 
 
