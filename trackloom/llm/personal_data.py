@@ -35,27 +35,40 @@ BASE = {
 }
 # Endings that may stand apart from their dot; after other blanks a dot ends a sentence.
 ENDINGS = "com|net|org|edu|gov|mil|info|biz"
-AT = r"(?:\x20?@\x20?|\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)"
-WORD_DOT = r"(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20)"
+# The words at and dot in any case; between blanks they are a form of their own.
+AT = r"(?:\x20?@\x20?|\x20?[\[({]\x20?(?i:at)\x20?[\])}]\x20?|\x20(?i:at)\x20)"
+WORD_DOT = r"(?:\x20?[\[({]\x20?(?:(?i:dot)|\.)\x20?[\])}]\x20?|\x20(?i:dot)\x20)"
 DOT = (rf"(?:{WORD_DOT}|\x20?\.\x20?(?=(?:{ENDINGS})(?![A-Za-z0-9-]))|\.)")
-POINT = r"(?:\.|\x20?[\[(](?:dot|\.)[\])]\x20?|\x20dot\x20)"
+POINT = r"(?:\x20?\.\x20?|\x20?[\[({]\x20?(?:(?i:dot)|\.)\x20?[\])}]\x20?|\x20(?i:dot)\x20)"
+# What may stand between the digits of a card.
+GAP = r"[\x20._/,:-]{0,3}"
 GENERATORS = [
     ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{WORD_DOT}[A-Za-z0-9._%+-]++)*+{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++"),
     ("ip", rf"(?<![0-9])[0-9]++(?:{POINT}[0-9]++){{3}}(?![0-9])"),
-    ("card", r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9])++"),
+    ("card", rf"(?<![0-9])[0-9](?:{GAP}[0-9])++"),
     # one of several numbers side by side
-    ("card", r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4,7}(?![0-9])"),
+    ("card", rf"(?<![0-9])[0-9]{{4}}{GAP}[0-9]{{4}}{GAP}[0-9]{{4}}{GAP}[0-9]{{4,7}}(?![0-9])"),
     ("phone", r"(?<![0-9])(?:(?:\+|00)?[0-9]{1,3}[\x20./-]?|\+)?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"),
+    ("phone", r"(?<![0-9])0[0-9]{8,14}(?![0-9])"),
     ("phone", r"(?<![0-9])\(?[0-9]++\)?(?:[\x20./-]{0,2}\(?[0-9]++\)?)++"),
 ]
+# Forms that tell a phone number without a word such as tel: an international prefix, a trunk 0 before the area, or
+# three digits in brackets or before a sign, then three and four; and the dates that look alike.
+DIALLED = (r"^(?:\+|00)[1-9]|^\(?0[1-9][0-9]{0,4}\)?(?:[\x20./-]{0,2}[0-9]{2,4}){2,4}$"
+           r"|^(?:1[\x20./-]{0,2})?(?:\([0-9]{3}\)[\x20./-]{0,2}[0-9]{3}[\x20./-]|[2-9][0-9]{2}[./-][0-9]{3}[./-])[0-9]{4}$")
+DATED = r"^[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}|^(?:19|20)[0-9]{2}[./-]?[01][0-9][./-]?[0-3][0-9]"
+# Groups of a card: four, four, four and the rest, with one sign between them.
+GROUPED = r"^[0-9]{4}([\x20._/,:-]{0,3})[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1?[0-9]{1,3})?$"
 # What a text must hold for a base match that passes, and for a candidate that may: a cheap test before the search.
 BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-NEEDS = {"email": r"@|[\[({]\x20?at\x20?[\])}]|\x20at\x20[A-Za-z0-9-]++\x20?[\[({]?\x20?dot", "ip": rf"[0-9]{POINT}[0-9]",
-         "card": r"[0-9](?:[\x20._/-]?[0-9]){15}", "phone": r"[0-9](?:[\x20()./-]{0,4}[0-9]){7}"}
+NEEDS = {"email": r"(?i)@|[\[({]\x20?at\x20?[\])}]|\x20at\x20[A-Za-z0-9-]++(?:\x20?[\[({]?\x20?dot|\.)", "ip": rf"[0-9]{POINT}[0-9]",
+         "card": rf"[0-9](?:{GAP}[0-9]){{15}}", "phone": r"[0-9](?:[\x20()./-]{0,4}[0-9]){7}"}
 CONTEXT = 24
 CUES = r"(?i)mail|contact|tel|phone|call|fax|mobile|card|visa|iban|host|server|addr"
 PHONE_CUES = r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|cell|contact|dial|sms|whatsapp)\b"
 
+MAIL_CUES = r"(?i)mail|contact|write\s+to|reach|address"
+
 #: Levels of each feature; their product bounds the vectors that reach the driver.
 LEVELS = {"kind": 4, "checked": 2, "digits": 8, "marks": 6, "before": 4, "after": 4, "cue": 3}
 VECTORS = math.prod(LEVELS.values())
@@ -134,14 +147,16 @@ def features(kind: int, m: str) -> dict[str, str]:
     value, before, after = f"{m}.value", f"{m}.before", f"{m}.after"
     n = f"char_length({digits(value)})"
     size = let(n, lambda k: f"case {' '.join(f'when {k} < {most} then {level}' for level, most in enumerate((4, 7, 8, 10, 12, 16, 17)))} else 7 end")
-    marks = (rf"case when {value} rlike r'[\[({{]\x20?(?:at|dot|\.)\x20?[\])}}]' then 4 when {value} rlike r'\x20(?:at|dot)\x20' then 5 "
-             rf"when startswith({value}, '+') then 1 when contains({value}, ' ') then 2 when {value} rlike '[-()/_]' then 3 else 0 end")
+    marks = (rf"case when {value} rlike r'[\[({{]\x20?(?:(?i:at|dot)|\.)\x20?[\])}}]|\x20(?:AT|DOT)\x20' then 4 when {value} rlike r'\x20(?i:at|dot)\x20' then 5 "
+             rf"when startswith({value}, '+') then 1 when contains({value}, ' ') then 2 when {value} rlike '[-()/_,:]' then 3 else 0 end")
     side = lambda c: rf"case when {c} = '' then 0 when {c} rlike r'\s' then 1 when {c} rlike '[0-9.@+-]' then 3 else 2 end"
-    # an ending of letters; a blank or the word "at" needs more than that to be an address
+    # an ending of letters; a blank or the word "at" needs more than that to be an address, and plain words, which any
+    # sentence may hold, a name of more than letters or a word such as mail before them
     ending = (rf"({value} rlike r'(?:\.|[\])}}]|\x20)\x20?[A-Za-z]{{2,}}$' and (not contains({value}, ' ') "
-              rf"or {value} rlike r'[\[({{]\x20?(?:at|dot|\.)\x20?[\])}}]|\x20dot\x20|@.*\.\x20?(?:{ENDINGS}|[a-z]{{2}})$') "
-              rf"and (not contains({value}, ' at ') or contains({value}, 'dot')))")
-    checked = {"ip": lambda: quads(value), "card": lambda: carded(value), "phone": lambda: f"({n} between 8 and 15)",
+              rf"or {value} rlike r'[\[({{]\x20?(?:(?i:at|dot)|\.)\x20?[\])}}]|\x20(?i:dot)\x20|\x20AT\x20|@.*\.\x20?(?:{ENDINGS}|[a-z]{{2}})$') "
+              rf"and (not contains({value}, ' at ') or (contains({value}, 'dot') and ({value} rlike r'^[^\x20]*[0-9._%+-][^\x20]*\x20|[\[({{]' or {before} rlike r'{MAIL_CUES}'))))")
+    phone = f"({n} between 8 and 15 and ({before} rlike r'{PHONE_CUES}' or ({value} rlike r'{DIALLED}' and {n} >= 9 and not {value} rlike r'{DATED}')))"
+    checked = {"ip": lambda: quads(value), "card": lambda: f"({carded(value)} and {value} rlike r'{GROUPED}')", "phone": lambda: phone,
                "email": lambda: ending}[KINDS[kind]]()
     return {"kind": str(kind), "digits": size, "marks": marks, "checked": f"cast({checked} as int)",
             "before": side(f"right({before}, 1)"), "after": side(f"left({after}, 1)"),
@@ -187,6 +202,22 @@ def rewritten(kind: str, value: str) -> tuple[list[str], list[str]]:
              f"concat_ws(' ', left({number}, 2), substring({number}, 3, 3))"])
 
 
+def harmless(value: str) -> list[str]:
+    """Numbers that are nobody's, drawn by a base phone number: a book's, an amount, years, coordinates, a series, an
+    identifier, a count, a time."""
+    drawn = f"crc32({value})"
+    part = lambda by, most, width: f"lpad(cast(({drawn} div {by}) % {most} as string), {width}, '0')"
+    year, step = f"({drawn} % 130 + 1900)", f"({drawn} % 9 + 1) * 100"
+    return [f"concat('978-', {part(1, 10, 1)}, '-', {part(10, 100, 2)}, '-', {part(1000, 1000000, 6)}, '-', {part(7, 10, 1)})",
+            f"concat_ws(' ', {drawn} % 999 + 1, {part(9, 1000, 3)}, {part(999, 1000, 3)}, {part(99999, 1000, 3)})",
+            f"concat_ws(' ', {year}, {year} + 1, {year} + 2, {year} + 3)",
+            f"concat({drawn} % 90, '.', {part(3, 10000, 4)}, ' ', {drawn} % 180, '.', {part(77, 10000, 4)})",
+            f"concat_ws(' ', {step}, 2 * {step}, 3 * {step}, 4 * {step}, 5 * {step})",
+            f"concat_ws(' ', {year}, {part(5, 10000, 4)}, {part(55555, 10000, 4)})",
+            f"cast({drawn} + 1000000000 as string)",
+            f"concat({year}, {part(2, 12, 2)}, {part(3, 28, 2)}, '-', {part(4, 24, 2)}, {part(5, 60, 2)}, {part(6, 60, 2)})"]
+
+
 def edges(taken: str) -> str:
     """What meets() searches: starts of spans in order, and the furthest end so far."""
     ordered = f"array_sort({each(taken, lambda s: struct(start=f'{s}.start', end=f'{s}.end'))})"
@@ -320,10 +351,11 @@ def calibrated(model: Model, counts: list[tuple[dict[str, int], float, float]],
 def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision: float = 0.98, least: int = 20) -> Models:
     """Models for the candidates of all docs; see the head of this module for their labels.
 
-    Of each base span two rewritten forms, by a hash, are positives and one is a hard negative; a candidate
+    Of each base span two rewritten forms, by a hash, are positives, unless their check cannot tell them from ordinary
+    words and numbers, and one is a hard negative; of each phone number two of harmless() are too.  A candidate
     that a base span of its kind covers is a positive that helps to fit but, as it cannot be added, does not
     calibrate.  Any other candidate of the corpus is labelled by its own check: a plausible ending, octets,
-    Luhn, 8 to 15 digits after a word such as tel.  One that overlaps a base span, or is part of a longer
+    Luhn in groups of four, 8 to 15 digits after a word such as tel; a phone number by its form alone has no label.  One that overlaps a base span, or is part of a longer
     match which failed its check, such as one of two numbers side by side, has no label.  Counts per
     fold, origin and feature vector, at most 12 * VECTORS rows, reach the driver.  A kind without positive
     candidates selects nothing.  Null texts count as empty; an empty table gives models that add nothing.
@@ -338,9 +370,10 @@ def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision:
         """Labelled candidates of the texts; the one match that may cover a candidate is the last that begins no later."""
         def judged(c: str, at: str) -> str:
             covers = f"coalesce({at}.start <= {c}.start and {at}.end >= {c}.end, false)"
-            sound = f"({c}.checked = 1{f' and {c}.cue = 2' if kind == 'phone' else ''})"
+            # a phone number by its form alone may be one or not
+            sound = f"if({c}.checked = 0, 0, {f'if({c}.cue = 2, 1, null)' if kind == 'phone' else '1'})"
             label = (f"case when {covers} and {at}.ok then 1 when {covers} and {at}.end - {at}.start > {c}.end - {c}.start then null "
-                     f"when {meets(c, 'taken')} then null when {sound} then 1 else 0 end")
+                     f"when {meets(c, 'taken')} then null else {sound} end")
             return let(label, lambda x: struct(
                 origin=f"if({covers} and {at}.ok, 'covered', 'plain')", label=x, of=str(KINDS.index(kind)), snippet="''", s="0", e="0",
                                                **{n: f"{c}.{n}" for n in LEVELS}))
@@ -356,10 +389,16 @@ def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision:
             one = lambda value, label: struct(
                 origin="'rewritten'", label=label, of=str(KINDS.index(kind)), snippet=f"concat({m}.before, {value}, {m}.after)",
                 s=f"char_length({m}.before)", e=f"char_length({m}.before) + char_length({value})", **{n: "cast(null as int)" for n in LEVELS})
+            # numbers that are nobody's stand in a context without a word such as tel
+            free = lambda value: struct(
+                origin="'rewritten'", label="0", of=str(KINDS.index(kind)), snippet=f"concat('the ', {value}, ' ')",
+                s="4", e=f"4 + char_length({value})", **{n: "cast(null as int)" for n in LEVELS})
+            numbers = harmless(f"{m}.value") if kind == "phone" else []
             drawn = f"cast(pmod(xxhash64({m}.value, {m}.start), 12) as int)"
             return let(drawn, lambda k: "array({})".format(", ".join((
                 one(f"array({', '.join(good)})[{k} % {len(good)}]", "1"), one(f"array({', '.join(good)})[({k} + 1) % {len(good)}]", "1"),
-                one(f"array({', '.join(bad)})[{k} % {len(bad)}]", "0")))))
+                one(f"array({', '.join(bad)})[{k} % {len(bad)}]", "0"),
+                *(free(f"array({', '.join(numbers)})[({k} + {i}) % {len(numbers)}]") for i in range(2 if numbers else 0))))))
 
         return f"flatten({each(where(f'm_{kind}', lambda m: f'{m}.ok'), forms)})"
 
@@ -367,6 +406,8 @@ def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision:
     proposed = " ".join(f"when x.of = {i} then " + where(candidates("x.snippet", [k]), lambda c: f"{c}.start <= x.s and x.e <= {c}.end")
                         for i, k in enumerate(KINDS))
     rows = rows.selectExpr("fold", "x", f"if(x.origin = 'rewritten', try_element_at(case {proposed} end, 1), null) as c")
+    # a rewritten form that its check does not tell from ordinary words and numbers teaches nothing
+    rows = rows.filter("not (x.origin = 'rewritten' and x.label = 1 and coalesce(c.checked, 1) = 0)")
     counts = rows.selectExpr("fold", "x.origin", "x.of", "x.label", *(f"coalesce(x.{n}, c.{n}) as {n}" for n in LEVELS)).groupBy(
         "fold", "origin", "of", *LEVELS).agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
     fitted: dict[int, dict] = {k: {} for k in range(len(KINDS))}
@@ -386,7 +427,7 @@ def fit(docs: DataFrame, row_id: str = "doc_id", text: str = "text", precision:
     made, figures = [], {}
     for k, kind in enumerate(KINDS):
         model = calibrated(boost([(dict(v), a, b) for v, (a, b) in fitted[k].items()]), _pooled(late[CALIBRATES, k]), precision, least)
-        taken = [c for c in late[JUDGES, k] if model.value(c[0]) >= model.threshold]
+        taken = [c for c in late[JUDGES, k] if c[0]["checked"] and model.value(c[0]) >= model.threshold]
         right, all_ = sum(c[1] for c in taken), sum(c[1] for c in late[JUDGES, k]) + missed[k]
         figures[kind] = {"rewritten": all_, "recall": right / all_ if all_ else math.nan,
                          "precision": right / (right + sum(c[2] for c in taken)) if taken else math.nan}
@@ -405,7 +446,7 @@ def _pooled(counts: list[tuple[dict[str, int], float, float]]) -> list[tuple[dic
 
 def analysed(df: DataFrame, text: str, models: Models) -> DataFrame:
     """df with base_spans, the base spans, and all_spans: with, where they overlap none, the candidates that the
-    models select (of overlapping ones the first by start, then the longer).
+    models select (of overlapping ones the first by start, then the longer); what fails its check is never selected.
 
     Both are arrays of kind, start, end, by kind, then start; a null text has none.  Rows, repeated ones too,
     pass one to one; new columns get underscores before names that df has.
@@ -418,7 +459,7 @@ def analysed(df: DataFrame, text: str, models: Models) -> DataFrame:
         return df.withColumn(every, F.col(kept))
 
     def of(kind: str, model: Model) -> str:
-        return where(candidates(value, [kind]), lambda c: f"{model.score(c)} >= {model.threshold!r}D and not {meets(c, known)}")
+        return where(candidates(value, [kind]), lambda c: f"{c}.checked = 1 and {model.score(c)} >= {model.threshold!r}D and not {meets(c, known)}")
 
     def taken(last: str, c: str) -> tuple[str, str]:
         span = struct(kind=f"{c}.kind", start=f"{c}.start", end=f"-{c}.back")
