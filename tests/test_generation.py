@@ -8,6 +8,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from trackloom.functions.seeded import Draws, split_mix
 from trackloom.operators import generation as g, rendering
@@ -112,15 +113,73 @@ def test_colours_are_those_of_the_plain_rule(spark):
         assert {k: out[page, k] for k in paths} == done
 
 
-def test_markers_keep_apart_and_clear(spark):
-    paths = [[(200.0, 200.0), (600.0, 200.0)], [(200.0, 205.0), (600.0, 205.0)], [(400.0, 100.0), (400.0, 500.0)], [(30.0, 30.0)], [(30.0, 30.0)]]
-    made = rendering.place(paths, 1440, 1080, 12.0)
-    assert all(math.dist(a, b) >= 26 for i, a in enumerate(made) for b in made[i + 1:])
-    assert all(14 <= x <= 1426 and 14 <= y <= 1066 for x, y in made)
-    alone = rendering.place(paths[:1], 1440, 1080, 12.0)
-    assert alone == [(302.0, 200.0)]  # a quarter of the way, in steps of half a radius
-    clear = rendering.place(paths[:1], 1440, 1080, 12.0, [(302.0, 200.0)], 30.0)
-    assert 30 <= math.dist(clear[0], (302, 200)) < 40 and clear[0][1] == 200
-    assert rendering.place([], 1440, 1080, 12.0) == []
-    df = spark.createDataFrame([(1, k, f, *p) for k, own in enumerate(paths) for f, p in enumerate(own)], "page long, path long, frame long, x double, y double")
-    assert {r["path"]: (r["x"], r["y"]) for r in rendering.markers(df, 1440, 1080, 12.0).collect()} == dict(enumerate(made))
+def brute_markers(paths, width, height, radius, clear):
+    """Centres by the plain rule: every candidate weighed anew."""
+    def spots(p):
+        reached = [0.0]
+        for a, b in zip(p, p[1:]):
+            reached.append(reached[-1] + math.dist(a, b))
+        out, total, k = [], reached[-1], 0
+        while k * radius / 2 < total:
+            at = k * radius / 2
+            i = max(j for j in range(len(p) - 1) if reached[j] <= at)
+            s = (at - reached[i]) / (reached[i + 1] - reached[i])
+            out.append((p[i][0] + (p[i + 1][0] - p[i][0]) * s, p[i][1] + (p[i + 1][1] - p[i][1]) * s, math.floor(1000 * at / total + 0.5)))
+            k += 1
+        return [*out, (*p[-1], 1000 if total else 0)], total
+
+    own, ends = [spots(p) for p in paths], [p[-1] for p in paths] if clear else []
+    inset = radius + 2
+
+    def met(c, others):
+        return sum(math.dist(c, o) < 2 * radius + 2 for o in others), sum(math.dist(c, e) < clear for e in ends)
+
+    def best(k, others):
+        first = None
+        for ring in range(41):
+            found = []
+            for x, y, share in own[k][0]:
+                for turn in range(16 if ring else 1):
+                    angle, away = math.tau * turn / 16, ring * radius / 2
+                    c = (min(max(x + away * math.cos(angle), inset), width - inset), min(max(y + away * math.sin(angle), inset), height - inset))
+                    cost = 1000 * sum(math.dist(c, s[:2]) < 2 * radius for j, (o, _) in enumerate(own) if j != k for s in o) + 2 * abs(share - 250)
+                    found.append(((*met(c, others), cost, share), c))
+            one = min(found, key=lambda f: f[0])
+            first = first or one
+            if not one[0][0]:
+                return one
+        return first
+
+    order, chosen = sorted(range(len(paths)), key=lambda k: own[k][1]), {}
+    for k in order:
+        chosen[k] = best(k, list(chosen.values()))[1]
+    for _ in range(8):
+        before = dict(chosen)
+        for k in order:
+            others = [c for j, c in chosen.items() if j != k]
+            now = met(chosen[k], others)
+            if now != (0, 0) and (one := best(k, others))[0][:2] < now:
+                chosen[k] = one[1]
+        if before == chosen:
+            break
+    return chosen
+
+
+@pytest.mark.parametrize("clear", [0.0, 30.0])
+def test_markers_are_those_of_the_plain_rule(spark, clear):
+    draw = random.Random(6)
+    pages = [[[(200.0, 200.0), (600.0, 200.0)], [(200.0, 205.0), (600.0, 205.0)], [(400.0, 100.0), (400.0, 500.0)], [(30.0, 30.0)], [(30.0, 30.0)], [(31.0, 30.0), (35.0, 30.0)]],
+             [[(200.0, 200.0), (600.0, 200.0)]],
+             [[(draw.uniform(0, 120), draw.uniform(0, 90)) for _ in range(draw.randint(1, 4))] for _ in range(8)]]
+    df = spark.createDataFrame([(g, k, f, *p) for g, paths in enumerate(pages) for k, own in enumerate(paths) for f, p in enumerate(own)], "page long, path long, frame long, x double, y double")
+    made = {}
+    for r in rendering.markers(df, 1440, 1080, 12.0, clear).collect():
+        made.setdefault(r["page"], {})[r["path"]] = (r["x"], r["y"])
+    for g, paths in enumerate(pages):
+        expected = brute_markers(paths, 1440, 1080, 12.0, clear)
+        assert made[g].keys() == expected.keys()
+        for k, c in expected.items():
+            assert math.dist(made[g][k], c) < 1e-6, (g, k)
+    if not clear:
+        assert made[1] == {0: (302.0, 200.0)}  # a quarter of the way, in steps of half a radius
+    assert rendering.markers(df.limit(0), 1440, 1080, 12.0).collect() == []

@@ -41,6 +41,7 @@ def rows(columns, values):
 #: Queries without SQL twin, and the tests of their values against plain programmes.
 ELSEWHERE = {
     "g28_merged_zones": "test_generation.test_zones_are_those_of_whole_pages",
+    "k10_markers": "test_generation.test_markers_are_those_of_the_plain_rule",
     "k11_path_colours": "test_generation.test_colours_are_those_of_the_plain_rule",
     "d04_targets": "test_generation.test_targets_keep_apart",
     "s01_tracks": "test_tracking.test_tracks_of_the_registered_query",

@@ -84,6 +84,8 @@ QUERIES = {
     "k09_work_order": (_works, """
         SELECT *, row_number() OVER (PARTITION BY device ORDER BY start, CASE kind WHEN 'annotated' THEN 0 WHEN 'clips' THEN 1 ELSE 2 END, id) AS place FROM (
           SELECT device, job AS id, bytes // 1000000 AS start, CASE job % 3 WHEN 0 THEN 'zoom' WHEN 1 THEN 'clips' ELSE 'annotated' END AS kind FROM jobs) j"""),
+    "k10_markers": (lambda t: rendering.markers(t("scene_points").select(
+        (F.col("video") * 100000 + F.expr("frame div 60")).alias("page"), F.col("track").alias("path"), "frame", "x", "y"), 1440.0, 1080.0, 12.0, 20.0), None),
     "k11_path_colours": (lambda t: rendering.colours(t("scene_points").select(F.col("video").alias("page"), F.col("track").alias("path"), "frame", "x", "y"), 8, 20.0), None),
     "w25_saccade_flights": (_flights, """
         SELECT track, k, round(p, 6) AS progress, round(2 * (1 - p) * p * (track % 700) + p * p * 1440, 4) AS x FROM (
