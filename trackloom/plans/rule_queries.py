@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import keys
 from trackloom.functions.lineage import cut
 from trackloom.operators import evaluation, golden, ledger, matching, planes, rendering, timeline
 from trackloom.plans.adapters import oracle
@@ -143,7 +144,16 @@ COMPARED = f"""
   LEFT JOIN (SELECT video, count(*) AS spans, CAST(sum(last - first + 1) AS BIGINT) AS damaged_frames FROM s GROUP BY video) c ON c.video = v.video"""
 
 
+START = keys._mixed(keys._mixed(keys.OFFSET, (8).to_bytes(4, "little")), (8).to_bytes(4, "little"))
+KEYS = f"""
+  WITH RECURSIVE w AS (SELECT frame, pixel // 8 AS k, sum(CAST(value AS HUGEINT) * (CAST(1 AS HUGEINT) << (8 * (pixel % 8)))) AS word FROM planes GROUP BY frame, pixel // 8 UNION ALL SELECT DISTINCT frame, 8, 64 FROM planes),
+  r AS (SELECT DISTINCT frame, 0 AS k, CAST({START} AS HUGEINT) AS h FROM planes UNION ALL
+    SELECT frame, k + 1, xor(p, p // 4294967296) FROM (SELECT r.frame, r.k, (xor(r.h, CAST(w.word AS HUGEINT)) * {keys.PRIME}) % 18446744073709551616 AS p FROM r JOIN w ON w.frame = r.frame AND w.k = r.k) q)
+  SELECT frame, lpad(lower(hex(CAST(h AS UBIGINT))), 16, '0') AS key FROM r WHERE k = 9"""
+
+
 QUERIES = {
+    "p10_plane_keys": (lambda t: planes.luma_of(t("planes")).select("frame", keys.plane_keys(F.lit(8), F.lit(8), "luma").alias("key")), KEYS),
     "g15_compared_runs": (_compared, COMPARED),
     "g03_edge_damage": (lambda t: timeline.damaged_spans(cut(t("frames")), HALF, t("announced")), EDGES),
     "g17_false_tracks": (_totals, f"""
