@@ -85,6 +85,22 @@ def test_offsets_are_kept_for_decoding():
     assert codec.decode_range([], codec.offsets([]), 0, 5) == b""
 
 
+@pytest.mark.parametrize("window", [1, 7, 1 << 16])
+def test_round_trip_decodes_by_offsets(spark, monkeypatch, window):
+    monkeypatch.setattr(byte_bpe, "WINDOW", window)
+    texts = [None, "", "naïve 🙂 words", "a" * 500, "one two  three\n\n4567", "é" * 40]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in byte_bpe.round_trip(df, RANKS, ids=True).collect()}
+    names = {i: b for b, i in RANKS.items()}
+    for k, text in enumerate(texts):
+        data, at = (text or "").encode(), [0]
+        for i in found[k]["token_ids"]:
+            assert data[at[-1]:at[-1] + len(names[i])] == names[i]
+            at.append(at[-1] + len(names[i]))
+        assert found[k]["decoded_sha256"] == hashlib.sha256(data).hexdigest() and at[-1] == len(data)
+        assert found[k]["offsets_sha256"] == hashlib.sha256(b"".join(x.to_bytes(8, "little") for x in at)).hexdigest()
+
+
 def test_offsets_column(spark):
     df = spark.createDataFrame([(1, "naïve words"), (2, None), (3, "")], "doc_id long, text string")
     for r in byte_bpe.encode(df, RANKS, offsets=True).collect():

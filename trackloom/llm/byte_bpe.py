@@ -217,14 +217,23 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> Da
     return mapped(df, run, schema)
 
 
+#: Bytes that are decoded at a time by the offsets of their tokens.
+WINDOW = 1 << 16
+
+
 def round_trip(df: DataFrame, ranks: dict[bytes, int], text: str = "text", ids: bool = False) -> DataFrame:
-    """df with n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the bytes
-    decoded from these ids), and with token_ids if asked for, in one pass."""
+    """df with n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256 (of the bytes decoded from
+    these ids, window by window, each through the offsets of the tokens that reach into it) and offsets_sha256 (of
+    the offsets at which tokens begin, and the end, eight bytes each, low byte first), and with token_ids if asked
+    for, in one pass.  A null text counts as empty: no ids, one offset."""
     def rows(codec: Codec, texts: list[str]):
         for own in codec.encode_batch(texts):
-            digests = (len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(),
-                       hashlib.sha256(codec.decode(own)).hexdigest())
+            offsets, decoded = codec.offsets(own), hashlib.sha256()
+            for begin in range(0, int(offsets[-1]), WINDOW):
+                decoded.update(codec.decode_range(own, offsets, begin, begin + WINDOW))
+            digests = (len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), decoded.hexdigest(),
+                       hashlib.sha256(offsets.astype("<i8").tobytes()).hexdigest())
             yield (*digests, own) if ids else digests
 
-    added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("offsets_sha256", T.StringType())]
     return _appended(df, text, ranks, [*added, ("token_ids", T.ArrayType(T.IntegerType()))] if ids else added, rows)
