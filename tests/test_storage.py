@@ -17,10 +17,10 @@ def planes_folder(folder, frames=20, keys=(0, 6, 12), wrong=None):
     folder.mkdir()
     record = 8 + 6
     (folder / "planes.bin").write_bytes(b"".join(struct.pack("<q", f) + bytes([f] * 6) for f in range(frames)))
-    offsets = [[k, k * record] for k in keys]
+    offsets = [[k, k * record, "planes.bin"] for k in keys]
     for k, offset in (wrong or {}).items():
         offsets[k][1] = offset
-    (folder / "index.json").write_text(json.dumps({"width": 3, "height": 2, "frames": frames, "keys": offsets}))
+    (folder / "index.json").write_text(json.dumps({"size": 6, "frames": frames, "keys": offsets}))
     return str(folder)
 
 
@@ -33,7 +33,7 @@ def test_ranges_open_only_their_intervals(spark, tmp_path):
     assert some.rdd.getNumPartitions() == 1 and sorted(r["frame"] for r in some.collect()) == [7, 8, 9, 10, 11]
     reader = planes.PlaneReader(folder)
     assert list(reader.pushFilters([planes.GreaterThan(("frame",), 11), planes.LessThanOrEqual(("frame",), 13)])) == []
-    assert [(i.first, i.last, i.key, i.offset) for i in reader.partitions()] == [(12, 13, 12, 12 * 14)]
+    assert [(i.first, i.last, i.offset) for i in reader.partitions()] == [(12, 13, 12 * 14)]
     assert whole.filter("frame = 40").collect() == [] and [r["frame"] for r in whole.filter("frame = 13 AND length(luma) = 6").collect()] == [13]
 
 
@@ -46,7 +46,7 @@ def test_an_index_that_overshoots_falls_back_to_the_start(spark, tmp_path):
 
 
 def frames_of(folder):
-    data = b"".join(p.read_bytes() for p in sorted(folder.iterdir()))
+    data = b"".join(p.read_bytes() for p in sorted(folder.glob("*.bin")))
     return [struct.unpack_from("<q", data, k)[0] for k in range(0, len(data), 14)]
 
 
@@ -56,6 +56,8 @@ def test_clips_overlap_and_appear_together(spark, tmp_path):
     planes.write_clips(frames, str(tmp_path), clips)
     assert {n: frames_of(tmp_path / n) for n, _, _ in clips} == {n: [f for f in range(50) if a <= f <= b] for n, a, b in clips}
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "c", "none"]
+    for name, a, b in clips:
+        assert sorted(r["frame"] for r in planes.read_planes(spark, str(tmp_path / name)).filter("frame <= 22").collect()) == [f for f in range(50) if a <= f <= min(b, 22)]
     with pytest.raises(Exception, match="there already"):
         planes.write_clips(frames, str(tmp_path), [("d", 0, 5), ("a", 0, 1)])
     assert not (tmp_path / "d").exists()

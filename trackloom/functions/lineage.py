@@ -6,16 +6,15 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared checkpoint folder: later jobs read it, whatever executors are lost.
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared checkpoint folder (see cut).
 
     The folder is the one that the cluster names in spark.checkpoint.dir; where that is unset, a session on one
     machine, as in tests, takes a temporary folder, and a session on a cluster is an error.
     """
-    spark = df.sparkSession
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,7 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = f"{folder.get()}/tables/{uuid.uuid4().hex}"
+    return f"{folder.get()}/tables/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared checkpoint folder: later jobs read it, whatever executors are lost."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.cut_path = path

@@ -7,11 +7,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import detect_queries, ledger_queries, match_queries, plane_queries, render_queries, rule_queries, time_queries, track_queries
+from trackloom.plans import detect_queries, ledger_queries, match_queries, plane_queries, render_queries, rule_queries, storage_queries, time_queries, track_queries
 from trackloom.plans.adapters import table
 
 FLAGSHIP = "j04_excluded_detections"
-MODULES = (time_queries, track_queries, match_queries, ledger_queries, plane_queries, render_queries, detect_queries, rule_queries)
+MODULES = (time_queries, track_queries, match_queries, ledger_queries, plane_queries, render_queries, detect_queries, rule_queries, storage_queries)
 
 
 class Tables:

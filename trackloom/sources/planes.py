@@ -1,7 +1,8 @@
 """Uncompressed planes in files: a data source of frames by ranges, and a writer of clips with a two-phase commit.
 
-A video is a folder with planes.bin, records of one frame each (its number as eight bytes, low byte first, then
-width x height bytes), and index.json: width, height, frames and keys, the places of key frames as [frame, offset].
+A video is a folder with files of records, one a frame (its number as eight bytes, low byte first, then the bytes of its
+plane), and index.json: size (bytes of a plane), frames (one more than the last number) and keys, the places of key
+frames as [frame, offset, file].
 Folders are opened through pyarrow's file systems, so that any store that it knows will do; on a cluster that is
 one which all executors share.
 """
@@ -33,12 +34,12 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Interval(InputPartition):
-    """Frames first to last (inclusive), of which key is the key frame at or before the first and offset its place."""
+    """Frames first to last (inclusive), after the key frame that stands at an offset of a file."""
 
     first: int
     last: int
-    key: int
     offset: int
+    file: str
 
 
 class PlaneReader(DataSourceReader):
@@ -62,25 +63,26 @@ class PlaneReader(DataSourceReader):
                 self.high = min(self.high, f.value + bounds[1])
 
     def partitions(self) -> list[Interval]:
-        keys = sorted(map(tuple, self.index["keys"])) or [(0, 0)]
-        if keys[0][0] > 0:
-            keys = [(0, 0), *keys]
-        ends = [*(k for k, _ in keys[1:]), self.index["frames"]]
-        out = [Interval(max(key, self.low), min(end - 1, self.high), key, offset) for (key, offset), end in zip(keys, ends)]
+        keys = sorted((frame, offset, file) for frame, offset, file in self.index["keys"])
+        ends = [*(k[0] for k in keys[1:]), self.index["frames"]]
+        # what stands before the first key frame is read from the start of its file
+        begins = [0, *(k[0] for k in keys[1:])]
+        out = [Interval(max(begin, self.low), min(end - 1, self.high), offset if begin == key else 0, file)
+               for (key, offset, file), begin, end in zip(keys, begins, ends)]
         # at least one, which may be empty
-        return [i for i in out if i.first <= i.last] or [Interval(0, -1, 0, 0)]
+        return [i for i in out if i.first <= i.last] or [Interval(0, -1, 0, "")]
 
     def read(self, partition: Interval) -> Iterator[pa.RecordBatch]:
         if partition.first > partition.last:
             return
         store, folder = opened(self.path)
-        with store.open_input_file(f"{folder}/planes.bin") as file:
+        with store.open_input_file(f"{folder}/{partition.file}") as file:
             yield from self.walked(file, partition, partition.offset)
 
     def walked(self, file, span: Interval, offset: int) -> Iterator[pa.RecordBatch]:
-        """Records from an offset on; an index that leads beyond the first frame wanted is not followed, but the file
-        is read from its start."""
-        size = self.index["width"] * self.index["height"]
+        """Records from an offset on; an index that leads beyond the first frame wanted is not followed, but its file
+        is read from the start."""
+        size = self.index["size"]
         file.seek(offset)
         landed = None
         while head := file.read(HEAD.size):
@@ -101,13 +103,14 @@ class PlaneReader(DataSourceReader):
 
 @dataclass
 class Part(WriterCommitMessage):
-    """What a task has written: staged files by clip."""
+    """What a task has written: by clip its staged file, the first and the last frame and the bytes of a plane."""
 
     files: dict
 
 
 class ClipWriter(DataSourceWriter):
-    """One pass over frames into clips that may overlap: a frame goes to each clip whose range holds it.
+    """One pass over frames into clips that may overlap: a frame goes to each clip whose range holds it.  A clip is a
+    folder that read_planes reads; each of its files begins with what counts as a key frame.
 
     Tasks write files below a hidden folder of their own run.  When all of them have ended well, each clip's folder is
     renamed into place; a clip that is there already is refused, before anything is written and again before the
@@ -138,8 +141,11 @@ class ClipWriter(DataSourceWriter):
                     if name not in streams:
                         where = f"{folder}/{self.staging}/{name}"
                         store.create_dir(where, recursive=True)
-                        files[name] = f"{frame:020d}-{uuid.uuid4().hex}.bin"
-                        streams[name] = store.open_output_stream(f"{where}/{files[name]}")
+                        files[name] = [f"{frame:020d}-{uuid.uuid4().hex}.bin", frame, frame, len(luma)]
+                        streams[name] = store.open_output_stream(f"{where}/{files[name][0]}")
+                    if len(luma) != files[name][3]:
+                        raise ValueError(f"{name}: planes of different sizes")
+                    files[name][2] = frame
                     streams[name].write(HEAD.pack(frame) + luma)
         finally:
             for stream in streams.values():
@@ -149,7 +155,7 @@ class ClipWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         self.refuse()
         store, folder = opened(self.path)
-        kept = {name: {m.files[name] for m in messages if m and name in m.files} for _, _, name in self.clips}
+        kept = {name: {m.files[name][0]: m.files[name] for m in messages if m and name in m.files} for _, _, name in self.clips}
         for name, files in kept.items():
             staged = f"{folder}/{self.staging}/{name}"
             store.create_dir(staged, recursive=True)
@@ -157,6 +163,10 @@ class ClipWriter(DataSourceWriter):
                 # of an attempt that did not count
                 if info.base_name not in files:
                     store.delete_file(info.path)
+            index = {"size": max((f[3] for f in files.values()), default=0), "frames": max((f[2] + 1 for f in files.values()), default=0),
+                     "keys": [[first, 0, file] for file, first, _, _ in sorted(files.values())]}
+            with store.open_output_stream(f"{staged}/index.json") as out:
+                out.write(json.dumps(index).encode())
             store.move(staged, f"{folder}/{name}")
         store.delete_dir(f"{folder}/{self.staging}")
 
