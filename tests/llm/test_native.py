@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackloom.llm import frames, kd_shards, mixing, one_permutation, personal_data, reply_trees
@@ -103,6 +104,26 @@ def test_target_bytes_set_the_depth(spark):
         assert out.select("shard").distinct().count() == leaves
 
 
+@pytest.mark.parametrize(("planned", "leaves"), [(1024, 5), (0, 4)])
+def test_splits_in_tables(spark, monkeypatch, planned, leaves):
+    """Any number of leaves, with hot values, ids at both ends of long, nulls and repeated rows."""
+    monkeypatch.setattr(kd_shards, "PLANNED", planned)
+    draw = random.Random(8)
+    rows = [(draw.choice([-2**63, 2**63 - 1, 5, 5, 5, draw.randint(-2**63, 2**63 - 1)]), i % 7 or None, draw.choice([1, 5, 90]), i) for i in range(3000)]
+    rows += [(5, 1, 90, 7)] * 5
+    df = spark.createDataFrame(rows, "wide long, few long, bytes long, id long")
+    out = rows_of(kd_shards.shard(df, F.col("bytes"), F.col("id"), {"wide": F.col("wide"), "few": F.col("few")}, leaves, ["wide", "few", "id"]))
+    assert len(out) == len(rows)
+    sums = [sum(r["size"] for r in out if r["shard"] == s) for s in range(leaves)]
+    assert max(sums) - min(sums) <= 5 * 90 + 3 * 2 * 90
+    for s in range(leaves):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    places = {}
+    for r in out:
+        places.setdefault((r["wide"], r["few"], r["id"], r["size"]), set()).add(r["shard"])
+    assert all(len(p) == 1 for p in places.values())
+
+
 def test_splits_are_weighted_medians(spark):
     draw = random.Random(4)
     rows = [(draw.choice([1, 3, 9]), draw.randrange(1 << 20), draw.randrange(50), draw.randrange(10 ** 12)) for _ in range(2000)]

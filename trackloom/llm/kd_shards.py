@@ -2,8 +2,9 @@
 
 Every node splits its rows at the weighted median of its widest dimension until the leaves hold the
 target bytes.  The medians of all nodes of a level are found together: rows are counted into bins of
-the node's range, the bin that holds the median becomes the next range, and so on; per pass the
-driver gets one row per node.  Where many rows share the median value, a hash of the row
+the node's range, the bin that holds the median becomes the next range, and so on.  Up to PLANNED
+leaves the driver gets one row per node and pass and the splits are part of the plan; beyond, nodes,
+ranges and splits are tables (deep).  Where many rows share the median value, a hash of the row
 orders them, so that one value may hold any part of the rows.
 """
 
@@ -15,11 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.lineage import dropped
 from trackloom.llm.frames import cut, fresh, ranked
 
 #: Bins of a range in one pass over the rows.
 BINS = 2048
 LARGEST = 2**63 - 1
+#: Leaves up to which the splits are literals of one plan; more, and other numbers than powers of two, are tables.
+PLANNED = 1024
 
 
 def coded(value: Column) -> Column:
@@ -156,12 +160,91 @@ def tree(rows: DataFrame, dimensions: list[str], leaves: int, tolerance: float =
     return (place(splits, 1, depth) - leaves).cast("int"), splits
 
 
+def _open(level: int, nodes: DataFrame) -> DataFrame:
+    """A table of a row a node, broadcast while a level has few of them; later nodes are many and of like size, so that
+    a join dealt by node has no hot key."""
+    return F.broadcast(nodes) if 1 << level <= PLANNED else nodes
+
+
+def _narrowed(level: int, rows: DataFrame, state: DataFrame, small: float, wide: bool) -> DataFrame:
+    """_narrow for nodes in a table: node, value, at and weight of each row of state (node, lo, hi, before, goal);
+    rows: node, size, measure.  Each pass is written; what is open is joined again."""
+    done, open_ = None, cut(state.select("node", "lo", "hi", F.col("before").cast("double").alias("before"), F.col("goal").cast("double").alias("goal")))
+    number = (lambda c: f"cast({c} as decimal(20, 0))") if wide else (lambda c: c)
+    step = f"cast(greatest(1, ({number('hi')} - {number('lo')} + {BINS}) div {BINS}) as bigint)"
+    while not open_.isEmpty():
+        met = rows.join(_open(level, open_.withColumn("step", F.expr(step))), "node").filter(F.col("measure").between(F.col("lo"), F.col("hi")))
+        counts = met.groupBy("node", F.expr(f"cast(({number('measure')} - {number('lo')}) div step as bigint)").alias("bin")).agg(F.sum("size").alias("bytes"))
+        # at most BINS rows a node meet here
+        along = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counts.withColumn("upto", F.sum("bytes").over(along)).join(_open(level, open_.select("node", "before", "goal")), "node")
+        one = F.struct("bin", "upto", "bytes")
+        reached = placed.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("before") + F.col("upto") >= F.col("goal"), one)), F.max(one)).alias("one"))
+        state = open_.join(reached, "node", "left").withColumn("step", F.expr(step)).selectExpr(
+            "*", "before + coalesce(one.upto - one.bytes, 0) as at", "coalesce(one.bytes, 0) as weight",
+            f"cast({number('lo')} + coalesce(one.bin, 0) * {number('step')} as bigint) as first",
+            f"cast(least({number('hi')}, {number('lo')} + (coalesce(one.bin, 0) + 1) * {number('step')} - 1) as bigint) as last")
+        single = F.col("one").isNull() | (F.col("step") == 1) | ((F.col("weight") <= small) & (F.col("last") == LARGEST))
+        low = F.col("at") + F.col("weight") / 2 >= F.col("goal")
+        state = cut(state.withColumn("single", single).withColumn("closed", single | (F.col("weight") <= small)).withColumn("low", low))
+        ended = state.filter("closed").select(
+            "node", F.expr("case when one is null then lo when single then last when low then first else last + 1 end").alias("value"),
+            F.expr("case when single or low then at else at + weight end").alias("at"), F.expr("case when single then weight else 0 end").alias("weight"))
+        done = ended if done is None else done.unionByName(ended)
+        open_ = cut(state.filter("not closed").select("node", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("at").alias("before"), "goal"))
+    return done if done is not None else state.selectExpr("node", "lo as value", "before as at", "0 as weight")
+
+
+def deep(rows: DataFrame, dimensions: list[str], leaves: int, tolerance: float = 1e-4) -> DataFrame:
+    """rows with shard: the leaf of each row in a tree of any number of leaves, whose splits are tables.
+
+    A node of n leaves is split at ceil(n / 2) / n of its bytes, so that the leaves need not be a power of two.  Rows
+    carry their node and are written once a level; neither the plan nor the driver grows with the nodes.
+    """
+    whole = rows.agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in dimensions for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    if whole["bytes"] is None:
+        return rows.withColumn("shard", F.lit(0))
+    spread = {d: max(1, whole[f"hi_{d}"] - whole[f"lo_{d}"]) for d in dimensions}
+    small, wide = tolerance * int(whole["bytes"]) / leaves, any(v >= LARGEST for v in spread.values())
+    own = cut(rows.select("*", F.lit(0).cast("bigint").alias("node"), F.lit(leaves).cast("bigint").alias("count")))
+    for level in range((leaves - 1).bit_length()):
+        active = own.filter("count > 1")
+        stats = active.groupBy("node").agg(F.first("count").alias("count"), F.sum("size").alias("bytes"), *(
+            f(d).alias(f"{n}_{d}") for d in dimensions for n, f in (("lo", F.min), ("hi", F.max))))
+        widths = F.array(*((F.col(f"hi_{d}").cast("double") - F.col(f"lo_{d}").cast("double")) / float(spread[d]) for d in dimensions))
+        of = lambda n: F.get(F.array(*(F.col(f"{n}_{d}") for d in dimensions)), F.col("widest"))
+        half = F.expr("(count + 1) div 2")
+        nodes = cut(stats.withColumn("widest", (F.array_position(widths, F.array_max(widths)) - 1).cast("int")).select(
+            "node", "count", "widest", half.alias("half"), of("lo").alias("lo"), of("hi").alias("hi"), F.lit(0.0).alias("before"), (F.col("bytes") * half / F.col("count")).alias("goal")))
+        measured = active.join(_open(level, nodes.select("node", "widest")), "node").select(
+            "node", "size", "tie", F.get(F.array(*map(F.col, dimensions)), F.col("widest")).alias("measure"))
+        found = cut(_narrowed(level, measured, nodes, small, wide))
+        tied = found.filter(F.col("weight") > small)
+        at_value = measured.join(_open(level, tied.select("node", "value")), "node").filter("measure = value").select("node", "size", F.col("tie").alias("measure"))
+        ties = _narrowed(level, at_value, tied.join(nodes.select("node", "goal"), "node").select(
+            "node", F.lit(0).cast("bigint").alias("lo"), F.lit(2**31 - 1).cast("bigint").alias("hi"), F.col("at").alias("before"), "goal"), small, False)
+        nearer = lambda at, weight: F.abs(F.col(at) + F.col(weight) - F.col("goal")) < F.abs(F.col(at) - F.col("goal"))
+        # a single tie, or value, goes where it leaves the parts nearer to their goals
+        splits = cut(found.join(nodes, "node").join(ties.select("node", F.col("value").alias("tie_value"), F.col("at").alias("tie_at"), F.col("weight").alias("tie_weight")), "node", "left").select(
+            "node", "widest", "half", "value", F.when(F.col("tie_value").isNotNull(), F.col("tie_value") + nearer("tie_at", "tie_weight").cast("int")).otherwise(
+                F.when(nearer("at", "weight"), 2**31).otherwise(0)).alias("cut_tie")))
+        met = own.join(_open(level, splits), "node", "left")
+        measure = F.get(F.array(*map(F.col, dimensions)), F.col("widest"))
+        left = (measure < F.col("value")) | ((measure == F.col("value")) & (F.col("tie") < F.col("cut_tie")))
+        after = cut(met.select(*rows.columns, F.when(F.col("half").isNull() | left, F.col("node")).otherwise(F.col("node") + F.col("half")).alias("node"),
+                               F.when(F.col("half").isNull(), F.col("count")).when(left, F.col("half")).otherwise(F.col("count") - F.col("half")).alias("count")))
+        dropped(own)
+        own = after
+    return own.withColumn("shard", F.col("node").cast("int")).drop("node", "count")
+
+
 def shard(df: DataFrame, size: Column, row_id: Column, dimensions: dict[str, Column], leaves: int | None = 16,
           keep: list[str] = (), splits: int = 64, target_bytes: int | None = None) -> DataFrame:
     """The columns of keep with size, shard (0 to leaves - 1) and slot (from 0 in the shard, without gaps).
 
-    With target_bytes instead of leaves, nodes are split until none holds more than that.  keep should be narrow: its columns are written once to the checkpoint folder, from which all passes
-    read.  Sizes must be positive for the bytes to be balanced.  A null size counts as 0, a null
+    With target_bytes instead of leaves, nodes are split at their medians until none holds more than that.  Any number
+    of leaves will do (see deep).  keep should be narrow: its columns are written once to the checkpoint folder, from
+    which all passes read.  Sizes must be positive for the bytes to be balanced.  A null size counts as 0, a null
     dimension as -1 and a null id as 0.  Among rows of one value a hash of id and coordinates decides, so
     repeated rows fall into one shard; an empty table gives no rows.
     """
@@ -176,9 +259,12 @@ def shard(df: DataFrame, size: Column, row_id: Column, dimensions: dict[str, Col
     if target_bytes is not None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         leaves = 1 << max(0, (-(-total // target_bytes) - 1).bit_length())
-    leaf, _ = tree(rows, list(names.values()), leaves)
-    placed = rows.select("kept", "size", "id", "tie", leaf.alias("shard"),
-                         F.pmod(F.col("tie"), F.lit(splits)).alias("split"))
+    if leaves <= PLANNED and not leaves & (leaves - 1):
+        leaf, _ = tree(rows, list(names.values()), leaves)
+        sharded = rows.withColumn("shard", leaf)
+    else:
+        sharded = deep(rows, list(names.values()), leaves)
+    placed = sharded.select("kept", "size", "id", "tie", "shard", F.pmod(F.col("tie"), F.lit(splits)).alias("split"))
     out = ranked(placed, ["shard"], "split", ["id", "tie", "size"], "slot")
     size_, shard_, slot_ = fresh(list(keep), "size", "shard", "slot")
     return out.select(*(F.col("kept")[c].alias(c) for c in keep), F.col("size").alias(size_),
