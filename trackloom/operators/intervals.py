@@ -99,6 +99,11 @@ def inside(rows: DataFrame, spans: DataFrame, keys: list[str], frame: str = "fra
     return there.unionByName(_met(rest, short, keys, frame, "left_semi")).drop("block")
 
 
+def parted(rows: DataFrame, spans: DataFrame, keys: list[str], frame: str = "frame") -> tuple[DataFrame, DataFrame]:
+    """Rows whose frame a span of their key covers, and the others; every row is in one of the two."""
+    return inside(rows, spans, keys, frame), outside(rows, spans, keys, frame)
+
+
 def containing(rows: DataFrame, spans: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
     """Rows with each span that contains their frame (columns of both; a row may meet several spans)."""
     short, dealt, levels = long_spans(spans, keys)

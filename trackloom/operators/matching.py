@@ -86,6 +86,12 @@ def greedy_rounds(pairs: DataFrame, keys: list[str], order: list[str], left: str
     return folded if taken is None else every.join(taken, [*keys, left, right], "left_semi").select(rest.columns).unionByName(folded)
 
 
+def nearest(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """For each row of a (see near_pairs) the nearest row of b within the radius, of equally near ones that of the least
+    id: keys, a_id, b_id, d; rows without one are left out."""
+    return near_pairs(a, b, keys, radius).groupBy(*keys, "a_id").agg(F.min(F.struct("d", "b_id")).alias("one")).select(*keys, "a_id", "one.b_id", "one.d")
+
+
 def matched_detections(reference: DataFrame, current: DataFrame, bound: float = 3.0) -> DataFrame:
     """Per video and frame the greedy matches below the bound: video, frame, a_id, b_id, d.
 

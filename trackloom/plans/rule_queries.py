@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import keys
+from trackloom.functions import keys, text
 from trackloom.functions.lineage import cut
-from trackloom.operators import evaluation, golden, ledger, matching, planes, rendering, timeline
+from trackloom.operators import evaluation, golden, intervals, ledger, matching, planes, rendering, timeline
 from trackloom.plans.adapters import oracle
 from trackloom.plans.ledger_queries import TARGET_RESULTS, _hits, _seen
 from trackloom.plans.match_queries import ASSIGNED, _targets
@@ -152,7 +152,47 @@ KEYS = f"""
   SELECT frame, lpad(lower(hex(CAST(h AS UBIGINT))), 16, '0') AS key FROM r WHERE k = 9"""
 
 
+def _parted(t):
+    a, b = intervals.parted(t("detections"), t("spans"), ["video"])
+    return a.select("det_idx", F.lit("inside").alias("part")).unionByName(b.select("det_idx", F.lit("outside").alias("part")))
+
+
+def _nearest(t):
+    a = t("detections").select("video", "frame", F.col("det_idx").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = t("candidates").select("video", "frame", F.col("det_idx").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return matching.nearest(a, b, ["video", "frame"], 120.0).withColumn("d", F.round("d", 6))
+
+
+def _curves(t):
+    k, p = F.col("c_custkey"), F.col("c_nationkey")
+    length = rendering.bezier_length((k % 700 + 0.0, k % 500 + 0.0), (k % 1300 + 0.5, p * 30 + 0.0), (F.lit(1440.0), k % 900 + 0.25))
+    return t("customer").select("c_custkey", F.round(length, 4).alias("length"))
+
+
 QUERIES = {
+    "b06_covered_blocks": (lambda t: t("orders").select("o_orderkey", rendering.block_covered(F.col("o_orderkey") % 15 * 64, F.col("o_orderkey") % 15 * 64 + 63, F.array(*(
+        F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")) for a, b in ((0, 128), (200, 420), (640, 960))))).alias("covered")), """
+        SELECT o_orderkey, b + 63 < 128 OR (b >= 200 AND b + 63 < 420) OR (b >= 640 AND b + 63 < 960) AS covered FROM (SELECT o_orderkey, o_orderkey % 15 * 64 AS b FROM orders) o"""),
+    "f12_points_text": (lambda t: t("scene_points").groupBy("video", "track").agg(F.array_sort(F.collect_list(F.struct("frame", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y")))).alias("p")).select(
+        "video", "track", text.points_text(F.col("p")).alias("points")), """
+        SELECT video, track, string_agg(p, ' ' ORDER BY frame) AS points FROM (SELECT *, lag(p) OVER (PARTITION BY video, track ORDER BY frame) AS q FROM (
+          SELECT video, track, frame, CAST(round(x / 8) AS BIGINT) || ',' || CAST(round(y / 8) AS BIGINT) AS p FROM scene_points) a) b WHERE q IS DISTINCT FROM p GROUP BY video, track"""),
+    "f17_curve_lengths": (_curves, """
+        SELECT c_custkey, round(sum(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2))), 4) AS length FROM (
+          SELECT c_custkey, (1 - s) * (1 - s) * ax + 2 * (1 - s) * s * bx + s * s * 1440 AS x0, (1 - s) * (1 - s) * ay + 2 * (1 - s) * s * "by" + s * s * cy AS y0,
+                 (1 - e) * (1 - e) * ax + 2 * (1 - e) * e * bx + e * e * 1440 AS x1, (1 - e) * (1 - e) * ay + 2 * (1 - e) * e * "by" + e * e * cy AS y1 FROM (
+            SELECT c_custkey, CAST(c_custkey % 700 AS DOUBLE) AS ax, CAST(c_custkey % 500 AS DOUBLE) AS ay, c_custkey % 1300 + 0.5::DOUBLE AS bx, CAST(c_nationkey * 30 AS DOUBLE) AS "by", c_custkey % 900 + 0.25::DOUBLE AS cy,
+                   CAST(k - 1 AS DOUBLE) / 64 AS s, CAST(k AS DOUBLE) / 64 AS e FROM customer, range(1, 65) r(k)) p) q GROUP BY c_custkey"""),
+    "f23_regions": (lambda t: t("lineitem").select("l_orderkey", "l_linenumber", text.region(F.concat_ws(",", F.col("l_orderkey") % 10, F.concat(F.lit(" "), F.col("l_partkey") % 7), F.when(
+        F.col("l_linenumber") == 3, "x").otherwise("0.5"), F.when(F.col("l_linenumber") != 5, "1"))).alias("r")).select("l_orderkey", "l_linenumber", *(F.get("r", F.lit(k)).alias(f"r{k}") for k in range(4))), """
+        SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN CAST(l_orderkey % 10 AS DOUBLE) END AS r0, CASE WHEN ok THEN CAST(l_partkey % 7 AS DOUBLE) END AS r1, CASE WHEN ok THEN 0.5::DOUBLE END AS r2,
+               CASE WHEN ok THEN 1::DOUBLE END AS r3 FROM (SELECT *, l_linenumber NOT IN (3, 5) AS ok FROM lineitem) l"""),
+    "k05_nearest_by_key": (_nearest, """
+        SELECT video, frame, a_id, b_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY video, frame, a_id ORDER BY d, b_id) AS rn FROM (
+          SELECT a.video, a.frame, a.det_idx AS a_id, b.det_idx AS b_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM detections a JOIN candidates b ON a.video = b.video AND a.frame = b.frame) p
+          WHERE d <= 120) q WHERE rn = 1"""),
+    "u05_parts": (_parted, """
+        SELECT det_idx, CASE WHEN EXISTS (SELECT 1 FROM spans s WHERE s.video = d.video AND d.frame BETWEEN s.first AND s.last) THEN 'inside' ELSE 'outside' END AS part FROM detections d"""),
     "p10_plane_keys": (lambda t: planes.luma_of(t("planes")).select("frame", keys.plane_keys(F.lit(8), F.lit(8), "luma").alias("key")), KEYS),
     "g15_compared_runs": (_compared, COMPARED),
     "g03_edge_damage": (lambda t: timeline.damaged_spans(cut(t("frames")), HALF, t("announced")), EDGES),
