@@ -96,6 +96,16 @@ def test_zones_are_those_of_whole_pages(spark):
     assert {tuple(r) for r in registry.queries()["g28_merged_zones"](spark, folder).collect()} == expected
 
 
+def sampled_path(path, step):
+    """Spots every so far along a path (points x 2) and at its end."""
+    reached = np.append(0.0, np.cumsum(np.hypot(*np.diff(path, axis=0).T))) if len(path) > 1 else np.zeros(1)
+    at = np.arange(0, max(1, math.ceil(reached[-1] / step))) * step
+    at = np.append(at[at < reached[-1]], reached[-1])
+    spots = np.stack([np.interp(at, reached, path[:, c]) for c in (0, 1)], axis=1)
+    spots[-1] = path[-1]
+    return spots
+
+
 def test_colours_are_those_of_the_plain_rule(spark):
     draw = random.Random(3)
     rows = [(page, path, f, draw.uniform(0, 300) + 2 * f, draw.uniform(0, 300)) for page in range(3) for path in range(25) for f in range(draw.randint(1, 4))]
@@ -105,7 +115,7 @@ def test_colours_are_those_of_the_plain_rule(spark):
         for p, path, _, x, y in rows:
             if p == page:
                 paths.setdefault(path, []).append((x, y))
-        spots = {k: rendering.sampled_path(np.array(v), 5.0)[0] for k, v in paths.items()}
+        spots = {k: sampled_path(np.array(v), 5.0) for k, v in paths.items()}
         done = {}
         for path in sorted(paths):
             near = [done[o] for o in done if np.hypot(*(spots[path][:, None] - spots[o][None]).transpose(2, 0, 1)).min() < 20]

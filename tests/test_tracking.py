@@ -230,15 +230,16 @@ def test_rejoining_rules(spark):
 def test_stream_of_windows_is_that_of_the_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from trackloom.operators import planes
+    from trackloom.operators import dense, planes
     from trackloom.streaming.lookahead import stream_windows
 
     draw = random.Random(5)
     data = [[draw.randint(0, 255) for _ in range(6)] for _ in range(23)]
     flat = spark.createDataFrame([(f, k, v) for f, plane in enumerate(data) for k, v in enumerate(plane)], "frame long, pixel int, value int")
     windows = planes.sampled(flat.select("frame").distinct(), 5, 2)
-    expected = {r["frame"]: (round(r["gain"], 9), r["background"]) for r in planes.gains(flat, windows).join(planes.backgrounds(flat, windows).groupBy("frame").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pixel", "background"))), lambda s: s["background"]).alias("background")), "frame").collect()}
+    medians = dense.backgrounds(dense.packed(flat), 5, 2).groupBy("frame").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pixel", "background"))), lambda s: s["background"]).alias("background"))
+    expected = {r["frame"]: (round(r["gain"], 9), r["background"]) for r in planes.gains(flat, windows).join(medians, "frame").collect()}
     kind, source = "video long, frame long, plane array<int>, ended boolean", str(tmp_path / "in")
     for part, (lo, hi) in enumerate(((0, 4), (4, 15), (15, 23))):
         own = [(1, f, data[f], False) for f in range(lo, hi)] + ([(1, None, None, True)] if hi == 23 else [])
