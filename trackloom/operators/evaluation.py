@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z = 1.96
+#: Regions that are broadcast; more are refused.
+MOST_REGIONS = 1000
 
 
 def wilson(found: Column, n: Column) -> tuple[Column, Column]:
@@ -25,7 +27,9 @@ def visible(points: DataFrame, sigma: Column, width: float, height: float, least
 
 
 def outside_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """Points in no region (x0, y0, x1, y1); regions are a handful of settings, and as such broadcast."""
+    """Points in no region (x0, y0, x1, y1); regions are settings, at most MOST_REGIONS, and as such broadcast."""
+    if regions.limit(MOST_REGIONS + 1).count() > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions")
     hit = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     return points.join(F.broadcast(regions), hit, "left_anti")
 

@@ -36,11 +36,11 @@ def region_pixels(low: Column, high: Column, size: int, margin: int = 0) -> tupl
 
 
 def masked(planes: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """planes without the pixels in spans (row, first, last; last is not in it); spans are settings, broadcast."""
+    """planes without the pixels in spans (row, first, last; last is not in it): an equi-join by row, then the range."""
     row, column = F.expr(f"pixel div {width}"), F.expr(f"pixel % {width}")
     rows = planes.withColumn("at_row", row).withColumn("at_column", column)
     hit = (F.col("at_row") == F.col("row")) & (F.col("at_column") >= F.col("first")) & (F.col("at_column") < F.col("last"))
-    return rows.join(F.broadcast(spans), hit, "left_anti").drop("at_row", "at_column")
+    return rows.join(spans, hit, "left_anti").drop("at_row", "at_column")
 
 
 def axis_weights(source: int, work: int) -> list[tuple[int, int, int]]:
