@@ -58,7 +58,8 @@ FOUND = f"""
   found AS (SELECT CAST(0 AS BIGINT) AS video, frame, (frame << 20) + row_number() OVER (PARTITION BY frame ORDER BY kind, label) - 1 AS det_idx, x, y, "left", top, width, height, area, amplitude,
     CASE WHEN strong THEN 'strong' ELSE 'weak' END AS strength FROM blobs WHERE (kind = 0 OR NOT strong) AND area BETWEEN {SETTINGS.min_area} AND {SETTINGS.max_area})"""
 ROUNDED = ("x", "y", "amplitude")
-OUT = "video, frame, det_idx, round(x, 6) AS x, round(y, 6) AS y, \"left\", top, width, height, area, round(amplitude, 6) AS amplitude, strength"
+OUT = ("video, frame, det_idx, round(x, 6) AS x, round(y, 6) AS y, " + ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in ("left", "top", "width", "height", "area"))
+       + ", round(amplitude, 6) AS amplitude, strength")
 
 
 def _rounded(df):
