@@ -54,7 +54,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, with digests of the ids and of the bytes decoded from them."""
+    """Token ids of each document of the mix, with digests of the ids and of the bytes decoded from them; rows, repeated
+    ones too, pass one to one, a null text has no ids, an empty table stays empty."""
     ranks = byte_bpe.read_ranks(BYTE_RANKS)
     coded = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), ranks, ids=True)
     return coded.select("doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
