@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from trackloom.operators import intervals, matching
+from trackloom.operators import intervals, matching, timeline
 
 
 def test_long_spans_are_few_rows(spark):
@@ -45,3 +47,24 @@ def test_rounds_take_what_the_order_takes(spark, monkeypatch, few):
     df = spark.createDataFrame(pairs, "video long, d long, a_id long, b_id long")
     got = [tuple(r) for r in matching.greedy_rounds(df, ["video"], ["d", "a_id", "b_id"], "a_id", "b_id").collect()]
     assert set(got) == expected and len(got) == len(expected)
+
+
+def shrinks(df) -> bool:
+    """Whether a window goes from a row to the end of its key: it is worked out anew for each row."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return bool(re.search(r"specifiedwindowframe\(\w+, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan))
+
+
+def test_until_next_key_of_long_videos(spark):
+    n = 60_000
+    frames = spark.range(n).select(F.lit(0).cast("long").alias("video"), F.col("id").alias("frame"), (F.col("id") % 15 == 0).alias("key_frame"))
+    until = timeline.until_next_key(frames)
+    assert not shrinks(until)
+    assert {(r["frame"], r["until"]) for r in until.filter("frame IN (0, 14, 15, 59984, 59985, 59999)").collect()} == {
+        (0, 14), (14, 14), (15, 29), (59984, 59984), (59985, 59999), (59999, 59999)}
+
+
+def test_until_next_key_of_repeated_frames(spark):
+    """A key frame that is given twice does not end before itself."""
+    frames = spark.createDataFrame([(0, 0, True), (0, 3, True), (0, 3, True), (0, 5, False)], "video long, frame long, key_frame boolean")
+    assert sorted(tuple(r) for r in timeline.until_next_key(frames).collect()) == [(0, 0, 2), (0, 3, 5), (0, 3, 5), (0, 5, 5)]

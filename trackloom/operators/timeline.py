@@ -82,11 +82,14 @@ def last_key_before(frames: DataFrame) -> DataFrame:
 
 
 def until_next_key(frames: DataFrame) -> DataFrame:
-    """For every frame the last frame before the next key frame, or of the video."""
-    order = Window.partitionBy("video").orderBy("frame").rowsBetween(1, Window.unboundedFollowing)
-    every = Window.partitionBy("video")
-    following = F.min(F.when(F.col("key_frame"), F.col("frame"))).over(order)
-    return frames.select("video", "frame", F.coalesce(following - 1, F.max("frame").over(every)).alias("until"))
+    """For every frame the last frame before the next key frame, or of the video.
+
+    Frames are read from the last one back, so that a window only grows: one that shrinks is worked out anew for each row.
+    """
+    back = Window.partitionBy("video").orderBy(F.desc("frame"))
+    following = F.min(F.when(F.col("key_frame"), F.col("frame"))).over(back.rangeBetween(Window.unboundedPreceding, -1))
+    last = F.max("frame").over(back.rowsBetween(Window.unboundedPreceding, 0))
+    return frames.select("video", "frame", F.coalesce(following - 1, last).alias("until"))
 
 
 def damaged_spans(frames: DataFrame, half_window: int, losses: DataFrame | None = None) -> DataFrame:
