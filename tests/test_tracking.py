@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import random
 
+import pandas as pd
 import pytest
 
+from trackloom.operators import tracking
 from trackloom.operators.tracking import TrackSettings, tracked
 from trackloom.streaming.tracker import stream_counts, stream_tracks
 
@@ -250,3 +252,27 @@ def test_stream_of_windows_is_that_of_the_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = {r["frame"]: (round(r["gain"], 9), r["background"]) for r in spark.sql("SELECT * FROM windows_out").collect()}
     assert got == expected and len(got) == 23
+
+
+def test_a_piece_is_not_held_whole(spark):
+    """Frames come one by one whatever the batches, and an open track keeps only what the next frame looks at."""
+    rows = [(0, 0, f, 2 * f + k, 5.0 * f % 700, 100.0 + 300 * k, "strong") for f in range(300) for k in range(2)]
+    frame = pd.DataFrame(rows, columns=["video", "piece", "frame", "det_idx", "x", "y", "strength"])
+    asked = []
+
+    def batches():
+        for k in range(0, len(frame), 7):
+            asked.append(k)
+            yield frame.iloc[k:k + 7]
+
+    along = tracking.frames_along(batches(), ["video", "piece"])
+    first = [next(along) for _ in range(3)]
+    assert first == [((0, 0), f, [(5.0 * f, 100.0, 2 * f, True), (5.0 * f, 400.0, 2 * f + 1, True)]) for f in range(3)] and len(asked) <= 2
+    assert [f for _, f, _ in along] == list(range(3, 300))
+    df = spark.createDataFrame([(v, f, d, x, y, s) for v, _, f, d, x, y, s in rows], ROW)
+    tracker, done = tracking.Tracker(FREE), []
+    for f in range(300):
+        done += tracker.advance(f, [(x, y, d, True) for _, _, at, d, x, y, _ in rows[2 * f:2 * f + 2]])
+    whole = {(t.name, *p) for t in [*done, *tracker.flush()] for p in t.points}
+    assert {(r["track"], r["frame"], r["x"], r["y"], r["det_idx"]) for r in tracked(df, FREE).collect()} == whole
+    assert "FlatMapGroupsInPandas" not in tracked(df, FREE)._jdf.queryExecution().executedPlan().toString()

@@ -110,11 +110,12 @@ class Tracker:
 
 
 POINTS = "video long, track long, frame long, det_idx long, x double, y double"
+COLUMNS = ["video", "track", "frame", "det_idx", "x", "y"]
 
 
 def rows_of(video: int, tracks: Iterable[OpenTrack]) -> pd.DataFrame:
     rows = [(video, t.name, f, i, x, y) for t in tracks for f, x, y, i in t.points]
-    return pd.DataFrame(rows, columns=["video", "track", "frame", "det_idx", "x", "y"])
+    return pd.DataFrame(rows, columns=COLUMNS)
 
 
 def frames_of(piece: pd.DataFrame) -> Iterator[tuple[int, list[tuple[float, float, int, bool]]]]:
@@ -123,22 +124,54 @@ def frames_of(piece: pd.DataFrame) -> Iterator[tuple[int, list[tuple[float, floa
         yield int(frame), list(zip(rows["x"].tolist(), rows["y"].tolist(), rows["det_idx"].tolist(), rows["strength"].eq("strong").tolist()))
 
 
+def frames_along(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, int, list[tuple[float, float, int, bool]]]]:
+    """Keys, frame and detections of each frame, from batches of rows in order of keys, frame and det_idx: a frame may
+    lie in several batches, and no more than one batch and one frame are held."""
+    at, found = None, []
+    for batch in batches:
+        strong = batch["strength"].eq("strong").tolist()
+        for now, x, y, name, s in zip(zip(*(batch[k].tolist() for k in (*keys, "frame"))), batch["x"].tolist(), batch["y"].tolist(), batch["det_idx"].tolist(), strong):
+            if now != at:
+                if found:
+                    yield at[:-1], at[-1], found
+                at, found = now, []
+            found.append((x, y, name, s))
+    if found:
+        yield at[:-1], at[-1], found
+
+
+#: Points that are given on at once.
+GIVEN = 20_000
+
+
 def tracked(detections: DataFrame, settings: TrackSettings = TrackSettings()) -> DataFrame:
     """Points of all tracks (video, track, frame, det_idx, x, y), of detections outside ignored spans.
 
     A track is named by the detection that opened it.  Pieces of a video between stretches of more than
-    max_gap + 1 empty frames are tracked apart, which changes nothing.
+    max_gap + 1 empty frames are tracked apart, which changes nothing.  A piece goes through its task frame by frame: a
+    point is given on when it is assigned, and of an open track only what the next frame looks at is kept.
     """
     order = Window.partitionBy("video").orderBy("frame")
     begins = F.coalesce(F.col("frame") - F.lag("frame").over(order) > settings.max_gap + 1, F.lit(True)).cast("long")
     cut = detections.select("video", "frame", "det_idx", "x", "y", "strength").withColumn("begins", begins).withColumn(
         "piece", F.sum("begins").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-
-    def one(piece: pd.DataFrame) -> pd.DataFrame:
-        tracker = Tracker(settings)
-        done: list[OpenTrack] = []
-        for frame, found in frames_of(piece):
-            done += tracker.advance(frame, found)
-        return rows_of(int(piece["video"].iloc[0]), [*done, *tracker.flush()])
-
-    return cut.groupBy("video", "piece").applyInPandas(one, POINTS)
+    back = max(math.ceil(settings.span) + 1, math.ceil(settings.tail), 2)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, tracker, out = None, None, []
+        for piece, frame, found in frames_along(batches, ["video", "piece"]):
+            if piece != at:
+                at, tracker = piece, Tracker(settings)
+            tracker.advance(frame, found)
+            for t in tracker.active:
+                f, x, y, i = t.points[-1]
+                if f == frame:
+                    out.append((piece[0], t.name, f, i, x, y))
+                    del t.points[:-back]
+            if len(out) >= GIVEN:
+                yield pd.DataFrame(out, columns=COLUMNS)
+                out = []
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    dealt = cut.drop("begins").repartition("video", "piece").sortWithinPartitions("video", "piece", "frame", "det_idx")
+    return dealt.mapInPandas(run, POINTS)
