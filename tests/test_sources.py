@@ -118,3 +118,26 @@ def test_text_forms(spark):
         text.region(F.lit("1,2, 3,4")).alias("r"), text.region(F.lit("1,2,x,4")).alias("bad"), text.rational(F.lit("6/-4")).alias("q"), text.rational(F.lit("1/0")).alias("z"),
         text.points_text(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(1.0).alias("y")) for x in (1.2, 1.4, 2.6)))).alias("p"), text.decimal(F.lit(-0.001), 2, ",").alias("d")).first()
     assert row["r"] == [1, 2, 3, 4] and row["bad"] is None and tuple(row["q"]) == (-3, 2) and row["z"] is None and row["p"] == "1,1 3,1" and row["d"] == "0,0"
+
+
+def test_long_tables_are_several_ordered_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rec, "FILE_ROWS", 100)
+    rows = [((k * 37) % 1000, "0:00:01", "0:00:02", k / 2, 1.0, k, 45.25, 50.0, 50.0, 12, 30.5, 0) for k in range(1000)]
+    df = spark.createDataFrame(rows, rec.TABLE)
+    rec.write_table(df, str(tmp_path / "t"))
+    parts = [p.read_bytes().decode().split("\r\n") for p in sorted((tmp_path / "t").glob("part-*"))]
+    assert len(parts) > 5 and max(map(len, parts)) < 300 and all(p[0].startswith("id,start,end") and p[-1] == "" for p in parts)
+    assert [int(line.split(",")[0]) for p in parts for line in p[1:-1]] == list(range(1000))
+    assert sorted(map(tuple, rec.read_table(spark, str(tmp_path / "t")).collect())) == sorted(rows)
+
+
+def test_long_verdicts_are_several_files_and_read_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rec, "FILE_ROWS", 100)
+    rows = [(f"é{k % 3}", str(k), "", float(k), "oui", "x", k / 4, 2.0) for k in range(1000)]
+    df = spark.createDataFrame(rows, "video string, track string, start string, start_s double, verdict string, species string, start_x double, start_y double")
+    rec.write_verdicts(df, str(tmp_path / "out"))
+    parts = [p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*"))]
+    assert len(parts) > 5 and all(p.startswith("﻿video;track") and len(p) < 12_000 for p in parts)
+    assert [tuple(line.split(";")[:2]) for p in parts for line in p.split("\r\n")[1:-1]] == [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0], r[3]))]
+    assert sorted((r["video"], int(r["track"])) for r in rec.read_verdicts(spark, str(tmp_path / "out")).collect()) == sorted((r[0], int(r[1])) for r in rows)
+    assert not isinstance(rec.verdict_rows(parts[0].encode()), list)
