@@ -210,3 +210,25 @@ def test_a_run_from_planes_to_tracks(spark):
                                     "video long, target long, frame long, x double, y double, contrast double, sigma double")
     result = flows.evaluated(points, targets, ignored, settings).collect()
     assert [(r["target"], r["visible"], r["found"], r["completeness"]) for r in result] == [(9, 23, True, 1.0)]
+
+
+def test_components_take_no_rounds(spark):
+    """A snake over a plane is one component; labelling joins nothing, so that nothing goes through the driver."""
+    width, height = 64, 48
+    snake = [y * width + x for y in range(height) for x in range(width) if y % 4 == 0 or x == (width - 1 if y // 2 % 2 == 0 else 0) and y % 4 == 2 or y % 2 and x == (width - 1 if y % 4 == 1 else 0)]
+    rows = [(f, p) for f in range(3) for p in snake] + [(5, 9), (5, 9), (6, 0), (6, width - 1)]
+    out = planes.labelled(spark.createDataFrame(rows, "frame long, pixel long"), width)
+    got = {(r["frame"], r["pixel"]): r["label"] for r in out.collect()}
+    assert set(got) == set(rows) and got[5, 9] == 9 and (got[6, 0], got[6, width - 1]) == (0, width - 1)
+    for f in range(3):
+        own, seen = set(snake), {}
+        for p in snake:
+            todo = [] if p in seen else [p]
+            while todo:
+                q = todo.pop()
+                if q not in seen:
+                    seen[q] = p
+                    todo += [n for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 <= q % width + dx < width and (n := q + dy * width + dx) in own]
+        assert {p: got[f, p] for p in snake} == seen
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Scan parquet" not in plan

@@ -150,23 +150,25 @@ def closed(pixels: DataFrame, width: int, height: int, radius: float) -> DataFra
 def labelled(pixels: DataFrame, width: int) -> DataFrame:
     """8-connected components: frame, pixel, label (the least pixel of the component).
 
-    Labels spread to the least of their neighbourhood and of the pixel that they name, until none changes.
+    A frame's pixels meet in one row, which is labelled where it lies.
     """
-    own = cut(pixels.select("frame", "pixel").distinct())
-    x = F.col("pixel") % width
-    around = own.select("frame", "pixel", F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy * width + dx).alias("to"))
-                                                               for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy))).alias("o"))
-    steps = around.filter((x + F.col("o.dx")).between(0, width - 1)).select("frame", "pixel", (F.col("pixel") + F.col("o.to")).alias("next"))
-    edges = cut(steps.join(own.select("frame", F.col("pixel").alias("next")), ["frame", "next"], "left_semi"))
-    labels = own.withColumn("label", F.col("pixel"))
-    while True:
-        sent = edges.join(labels, ["frame", "pixel"]).select("frame", F.col("next").alias("pixel"), "label")
-        near = labels.unionByName(sent).groupBy("frame", "pixel").agg(F.min("label").alias("near"))
-        named = labels.select("frame", F.col("pixel").alias("near"), F.col("label").alias("beyond"))
-        new = cut(near.join(named, ["frame", "near"]).select("frame", "pixel", F.least("near", "beyond").alias("label")))
-        if new.join(labels, ["frame", "pixel", "label"], "left_anti").isEmpty():
-            return new
-        labels = new
+    rows = pixels.groupBy("frame").agg(F.array_sort(F.collect_set("pixel")).alias("own"))
+    kinds = T.StructType([pixels.schema["frame"], pixels.schema["pixel"], T.StructField("label", pixels.schema["pixel"].dataType)])
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(1)
+            sizes = np.diff(own.offsets.to_numpy())
+            ends, flat, made = np.cumsum(sizes), own.flatten(), []
+            values = flat.to_numpy()
+            for end, size in zip(ends, sizes):
+                one = values[end - size:end]
+                part = kernels.components(one, width)
+                made.append(one[np.unique(part, return_index=True)[1]][part] if size else one)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), flat,
+                                              pa.array(np.concatenate([values[:0], *made]), flat.type)], names=["frame", "pixel", "label"])
+
+    return rows.mapInArrow(run, kinds)
 
 
 def blobs(components: DataFrame, lit_pixels: DataFrame, width: int) -> DataFrame:
