@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from trackloom.llm.byte_bpe import slices
 from trackloom.llm.frames import cut, fresh
 from trackloom.llm.pretokens import in_groups
-from trackloom.llm.workers import mapped
+from trackloom.llm.workers import mapped, release
 
 #: Bound of the labelled rows that are fitted on: those of the smallest hashes of their ids.
 LABELLED = 12_000
@@ -335,12 +335,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     ids, marks, a, b = _gathered(used.join(known, "doc_id"))
     # of repeated documents one, whatever order they come in
     order = np.lexsort((*b.T[:4], *a.T[:4], ids))
-    ids, marks, a, b = ids[order], marks[order], a[order], b[order]
-    _, one = np.unique(ids, return_index=True)
+    _, one = np.unique(ids[order], return_index=True)
     # not in order of ids: folds should not follow a pattern in them
-    one = one[np.argsort(ids[one] * 0x9E3779B1 % 2**31, kind="stable")]
+    one = order[one[np.argsort(ids[order[one]] * 0x9E3779B1 % 2**31, kind="stable")]]
     taken = np.unique(ids)
-    return exchanged(a[one], b[one], marks[one], lambda models, bar: _passed(used, taken, models, bar))
+    a, b, marks = a[one], b[one], marks[one]
+    model = exchanged(a, b, marks, lambda models, bar: _passed(used, taken, models, bar))
+    release()
+    return model
 
 
 def _passed(used: DataFrame, taken: np.ndarray, models: list[View], bar: dict[float, float]) -> Sums:
@@ -381,11 +383,19 @@ def _gathered(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
     table = mapped(sample, run, FEATURES).toArrow()
     ids, marks = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in (0, 1))
-    return ids, marks, *(_matrix(table.column(c).to_pylist(), n) for c, n in ((2, TEXT_FEATURES), (3, META_FEATURES)))
-
-
-def _matrix(rows: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), dtype=np.float16).reshape(-1, width)
+    made = ids, marks, *(_matrix(table.column(c), n) for c, n in ((2, TEXT_FEATURES), (3, META_FEATURES)))
+    del table
+    release()
+    return made
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of bytes as a matrix, chunk by chunk: the driver holds them once beside the table."""
+    out, at = np.empty((len(column), width), dtype=np.float16), 0
+    for chunk in column.chunks:
+        out[at:at + len(chunk)] = np.frombuffer(b"".join(chunk.to_pylist()), dtype=np.float16).reshape(-1, width)
+        at += len(chunk)
+    return out
 
 
 def score(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
