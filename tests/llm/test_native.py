@@ -73,6 +73,30 @@ def test_mix_emits_once_per_boundary(spark):
     assert mixing.mix(df.limit(0), "source", mixing.words(F.col("text")), "doc_id").count() == 0
 
 
+def shuffles_of(df, column) -> int:
+    """How many exchanges of the plan carry a column."""
+    def visit(node):
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        output = node.output()
+        names = [output.apply(k).name() for k in range(output.size())]
+        return (node.nodeName() == "Exchange" and column in names) + sum(map(visit, below))
+
+    return visit(df._jdf.queryExecution().executedPlan())
+
+
+def test_mix_shuffles_texts_once(spark):
+    """What belongs to a source meets the offsets: texts never go to one task per source."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        df = spark.createDataFrame([(i, f"s{i % 2}", f"some words {i}") for i in range(20)], "doc_id long, source string, text string")
+        assert shuffles_of(mixing.emitted(mixing.mix(df, "source", mixing.words(F.col("text")), "doc_id"), df.columns), "text") == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 # sharding
 
 def test_shards_balance_bytes_and_number_rows(spark):

@@ -27,18 +27,24 @@ def named(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
 
 
-def ranked(df: DataFrame, group: list[str], split: str, order: list, name: str) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], split: str, order: list, name: str, beside: DataFrame | None = None) -> DataFrame:
     """df with name: the position of each row in its group from 0, without gaps, by split, then order.
 
     The columns of group and split must not hold nulls.  A group, however large, is numbered in as
     many tasks as split has values: rows are numbered within (group, split), the counts of these
     parts are summed to offsets, and the two are joined on the parts.  Only counts meet per group.
+
+    beside: a table with one row per group, whose other columns df gets too.  It meets the offsets, not
+    the rows, which are shuffled once, by their part.
     """
     keys = [*group, split]
-    count, offset, within = fresh(df.columns, "count", "offset", "within")
+    more = [c for c in beside.columns if c not in group] if beside is not None else []
+    count, offset, within = fresh([*df.columns, *more], "count", "offset", "within")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
     before = Window.partitionBy(*group).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(offset))
     numbered = df.withColumn(within, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if beside is not None:
+        offsets = offsets.join(beside, group)
     joined = numbered.join(offsets, keys)
-    return joined.select(*df.columns, (F.col(offset) + F.col(within) - 1).alias(name))
+    return joined.select(*df.columns, *more, (F.col(offset) + F.col(within) - 1).alias(name))

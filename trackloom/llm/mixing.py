@@ -78,7 +78,7 @@ def mix(df: DataFrame, source: str, size: Column, row_id: str, seed: int = 0, sp
              .withColumn(split, F.col(kind) * splits + F.pmod(F.col(at), F.lit(splits))))
     # rows that agree so far are told apart by all their values, so that reruns agree
     values = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    placed = ranked(keyed, [key], split, [at, size_, F.xxhash64(*values)], rank).join(shares, key)
+    placed = ranked(keyed, [key], split, [at, size_, F.xxhash64(*values)], rank, shares)
     rate = F.when(F.col(total) > 0, F.floor(F.col(target) / F.col(total) * 2**BITS)).otherwise(0).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), 1, BITS // 4), 16, 10).cast("long")
     crossed = lambda k: F.shiftright(k * rate + offset, BITS)
