@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import intervals, ledger, matching, timeline
+from trackloom.operators import intervals, ledger, matching, rendering, timeline
 
 
 def test_long_spans_are_few_rows(spark):
@@ -75,3 +75,23 @@ def test_what_is_left_of_many_jobs(spark):
     left = ledger.estimate(spark.range(n).select(F.lit(0).cast("long").alias("device"), F.col("id").alias("job"), F.lit(1.0).alias("spent"), F.lit(2).cast("long").alias("frames")))
     assert not shrinks(left)
     assert {(r["job"], r["left"]) for r in left.filter("job IN (0, 59998, 59999)").collect()} == {(0, 2 * (n - 1)), (59998, 2), (59999, 0)}
+
+
+@pytest.mark.parametrize("cells", [1, 2, 4])
+@pytest.mark.parametrize("strict", [False, True])
+def test_near_pairs_by_cells_of_any_size(spark, cells, strict):
+    """Pairs at, below and above the radius, on edges of cells and on both sides of 0."""
+    draw = random.Random(5)
+    spots = [(k % 2, k, draw.choice([draw.uniform(-60, 60), draw.randrange(-12, 12) * 5.0]), draw.choice([draw.uniform(-60, 60), draw.randrange(-12, 12) * 5.0])) for k in range(240)]
+    spots += [(0, 240, 0.0, 0.0), (0, 241, 5.0, 0.0), (0, 242, -5.0, 0.0), (0, 243, 3.0, 4.0), (0, 244, 20.0, 0.0), (0, 245, 15.0, 0.0)]
+    a = spark.createDataFrame(spots, "page long, a_id long, ax double, ay double")
+    b = spark.createDataFrame(spots, "page long, b_id long, bx double, by double")
+    got = sorted((r["a_id"], r["b_id"]) for r in matching.near_pairs(a, b, ["page"], 5.0, strict, cells).collect())
+    d = lambda p, q: ((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2) ** 0.5
+    assert got == sorted((p[1], q[1]) for p in spots for q in spots if p[0] == q[0] and (d(p, q) < 5.0 if strict else d(p, q) <= 5.0))
+
+
+def test_markers_deal_spots_to_few_cells(spark):
+    """The joins of markers hold a spot about twice, not nine times."""
+    spots = spark.range(10_000).select((F.col("id") % 100 * 7.3).alias("bx"), (F.expr("id div 100") * 7.3).alias("by"))
+    assert matching.in_cells(spots, 24.0, rendering.MARKER_CELLS).count() < 25_000

@@ -5,23 +5,36 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.lineage import cut, dropped
 from trackloom.operators.intervals import inside
 
 
-def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], radius: float, strict: bool = False) -> DataFrame:
+def _cell(c: Column, size: float) -> Column:
+    return F.floor(c / size).cast("long")
+
+
+def in_cells(b: DataFrame, radius: float, cells: int) -> DataFrame:
+    """b (with bx, by), one row for each cell (cx, cy) that it may meet rows in; see near_pairs."""
+    # a little more than the radius, so that rounding leaves no cell out
+    size, reach = radius * cells, radius * (1 + 1e-6)
+    ends = lambda c: (_cell(c, size) - 1, _cell(c, size) + 1) if cells == 1 else (_cell(c - reach, size), _cell(c + reach, size))
+    across = b.select("*", F.explode(F.sequence(*ends(F.col("bx")))).alias("cx"))
+    return across.select("*", F.explode(F.sequence(*ends(F.col("by")))).alias("cy"))
+
+
+def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], radius: float, strict: bool = False, cells: int = 1) -> DataFrame:
     """Pairs of rows of equal keys within radius of each other (below it if strict), with their distance d.
 
-    a has a_id, ax, ay and b has b_id, bx, by beside the keys.  Cells of the radius make the join an
-    equi-join: a goes to its own cell, b to its own and the eight around.
+    a has a_id, ax, ay and b has b_id, bx, by beside the keys.  Cells of so many radii make the join an
+    equi-join: a goes to its own cell, b to its own and the eight around, or, of more radii, to those that it
+    reaches: 2.25 cells on the average of 4 radii.  Larger cells shuffle less and compare more, which suits keys of few rows.
     """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    held = a.withColumn("cx", cell("ax")).withColumn("cy", cell("ay"))
-    around = b.select("*", F.explode(F.sequence(cell("bx") - 1, cell("bx") + 1)).alias("cx"))
-    around = around.select("*", F.explode(F.sequence(cell("by") - 1, cell("by") + 1)).alias("cy"))
+    size = radius * cells
+    held = a.withColumn("cx", _cell(F.col("ax"), size)).withColumn("cy", _cell(F.col("ay"), size))
+    around = in_cells(b, radius, cells)
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     met = held.join(around, [*keys, "cx", "cy"]).drop("cx", "cy").withColumn("d", F.sqrt(dx * dx + dy * dy))
     return met.filter(F.col("d") < radius if strict else F.col("d") <= radius)
