@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import intervals, ledger, matching, rendering, timeline
+from trackloom.operators import intervals, ledger, matching, nearness, rendering, timeline
 
 
 def test_long_spans_are_few_rows(spark):
@@ -95,3 +97,51 @@ def test_markers_deal_spots_to_few_cells(spark):
     """The joins of markers hold a spot about twice, not nine times."""
     spots = spark.range(10_000).select((F.col("id") % 100 * 7.3).alias("bx"), (F.expr("id div 100") * 7.3).alias("by"))
     assert matching.in_cells(spots, 24.0, rendering.MARKER_CELLS).count() < 25_000
+
+
+def test_crowded_pages_are_tiles_of_bits(spark):
+    """Of 5,000 paths that all meet, 12 million pairs are a bit each, and no row holds all paths of a page."""
+    paths = spark.range(5000).select(F.lit(1).cast("long").alias("page"), F.col("id").alias("path"))
+    points = paths.withColumn("frame", F.explode(F.array([F.lit(k).cast("long") for k in range(3)]))).select(
+        "page", "path", "frame", (F.col("frame") * 4.0).alias("x"), (F.col("path") % 7 / 4).alias("y"))
+    _, tiles = nearness.near_tiles(points, 20.0)
+    held = tiles.select("late", "early", "base", "paths", "early_paths", F.length("bits").alias("bytes")).collect()
+    assert {(r["late"], r["early"], r["base"], r["paths"], r["early_paths"]) for r in held} == {(0, 0, 0, 4096, 4096), (1, 0, 4096, 904, 4096), (1, 1, 4096, 904, 904)}
+    assert sum(r["bytes"] for r in held) == 4096 * 512 + 904 * 512 + 904 * 120
+    assert {(r["path"], r["colour"]) for r in rendering.colours(points, 8, 20.0).collect()} == {(k, k % 8) for k in range(5000)}
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 900])
+def test_colours_of_many_blocks(spark, monkeypatch, cells):
+    """Blocks of few paths, and cells that grow over wide pages, give the colours of the plain rule; a path without a name
+    or a place is near nothing."""
+    monkeypatch.setattr(nearness, "SPOTS", 700)
+    monkeypatch.setattr(nearness, "LEAST", 7)
+    monkeypatch.setattr(nearness, "CELLS", cells)
+    monkeypatch.setattr(nearness, "TESTS", 64)
+    draw, rows = random.Random(11), []
+    for page in range(2):
+        for path in range(230):
+            x, y = draw.choice([(draw.uniform(-300, 300), draw.uniform(-200, 200)), (draw.randrange(-15, 15) * 20.0, draw.randrange(-10, 10) * 20.0)])
+            for frame in range(draw.choice([1, 1, 2, 5, 30])):
+                rows.append((page, path, frame, x, y))
+                x, y = x + draw.choice([0.0, 3.0, 12.0, draw.uniform(-9, 9)]), y + draw.choice([0.0, 4.0, 16.0, draw.uniform(-9, 9)])
+    rows += [(0, 300, 0, None, None), (0, None, 0, 0.0, 0.0), (None, 1, 0, 0.0, 0.0), (None, 2, 0, 0.0, 0.0), (1, 301, 0, float("nan"), 1.0)]
+    points = spark.createDataFrame(rows, "page long, path long, frame long, x double, y double")
+    got = {(r["page"], r["path"]): r["colour"] for r in rendering.colours(points, 5, 20.0).collect()}
+    expected = {}
+    for page in (0, 1, None):
+        spots, used, done = {}, [0] * 5, {}
+        for path in sorted({r[1] for r in rows if r[0] == page}, key=lambda p: (p is not None, p)):
+            own = np.array([r[3:] for r in rows if r[:2] == (page, path)], float)
+            length = np.append(0.0, np.cumsum(np.hypot(*np.diff(own, axis=0).T))).round(6)
+            at = np.arange(0, max(1, math.ceil(length[-1] / 5.0))) * 5.0 if np.isfinite(length[-1]) else np.zeros(0)
+            at = at[at < length[-1]]
+            mine = np.stack([np.append(np.interp(at, length, c).round(9), c[-1]) for c in own.T], 1)
+            mine = mine[np.isfinite(mine).all(1) & (page is not None and path is not None)]
+            near = [done[o] for o in done if len(mine) and len(spots[o]) and np.sqrt(((mine[:, None] - spots[o][None]) ** 2).sum(2)).min() < 20.0]
+            c = min(range(5), key=lambda k: (near.count(k), used[k], k))
+            used[c] += 1
+            spots[path], done[path] = mine, c
+        expected |= {(page, p): c for p, c in done.items()}
+    assert got == expected

@@ -124,11 +124,11 @@ def parts(tracks: DataFrame, keys: list[str], order: list[str], most: int = 20)
     return rows.select(*tracks.columns, F.floor(F.col("at") / size).cast("long").alias("part"))
 
 
-def arc_lengths(points: DataFrame) -> DataFrame:
-    """The length of the path up to each point."""
+def arc_lengths(points: DataFrame, *kept: str) -> DataFrame:
+    """The length of the path up to each point: track, frame, length and the columns to be kept."""
     along = order().rowsBetween(Window.unboundedPreceding, 0)
     step = F.coalesce(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), F.lit(0.0))
-    return stepped(points).select("track", "frame", F.round(F.sum(step).over(along), 6).alias("length"))
+    return stepped(points).select("track", "frame", F.round(F.sum(step).over(along), 6).alias("length"), *kept)
 
 
 def resampled(points: DataFrame, step: float, digits: int = 3) -> DataFrame:
